@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import line_dedup
+from watchgrid.llm import line_dedup, substring_dedup
 
 
 def queries() -> dict:
     import corpus_pipeline
 
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_substring_dedup": substring_dedup.ORACLE,
+        "op5_line_dedup": line_dedup.ORACLE,
+    }
