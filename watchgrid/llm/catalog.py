@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import line_dedup, substring_dedup
+from watchgrid.llm import jaccard_join, line_dedup, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -19,4 +20,5 @@ def oracle_sql() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
+        "op8_jaccard_join": jaccard_join.ORACLE,
     }
