@@ -107,6 +107,16 @@ class Pieces:
         return self.library.decode(ids)
 
 
+_LOADED: dict[str, Pieces] = {}
+
+
+def _loaded(path: str) -> Pieces:
+    """The vocabulary and its remembered words, kept by a worker from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path]
+
+
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """The rows and columns of ``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with
     ``keep_ids``, ``ids`` and ``decoded``; these replace columns of those names.
@@ -122,7 +132,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
     more = T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string").fields[: len(new)]
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = _loaded(path)
         for texts, *columns in parts(batches, names):
             n, digest, back_digest, all_ids, all_back = [], [], [], [], []
             for text in texts:
@@ -148,5 +158,4 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)\
-        .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
