@@ -4,24 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from watchgrid.llm import toxicity as tox
+from watchgrid.llm.jaccard_join import jaccard_components
 from watchgrid.llm.line_dedup import line_dedup
+from watchgrid.llm.packing import pack_documents
+from watchgrid.llm.substring_dedup import substring_dedup
+from watchgrid.session import cut, table
+
+#: Documents of this score or more go.
+TOXIC = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    model = tox.fit(docs, table(spark, sf_dir, "labels"))
+    return tox.toxicity(docs, model).where(f"score < {TOXIC}").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go, but for their first occurrence."""
-    out = line_dedup(docs)
-    return out.select(*docs.columns)
+    return line_dedup(docs).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the smallest id. Rows with a null id stay."""
+    groups = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("line_dedup", lines)]
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of 20 words go, but for their first occurrence."""
+    return substring_dedup(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("jaccard_join", near), ("substring_dedup", substrings), ("best_fit_packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is a checkpoint, the next stage's input."""
-    from watchgrid.session import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import jaccard_join, line_dedup, substring_dedup
+from watchgrid.llm import jaccard_join, licenses, line_dedup, media, packing, quality_chain, quality_rules, sentencepieces, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,8 +10,15 @@ def queries() -> dict:
 
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_quality_classifier": quality_chain.op2_quality_classifier,
+        "op3_sentencepiece": sentencepieces.op3_sentencepiece,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_media_columns": media.op9_media_columns,
+        "op10_license_scan": licenses.op10_license_scan,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -41,43 +41,34 @@ def longest_repeats(word: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     end = np.searchsorted(owner, owner, "right")  # the text's end, for each word
     place = np.arange(n)
-    levels, width = [_dense(owner, word)], 1
+    # a rank is the place of the first of its class in sorted order
+    dense = _dense(owner, word)
+    size = np.bincount(dense)
+    levels, width = [(np.cumsum(size) - size)[dense]], 1
     while True:
         rank = levels[-1]
-        if len(levels) > 1 and rank.max() == n - 1:
-            break
-        beyond = place + width
-        inside = beyond < end
-        if not inside.any():
+        at = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(at):
             break
         # only suffixes that still share a rank need a longer look
-        size = np.bincount(rank)
-        tied = size[rank] > 1
-        if not tied.any():
-            break
-        nxt = np.where(inside, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        key = rank * (n + 1) + nxt
+        beyond = place[at] + width
+        key = rank[at] * (n + 1) + np.where(beyond < end[at], rank[np.minimum(beyond, n - 1)] + 1, 0)
+        by_key = np.argsort(key, kind="stable")
+        order, key = at[by_key], key[by_key]
+        i = np.arange(len(order))
+        group = np.maximum.accumulate(np.where(np.append(True, rank[order][1:] != rank[order][:-1]), i, 0))
+        head = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), i, 0))
         new = rank.copy()
-        first = np.cumsum(size) - size
-        at = np.flatnonzero(tied)
-        order = at[np.argsort(key[at], kind="stable")]
-        k, r = key[order], rank[order]
-        head = np.append(True, k[1:] != k[:-1])
-        group = np.append(True, r[1:] != r[:-1])
-        step = np.cumsum(head)
-        start = np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))
-        new[order] = r * 0 + first[r] + step - step[start]
-        levels.append(_dense(new))
+        new[order] += head - group
+        levels.append(new)
         width *= 2
     suffix = np.argsort(levels[-1], kind="stable")
     a, b = suffix[:-1], suffix[1:]
     common = np.zeros(max(n - 1, 0), np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        for _ in range(2 if k == len(levels) - 1 else 1):
-            i, j = a + common, b + common
-            ok = (i + (1 << k) <= end[a]) & (j + (1 << k) <= end[b]) & (owner[a] == owner[b])
-            same = ok & (levels[k][np.minimum(i, n - 1)] == levels[k][np.minimum(j, n - 1)])
-            common = common + np.where(same, 1 << k, 0)
+        i, j = a + common, b + common
+        inside = (i + (1 << k) <= end[a]) & (j + (1 << k) <= end[b])
+        common = common + np.where(inside & (levels[k][np.minimum(i, n - 1)] == levels[k][np.minimum(j, n - 1)]), 1 << k, 0)
     best = np.zeros(n, np.int64)
     best[a] = common
     best[b] = np.maximum(best[b], common)
