@@ -93,7 +93,7 @@ def _duplicate_lines(text: bytes) -> int:
 NEW = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered long, longest_repeat long, kept boolean"
 
 
-def quality_rules(docs: DataFrame, least: int = 6, most_covered: int = 20, most_long: int = 60, most_symbols: int = 5) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = 6, most_covered: int = 30, most_long: int = 60, most_symbols: int = 5) -> DataFrame:
     """The rows and columns of ``docs`` with the figures and verdict of ``NEW``, which replace columns of those names.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. ``n_covered`` counts words under maximal repeated runs of at

@@ -3,8 +3,8 @@
 A token's log-odds of toxic against clean documents carry a Dirichlet prior of the whole corpus's counts, and count
 only where they are ``z_least`` standard errors above zero. Every token also pays ``drift``, so a random text's score
 falls. One linear scan finds all maximal scoring segments. With ``lambda``, the root of E[exp(lambda s)] = 1 under the
-corpus's token distribution, ``lambda S - ln n`` of the best segment follows an extreme-value (Gumbel) law in clean
-texts; the law is fitted there, and the evidence -ln P(larger) of the best segment and of all significant segments
+corpus's token distribution, ``lambda S - ln(K n)`` of the best segment follows the extreme-value (Gumbel) law in clean
+texts; ``K`` is fitted there, and the evidence -ln P(larger) of the best segment and of all significant segments
 together becomes a probability by a logistic fit.
 """
 
@@ -35,8 +35,7 @@ class Model:
     score: np.ndarray
     drift: float
     lam: float = 1.0
-    place: float = 0.0
-    scale: float = 1.0
+    log_k: float = 0.0
     significant: float = 3.0
     weights: tuple = (0.0, 0.0, -2.0)
 
@@ -80,14 +79,14 @@ def _scan(model: Model, texts: list[bytes]):
     cuts = np.searchsorted(known, w.first)
     for k, n in enumerate(w.count.tolist()):
         mine = known[cuts[k] : cuts[k + 1]]
-        yield n, segments(mine - w.first[k], model.score[at[mine]], model.drift) if len(mine) else [], w, k
+        yield n, segments(mine - w.first[k], model.score[at[mine]], model.drift) if len(mine) else []
 
 
 def _evidence(model: Model, n: int, found: list) -> tuple[float, float, list]:
     """-ln P of the best segment, the sum over significant ones, and those."""
     best, together, kept = 0.0, 0.0, []
     for a, b, s in found:
-        u = (model.lam * s - math.log(n + 1) - model.place) / model.scale
+        u = model.lam * s - math.log(n + 1) - model.log_k
         # P(larger) = 1 - exp(-exp(-u))
         e = u if u > 30 else -math.log(max(-math.expm1(-math.exp(-max(u, -30.0))), 1e-300))
         best = max(best, e)
@@ -134,7 +133,7 @@ def _root(p: np.ndarray, s: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 20000, prior: float = 500.0, z_least: float = 3.0, drift: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 20000, prior: float = 500.0, z_least: float = 3.5, drift: float = 0.5) -> Model:
     """Learn from at most ``most`` labelled rows (of the folds that may be learnt from) and ``terms`` tokens.
 
     Corpus counts, the prior and the token distribution behind ``lambda``, are of all documents.
@@ -156,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 2000
     total = max(float(seen.total.max()), 1.0)
     of = dict(zip(seen.token.tolist(), seen.n.tolist()))
     p = np.array([of.get(x, 0) for x in token.view(np.int64).tolist()], float) / total
-    a = np.maximum(prior * p, 0.01)
+    a = np.maximum(prior * p, 0.5)
     odds = np.log((t + a) / (n_t + prior - t - a)) - np.log((c + a) / (n_c + prior - c - a))
     strong = odds / np.sqrt(1 / (t + a) + 1 / (c + a)) >= z_least
     token, score, p = token[strong], odds[strong] - drift, p[strong]
@@ -164,12 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 2000
     if not (score > 0).any():
         return model
     model.lam = _root(np.append(p, max(1 - p.sum(), 0.0)), np.append(score, -drift))
-    best = rows.mapInArrow(_features(model), "y int, n long, s double").toPandas()
-    clean = best[best.y == 0]
-    if len(clean) > 1:
-        u = model.lam * clean.s.to_numpy() - np.log(clean.n.to_numpy() + 1)
-        model.scale = max(float(u.std()) * math.sqrt(6) / math.pi, 0.1)
-        model.place = float(u.mean()) - 0.5772156649 * model.scale
+    # clean texts have K n exp(-lambda s) segments of score s or more; taken at the smallest score that is strong
+    least = float(score[score > 0].min())
+    n, above = rows.where("y = 0").mapInArrow(_above(model, least), "n long, above long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("above"), F.lit(0))).first()
+    model.log_k = math.log((above + 0.5) / (n + 1)) + model.lam * least
     x = rows.mapInArrow(_evidences(model), "y int, best double, together double").toPandas()
     model.weights = tuple(logistic(_inputs(x.best.to_numpy(), x.together.to_numpy()), x.y.to_numpy(float), ridge=0.1))
     return model
@@ -179,11 +176,13 @@ def _inputs(best, together):
     return np.column_stack([np.minimum(best, 30), np.log1p(together)])
 
 
-def _features(model):
+def _above(model: Model, least: float):
+    """(tokens, segments of at least that score), added up per slice."""
+
     def run(batches):
-        for texts, y in parts(batches, ["y"]):
-            rows = [(n, max((s for *_, s in found), default=0.0)) for n, found, *_ in _scan(model, texts)]
-            yield pa.record_batch([y.cast(pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["y", "n", "s"])
+        for (texts,) in parts(batches, []):
+            rows = [(n, sum(s >= least - 1e-9 for *_, s in found)) for n, found in _scan(model, texts)]
+            yield pa.record_batch([pa.array([sum(c)], pa.int64()) for c in zip(*rows)], names=["n", "above"])
 
     return run
 
@@ -191,7 +190,7 @@ def _features(model):
 def _evidences(model):
     def run(batches):
         for texts, y in parts(batches, ["y"]):
-            rows = [_evidence(model, n, found)[:2] for n, found, *_ in _scan(model, texts)]
+            rows = [_evidence(model, n, found)[:2] for n, found in _scan(model, texts)]
             yield pa.record_batch([y.cast(pa.int32()), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64())], names=["y", "best", "together"])
 
     return run
@@ -212,7 +211,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for texts, *columns in parts(batches, names):
-            found = [_evidence(model, n, f) for n, f, *_ in _scan(model, texts)]
+            found = [_evidence(model, n, f) for n, f in _scan(model, texts)]
             x = _inputs(np.array([f[0] for f in found]), np.array([f[1] for f in found]))
             score = chance(x @ np.array(model.weights[:-1]) + model.weights[-1])
             passages = pa.array([[{"first": a, "last": b, "evidence": e} for a, b, e in f[2]] for f in found], kind)
