@@ -1,6 +1,6 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-A token's log-odds of toxic against clean documents carry a Dirichlet prior of the whole corpus's counts, and count
+A token's log-odds of toxic against clean documents (contexts, told apart by the token before) carry a Dirichlet prior of the whole corpus's counts, and count
 only where they are ``z_least`` standard errors above zero. Every token also pays ``drift``, so a random text's score
 falls. One linear scan finds all maximal scoring segments. With ``lambda``, the root of E[exp(lambda s)] = 1 under the
 corpus's token distribution, ``lambda S - ln(K n)`` of the best segment follows the extreme-value (Gumbel) law in clean
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchgrid.llm.fitting import chance, fold, logistic, training_sample
-from watchgrid.llm.words import MARKS, Words, parts
+from watchgrid.llm.words import MARKS, U, Words, parts
 from watchgrid.session import cut, ship
 
-#: Fewest documents behind a token's log-odds.
+#: Fewest contexts behind a token's log-odds.
 _LEAST = 3
 
 
@@ -96,16 +96,15 @@ def _evidence(model: Model, n: int, found: list) -> tuple[float, float, list]:
     return best, together, kept
 
 
-def _document_tokens(batches):
-    """(token, toxic documents, clean documents), added up per slice."""
+def _contexts(batches):
+    """(token, the token before it, in a toxic document, in a clean one), each once per slice."""
     for texts, y in parts(batches, ["y"]):
         w = Words([t.lower() for t in texts], MARKS)
-        pair = np.unique(np.stack([w.hash.view(np.int64), w.owner()]), axis=1) if len(w) else np.empty((2, 0), np.int64)
-        toxic = y.to_numpy(zero_copy_only=False)[pair[1]]
-        token, inverse = np.unique(pair[0], return_inverse=True)
-        t = np.bincount(inverse, toxic, len(token)).astype(np.int64)
-        c = np.bincount(inverse, 1 - toxic, len(token)).astype(np.int64)
-        yield pa.record_batch([pa.array(token, pa.int64()), pa.array(t), pa.array(c)], names=["token", "t", "c"])
+        before = np.append(U(0), w.hash[:-1])[: len(w)]
+        before[w.first[:-1][w.count > 0]] = 0
+        toxic = y.to_numpy(zero_copy_only=False).astype(np.int64)[w.owner()]
+        rows = np.unique(np.stack([w.hash.view(np.int64), before.view(np.int64), toxic]), axis=1) if len(w) else np.empty((3, 0), np.int64)
+        yield pa.record_batch([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(1 - rows[2])], names=["token", "before", "t", "c"])
 
 
 def _occurrences(tokens: np.ndarray):
@@ -143,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 2000
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     sample = training_sample(labels, "toxic", fold(4) != 2, most)
     rows = cut(docs.join(F.broadcast(sample), "doc_id"))
-    counts = cut(rows.mapInArrow(_document_tokens, "token long, t long, c long").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    # a token counts once in each context, so copies of a document don't speak for its rare words
+    contexts = rows.mapInArrow(_contexts, "token long, before long, t long, c long").groupBy("token", "before").agg(F.max("t").alias("t"), F.max("c").alias("c"))
+    counts = cut(contexts.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     n_t, n_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     top = counts.where(F.col("t") >= _LEAST).orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "token").limit(terms).toPandas()
     token = top.token.to_numpy().astype(np.int64).view(np.uint64)
