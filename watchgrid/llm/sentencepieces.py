@@ -19,7 +19,7 @@ from watchgrid.llm.words import parts
 from watchgrid.session import ship
 
 _MARK = "▁"
-#: Words that a task remembers; then it starts anew.
+#: Words that a worker remembers before it starts anew, at a slice's start.
 _REMEMBERED = 200_000
 
 
@@ -33,13 +33,16 @@ class Pieces:
         size = sp.get_piece_size()
         self.piece = [sp.id_to_piece(i) for i in range(size)]
         self.byte = [0] * 256
-        self.rank: dict[str, tuple[float, int]] = {}
+        self.id: dict[str, int] = {}
         for i, piece in enumerate(self.piece):
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.rank[piece] = (-sp.get_score(i), i)
-        inside = [p for p in self.rank if _MARK in p.lstrip(_MARK)]
+                self.id[piece] = i
+        # equal scores share a rank
+        place = {x: k for k, x in enumerate(sorted({-sp.get_score(i) for i in self.id.values()}))}
+        self.rank = {piece: place[-sp.get_score(i)] for piece, i in self.id.items()}
+        inside = [p for p in self.id if _MARK in p.lstrip(_MARK)]
         if inside:
             raise ValueError(f"pieces with a space after another character: {inside[:3]}")
         self.words: dict[str, tuple[int, str, list[int]]] = {}
@@ -47,61 +50,64 @@ class Pieces:
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the adjacent pair of the best score is merged first, of ties the leftmost."""
-        rank = self.rank
+        rank = self.rank.get
         symbol = list(word)
-        right, left = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
-        agenda = []
-        for i in range(len(symbol) - 1):
-            r = rank.get(symbol[i] + symbol[i + 1])
-            if r:
-                agenda.append((r[0], i, symbol[i] + symbol[i + 1]))
+        n = len(symbol)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        # an entry is rank and place in one number
+        agenda = [(r << 32) + i for i, r in enumerate([rank(a + b) for a, b in zip(symbol, symbol[1:])]) if r is not None]
         heapify(agenda)
         while agenda:
-            _, i, both = heappop(agenda)
+            entry = heappop(agenda)
+            i = entry & 0xFFFFFFFF
             j = right[i]
-            # a pair is out of date if either symbol has changed or gone
-            if symbol[i] is None or j >= len(symbol) or len(symbol[i]) + len(symbol[j]) != len(both) or symbol[i] + symbol[j] != both:
+            # an entry is out of date if its place is gone or holds a pair of another rank by now
+            if j >= n or symbol[i] is None:
+                continue
+            both = symbol[i] + symbol[j]
+            if rank(both) != entry >> 32:
                 continue
             symbol[i], symbol[j] = both, None
             right[i] = k = right[j]
-            if k < len(symbol):
+            if k < n:
                 left[k] = i
-                r = rank.get(both + symbol[k])
-                if r:
-                    heappush(agenda, (r[0], i, both + symbol[k]))
+                r = rank(both + symbol[k])
+                if r is not None:
+                    heappush(agenda, (r << 32) + i)
             h = left[i]
             if h >= 0:
-                r = rank.get(symbol[h] + both)
-                if r:
-                    heappush(agenda, (r[0], h, symbol[h] + both))
+                r = rank(symbol[h] + both)
+                if r is not None:
+                    heappush(agenda, (r << 32) + h)
         out = []
         for s in symbol:
-            if s is None:
-                continue
-            r = rank.get(s)
-            if r:
-                out.append(r[1])
-            else:
-                out.extend(self.byte[b] for b in s.encode())
+            if s is not None:
+                x = self.id.get(s)
+                if x is None:
+                    out.extend([self.byte[b] for b in s.encode()])
+                else:
+                    out.append(x)
         return out
 
-    def _word(self, word: str) -> tuple[int, str, list[int]]:
-        ids = self.merge(word)
-        if word[0] == _MARK:
-            # the library adds the first space itself
-            if self.library.encode(word[1:]) != ids and len(word) > 1:
-                raise ValueError(f"other ids than the library's for {word[:40]!r}")
+    def learn(self, words: list[str]) -> None:
+        """Encode and remember words, compared with the library in one call."""
+        ids = [self.merge(w) for w in words]
+        # the library adds the first space itself
+        led = [(w, x) for w, x in zip(words, ids) if w[0] == _MARK and len(w) > 1]
+        for (w, own), its in zip(led, self.library.encode([w[1:] for w, _ in led], num_threads=1)):
+            if own != its:
+                raise ValueError(f"other ids than the library's for {w[:40]!r}")
+        for w, x in zip(words, ids):
+            self.words[w] = (len(x), ",".join(map(str, x)), x)
+
+    def encode(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
+        """Per text and space-led word: number of ids, ids as text, ids. An empty text has none."""
         if len(self.words) >= _REMEMBERED:
             self.words.clear()
-        self.words[word] = out = (len(ids), ",".join(map(str, ids)), ids)
-        return out
-
-    def encode(self, text: str) -> list[tuple[int, str, list[int]]]:
-        """Per space-led word: number of ids, ids as text, ids. An empty text has none."""
-        if not text:
-            return []
-        known, word = self.words.get, self._word
-        return [known(x) or word(x) for x in self.split(_MARK + text.replace(" ", _MARK))]
+        split = [self.split(_MARK + t.replace(" ", _MARK)) if t else [] for t in texts]
+        known = self.words
+        self.learn(list({w for words in split for w in words if w not in known}))
+        return [[known[w] for w in words] for words in split]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -135,8 +141,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
         pieces = _loaded(path)
         for texts, *columns in parts(batches, names):
             n, digest, back_digest, all_ids, all_back = [], [], [], [], []
-            for text in texts:
-                words = pieces.encode(text.decode())
+            for words in pieces.encode([t.decode() for t in texts]):
                 n.append(sum([w[0] for w in words]))
                 digest.append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest())
                 ids = [i for w in words for i in w[2]]

@@ -68,18 +68,32 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int,
     return [(a, b, r - l) for a, b, l, r in stack]
 
 
+def _tokens(w: Words) -> list[np.ndarray]:
+    """A word's tokens: the word, then its first 4 to 9 bytes where it is longer (0 where not)."""
+    raw = np.frombuffer(w.blob, np.uint8)
+    size = w.end - w.start
+    out = [w.hash]
+    for k in range(4, 10):
+        longer = np.flatnonzero(size > k)
+        h = np.zeros(len(w), np.uint64)
+        h[longer] = w.prefix(raw, longer, k)
+        out.append(h)
+    return out
+
+
 def _scan(model: Model, texts: list[bytes]):
     """Per text: number of tokens and segments."""
     w = Words([t.lower() for t in texts], MARKS)
+    score = np.full(len(w), -np.inf)
     if len(model.token):
-        at = np.minimum(np.searchsorted(model.token, w.hash), len(model.token) - 1)
-        known = np.flatnonzero(model.token[at] == w.hash)
-    else:
-        at, known = np.empty(0, np.int64), np.empty(0, np.int64)
+        for h in _tokens(w):
+            at = np.minimum(np.searchsorted(model.token, h), len(model.token) - 1)
+            np.maximum(score, model.score[at], out=score, where=model.token[at] == h)
+    known = np.flatnonzero(score > -np.inf)
     cuts = np.searchsorted(known, w.first)
     for k, n in enumerate(w.count.tolist()):
         mine = known[cuts[k] : cuts[k + 1]]
-        yield n, segments(mine - w.first[k], model.score[at[mine]], model.drift) if len(mine) else []
+        yield n, segments(mine - w.first[k], score[mine], model.drift) if len(mine) else []
 
 
 def _evidence(model: Model, n: int, found: list) -> tuple[float, float, list]:
@@ -103,7 +117,9 @@ def _contexts(batches):
         before = np.append(U(0), w.hash[:-1])[: len(w)]
         before[w.first[:-1][w.count > 0]] = 0
         toxic = y.to_numpy(zero_copy_only=False).astype(np.int64)[w.owner()]
-        rows = np.unique(np.stack([w.hash.view(np.int64), before.view(np.int64), toxic]), axis=1) if len(w) else np.empty((3, 0), np.int64)
+        rows = np.concatenate([np.stack([h.view(np.int64), before.view(np.int64), toxic])[:, h != 0] for h in _tokens(w)], axis=1)
+        rows = rows[:, np.lexsort(rows)]
+        rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))] if rows.shape[1] else rows
         yield pa.record_batch([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(1 - rows[2])], names=["token", "before", "t", "c"])
 
 
@@ -113,8 +129,9 @@ def _occurrences(tokens: np.ndarray):
         for (texts,) in parts(batches, []):
             w = Words([t.lower() for t in texts], MARKS)
             total += len(w)
-            at = np.minimum(np.searchsorted(tokens, w.hash), len(tokens) - 1)
-            n += np.bincount(at[tokens[at] == w.hash], minlength=len(tokens))
+            for h in _tokens(w):
+                at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+                n += np.bincount(at[tokens[at] == h], minlength=len(tokens))
         yield pa.record_batch([pa.array(np.append(tokens.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(tokens), np.int64), total))], names=["token", "n", "total"])
 
     return run
@@ -146,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 2000
     contexts = rows.mapInArrow(_contexts, "token long, before long, t long, c long").groupBy("token", "before").agg(F.max("t").alias("t"), F.max("c").alias("c"))
     counts = cut(contexts.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     n_t, n_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.where(F.col("t") >= _LEAST).orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "token").limit(terms).toPandas()
+    top = counts.where(F.col("t") >= _LEAST).orderBy(F.desc(F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) * F.sqrt("t")), "token").limit(terms).toPandas()
     token = top.token.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     token, t, c = token[order], top.t.to_numpy(float)[order], top.c.to_numpy(float)[order]
@@ -201,7 +218,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """The rows and columns of ``docs`` with ``score`` (0 to 1), ``n_passages`` and ``passages`` (arrays of first
     and last token and evidence), which replace columns of those names.
 
-    Tokens are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case. Null and empty
+    Tokens are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case; a word's score is the largest of
+    its own and its beginnings' (4 to 9 bytes), as invectives are inflected and compounded. Null and empty
     texts have no passage and the score of no evidence. Equal texts get equal scores.
     """
     ship(docs.sparkSession)

@@ -71,6 +71,14 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def prefix(self, raw: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of some words, as those bytes have as a word."""
+        h = np.zeros(len(which), np.uint64)
+        power, _ = powers(size)
+        for k in range(size):
+            h += _BYTE[raw[self.start[which] + k]] * power[k]
+        return mix(h + np.full(len(h), size, np.uint64) * U(0x9E3779B97F4A7C15))
+
     def owner(self) -> np.ndarray:
         """The number of each word's text."""
         return np.repeat(np.arange(len(self.count)), self.count)
