@@ -20,7 +20,7 @@ from watchgrid.session import ship
 
 _MARK = "▁"
 #: Words that a worker remembers before it starts anew, at a slice's start.
-_REMEMBERED = 200_000
+_REMEMBERED = 1_000_000
 
 
 class Pieces:
@@ -45,7 +45,7 @@ class Pieces:
         inside = [p for p in self.id if _MARK in p.lstrip(_MARK)]
         if inside:
             raise ValueError(f"pieces with a space after another character: {inside[:3]}")
-        self.words: dict[str, tuple[int, str, list[int]]] = {}
+        self.words: dict[str, str] = {}
         self.split = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+").findall
 
     def merge(self, word: str) -> list[int]:
@@ -98,16 +98,16 @@ class Pieces:
             if own != its:
                 raise ValueError(f"other ids than the library's for {w[:40]!r}")
         for w, x in zip(words, ids):
-            self.words[w] = (len(x), ",".join(map(str, x)), x)
+            self.words[w] = ",".join(map(str, x))
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, str, list[int]]]]:
-        """Per text and space-led word: number of ids, ids as text, ids. An empty text has none."""
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by commas. An empty text has none."""
         if len(self.words) >= _REMEMBERED:
             self.words.clear()
         split = [self.split(_MARK + t.replace(" ", _MARK)) if t else [] for t in texts]
         known = self.words
         self.learn(list({w for words in split for w in words if w not in known}))
-        return [[known[w] for w in words] for words in split]
+        return [",".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -141,10 +141,10 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFram
         pieces = _loaded(path)
         for texts, *columns in parts(batches, names):
             n, digest, back_digest, all_ids, all_back = [], [], [], [], []
-            for words in pieces.encode([t.decode() for t in texts]):
-                n.append(sum([w[0] for w in words]))
-                digest.append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest())
-                ids = [i for w in words for i in w[2]]
+            for joined in pieces.encode([t.decode() for t in texts]):
+                ids = list(map(int, joined.split(","))) if joined else []
+                n.append(len(ids))
+                digest.append(hashlib.sha256(joined.encode()).hexdigest())
                 back = pieces.decode(ids)
                 back_digest.append(hashlib.sha256(back.encode()).hexdigest())
                 if keep_ids:
