@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from watchgrid.llm.packs import by_part, packed, shared_packs, shared_rows, unpacked
 from watchgrid.llm.words import U, Words, mix, parts, ranges_hash
-from watchgrid.session import cut, ship
+from watchgrid.session import ship
 
 _RUN, _PAIR, _SIDE, _ALONE, _SECOND = (U(int(hashlib.sha256(x).hexdigest()[:16], 16) | 1) for x in (b"run", b"pair", b"side", b"alone", b"second"))
 
@@ -192,7 +192,7 @@ def _emit_windows(width: int, n_parts: int, most: int):
 
     def run(batches):
         rows, held = [], 0
-        for texts, ids, runs in parts(batches, ["doc_id", "runs"]):
+        for texts, ids, runs in parts(batches, ["doc_id", "_runs"]):
             w = Words(texts)
             each = [_windows_of(r) for r in runs.to_pylist()]
             n = np.fromiter(map(len, each), np.int64, len(each))
@@ -230,17 +230,18 @@ def _cover(n: int, runs: list[bytes] | None, firsts: list[bytes] | None, width:
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, rounds: int = 2, pack_rows: int = 1 << 20) -> DataFrame:
-    """doc_id, runs and firsts: windows that may be repeated and, of these, the first occurrences, packed."""
+    """doc_id, _runs and _firsts: windows that may be repeated and, of these, the first occurrences, packed."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = docs.where("doc_id is not null and text is not null")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    first = docs.mapInArrow(_emit_representatives(width, rounds, n_parts, pack_rows), "part int, pack binary")
+    first = docs.select("doc_id", "text").mapInArrow(_emit_representatives(width, rounds, n_parts, pack_rows), "part int, pack binary")
     shared = first.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, _RUNS)
-    runs = cut(shared.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")))
+    # no checkpoint here: both joins below read the one shuffle by doc_id of these rows, and that of the documents
+    runs = shared.groupBy("doc_id").agg(F.collect_list("runs").alias("_runs"))
     second = docs.join(runs, "doc_id").mapInArrow(_emit_windows(width, n_parts, pack_rows), "part int, pack binary")
     firsts = second.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, _RUNS)
-    return runs.join(firsts.groupBy("doc_id").agg(F.collect_list("runs").alias("firsts")), "doc_id", "left")
+    return runs.join(firsts.groupBy("doc_id").agg(F.collect_list("runs").alias("_firsts")), "doc_id", "left")
 
 
 def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFrame:
@@ -256,7 +257,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFr
     """
     ship(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "_runs", "_firsts")
-    found = repeated_windows(docs, width, rounds).withColumnsRenamed({"runs": "_runs", "firsts": "_firsts"})
+    found = repeated_windows(docs, width, rounds)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields])
 
@@ -288,7 +289,9 @@ def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFr
             out += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "n_words", "n_removed", "kept_sha256"])
 
-    return docs.join(found, "doc_id", "left").mapInArrow(clean, schema)
+    whole = "doc_id is not null and text is not null"
+    bare = docs.where(f"not ({whole})").withColumns({"_runs": F.lit(None).cast("array<binary>"), "_firsts": F.lit(None).cast("array<binary>")})
+    return docs.where(whole).join(found, "doc_id", "left").unionByName(bare).mapInArrow(clean, schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
