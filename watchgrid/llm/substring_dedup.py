@@ -5,8 +5,9 @@ symbol, then each neighbouring pair whose first symbol falls in the left half an
 right half of the alphabet. A name is a hash of the parts, and so is the half, so all tasks agree on both
 without a dictionary, and equal substrings get equal symbols but for a few at their ends. Each symbol keeps
 the words on which its making depended (its span and the neighbours looked at). A window of ``width`` words is
-represented by the smallest symbol that depends on nothing outside of it (on the window's own hash if
-there is none), so equal windows have equal representatives. Spark then does two shuffles of packed arrays:
+represented by the smallest symbol that depends on nothing outside of it, widened by half of the window's
+other words on one side (by the window's own hash if there is no such symbol), so equal windows have equal
+representatives and few others share one. Spark then does two shuffles of packed arrays:
 
 1. representatives, to find those that occur more than once (all others stand for unrepeated windows);
 2. hashes of the windows behind shared ones, to find the first occurrence of each.
@@ -107,14 +108,23 @@ def representatives(words: Words, width: int, rounds: int):
             far = np.minimum(np.arange(len(table)) + (1 << k), len(table) - 1)
             table = np.where(order[table[far]] < order[table], table[far], table)
             k += 1
-    # neighbours of one text with the same symbol are one run; a window without a symbol stands alone
+    # the symbol is widened by half of the window's other words, on the side that has them
+    one = np.flatnonzero(best >= 0)
+    a, b = lo[best[one]], hi[best[one]]
+    half = (width - (b - a) + 1) // 2
+    left = a - starts[one] >= half
+    side = np.zeros(len(starts), bool)
+    side[one] = left
+    # neighbours of one text with the same symbol and side are one run; a window without a symbol stands alone
     joined = np.zeros(len(starts), bool)
-    joined[1:] = (best[1:] == best[:-1]) & (best[1:] >= 0) & (starts[1:] == starts[:-1] + 1)
+    joined[1:] = (best[1:] == best[:-1]) & (side[1:] == side[:-1]) & (best[1:] >= 0) & (starts[1:] == starts[:-1] + 1)
     head = np.flatnonzero(~joined)
     length = np.diff(np.append(head, len(starts)))
     got = np.zeros(len(head), np.uint64)
     with_symbol = best[head] >= 0
-    got[with_symbol] = name[best[head[with_symbol]]]
+    at = np.searchsorted(one, head[with_symbol])
+    wide = ranges_hash(words.hash, (a - half * left)[at], (b + half * ~left)[at])
+    got[with_symbol] = mix(name[best[head[with_symbol]]] + wide)
     alone = starts[head[~with_symbol]]
     if len(alone):
         got[~with_symbol] = ranges_hash(words.hash * _ALONE, alone, alone + width)
