@@ -15,18 +15,19 @@ def rows(frame):
 
 
 def names():
-    from watchgrid import catalog
+    from watchgrid import catalog, catalog_state
 
-    return sorted(catalog.queries())
+    return sorted(catalog.queries() | catalog_state.queries())
 
 
 @pytest.mark.parametrize("name", names())
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    from watchgrid import catalog
+    from watchgrid import catalog, catalog_state
 
+    queries, sql = (f() | g() for f, g in ((catalog.queries, catalog_state.queries), (catalog.oracle_sql, catalog_state.oracle_sql)))
     con = duckdb.connect()
-    for t in ("events", "customer", "part", "documents"):
+    for t in ("events", "customer", "part", "documents", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got, want = rows(catalog.queries()[name](spark, SF).toPandas()), rows(con.sql(catalog.oracle_sql()[name]).df())
+    got, want = rows(queries[name](spark, SF).toPandas()), rows(con.sql(sql[name]).df())
     assert got == want

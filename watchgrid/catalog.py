@@ -116,7 +116,7 @@ def queries() -> dict:
     }
 
 
-_SPEED = "CASE type WHEN 'uav' THEN 180.0e0 WHEN 'jet_uav' THEN 400.0e0 WHEN 'cruise' THEN 800.0e0 WHEN 'recon' THEN 120.0e0 END"
+_SPEED = "CASE type WHEN 'uav' THEN 180.0e0 WHEN 'jet_uav' THEN 600.0e0 WHEN 'cruise' THEN 800.0e0 WHEN 'recon' THEN 150.0e0 END"
 _ACTIONABLE = f"""
 a AS (SELECT *, epoch_us(TIMESTAMP '{NOW}') / 6e7 - epoch_us(observed_at) / 6e7 AS age, {_SPEED} AS speed FROM fx_reports
   WHERE confidence >= 0.6e0 AND NOT to_area AND observed_at <= TIMESTAMP '{NOW}' AND observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE)"""

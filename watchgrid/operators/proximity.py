@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from watchgrid.functions.geo import approach, distance_km
 
 #: Typical speeds in km/h; other types aren't projected.
-SPEEDS = {"uav": 180.0, "jet_uav": 400.0, "cruise": 800.0, "recon": 120.0}
+SPEEDS = {"uav": 180.0, "jet_uav": 600.0, "cruise": 800.0, "recon": 150.0}
 
 
 @dataclass(frozen=True)

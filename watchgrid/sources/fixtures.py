@@ -38,6 +38,10 @@ FROM part""",
 SELECT date_trunc('hour', ts) AS poll_at, user_id % 25 AS region,
   max(CASE WHEN event_type = 'error' THEN 2 WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS level
 FROM events GROUP BY date_trunc('hour', ts), user_id % 25""",
+    "fx_polygons": """
+SELECT n_nationkey AS region, 44.4e0 + floor(n_nationkey / 5) * 1.5e0 AS lat0,
+       22.4e0 + (n_nationkey % 5) * 3.5e0 AS lon0
+FROM nation""",
     "fx_log": """
 SELECT event_id + 1 AS seq, user_id AS entity, CASE WHEN event_id % 10 = 0 THEN 'delete' ELSE 'upsert' END AS kind, value
 FROM events WHERE (event_id + 1) % 97 <> 0""",
@@ -50,7 +54,7 @@ SELECT source, doc_id, 2, CASE WHEN doc_id % 10 = 5 THEN text || ' (edit)' ELSE
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of ``sf_dir``."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part", "documents") if f"FROM {t}" in VIEWS[name]}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part", "documents", "nation") if f"FROM {t}" in VIEWS[name]}
     text = VIEWS[name]
     for t in tables:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
