@@ -62,8 +62,8 @@ def q_region_level(spark, sf):
 
 
 def q_flips(spark, sf):
-    hourly = view(spark, sf, "fx_reports").groupBy("channel_no", F.date_trunc("day", "observed_at").alias("day")).agg(F.count("*").alias("n"))
-    return history.level_flips(hourly.withColumn("healthy", F.col("n") >= 3), "channel_no", "day", "healthy").select("channel_no", "day", "healthy")
+    hourly = view(spark, sf, "fx_reports").groupBy("channel_no", F.date_trunc("hour", "observed_at").alias("hour")).agg(F.count("*").alias("n"))
+    return history.level_flips(hourly.withColumn("healthy", F.col("n") >= 2), "channel_no", "hour", "healthy").select("channel_no", "hour", "healthy")
 
 
 def q_burst(spark, sf):
@@ -193,9 +193,9 @@ SELECT channel, capture, after, before FROM g WHERE after > 0 AND before > after
         "is_stale": with_views(f" SELECT report_id, TIMESTAMP '{NOW}' - observed_at > INTERVAL 25 MINUTE AS stale FROM fx_reports", "fx_reports"),
         "region_level": with_views(_FILLED + "SELECT region, max(level) AS most, count(*) FILTER (WHERE level > 0) AS n_active, count(*) AS n_polls FROM g GROUP BY region", "fx_alert_polls"),
         "source_flips": with_views(
-            """, h AS (SELECT channel_no, CAST(date_trunc('day', observed_at) AS TIMESTAMP) AS day, count(*) >= 3 AS healthy FROM fx_reports GROUP BY 1, 2),
-l AS (SELECT *, lag(healthy) OVER (PARTITION BY channel_no ORDER BY day) AS was FROM h)
-SELECT channel_no, day, healthy FROM l WHERE was <> healthy""",
+            """, h AS (SELECT channel_no, date_trunc('hour', observed_at) AS hour, count(*) >= 2 AS healthy FROM fx_reports GROUP BY 1, 2),
+l AS (SELECT *, lag(healthy) OVER (PARTITION BY channel_no ORDER BY hour) AS was FROM h)
+SELECT channel_no, hour, healthy FROM l WHERE was <> healthy""",
             "fx_reports",
         ),
         "cross_source_burst": f"""SELECT subscriber_id, count(*) AS n_lines,
