@@ -75,6 +75,34 @@ def test_rules_against_brute_force(spark):
         assert not (x.base_failed and x.kept)
 
 
+def brute_runs(w):
+    """For each word, the longest run from it that starts elsewhere too."""
+    best = [0] * len(w)
+    for i in range(len(w)):
+        for j in range(i + 1, len(w)):
+            k = 0
+            while j + k < len(w) and w[i + k] == w[j + k]:
+                k += 1
+            best[i], best[j] = max(best[i], k), max(best[j], k)
+    return best
+
+
+def test_verdict_rests_on_repeats_alone(spark):
+    r = random.Random(5)
+    fresh = lambda a, b: [f"w{i}" for i in range(a, b)]
+    table = [y for x in fresh(0, 80) for y in (x, "|")]
+    docs = [table, fresh(0, 80), fresh(0, 61) + ["x"] + fresh(0, 61), fresh(0, 60) + fresh(100, 250) + fresh(0, 60), fresh(0, 20) * 2 + fresh(100, 160), fresh(0, 15) * 2 + fresh(100, 170), fresh(0, 49), fresh(0, 20) * 9]
+    docs += [[r.choice("abcdefgh") if r.random() < 0.5 else f"w{r.randrange(40)}" for _ in range(r.randrange(45, 120))] for _ in range(40)]
+    rows = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()}
+    for i, w in enumerate(docs):
+        best, x = brute_runs(w), rows[i]
+        under = {a + k for a, b in enumerate(best) if b >= 6 for k in range(b)}
+        assert (x.n_covered, x.longest_repeat) == (len(under), max(best))
+        assert x.kept == (not x.base_failed and 100 * len(under) <= 30 * len(w) and max(best) <= 60)
+        assert x.symbols_failed == (100 * len(re.findall(r"[#*$%&|<>]", " ".join(w))) > 5 * len(w))
+    assert [rows[i].kept for i in range(8)] == [True, True, False, False, False, True, False, False] and rows[0].symbols_failed
+
+
 def test_longest_repeats_against_brute_force():
     r = random.Random(3)
     for _ in range(60):

@@ -90,7 +90,7 @@ def _duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-NEW = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered long, longest_repeat long, kept boolean"
+NEW = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered long, longest_repeat long, kept boolean, symbols_failed boolean"
 
 
 def quality_rules(docs: DataFrame, least: int = 6, most_covered: int = 30, most_long: int = 60, most_symbols: int = 5) -> DataFrame:
@@ -99,8 +99,9 @@ def quality_rules(docs: DataFrame, least: int = 6, most_covered: int = 30, most_
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text. ``n_covered`` counts words under maximal repeated runs of at
     least ``least`` words of the same text, ``longest_repeat`` is the longest repeated run (of any length). A text fails
     the base with fewer than 50 words or more than half of them in repeated 3-word windows. Otherwise it is kept unless
-    more than ``most_covered`` percent of its words are covered or its longest repeat is over ``most_long`` words, or,
-    per 100 words, it has over ``most_symbols`` symbols of ``#*$%&|<>``. Null and empty texts have no words and fail.
+    more than ``most_covered`` percent of its words are covered or its longest repeat is over ``most_long`` words.
+    ``symbols_failed`` is a rule of its own, with no part in ``kept``: over ``most_symbols`` symbols of ``#*$%&|<>`` per
+    100 words. Null and empty texts have no words and fail the base.
     """
     ship(docs.sparkSession)
     more = T._parse_datatype_string(NEW).fields
@@ -124,9 +125,9 @@ def quality_rules(docs: DataFrame, least: int = 6, most_covered: int = 30, most_
             longest = np.zeros(k, np.int64)
             np.maximum.at(longest, owner, best)
             failed = (n < 50) | (100 * repeat > 50 * n)
-            kept = ~failed & (100 * under <= most_covered * n) & (longest <= most_long) & (100 * symbols <= most_symbols * n)
+            kept = ~failed & (100 * under <= most_covered * n) & (longest <= most_long)
             figures = [n, total(points[w.end] - points[w.start]), symbols, [_duplicate_lines(t) for t in texts], repeat]
-            out = [pa.array(x, pa.int64()) for x in figures] + [pa.array(failed), pa.array(under), pa.array(longest), pa.array(kept)]
+            out = [pa.array(x, pa.int64()) for x in figures] + [pa.array(failed), pa.array(under), pa.array(longest), pa.array(kept), pa.array(100 * symbols > most_symbols * n)]
             yield pa.RecordBatch.from_arrays([*columns, *out], names=[*names, *new])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
