@@ -17,13 +17,25 @@ def _km(lat1, lon1, lat2, lon2):
     return _DISTANCE.format(a=lat1, b=lat2, c=lon1, d=lon2)
 
 
+def _matches(spark, sf, origins):
+    return proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW, origins=origins)
+
+
 def q_proximity(spark, sf):
-    return proximity.dedupe_lines(proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW))
+    # the SQL of this name states the rule for destinations only
+    return proximity.dedupe_lines(_matches(spark, sf, False))
 
 
 def q_matches(spark, sf):
-    found = proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
-    return found.withColumn("distance_km", F.round("distance_km", 6))
+    return _matches(spark, sf, False).withColumn("distance_km", F.round("distance_km", 6))
+
+
+def q_proximity_both(spark, sf):
+    return proximity.dedupe_lines(_matches(spark, sf, True))
+
+
+def q_matches_both(spark, sf):
+    return _matches(spark, sf, True).withColumn("distance_km", F.round("distance_km", 6))
 
 
 def q_actionable(spark, sf):
@@ -99,6 +111,8 @@ def queries() -> dict:
     return {
         "proximity": q_proximity,
         "proximity_matches": q_matches,
+        "proximity_both_ends": q_proximity_both,
+        "proximity_both_ends_matches": q_matches_both,
         "report_actionable": q_actionable,
         "geo_columns": q_geo,
         "forecast": q_forecast,
@@ -133,6 +147,19 @@ m AS (
       WHEN relation = 'over' AND ahead >= 0 AND speed > 0 AND side <= radius_km AND greatest(ahead / speed * 60 - age, 0.0e0) <= 30 THEN 'approaching' END AS reason
   FROM q)
 """
+_BOTH_ENDS = f""", {_ACTIONABLE},
+d AS (
+  SELECT *, {_km('to_lat', 'to_lon', 'lat', 'lon')} AS to_km, {_km('from_lat', 'from_lon', 'lat', 'lon')} AS from_km,
+    (lon - to_lon) * 111.32e0 * cos(radians(to_lat)) AS dx, (lat - to_lat) * 110.57e0 AS dy
+  FROM a, fx_subscribers WHERE is_active AND lat IS NOT NULL),
+q AS (SELECT *, dx * sin(radians(course_deg)) + dy * cos(radians(course_deg)) AS ahead,
+    abs(dx * cos(radians(course_deg)) - dy * sin(radians(course_deg))) AS side FROM d),
+m AS (
+  SELECT subscriber_id, report_id, type, n, CASE WHEN to_lat IS NULL THEN from_km ELSE to_km END AS distance_km,
+    CASE WHEN to_lat IS NOT NULL AND to_km <= radius_km OR from_lat IS NOT NULL AND from_km <= radius_km THEN 'in_radius'
+      WHEN relation = 'over' AND ahead >= 0 AND speed > 0 AND side <= radius_km AND greatest(ahead / speed * 60 - age, 0.0e0) <= 30 THEN 'approaching' END AS reason
+  FROM q)
+"""
 _FILLED = """, g AS (
   SELECT poll_at, region, coalesce(level, 0) AS level
   FROM (SELECT DISTINCT poll_at FROM fx_alert_polls) CROSS JOIN (SELECT DISTINCT region FROM fx_alert_polls) LEFT JOIN fx_alert_polls USING (poll_at, region)),
@@ -153,6 +180,14 @@ FROM m WHERE reason IS NOT NULL GROUP BY subscriber_id, type, reason""",
             "fx_subscribers",
         ),
         "proximity_matches": with_views(_MATCHES + "SELECT subscriber_id, report_id, type, n, reason, round(distance_km, 6) AS distance_km FROM m WHERE reason IS NOT NULL", "fx_reports", "fx_subscribers"),
+        "proximity_both_ends": with_views(
+            _BOTH_ENDS
+            + """SELECT subscriber_id, type, reason, max(n) AS n, arg_min(report_id, (distance_km, report_id)) AS report_id, round(min(distance_km), 6) AS distance_km
+FROM m WHERE reason IS NOT NULL GROUP BY subscriber_id, type, reason""",
+            "fx_reports",
+            "fx_subscribers",
+        ),
+        "proximity_both_ends_matches": with_views(_BOTH_ENDS + "SELECT subscriber_id, report_id, type, n, reason, round(distance_km, 6) AS distance_km FROM m WHERE reason IS NOT NULL", "fx_reports", "fx_subscribers"),
         "report_actionable": with_views(f", {_ACTIONABLE} SELECT report_id, type, n, relation FROM a", "fx_reports"),
         "geo_columns": with_views(
             f""", x AS (SELECT *, {_km('from_lat', 'from_lon', 'to_lat', 'to_lon')} AS d, fmod(degrees(atan2({_BEARING_Y}, {_BEARING_X})) + 360, 360) AS br FROM fx_reports WHERE from_lat IS NOT NULL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchgrid.catalog import q_proximity, q_proximity_both
 from watchgrid.functions import geo
 from watchgrid.operators import alerts, history, proximity, regions
 from watchgrid.sources.fixtures import view, with_views
@@ -67,7 +68,11 @@ def q_flips(spark, sf):
 
 
 def q_burst(spark, sf):
-    return history.bursts(proximity.dedupe_lines(proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)))
+    return history.bursts(q_proximity(spark, sf))
+
+
+def q_burst_both(spark, sf):
+    return history.bursts(q_proximity_both(spark, sf))
 
 
 def q_notifiable(spark, sf):
@@ -138,6 +143,7 @@ def queries() -> dict:
         "region_level": q_region_level,
         "source_flips": q_flips,
         "cross_source_burst": q_burst,
+        "cross_source_burst_both_ends": q_burst_both,
         "notifiable": q_notifiable,
         "course_rates": q_course_rates,
         "report_rate": q_report_rate,
@@ -166,7 +172,7 @@ def oracle_sql() -> dict:
     from watchgrid.catalog import _BEARING_X, _BEARING_Y, _FILLED, oracle_sql as core
 
     open_at = "SELECT region, level FROM c WHERE level > 0 AND poll_at <= TIMESTAMP '{0}' AND (ended_at IS NULL OR ended_at > TIMESTAMP '{0}')"
-    lines = core()["proximity"]
+    lines, both = core()["proximity"], core()["proximity_both_ends"]
     return {
         "to_observation": with_views(_OBSERVED + "SELECT * FROM o WHERE kind IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL", "fx_reports"),
         "tracks_at": with_views(
@@ -200,6 +206,8 @@ SELECT channel_no, hour, healthy FROM l WHERE was <> healthy""",
         ),
         "cross_source_burst": f"""SELECT subscriber_id, count(*) AS n_lines,
   string_agg(type || '|' || reason || '|' || n, ';' ORDER BY distance_km, type, reason, n) AS message, min(distance_km) AS nearest_km FROM ({lines}) GROUP BY subscriber_id""",
+        "cross_source_burst_both_ends": f"""SELECT subscriber_id, count(*) AS n_lines,
+  string_agg(type || '|' || reason || '|' || n, ';' ORDER BY distance_km, type, reason, n) AS message, min(distance_km) AS nearest_km FROM ({both}) GROUP BY subscriber_id""",
         "notifiable": with_views(" SELECT subscriber_id, radius_km FROM fx_subscribers WHERE is_active AND lat IS NOT NULL AND lon IS NOT NULL", "fx_subscribers"),
         "course_rates": with_views(" SELECT type, round(count(course_deg) / count(*), 6) AS with_course, round(count(from_lat) / count(*), 6) AS with_origin FROM fx_reports GROUP BY type", "fx_reports"),
         "report_rate": with_views(" SELECT type, time_bucket(INTERVAL 10 MINUTE, observed_at, TIMESTAMP '2024-01-01') AS from_at, count(*) AS n_reports FROM fx_reports GROUP BY 1, 2", "fx_reports"),

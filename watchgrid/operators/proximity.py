@@ -28,34 +28,57 @@ def age_min(now: str) -> Column:
     return (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))) / 6e7
 
 
+def known(end: str) -> Column:
+    return F.col(f"{end}_lat").isNotNull() & F.col(f"{end}_lon").isNotNull()
+
+
 def actionable(reports: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
-    """Reports of enough confidence, at most 30 minutes old (not newer than now), located and not an area."""
+    """Reports of enough confidence, at most 30 minutes old (not newer than now), with an origin or a destination, not an area."""
     age = age_min(now)
-    return reports.where((F.col("confidence") >= rules.min_confidence) & (age <= rules.max_age_min) & (age >= 0) & ~F.col("to_area") & F.col("to_lat").isNotNull() & F.col("to_lon").isNotNull())
+    return reports.where((F.col("confidence") >= rules.min_confidence) & (age <= rules.max_age_min) & (age >= 0) & ~F.col("to_area") & (known("to") | known("from")))
 
 
-def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
+def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), origins: bool = True) -> DataFrame:
     """(subscriber_id, report_id, type, n, reason, distance_km): reason in_radius, else approaching.
 
-    Reports and subscribers meet in cells of one degree: a report goes to its cell, a subscriber to all cells that
-    can hold a report within reach, so no pair of far ends is made, and a crowded cell is split by the join's skew handling.
+    in_radius takes the smaller distance to the report's origin and destination, as far as they are known; distance_km is
+    to the place that is named, the destination where known. Without ``origins`` only destinations count.
+
+    Reports and subscribers meet in cells of one degree: a report goes to the cell of its destination, a subscriber to all
+    cells that can hold a report within reach, so no pair of far ends is made, and a crowded cell is split by the join's
+    skew handling. Origins meet subscribers in the cells within the radius, where the destination's cell is out of reach.
     """
     fast = max(SPEEDS.values()) / 60 * (rules.max_age_min + rules.eta_max_min)
-    located = subscribers.where("is_active and lat is not null and lon is not null")
-    reach = F.col("radius_km") + fast
-    up = reach / 110.57 + 0.01
-    # the nearest pole of the span has the shortest degree
-    wide = reach / (111.32 * F.cos(F.radians(F.least(F.abs(F.col("lat")) + up, F.lit(85.0))))) + 0.01
-    span = lambda x, r: F.sequence(F.floor(x - r), F.floor(x + r))
-    cells = located.withColumn("cy", F.explode(span(F.col("lat"), up))).withColumn("cx", F.explode(span(F.col("lon"), wide)))
+
+    def span(reach: Column) -> dict[str, Column]:
+        up = reach / 110.57 + 0.01
+        # the nearest pole of the span has the shortest degree
+        wide = reach / (111.32 * F.cos(F.radians(F.least(F.abs(F.col("lat")) + up, F.lit(85.0))))) + 0.01
+        return {k: F.floor(x) for k, x in {"y0": F.col("lat") - up, "y1": F.col("lat") + up, "x0": F.col("lon") - wide, "x1": F.col("lon") + wide}.items()}
+
+    def meet(near: DataFrame, subscribers: DataFrame, end: str, reach: Column) -> DataFrame:
+        s = span(reach)
+        cells = subscribers.withColumn("cy", F.explode(F.sequence(s["y0"], s["y1"]))).withColumn("cx", F.explode(F.sequence(s["x0"], s["x1"])))
+        at = {"cy": F.floor(f"{end}_lat"), "cx": F.floor(f"{end}_lon")}
+        # a broadcast would be judged by the subscribers before they are dealt to cells
+        return near.where(known(end)).withColumns(at).join(cells.hint("merge"), ["cy", "cx"]).drop("cy", "cx")
+
+    located = subscribers.where("is_active and lat is not null and lon is not null").select("subscriber_id", "lat", "lon", "radius_km")
     near = actionable(reports, now, rules).select(
-        "report_id", "type", "n", "relation", "to_lat", "to_lon", "course_deg", age_min(now).alias("age"), F.floor("to_lat").alias("cy"), F.floor("to_lon").alias("cx")
+        "report_id", "type", "n", "relation", "to_lat", "to_lon", "from_lat", "from_lon", "course_deg", age_min(now).alias("age")
     )
-    pairs = near.join(cells, ["cy", "cx"])
+    reach = F.col("radius_km") + fast
+    pairs = meet(near, located, "to", reach)
+    if origins:
+        s = span(reach)
+        met = known("to") & F.floor("to_lat").between(s["y0"], s["y1"]) & F.floor("to_lon").between(s["x0"], s["x1"])
+        pairs = pairs.unionByName(meet(near, located, "from", F.col("radius_km")).where(~met))
     closest, eta = approach(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), speed_kmh(F.col("type")), F.col("age"), F.col("lat"), F.col("lon"))
-    pairs = pairs.withColumns({"distance_km": distance_km(F.col("to_lat"), F.col("to_lon"), F.col("lat"), F.col("lon")), "closest": closest, "eta": eta})
+    to, origin = (distance_km(F.col(f"{end}_lat"), F.col(f"{end}_lon"), F.col("lat"), F.col("lon")) for end in ("to", "from"))
+    nearest = F.least(to, origin) if origins else to
+    pairs = pairs.withColumns({"distance_km": F.coalesce(to, origin), "nearest": nearest, "closest": closest, "eta": eta})
     coming = (F.col("relation") == "over") & (F.col("closest") <= F.col("radius_km")) & (F.col("eta") <= rules.eta_max_min)
-    reason = F.when(F.col("distance_km") <= F.col("radius_km"), "in_radius").when(coming, "approaching")
+    reason = F.when(F.col("nearest") <= F.col("radius_km"), "in_radius").when(coming, "approaching")
     return pairs.withColumn("reason", reason).where("reason is not null").select("subscriber_id", "report_id", "type", "n", "reason", "distance_km")
 
 
