@@ -72,11 +72,21 @@ def q_rank(spark, sf):
     return records.candidate_rank(view(spark, sf, "fx_places")).where("pick = 1").select("name", "region", "place_id", "rank", "confidence")
 
 
-def q_fuzzy(spark, sf):
-    places = view(spark, sf, "fx_places")
+def _mentions(places):
     # one letter dropped from every fifth name
     mention = F.when(F.col("place_id") % 5 == 0, F.expr("concat(substr(name, 1, 3), substr(name, 5))")).otherwise(F.col("name"))
-    return records.place_fuzzy(places.select(F.col("place_id").alias("mention_id"), mention.alias("mention"), "region"), places)
+    return places.select(F.col("place_id").alias("mention_id"), mention.alias("mention"), "region")
+
+
+def q_fuzzy(spark, sf):
+    # the SQL of this name takes the region before the distance
+    places = view(spark, sf, "fx_places")
+    return records.place_fuzzy_in_region(_mentions(places), places)
+
+
+def q_fuzzy_lexicon(spark, sf):
+    places = view(spark, sf, "fx_places")
+    return records.place_fuzzy(_mentions(places), places)
 
 
 def q_ingest(spark, sf):
@@ -121,6 +131,7 @@ def queries() -> dict:
         "alerts_at": q_alerts_at,
         "candidate_rank": q_rank,
         "place_fuzzy": q_fuzzy,
+        "place_fuzzy_lexicon": q_fuzzy_lexicon,
         "ingest_upsert": q_ingest,
         "seq_gaps": q_gaps,
         "live_state": q_live,
@@ -218,6 +229,16 @@ j AS (SELECT mention_id, levenshtein(mention, name) AS d, place_id, CASE WHEN le
 SELECT mention_id, min(d)::INT AS d, arg_min(place_id, (d, place_id)) AS place_id FROM j WHERE d <= most GROUP BY mention_id""",
             "fx_places",
         ),
+        "place_fuzzy_lexicon": with_views(
+            """, m AS (SELECT place_id AS mention_id, CASE WHEN place_id % 5 = 0 THEN substr(name, 1, 3) || substr(name, 5) ELSE name END AS mention, region FROM fx_places),
+s AS (SELECT mention, name, levenshtein(mention, name) AS d FROM (SELECT DISTINCT mention FROM m WHERE length(mention) >= 5), (SELECT DISTINCT name FROM fx_places) WHERE mention[1] = name[1]),
+b AS (SELECT mention, min(d) AS d FROM s GROUP BY mention HAVING min(d) = 1),
+c AS (SELECT mention_id, d, p.place_id, count(*) OVER (PARTITION BY mention_id) AS k, row_number() OVER (PARTITION BY mention_id ORDER BY
+    CASE place WHEN 'city' THEN 4 WHEN 'town' THEN 3 WHEN 'village' THEN 2 ELSE 1 END * 10000000 + population DESC, p.place_id) AS pick
+  FROM m JOIN b USING (mention) JOIN s USING (mention, d) JOIN fx_places p ON p.name = s.name AND p.region = m.region)
+SELECT mention_id, d::INT AS d, place_id, round(CASE WHEN k = 1 THEN 1.0e0 WHEN k <= 3 THEN 0.8e0 ELSE 0.6e0 END * 0.7e0, 6) AS confidence FROM c WHERE pick = 1""",
+            "fx_places",
+        ),
         "ingest_upsert": with_views(
             """ SELECT b.channel, b.message_id, sha1(b.text) AS content_hash,
   CASE WHEN a.message_id IS NULL THEN 'inserted' WHEN a.text <> b.text THEN 'edited' ELSE 'unchanged' END AS state

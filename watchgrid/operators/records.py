@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of place classes.
 WEIGHTS = {"city": 4, "town": 3, "village": 2, "hamlet": 1}
 
+#: Words that stand where a place name should and are within two edits of some village.
+STOPWORDS = tuple(
+    "містом тепер зараз захід схід північ південь півночі півдня заходу сходу південний північний західний східний "
+    "напрямку курсом районі район області область кордон кордону межі межу околиці місто міста місті села село селі "
+    "бпла шахед шахеди ракета ракети групи група ціль цілі повз через вздовж море моря морі водосховище водосховища "
+    "відчуження чорнобильської обережно увага загроза загрозу".split()
+)
+
+
+def place_rank() -> Column:
+    weight = F.coalesce(*[F.when(F.col("place") == k, F.lit(v)) for k, v in WEIGHTS.items()], F.lit(0))
+    return weight * 10_000_000 + F.col("population")
+
 
 def candidate_rank(places: DataFrame) -> DataFrame:
     """Places of a name by class weight and population; ties by id. ``pick`` is 1 for the first of a name and region."""
-    weight = F.coalesce(*[F.when(F.col("place") == k, F.lit(v)) for k, v in WEIGHTS.items()], F.lit(0))
-    rank = places.withColumn("rank", weight * 10_000_000 + F.col("population"))
+    rank = places.withColumn("rank", place_rank())
     by = Window.partitionBy("name", "region").orderBy(F.desc("rank"), "place_id")
     pool = Window.partitionBy("name", "region")
     n = F.count("*").over(pool)
@@ -20,7 +32,7 @@ def candidate_rank(places: DataFrame) -> DataFrame:
     return rank.withColumns({"pick": F.row_number().over(by), "confidence": confidence})
 
 
-def place_fuzzy(mentions: DataFrame, places: DataFrame, least: int = 5) -> DataFrame:
+def place_fuzzy_in_region(mentions: DataFrame, places: DataFrame, least: int = 5) -> DataFrame:
     """Nearest spelling in the mention's region: same first letter, edit distance at most 1 (2 from 8 letters on).
 
     Names meet by region, first letter and length, so distances are taken of few; ties go to the smaller id.
@@ -33,6 +45,31 @@ def place_fuzzy(mentions: DataFrame, places: DataFrame, least: int = 5) -> DataF
     return found.groupBy("mention_id").agg(F.min(F.struct("d", "place_id")).alias("b")).select("mention_id", F.col("b.d").alias("d"), F.col("b.place_id").alias("place_id"))
 
 
+def place_fuzzy(mentions: DataFrame, places: DataFrame, least: int = 5, most: int = 1, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(mention_id, d, place_id, confidence): the nearest spelling of the whole lexicon, if its place is in the mention's region.
+
+    Same first letter, edit distance at most ``most`` (and never 2 below 8 letters). The least distance over all names
+    comes first and the region after, so a mention whose nearest spelling lies elsewhere, or is its own, has no row. Of
+    the region's places of that distance the highest rank is taken, of ties the smallest id. Stopwords have no row.
+    Spellings are taken as normalised.
+
+    Distances are taken once for each distinct pair of spellings that meet by first letter and length.
+    """
+    size = F.length("mention")
+    limit = F.least(F.lit(most), F.when(size >= 8, 2).otherwise(1))
+    asked = mentions.where(F.col("region").isNotNull() & (size >= least) & ~F.col("mention").isin(*stopwords)).select("mention_id", "mention", "region")
+    spelling = asked.select("mention").distinct().withColumns({"first": F.substring("mention", 1, 1), "limit": limit})
+    spelling = spelling.withColumn("len", F.explode(F.sequence(size - F.col("limit"), size + F.col("limit"))))
+    names = places.select("name").distinct().withColumns({"first": F.substring("name", 1, 1), "len": F.length("name")})
+    near = spelling.join(names, ["first", "len"]).withColumn("d", F.levenshtein("mention", "name", most)).where("d >= 0 and d <= limit")
+    near = near.withColumn("best", F.min("d").over(Window.partitionBy("mention"))).where("d = best and d > 0").select("mention", "name", "d")
+    pool = places.groupBy("name", "region").agg(F.count("*").alias("n"), F.min(F.struct((-place_rank()).alias("rank"), "place_id")).alias("b"))
+    found = asked.select("mention", "region").distinct().join(near, "mention").join(pool, ["name", "region"])
+    picked = found.groupBy("mention", "region").agg(F.min("d").alias("d"), F.sum("n").alias("n"), F.min("b").alias("b"))
+    confidence = F.when(F.col("n") == 1, 1.0).when(F.col("n") <= 3, 0.8).otherwise(0.6) * F.when(F.col("d") == 1, 0.7).otherwise(0.55)
+    return asked.join(picked, ["mention", "region"]).select("mention_id", "d", F.col("b.place_id").alias("place_id"), F.round(confidence, 6).alias("confidence"))
+
+
 def ingest(stored: DataFrame, captured: DataFrame) -> DataFrame:
     """State of each captured message against what is stored: inserted, edited (another content hash) or unchanged."""
     one = stored.select("channel", "message_id", F.sha1("text").alias("old"))
