@@ -169,6 +169,43 @@ def test_all_lacings(lacing):
     assert got == [(5, 7, p) for p in (parts[:1] if not lacing else parts)]
 
 
+def test_every_place_that_reaches_the_share_is_compared():
+    r = random.Random(9)
+    template = "a b c d e f g h i j k l m n o p".split()
+    index = licenses.Index([("X", " ".join(template), ["k l m"])], {}, 100)
+    # the first six words vote for a place of their own, and the whole notice but for them stands elsewhere
+    texts = [template[:6] + ["zz"] * 12 + ["yy"] * 6 + template[6:]]
+    for word in template:
+        texts.append([word] + ["zz"] * 20 + [x if x != word and r.random() < 0.8 else "yy" for x in template])
+    for _ in range(300):
+        text = [r.choice([*template, "zz"]) for _ in range(r.randrange(30))]
+        for _ in range(2):
+            at, a = r.randrange(len(text) + 1), r.randrange(12)
+            text[at:at] = [x if r.random() < 0.8 else "yy" for x in template[a:]]
+        texts.append(text)
+    seen = set()
+    for text in texts:
+        h = licenses._hashes(" ".join(text))
+        v = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+        hit = np.flatnonzero(index.vocabulary[v] == h)
+        want = False
+        for a in range(-len(template), len(text)):
+            same = sum(0 <= a + q < len(text) and text[a + q] == x for q, x in enumerate(template))
+            want |= 2 * same >= len(template) and "k l m" in " ".join(text[max(a, 0) : a + len(template)])
+        assert index.scan(h, hit, v[hit])[0] == ({"X"} if want else set()), text
+        seen.add(want)
+    assert seen == {False, True}
+
+
+def test_notices_of_the_foundation(spark):
+    notice = "This {} is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    kinds = {"AGPL-3.0": ("program", "GNU Affero General Public License", "3"), "GPL-2.0": ("program", "GNU General Public License", "2"), "LGPL-2.1": ("library", "GNU Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "GNU Lesser General Public License", "3"), "GPL-3.0": ("program", "GNU General Public License", "3")}
+    docs = [(i, f"/* some code {i} */ {notice.format(*k)} end") for i, k in enumerate(kinds.values())] + [(90 + i, "other words") for i in range(20)]
+    rows = {x.doc_id: x.labels for x in licenses.license_scan(frame(spark, docs)).collect()}
+    for i, label in enumerate(kinds):
+        assert label in rows[i].split(",") and not set(rows[i].split(",")) & (set(kinds) - {label})
+
+
 def test_licenses(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     docs = documents() + [(200, f"word {notice} more"), (201, "version 2.0 apache under licensed"), (202, "Released under the MIT License. " * 2)]

@@ -18,6 +18,7 @@ from watchgrid.session import ship
 
 # Phrases and labels of the base.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
+_NOTICE = "this {0} is free software you can redistribute it and or modify it under the terms of the {1} as published by the free software foundation either version {2} of the license or at your option any later version"
 # Label, notice or opening of the licence, key phrases.
 TEMPLATES = [
     ("Apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
@@ -27,6 +28,11 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("GPL-2.0", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("GPL-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("AGPL-3.0", _NOTICE.format("program", "gnu affero general public license", "3"), ["gnu affero general public license as published by the free software foundation either version 3 of"]),
+    ("GPL-2.0", _NOTICE.format("program", "gnu general public license", "2"), ["gnu general public license as published by the free software foundation either version 2 of"]),
+    ("GPL-3.0", _NOTICE.format("program", "gnu general public license", "3"), ["gnu general public license as published by the free software foundation either version 3 of"]),
+    ("LGPL-2.1", _NOTICE.format("library", "gnu lesser general public license", "2 1"), ["gnu lesser general public license as published by the free software foundation either version 2 1 of"]),
+    ("LGPL-3.0", _NOTICE.format("library", "gnu lesser general public license", "3"), ["gnu lesser general public license as published by the free software foundation either version 3 of"]),
     ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
     ("MIT", "released under the mit license", ["mit license"]),
     ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["hereby granted free of charge"]),
@@ -55,6 +61,9 @@ class Index:
             for q, v in enumerate(w.tolist()):
                 self.postings[v].append((t, q))
         self.total = [float(self.idf[p].sum()) for p in self.place]
+        # weight of each distinct word at all its places in the template
+        self.distinct = [np.unique(p) for p in self.place]
+        self.weight = [self.idf[d] * np.unique(p, return_counts=True)[1] for d, p in zip(self.distinct, self.place)]
         self.rare, self.share = rare, share
 
     def scan(self, h: np.ndarray, at: np.ndarray, v: np.ndarray) -> tuple[set[str], float]:
@@ -63,9 +72,15 @@ class Index:
         labels, best = set(), 0.0
         for t, template in enumerate(self.words):
             mine = present[np.isin(present, self.place[t])]
-            mine = mine[np.lexsort((mine, -self.idf[mine]))][: self.rare]
             if not len(mine):
                 continue
+            mine = mine[np.lexsort((mine, -self.idf[mine]))]
+            # rarest words first, until those left out can't reach the share alone
+            weight = self.weight[t][np.searchsorted(self.distinct[t], mine)]
+            left = weight.sum() - np.cumsum(weight)
+            needed = self.share * self.total[t] - 1e-9
+            k = max(self.rare, int(np.argmax(left < needed)) + 1)
+            mine, left = mine[:k], float(left[min(k, len(left)) - 1])
             begins, votes = [], []
             for x in mine.tolist():
                 p = at[v == x]
@@ -75,8 +90,8 @@ class Index:
                         votes.append(np.full(len(p), self.idf[x]))
             begin, which = np.unique(np.concatenate(begins), return_inverse=True)
             vote = np.bincount(which, np.concatenate(votes))
-            # a place that reaches the share of the template has at least that share of its rare words' votes
-            for k in np.flatnonzero(vote >= min(vote.max(), self.share * self.idf[mine].sum())).tolist():
+            # a place has its votes and at most the weight of the words left out
+            for k in np.flatnonzero(vote >= min(vote.max(), needed - left, self.share * self.idf[mine].sum())).tolist():
                 a = int(begin[k])
                 lo, hi = max(a, 0), min(a + len(template), len(h))
                 same = h[lo:hi] == template[lo - a : hi - a]
