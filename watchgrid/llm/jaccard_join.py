@@ -1,18 +1,19 @@
 """N-gram Jaccard join by a token-group matrix.
 
-1. Documents with one shingle set are one class, represented by the smallest id.
-2. Similar representatives form groups: each is compared with the smallest representative that has the same
-   min-hash, for a few min-hashes, and joins the group of the smallest one it links to. A group thus has a centre
-   that all its members link to, and a radius, the largest Jaccard distance (a metric) from the centre.
-3. The matrix holds the union of its members' prefix tokens for each group. In an order of tokens that is the
-   same everywhere (frequent ones last), two sets with Jaccard >= t share a token among the first
-   n - ceil(t n) + 1 of each. So only groups that share a matrix token, with sizes that allow a link, are looked at.
-4. Centres of such pairs of groups are compared. A link between members needs a distance of centres of at most
-   (1 - t) + both radii; groups beyond it stay closed. Groups that are open and not yet connected are
-   compared member with centre, then member with member, by shared tokens under the same triangle bounds.
-
-Links inside a group need no search: all its members are connected already. So neither a third of all rows
-as near copies nor as exact copies gives more than a link a row.
+1. Documents of one shingle set are one class, represented by the smallest id.
+2. A sieve drops classes that can link with nothing: of a linked pair's sets, the first tokens (by hash; as many as may
+   differ, and ``extra`` percent more) share that many more. What passes is looked at with all its tokens, and a token
+   that no other set holds is struck out: a document keeps its shared tokens and its size, and its reach, the
+   size of the largest set that it could link with if all of these were common.
+3. Similar documents form groups: each is compared with one centre per min-hash, the document with the fewest tokens
+   of its own, and whatever links connect is divided into groups of a bounded number of tokens.
+4. The matrix has a row for a token and a group: the smallest size and the largest reach of its members with this
+   token among the first ones (rare ones first). A document meets a group of another component at a row that both sizes allow.
+   The overlap with the union of the group's tokens, stored once a group, bounds that with any member; only
+   groups that could hold a link are opened, and their members compared.
+
+Links inside a component need no search. So neither a third of all rows as near copies nor as exact copies
+gives more than a few links a row, and a document that only shares a common passage is closed by its reach or by one union.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.llm.components import components
-from watchgrid.llm.packs import shared_packs, shared_rows
+from watchgrid.llm.packs import by_part, packed
 from watchgrid.llm.words import U, Words, mix, parts, shingles
 from watchgrid.session import cut, ship
 
-#: The order of tokens counts them in this many cells; counts share a cell, which costs speed, not links.
-CELLS = 1 << 18
-_SLICE = 1 << 12
+#: Tokens of a group, about: what one row of unions may hold.
+GROUP_TOKENS = 1 << 17
+#: Frequent tokens that are put in order; the others come before them by hash. Only speed depends on it.
+FREQUENT = 1 << 16
 
 
 def _sets(texts: list[bytes], width: int):
-    """Distinct shingles of each text, sorted: (hashes, text, sizes)."""
+    """Distinct shingles of each text, by hash: (tokens, text, sizes)."""
     w = Words([t.lower() for t in texts])
     h, owner = shingles(w.hash, w.count, w.first, width)
+    h = mix(h)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
@@ -43,65 +46,78 @@ def _sets(texts: list[bytes], width: int):
     return h, owner, np.bincount(owner, minlength=len(texts))
 
 
-def _profile(width: int, n_hashes: int):
-    """Rows of documents (id, size, two set hashes, min-hashes) and, at the end of a task, of the counts of its tokens."""
+def _names(h: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each set."""
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(mix(h + U(salt)), (np.cumsum(n) - n)[some])
+    return out
+
+
+def _profile(width: int):
+    """Rows of documents: id, size, two set hashes."""
 
     def run(batches):
-        counts = np.zeros(CELLS, np.uint32)
         for texts, ids in parts(batches, ["doc_id"]):
-            h, owner, n = _sets(texts, width)
-            np.add.at(counts, (mix(h) >> U(46)).astype(np.int64), 1)
-            at = np.cumsum(n) - n
-            some = np.flatnonzero(n)
-            rows = np.zeros((2 + n_hashes, len(texts)), np.uint64)
-            if len(some):
-                rows[0, some] = np.add.reduceat(mix(h + U(11)), at[some])
-                rows[1, some] = np.add.reduceat(mix(h + U(12)), at[some])
-                for k in range(n_hashes):
-                    rows[2 + k, some] = np.minimum.reduceat(mix(h + U(1000 + k)), at[some])
-            rows = rows.view(np.int64)
-            minhash = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n_hashes, pa.int32()), pa.array(rows[2:].T.ravel()))
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(rows[0]), pa.array(rows[1]), minhash, pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary())], names=_PROFILE)
-        used = np.flatnonzero(counts.reshape(-1, _SLICE).any(1)).astype(np.int32)
-        k = len(used)
-        packs = [counts[i * _SLICE : (i + 1) * _SLICE].tobytes() for i in used.tolist()]
-        nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        yield pa.record_batch([*nothing, pa.array(used), pa.array(packs, pa.binary())], names=_PROFILE)
+            h, _, n = _sets(texts, width)
+            names = [pa.array(_names(h, n, k).view(np.int64)) for k in (11, 12)]
+            yield pa.record_batch([ids.cast(pa.int64()), pa.array(n.astype(np.int64)), *names], names=["doc_id", "n", "s1", "s2"])
 
     return run
 
 
-_PROFILE = ["doc_id", "n", "s1", "s2", "minhash", "slice", "counts"]
+_TAG = U((1 << 40) - 1)
+_SIEVE = [np.uint32, np.uint16, np.uint32, np.uint8, np.int8]
 
 
-def _add_counts(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32 if len(x) == 4 * _SLICE else np.uint64).astype(np.uint64)
-    yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+def _kinds(token: np.ndarray, who: np.ndarray):
+    """Distinct rows with their kind. 0: a token single in this task, 1: stands for one known to be shared, 2: another of such,
+    which may go to any part."""
+    order = np.lexsort((who, token))
+    token, who = token[order], who[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (who[1:] != who[:-1]))[: len(token)]
+    token, who = token[new], who[new]
+    head = np.append(True, token[1:] != token[:-1])[: len(token)]
+    size = np.diff(np.append(np.flatnonzero(head), len(token)))
+    return token, who, np.where(head, np.repeat(size > 1, size).astype(np.int8), np.int8(2))
+
+
+def _part(token: np.ndarray, who: np.ndarray, kind: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix(np.where(kind == 2, mix(token) + who, token)) % U(n_parts)).astype(np.int32)
 
 
-def _prefixes(width: int, percent: int, order, n_parts: int, most: int):
-    """Packs of (token, document, size) for the first tokens of each document, rare cells first."""
+def _met(token: np.ndarray, who: np.ndarray, kind: np.ndarray):
+    """Of a part's rows, those whose token two different ones hold."""
+    known = kind == 2
+    t, g, k = token[~known], who[~known], kind[~known]
+    order = np.lexsort((g, t))
+    t, g, k = t[order], g[order], k[order]
+    if len(t):
+        head = np.append(True, t[1:] != t[:-1])
+        other = np.append(False, (g[1:] != g[:-1]) & ~head[1:])
+        shared = np.logical_or.reduceat(other | (k == 1), np.flatnonzero(head))[np.cumsum(head) - 1]
+        keep = shared & (head | other)
+        t, g = t[keep], g[keep]
+    return np.concatenate([token[known], t]), np.concatenate([who[known], g])
+
+
+def _sieve_packs(width: int, percent: int, extra: int, n_parts: int, most: int):
+    """Packs of (48 bits of a token, 40 bits of a set's name): too few bits let more documents pass, and never fewer."""
 
     def flush(rows):
-        token, doc, n = (np.concatenate(x) for x in zip(*rows))
-        return shared_packs(token, [doc, n], n_parts)
+        token, tag, kind = _kinds(*(np.concatenate(x) for x in zip(*rows)))
+        columns = [(token >> U(16)).astype(np.uint32), token.astype(np.uint16), (tag >> U(8)).astype(np.uint32), tag.astype(np.uint8), kind]
+        return packed(columns, _part(token, tag, kind, n_parts))
 
     def run(batches):
-        rank, rows, held = order.value, [], 0
-        for texts, ids in parts(batches, ["doc_id"]):
+        rows, held = [], 0
+        for (texts,) in parts(batches, []):
             h, owner, n = _sets(texts, width)
-            token = mix(h)
-            key = (rank[(token >> U(46)).astype(np.int64)].astype(np.uint64) << U(46)) | (token >> U(18))
-            by = np.lexsort((token, key, owner))
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            size = np.repeat(n, n)
-            first = by[place < size - -(-percent * size // 100) + 1]
-            doc = ids.to_numpy(zero_copy_only=False)[owner[first]]
-            rows.append((token[first], doc, size[first].astype(np.int32)))
-            held += len(first)
+            first = place < np.repeat(n - -(-percent * n // 100) + np.maximum(1, extra * n // 100), n)
+            rows.append((h[first] >> U(16), (_names(h, n, 11) & _TAG)[owner[first]]))
+            held += int(first.sum())
             if held >= most:
                 yield flush(rows)
                 rows, held = [], 0
@@ -111,155 +127,234 @@ def _prefixes(width: int, percent: int, order, n_parts: int, most: int):
     return run
 
 
-def _tokens(batches):
-    for token, doc, n in shared_rows(batches, [np.uint64, np.int64, np.int32]):
-        yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int64))], names=["token", "doc_id", "n"])
+def _sieve(batches):
+    """(name, number of shared tokens)."""
+    for high, low, tag, end, kind in by_part(batches, _SIEVE):
+        _, who = _met(high.astype(np.uint64) << U(16) | low, tag.astype(np.uint64) << U(8) | end, kind)
+        name, m = np.unique(who, return_counts=True)
+        yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(m.astype(np.int64))], names=["tag", "m"])
 
 
-def _overlaps(width: int):
-    """Sizes and overlap of each pair's sets. Rows that follow each other often share a text: its set is kept."""
+def _all_tokens(width: int, n_parts: int, most: int):
+    """Packs of (token, document). Of rows that repeat a document, those of the set named s1 count."""
+
+    def flush(rows):
+        token, doc, kind = _kinds(*(np.concatenate(x) for x in zip(*rows)))
+        return packed([token, doc, kind], _part(token, doc, kind, n_parts))
 
     def run(batches):
-        kept: dict[bytes, np.ndarray] = {}
+        rows, held = [], 0
+        for texts, ids, names in parts(batches, ["doc_id", "s1"]):
+            h, owner, n = _sets(texts, width)
+            right = (_names(h, n, 11).view(np.int64) == names.to_numpy(zero_copy_only=False))[owner]
+            rows.append((h[right], ids.to_numpy(zero_copy_only=False).view(np.uint64)[owner[right]]))
+            held += len(h)
+            if held >= most:
+                yield flush(rows)
+                rows, held = [], 0
+        if held:
+            yield flush(rows)
+
+    return run
+
+
+def _shared_tokens(batches):
+    """Shared tokens of each document, packed."""
+    for rows in by_part(batches, [np.uint64, np.uint64, np.int8]):
+        token, doc = _met(*rows)
+        order = np.argsort(doc, kind="stable")
+        token, doc = token[order], doc[order].view(np.int64)
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+        ends = np.append(at[1:], len(doc))
+        yield pa.record_batch([pa.array(doc[at]), pa.array([token[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], names=["rep", "tokens"])
+
+
+def _joined(batches):
+    """The packs of each row as one sorted set, and its size."""
+    for batch in batches:
+        sets = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int64())], names=["id", "tokens", "m"])
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all rows, row of each)."""
+    packs = column.to_pylist()
+    return np.frombuffer(b"".join(packs), np.uint64), np.repeat(np.arange(len(packs)), [len(x) // 8 for x in packs])
+
+
+def _counts(batches):
+    for batch in batches:
+        token, n = np.unique(_flat(batch.column(0))[0], return_counts=True)
+        yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+
+def _minhashes(n_hashes: int):
+    def run(batches):
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            text = [col[x].cast(pa.large_binary()).to_pylist() for x in ("text_a", "text_b")]
-            found = []
-            for pair in zip(*text):
-                sets = []
-                for x in pair:
-                    x = x or b""
-                    if x not in kept:
-                        if sum(map(len, kept)) > 1 << 24:
-                            kept.clear()
-                        kept[x] = _sets([x], width)[0]
-                    sets.append(kept[x])
-                s, t = sets
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                common = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0
-                found.append((common, len(s) + len(t) - common))
-            both = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.record_batch([col["a"], col["b"], pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b", "common", "together"])
+            token, row = _flat(batch.column(0))
+            if not len(token):
+                continue
+            at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            low = np.stack([np.minimum.reduceat(mix(token + U(1000 + k)), at) for k in range(n_hashes)], 1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * n_hashes, pa.int32()), pa.array(low.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*batch.schema.names[1:], "minhash"])
 
     return run
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, common, together): overlap and union size of the shingle sets of each pair of documents."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(width), "a long, b long, common long, together long")
+def _prefixes(percent: int, order):
+    """(token, and the row's other columns but m) for the first tokens of each document: rare ones first."""
+
+    def run(batches):
+        frequent, rank = order.value
+        for batch in batches:
+            col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            token, row = _flat(col["tokens"])
+            n, m = (col[k].to_numpy(zero_copy_only=False) for k in ("n", "m"))
+            at = np.minimum(np.searchsorted(frequent, token), max(len(frequent) - 1, 0))
+            place = np.where(frequent[at] == token, rank[at], 0) if len(frequent) else np.zeros(len(token), np.int64)
+            by = np.lexsort((token, place, row))
+            inner = np.arange(len(token)) - np.repeat(np.cumsum(m) - m, m)
+            # tokens of its own come first of all, and are no use
+            first = by[inner < np.repeat(m - -(-percent * n // 100) + 1, m)]
+            keep = [k for k in col if k not in ("tokens", "m")]
+            out = pa.table([col[k] for k in keep], names=keep).take(pa.array(row[first]))
+            yield from pa.table([pa.array(token[first].view(np.int64)), *out.columns], names=["token", *keep]).combine_chunks().to_batches()
 
+    return run
 
-def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, n_hashes: int = 4, pack_rows: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of near duplicates; see the module.
 
-    classes: doc_id, n (set size), rep (smallest document of the same set; itself where n is 0). links: a, b between
-    representatives with 100 * overlap >= percent * union, as many as connect whatever is connected by links.
+def _overlap(batches):
+    """The columns but x and y, and the number of common tokens of x and y."""
+    for batch in batches:
+        col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+        common = []
+        for x, y in zip(col["x"].to_pylist(), col["y"].to_pylist()):
+            s, t = (np.frombuffer(b, np.uint64) for b in sorted((x, y), key=len))
+            at = np.searchsorted(t, s)
+            common.append(int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(s) else 0)
+        keep = [k for k in col if k not in "xy"]
+        yield pa.RecordBatch.from_arrays([*[col[k] for k in keep], pa.array(common, pa.int64())], names=[*keep, "common"])
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, others: DataFrame | None = None, schema: str = "") -> DataFrame:
+    """``pairs`` (a, b and more, of the types in ``schema``) with the overlap of the token sets of a and b.
+
+    The join by b comes last and feeds the comparison, so a set that many pairs look at isn't written once a pair.
+    """
+    one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
+    two = (sets if others is None else others).select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(_overlap, "b long, a long" + schema + ", common long")
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n (set size), s1 (a name of the set) and rep (smallest document of the same set; itself where n is 0)."""
+    profile = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_profile(width), "doc_id long, n long, s1 long, s2 long")
+    per = cut(profile.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("x")).select("doc_id", "x.*"))
+    # written first, so that the join below only reads shuffles and a class of very many copies can be split
+    shared = cut(per.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    return cut(per.join(shared, ["s1", "s2", "n"], "left").select("doc_id", "n", "s1", F.coalesce("rep", "doc_id").alias("rep")))
+
+
+def shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int, extra: int, pack_rows: int) -> DataFrame:
+    """rep, n, m and tokens (the m tokens, packed in order, that other sets hold too), where m allows a link.
+
+    Only documents that pass the sieve take part; those that link with something do.
+    """
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    packs = docs.select("text").mapInArrow(_sieve_packs(width, percent, extra, n_parts, pack_rows), "part int, pack binary")
+    found = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_sieve, "tag long, m long").groupBy("tag").agg(F.sum("m").alias("m"))
+    reps = classes.where("doc_id = rep and n > 0").select("rep", "n", "s1", F.col("s1").bitwiseAND(F.lit(int(_TAG))).alias("tag"))
+    # a partner has percent of n tokens at least, and so much fewer first ones
+    needed = f"greatest(1, {extra} * ceil({percent} * n / 100) div 100)"
+    passed = cut(reps.join(found, "tag").where(f"m >= {needed}").select("rep", "n", "s1"))
+    texts = docs.select("doc_id", "text").join(passed.select(F.col("rep").alias("doc_id"), "s1"), "doc_id")
+    packs = texts.mapInArrow(_all_tokens(width, n_parts, pack_rows), "part int, pack binary")
+    tokens = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_tokens, "rep long, tokens binary")
+    sets = tokens.groupBy("rep").agg(F.collect_list("tokens").alias("tokens")).mapInArrow(_joined, "rep long, tokens binary, m long")
+    return cut(sets.join(passed, "rep").where(f"100 * m >= {percent} * n").select("rep", "n", "m", "tokens"))
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75, n_hashes: int = 4, extra: int = 10, pack_rows: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(classes, found): see ``jaccard_classes``; rep and component, for documents that link with another set.
+
+    Two sets link with 100 * overlap >= percent * union. ``component`` is the smallest document that links reach.
     Rows with a null doc_id are left out; of rows that repeat a doc_id, the one of the largest set counts.
+    ``n_hashes``, ``extra`` and ``pack_rows`` change the work, not the result.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    profile = cut(docs.mapInArrow(_profile(width, n_hashes), "doc_id long, n long, s1 long, s2 long, minhash array<long>, slice int, counts binary"))
-    per = profile.where("doc_id is not null").select("doc_id", "n", "s1", "s2", "minhash").groupBy("doc_id").agg(F.max_by(F.struct("n", "s1", "s2", "minhash"), F.struct("n", "s1", "s2")).alias("x")).select("doc_id", "x.*")
-    reps = per.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(per.join(reps, ["s1", "s2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "minhash"))
-
-    # counts: one slice of the cells a row; the driver gets CELLS numbers, whatever the input
-    sums = profile.where("slice is not null").select("slice", "counts")
-    sums = sums.mapInArrow(_add_counts, "slice int, counts binary").repartition(F.col("slice")).mapInArrow(_add_counts, "slice int, counts binary")
-    rank = np.zeros(CELLS, np.uint64)
-    for r in sums.collect():
-        x = np.frombuffer(r["counts"], np.uint64)
-        rank[r["slice"] * _SLICE : (r["slice"] + 1) * _SLICE] += x
-    # 18 bits, exact for rare cells and by steps of a sixteenth for frequent ones
-    rank = np.where(rank < 4096, rank, 4096 + 16 * np.log2(np.maximum(rank, 1) / 4096 + 1)).astype(np.uint32)
-    order = spark.sparkContext.broadcast(rank)
-
-    # groups
-    single = classes.where("doc_id = rep and n > 0").select("rep", "n", "minhash")
-    hashes = single.select("rep", "n", F.posexplode("minhash").alias("k", "h"))
-    leaders = hashes.groupBy("k", "h").agg(F.min(F.struct("rep", "n")).alias("leader"), F.count("*").alias("m")).where("m > 1")
-    fits = "100 * least(n, leader.n) >= {0} * greatest(n, leader.n)".format(percent)
-    tries = hashes.join(leaders, ["k", "h"]).where(f"rep <> leader.rep and {fits}").select(F.col("rep").alias("a"), F.col("leader.rep").alias("b")).distinct()
-    linked = f"100 * common >= {percent} * together"
-    joined = compare(tries, docs, width).where(linked)
-    # links to a centre point to smaller ids, so a centre may be a member elsewhere; it stays a centre of its own
-    member = joined.groupBy("a").agg(F.min(F.struct("b", (1 - F.col("common") / F.col("together")).alias("d"))).alias("x")).select(F.col("a").alias("rep"), F.col("x.b").alias("centre"), "x.d")
-    member = cut(member)
-    groups = cut(
-        single.select("rep", "n").join(member, "rep", "left").select("rep", "n", F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    )
-    links = member.select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-
-    # the matrix: tokens of groups
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    packs = docs.mapInArrow(_prefixes(width, percent, order, n_parts, pack_rows), "part int, pack binary")
-    tokens = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_tokens, "token long, doc_id long, n long")
-    # a class counts once
-    tokens = cut(tokens.select("token", F.col("doc_id").alias("rep")).join(groups, "rep").select("token", "rep", "n", "centre", "d"))
-    matrix = tokens.groupBy("token", "centre").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # a centre that is a member elsewhere is two groups' affair: the link is known
-    one, two = (matrix.select("token", F.col("centre").alias(x), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
-    sizes = f"100 * least_a <= {10000 / percent!r} * most_b and 100 * least_b <= {10000 / percent!r} * most_a"
-    met = one.join(two, "token").where(f"a < b and {sizes}").select("a", "b").distinct()
-    radius = groups.groupBy("centre").agg(F.max("d").alias("r"))
-    known = components(links)
-    met = cut(_apart(met, known))
+    classes = jaccard_classes(docs, width)
+    sets = shared_sets(docs, classes, width, percent, extra, pack_rows)
+    small = sets.withColumn("reach", F.expr(f"({100 + percent} * m - {percent} * n) div {percent}")).select("rep", "n", "m", "reach")
+    linked = f"{100 + percent} * common >= {percent} * (na + nb)"
+    possible = f"{100 + percent} * least(ma, mb) >= {percent} * (na + nb)"
+    side = lambda x: [F.col(k).alias(f"{k}{x}") for k in "nm"]
+    sizes = ", na long, nb long"
+
+    # groups: everyone against a centre per min-hash, the one with the fewest tokens of its own
+    hashes = sets.select("tokens", "rep", "n", "m").mapInArrow(_minhashes(n_hashes), "rep long, n long, m long, minhash array<long>")
+    hashes = cut(hashes.select("rep", "n", "m", F.posexplode("minhash").alias("k", "h")))
+    leaders = cut(hashes.groupBy("k", "h").agg(F.min(F.struct(F.expr("n - m"), "rep", "n", "m")).alias("x"), F.count("*").alias("many")).where("many > 1").select("k", "h", F.col("x.rep").alias("b"), F.col("x.n").alias("nb"), F.col("x.m").alias("mb")))
+    tries = hashes.select(F.col("rep").alias("a"), *side("a"), "k", "h").join(leaders, ["k", "h"]).where(f"a <> b and {possible}")
+    tries = tries.select("a", "b", "na", "nb").distinct()
+    stars = cut(_compare(tries, sets, schema=sizes).where(linked).select("a", "b"))
+    known = cut(components(stars))
+
+    # components are divided into groups, by number of tokens
+    of = small.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "m", "reach", F.coalesce("component", "rep").alias("component"))
+    of = cut(of)
+    weight = cut(of.groupBy("component").agg(F.sum("m").alias("weight"), F.count("*").alias("members")).where("members > 1"))
+    slots = F.greatest(F.lit(1), F.ceil(F.coalesce("weight", F.lit(0)) / GROUP_TOKENS))
+    member = of.join(weight, "component", "left").withColumn("slot", F.pmod(F.xxhash64("rep"), slots).cast("int"))
+    member = cut(member.select("rep", "n", "m", "reach", "component", "slot", F.coalesce("members", F.lit(1)).alias("members")))
+
+    # the matrix: first tokens of documents and, of these, of groups
+    counts = sets.select("tokens").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    frequent = top.token.to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(frequent)
+    order = spark.sparkContext.broadcast((frequent[by], top.n.to_numpy().astype(np.int64)[by]))
+    more = "n long, reach long, component long, slot int, members long"
+    wide = sets.select("rep", "tokens", "m").join(member.drop("m"), "rep").select("tokens", "m", "rep", "n", "reach", "component", "slot", "members")
+    first = cut(wide.mapInArrow(_prefixes(percent, order), f"token long, rep long, {more}"))
+    several = cut(first.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
+    first = cut(first.join(several, "token"))
+    matrix = cut(first.groupBy("token", "component", "slot").agg(F.min("n").alias("least"), F.max("reach").alias("farthest"), F.max("members").alias("beside")))
+    # the document of the smaller component looks for groups of the larger one
+    meet = "(members < beside or members = beside and component < other) and least <= reach and n <= farthest"
+    groups = matrix.select("token", F.col("component").alias("other"), F.col("slot").alias("s"), "least", "farthest", "beside")
+    met = first.join(groups, "token").where(meet).groupBy("rep", "component", "n", "reach", "other", "s").agg(F.min("least").alias("least"))
+    met = cut(met)
     if met.isEmpty():
-        return classes.select("doc_id", "n", "rep"), links
-    centres = cut(compare(met, docs, width))
-    links = links.union(centres.where(linked).select("a", "b"))
-    far = (100 - percent) / 100 + 1e-9
-    opened = (
-        centres.where(f"not {linked}")
-        .join(radius.select(F.col("centre").alias("a"), F.col("r").alias("ra")), "a")
-        .join(radius.select(F.col("centre").alias("b"), F.col("r").alias("rb")), "b")
-        .where(f"ra + rb > 0 and 1 - common / together <= {far} + ra + rb")
-        .select("a", "b", "ra", "rb")
-    )
-    opened = cut(opened)
-    if not opened.isEmpty():
-        links = links.union(_open(cut(opened), links, groups, tokens, docs, width, percent, far))
-    return classes.select("doc_id", "n", "rep"), cut(links)
-
-
-def _apart(pairs: DataFrame, known: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs whose ends aren't connected yet."""
-    one, two = (known.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in (a, b))
-    out = pairs.join(one, a, "left").join(two, b, "left")
-    return out.where(f"coalesce(_{a}, {a}) <> coalesce(_{b}, {b})").drop(f"_{a}", f"_{b}")
-
-
-def _open(opened, links, groups, tokens, docs, width, percent, far):
-    """Links between members of open groups."""
-    linked = f"100 * common >= {percent} * together"
-    opened = cut(_apart(opened, components(links)))
-    # members against the other group's centre
-    inside = groups.where("rep <> centre")
-    sides = [opened.select(F.col(x).alias("own"), F.col(y).alias("other")) for x, y in ("ab", "ba")]
-    half = sides[0].union(sides[1]).join(inside.select(F.col("centre").alias("own"), F.col("rep").alias("a")), "own")
-    measured = cut(compare(half.select("a", F.col("other").alias("b")).where("a <> b").distinct(), docs, width))
-    found = measured.where(linked).select("a", "b")
-    left = cut(_apart(opened, components(links.union(found))))
-    if left.isEmpty():
-        return found
-    away = measured.select(F.col("a").alias("q"), F.col("b").alias("o"), (1 - F.col("common") / F.col("together")).alias("away"))
-    rows = tokens.select("token", F.col("rep").alias("q"), "n", "centre", "d")
-
-    def viable(own, other, r):
-        x = left.select(F.col(own).alias("centre"), F.col(other).alias("o"), F.col(r).alias("r")).join(rows, "centre").where("q <> centre")
-        return x.join(away, ["q", "o"]).where(f"away <= {far} + r").select("token", "n", F.col("d").alias(f"d{own}"), F.col("away").alias(f"away{own}"), F.col("centre").alias(own), F.col("o").alias(other), F.col("q").alias(f"q{own}"), F.col("n").alias(f"n{own}")).drop("n")
-
-    one, two = viable("a", "b", "rb"), viable("b", "a", "ra")
-    pairs = one.join(two, ["token", "a", "b"]).where(
-        f"qa <> qb and {percent} * greatest(na, nb) <= 100 * least(na, nb) and abs(awaya - db) <= {far} and abs(awayb - da) <= {far}"
-    )
-    pairs = pairs.select(F.least("qa", "qb").alias("a"), F.greatest("qa", "qb").alias("b")).distinct()
-    return found.union(compare(pairs, docs, width).where(linked).select("a", "b"))
+        return classes, known.select(F.col("node").alias("rep"), "component")
+
+    # unions of the groups that are met, each stored once; a bound for all members
+    inside = member.select(F.col("component").alias("other"), F.col("slot").alias("s"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("reach").alias("rb"))
+    wanted = cut(met.select("other", "s").distinct())
+    held = cut(inside.join(wanted, ["other", "s"]))
+    union = held.join(sets.select(F.col("rep").alias("b"), "tokens"), "b").groupBy("other", "s").agg(F.min("b").alias("b"), F.collect_list("tokens").alias("tokens"))
+    union = cut(union.select(F.col("b").alias("rep"), "tokens").mapInArrow(_joined, "rep long, tokens binary, m long"))
+    # a group is named by its smallest member
+    called = held.groupBy("other", "s").agg(F.min("b").alias("b"))
+    met = met.join(called, ["other", "s"]).select(F.col("rep").alias("a"), "b", F.col("component").alias("ca"), F.col("other").alias("cb"), F.col("s"), F.col("n").alias("na"), "least")
+    bounds = _compare(met, sets, union, ", ca long, cb long, s int, na long, least long")
+    opened = cut(bounds.where(f"{100 + percent} * common >= {percent} * (na + least)").select("a", "ca", "na", F.col("cb").alias("other"), "s"))
+
+    # members of opened groups: the centre of the component first, then whoever else may link
+    centre = held.groupBy("other").agg(F.min(F.struct(F.col("nb") - F.col("mb"), "b", "nb", "mb")).alias("x")).select("other", "x.b", "x.nb", "x.mb")
+    mine = small.select(F.col("rep").alias("a"), F.col("m").alias("ma"), F.col("reach").alias("ra"))
+    tries = opened.select("a", "ca", "na", "other").distinct().join(cut(centre), "other").join(mine, "a").where(possible)
+    found = cut(_compare(tries.select("a", "b", "na", "nb", "ca", "other"), sets, schema=sizes + ", ca long, other long").where(linked).select("a", "ca", "other"))
+    rest = opened.join(found, ["a", "other"], "left_anti").join(held, ["other", "s"]).join(mine, "a").where(f"{possible} and nb <= ra and na <= rb")
+    last = _compare(rest.select("a", "b", "na", "nb", "ca", "other"), sets, schema=sizes + ", ca long, other long").where(linked)
+    edges = cut(found.select("ca", "other").union(last.select("ca", "other")).distinct())
+    if edges.isEmpty():
+        return classes, known.select(F.col("node").alias("rep"), "component")
+    above = components(edges, "ca", "other").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    whole = of.select("rep", "component").join(cut(above), "component", "left").select("rep", F.coalesce("top", "component").alias("component"))
+    return classes, whole
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -268,11 +363,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     A set holds the distinct runs of ``width`` words (``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased) of the whole text; of
     fewer words, the whole sequence; of no words or a null text, nothing, and links with nothing. Two
     documents link where 100 * overlap >= percent * union. Rows with a null ``doc_id`` are left out; rows that
-    repeat a ``doc_id`` give one row. Other columns are ignored.
+    repeat a ``doc_id`` give one row. Other columns are ignored. Tokens are compared by 64 bits of hash.
     """
-    classes, links = jaccard_links(docs, width, percent)
-    found = components(links).withColumnsRenamed({"node": "rep"})
-    return classes.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    classes, found = jaccard_links(docs, width, percent)
+    # the smallest documents of classes are apart from each other, so links give all that classes don't
+    return classes.join(cut(found), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
