@@ -125,7 +125,8 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = packing.pack_documents(frame(spark, [d for d in documents() if d[0] != 105])).collect()
+    docs = frame(spark, [d for d in documents() if d[0] != 105]).selectExpr("*", "7 as piece", "'x' as length")
+    rows = packing.pack_documents(docs).collect()
     by_doc, by_sequence = {}, {}
     for x in rows:
         by_doc.setdefault(x.doc_id, []).append(x)
@@ -149,6 +150,75 @@ def test_packing(spark):
     assert len(by_sequence) <= -(-sum(x.length for x in rows) // 2048) + 1
 
 
+def brute_sum_of_squares(length, size):
+    """Each piece where the sum of the squares of the counts of open sequences per gap becomes smallest; ties: the smallest
+    gap, then an open sequence before a new one."""
+    gaps, out = [], []
+    for s in length:
+        best = None
+        for g in sorted({x for x in gaps if x >= s}) + [size]:
+            after = sorted(gaps)
+            if g in gaps:
+                after.remove(g)
+            elif g != size:
+                continue
+            after.append(g - s)
+            count = {}
+            for x in after:
+                if x:
+                    count[x] = count.get(x, 0) + 1
+            total = sum(v * v for v in count.values())
+            if best is None or total < best[0]:
+                best = (total, g)
+        out.append(best[1])
+        if best[1] in gaps:
+            gaps.remove(best[1])
+        gaps.append(best[1] - s)
+    return out, sorted(gaps)
+
+
+def test_sum_of_squares_against_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        size = r.choice([6, 10, 17])
+        length = [r.randint(1, size - 1) for _ in range(r.randint(1, 40))]
+        to, gap = packing.sum_of_squares(np.array(length), size)
+        left, before = {}, []
+        for s, b in zip(length, to.tolist()):
+            before.append(left.get(b, size))
+            left[b] = left.get(b, size) - s
+        want, gaps = brute_sum_of_squares(length, size)
+        assert before == want and sorted(gap.tolist()) == gaps == sorted(left.values())
+
+
+def test_more_than_one_shard_and_repeated_ids(spark):
+    r = random.Random(6)
+    docs = [(i // 2, " ".join(r.choice(["one", "two", "three"]) for _ in range(r.randint(0, 700)))) for i in range(400)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = packing.pack(frame(spark, docs), path, public_tokenizers.PATTERN, size=512, shard=90).collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append(x)
+    assert len({x >> 32 for x in by if x >= 0}) > 2
+    for group in by.values():
+        group.sort(key=lambda x: x.offset)
+        assert [x.offset for x in group] == [sum(y.length for y in group[:k]) for k in range(len(group))]
+        assert sum(x.length for x in group) <= 512
+    assert len(by) <= 1.05 * sum(x.length for x in rows) / 512 + 1
+
+
+def test_ids_of_the_ranks_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    points = [chr(x) for x in range(0x30000) if not 0xD800 <= x < 0xE000]
+    texts = ["".join(points[k : k + 97]) for k in range(0, len(points), 97)] + [f"a{x}1 {x}{x} b" for x in points[::53]]
+    texts += ["<|endoftext|>", "a <|endoftext|> b", "don't I'LL  x\r\n\n  \t y", " " * 50]
+    for text, e in zip(texts, bpe.encode_batch(texts, add_special_tokens=False)):
+        assert ours.encode(text, allowed_special="all") == e.ids, text
+
+
 def test_media(spark):
     rows = media.media_columns(frame(spark)).collect()
     assert len(rows) == len(documents())

@@ -1,9 +1,8 @@
 """Packing of documents by the sum-of-squares rule.
 
-Pieces of documents go to shards of about ``shard`` pieces by a hash. A shard keeps the number of open sequences
-of every residual gap and puts each piece where the sum of the squares of these numbers becomes smallest. A shard's sequences with a gap
-left at the end are then taken apart once and their pieces placed largest first into the tightest gap; the better of
-both is kept. So tasks stay bounded at every size, and each shard adds at most about one ill-filled sequence.
+Pieces of documents go to shards of about ``shard`` pieces by a hash, so tasks stay bounded at every size. A shard takes its
+pieces from the longest to the shortest, keeps the number of open sequences of every residual gap, and puts each piece
+where the sum of the squares of these numbers becomes smallest.
 """
 
 from __future__ import annotations
@@ -91,36 +90,11 @@ def sum_of_squares(length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
     return out, np.array(gap, np.int64)
 
 
-def best_fit(length: np.ndarray, size: int) -> np.ndarray:
-    """Sequences, largest piece first into the tightest gap."""
-    of_gap: list[list[int]] = [[] for _ in range(size + 1)]
-    full = np.zeros(size + 1, bool)
-    out, n = np.empty(len(length), np.int64), 0
-    for i in np.argsort(-length, kind="stable").tolist():
-        s = int(length[i])
-        g = int(full[s:].argmax()) + s
-        if g <= size and full[g]:
-            b = of_gap[g].pop()
-            full[g] = bool(of_gap[g])
-        else:
-            b, g = n, size
-            n += 1
-        out[i] = b
-        if g > s:
-            of_gap[g - s].append(b)
-            full[g - s] = True
-    return out
-
-
 def _shard(size: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "piece"], kind="stable")
+        rows = rows.sort_values(["length", "order", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
         length = rows.length.to_numpy()
-        to, gap = sum_of_squares(length, size)
-        loose = gap[to] > 0
-        again = best_fit(length[loose], size)
-        if loose.any() and again.max() + 1 < (gap > 0).sum():
-            to[loose] = len(gap) + again
+        to, _ = sum_of_squares(length, size)
         order = np.argsort(to, kind="stable")
         rows, to, length = rows.iloc[order], to[order], length[order]
         head = np.append(True, to[1:] != to[:-1])
@@ -131,10 +105,12 @@ def _shard(size: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, shard: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, shard: int = 20_000) -> DataFrame:
     """Each piece (see ``pieces``) with ``sequence_id`` and ``offset``: gapless sequences of at most ``size`` ids.
 
-    A piece of ``size`` ids is a sequence of its own. Empty ``docs`` give no rows; other columns are left out.
+    A piece of ``size`` ids is a sequence of its own. Null and empty texts are one piece (id 0). Each row is a document, so a
+    repeated or null ``doc_id`` has the pieces of each of its rows. Pieces of one length go by a hash of the row, so ties
+    are settled alike in each run over the same checkpoint. Empty ``docs`` give no rows; other columns are left out.
     """
     found = cut(pieces(docs, path, pattern, size))
     loose = found.where(F.col("length") < size)
@@ -149,7 +125,10 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, shard: int
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Sequences of 2048 ids of the public byte-level vocabulary."""
+    """Sequences of 2048 ids of the public byte-level vocabulary; nulls, ties and repeated rows as in ``pack``.
+
+    The ids are those of ``byte_bpe_50k.json`` by tokenizers, which takes four times as long as the same vocabulary as ranks.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
