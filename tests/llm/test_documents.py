@@ -239,32 +239,70 @@ def test_all_lacings(lacing):
     assert got == [(5, 7, p) for p in (parts[:1] if not lacing else parts)]
 
 
-def test_every_place_that_reaches_the_share_is_compared():
+def in_order(a, b, weight):
+    row = [0.0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = max(before[j + 1], row[j], before[j] + weight(x) if x == y else 0.0)
+    return row[-1]
+
+
+def test_scan_against_brute_force():
     r = random.Random(9)
-    template = "a b c d e f g h i j k l m n o p".split()
-    index = licenses.Index([("X", " ".join(template), ["k l m"])], {}, 100)
-    # the first six words vote for a place of their own, and the whole notice but for them stands elsewhere
-    texts = [template[:6] + ["zz"] * 12 + ["yy"] * 6 + template[6:]]
-    for word in template:
-        texts.append([word] + ["zz"] * 20 + [x if x != word and r.random() < 0.8 else "yy" for x in template])
-    for _ in range(300):
-        text = [r.choice([*template, "zz"]) for _ in range(r.randrange(30))]
+    one, two = "a b c d e f g h i j k l m n o p".split(), "p q a b r s q t".split()
+    weights = {x: 1 + (k * 7) % 5 for k, x in enumerate(sorted({*one, *two}))}
+    frequency = {int(licenses._hashes(x).view(np.int64)[0]): 1000 - 150 * n for x, n in weights.items()}
+    templates = [("X", " ".join(one), ["k l m", "a b c d"]), ("Y", " ".join(two), ["s q", "q a"])]
+    index = licenses.Index(templates, frequency, 1000)
+    weight = lambda x: float(index.idf[np.searchsorted(index.vocabulary, licenses._hashes(x)[0])])
+    texts = [one[:6] + ["zz"] * 12 + ["yy"] * 6 + one[6:], [], ["zz"] * 40]
+    for _ in range(400):
+        text = [r.choice([*one, "zz"]) for _ in range(r.randrange(30))]
         for _ in range(2):
-            at, a = r.randrange(len(text) + 1), r.randrange(12)
-            text[at:at] = [x if r.random() < 0.8 else "yy" for x in template[a:]]
+            at, a, words = r.randrange(len(text) + 1), r.randrange(8), r.choice([one, two])
+            part = [x if r.random() < 0.85 else "yy" for x in words[a:]]
+            for _ in range(r.randrange(3)):
+                part.insert(r.randrange(len(part) + 1), "vv")
+            text[at:at] = part
         texts.append(text)
-    seen = set()
+    seen = {}
     for text in texts:
         h = licenses._hashes(" ".join(text))
         v = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
         hit = np.flatnonzero(index.vocabulary[v] == h)
-        want = False
-        for a in range(-len(template), len(text)):
-            same = sum(0 <= a + q < len(text) and text[a + q] == x for q, x in enumerate(template))
-            want |= 2 * same >= len(template) and "k l m" in " ".join(text[max(a, 0) : a + len(template)])
-        assert index.scan(h, hit, v[hit])[0] == ({"X"} if want else set()), text
-        seen.add(want)
-    assert seen == {False, True}
+        want = set()
+        for t, (label, words, keys) in enumerate(templates):
+            words = words.split()
+            wide, total = len(words) + len(words) // 4 + 4, sum(map(weight, words))
+            for a in range(len(text)):
+                window = text[a : a + wide]
+                if any(f" {k} " in f" {' '.join(window)} " for k in keys) and 2 * in_order(words, window, weight) >= total:
+                    want.add(label)
+        labels, score = index.scan(h, hit, v[hit])
+        assert labels == want and (score >= 0.5 if want else score == 0), text
+        seen[frozenset(want)] = seen.get(frozenset(want), 0) + 1
+    assert len(seen) == 4 and min(seen.values()) > 5
+
+
+def test_whole_licences_with_changes(spark):
+    r = random.Random(2)
+    docs = [(k, f"word {k} other text") for k in range(400)]
+    want = {}
+    for k, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        for copy in range(2):
+            changed = list(words)
+            if len(words) > 25:
+                key = {y for x in keys for y in x.split()}
+                free = [i for i, x in enumerate(words) if x not in key]
+                for i in sorted(r.sample(free, 3), reverse=True):
+                    changed[i : i + 1] = [["x", words[i]], [], ["y"]][r.randrange(3)]
+            docs.append((1000 + 2 * k + copy, "/* " + "before " * r.randrange(9) + "\n * ".join(" ".join(changed[i : i + 9]) for i in range(0, len(changed), 9)) + " after */"))
+            want[1000 + 2 * k + copy] = label
+    rows = {x.doc_id: x for x in licenses.license_scan(frame(spark, docs).selectExpr("*", "1 as labels", "'q' as score")).collect()}
+    assert all(label in rows[d].labels.split(",") for d, label in want.items())
+    assert all(rows[d].labels == "" and rows[d].score == 0 for d in range(400))
 
 
 def test_notices_of_the_foundation(spark):

@@ -1,8 +1,11 @@
 """Licence scan by a positional index of rare template words.
 
-Of a file's words that occur in templates, those of the highest inverse document frequency (over all files) are looked
-up. Their postings in the templates, taken relative to the file's positions, vote for places where a template may
-begin; the best places are compared word by word, and a template counts only where one of its key phrases stands in the place.
+The index holds, for each template, its words of the highest inverse document frequency (over all files): so many
+that what is left weighs less than the share that a match needs. A file's words that the index holds are looked up once,
+and their postings name templates and places; a template that no such word names costs nothing. Around a place, the
+windows that begin at a template word and hold a mandatory key phrase are tried, those with the most votes by relative position first:
+a window matches when the words that stand in it in the template's order carry the share of its weight. So words may
+be inserted, left out or changed, and no match is missed (see ``Index``).
 """
 
 from __future__ import annotations
@@ -18,37 +21,56 @@ from watchgrid.session import ship
 
 # Phrases and labels of the base.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-_NOTICE = "this {0} is free software you can redistribute it and or modify it under the terms of the {1} as published by the free software foundation either version {2} of the license or at your option any later version"
-# Label, notice or opening of the licence, key phrases.
+
+_WORK = "This {0} is free software: you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details."
+_GRANT_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS_MIT = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NO_ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = {"AGPL-3.0": ("program", "GNU Affero General Public License", "3"), "GPL-2.0": ("program", "GNU General Public License", "2"), "GPL-3.0": ("program", "GNU General Public License", "3"), "LGPL-2.1": ("library", "GNU Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "GNU Lesser General Public License", "3")}
+_CREATIVE = {"CC-BY-4.0": ("CC BY 4.0", "Attribution 4.0"), "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Attribution-ShareAlike 4.0"), "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Attribution-NonCommercial 4.0"), "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Attribution-NoDerivatives 4.0")}
+_IDENTIFIERS = ["0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"]
+# Label, wording of the licence or of its usual notice, key phrases of which one must stand in the place.
 TEMPLATES = [
-    ("Apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("BSD", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
-    ("CC-BY-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("CC-BY-NC-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("CC-BY-SA-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("GPL-2.0", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("GPL-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
-    ("AGPL-3.0", _NOTICE.format("program", "gnu affero general public license", "3"), ["gnu affero general public license as published by the free software foundation either version 3 of"]),
-    ("GPL-2.0", _NOTICE.format("program", "gnu general public license", "2"), ["gnu general public license as published by the free software foundation either version 2 of"]),
-    ("GPL-3.0", _NOTICE.format("program", "gnu general public license", "3"), ["gnu general public license as published by the free software foundation either version 3 of"]),
-    ("LGPL-2.1", _NOTICE.format("library", "gnu lesser general public license", "2 1"), ["gnu lesser general public license as published by the free software foundation either version 2 1 of"]),
-    ("LGPL-3.0", _NOTICE.format("library", "gnu lesser general public license", "3"), ["gnu lesser general public license as published by the free software foundation either version 3 of"]),
-    ("ISC", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("MIT", "released under the mit license", ["mit license"]),
-    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["hereby granted free of charge"]),
-    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("Unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ["Apache License, Version 2.0"]),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ["except in compliance with the License", "apache.org/licenses/LICENSE-2.0"]),
+    ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.", ["each Contributor hereby grants to You"]),
+    ("BSD-2-Clause", _BSD, ["source and binary forms"]),
+    ("BSD-3-Clause", f"{_BSD} {_NO_ENDORSEMENT}", ["endorse or promote products"]),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so", ["any person or organization obtaining a copy"]),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)", ["Boost Software License"]),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["waived all copyright and related or neighboring rights"]),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", ["Eclipse Public License 2.0"]),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License version 2.", ["GNU General Public License version 2"]),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License version 3.", ["GNU General Public License version 3"]),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["with or without fee is hereby granted"]),
+    ("MIT", "Released under the MIT License.", ["MIT License"]),
+    ("MIT", _GRANT_MIT, ["to deal in the Software without restriction", "hereby granted, free of charge"]),
+    ("MIT", _AS_IS_MIT, ["authors or copyright holders be liable"]),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["Mozilla Public License, v. 2.0"]),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ["unencumbered software"]),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ["alter it and redistribute it freely"]),
 ]
+TEMPLATES += [(label, f"{_WORK.format(*k)} {_WARRANTY.format(*k)}", [f"{k[1]} as published by the Free Software Foundation, either version {k[2]} of"]) for label, k in _GNU.items()]
+TEMPLATES += [(label, _WORK.format(*k), [f"{k[1]} as published by the Free Software Foundation, either version {k[2]} of"]) for label, k in _GNU.items()]
+TEMPLATES += [(label, f"Licensed under {short}.", [short]) for label, (short, _) in _CREATIVE.items()]
+TEMPLATES += [(label, f"This work is licensed under a Creative Commons {name} International License.", [f"Creative Commons {name}"]) for label, (_, name) in _CREATIVE.items()]
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}", [f"SPDX-License-Identifier: {x}"]) for x in _IDENTIFIERS]
 
 
 def _hashes(text: str) -> np.ndarray:
-    return Words([text.encode()], MARKS).hash
+    return Words([text.lower().encode()], MARKS).hash
 
 
 class Index:
-    """Postings of the templates' words, with each word's inverse document frequency."""
+    """Postings of the templates' rare words.
+
+    A template's words weigh their inverse document frequency. Its rare words are the heaviest, taken until those left weigh
+    less than ``share`` of the whole; a window whose ordered common words carry the share thus holds one of them.
+    """
 
-    def __init__(self, templates: list[tuple], frequency: dict[int, int], n_docs: int, rare: int = 6, share: float = 0.5):
+    def __init__(self, templates: list[tuple], frequency: dict[int, int], n_docs: int, share: float = 0.5):
         self.label = [t[0] for t in templates]
         self.words = [_hashes(t[1]) for t in templates]
         self.keys = [[_hashes(k) for k in t[2]] for t in templates]
@@ -56,56 +78,77 @@ class Index:
         n = np.array([frequency.get(int(x), 0) for x in self.vocabulary.view(np.int64)], float)
         self.idf = np.log((n_docs + 1) / (n + 1)) + 0.01
         self.place = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        self.share, self.needed = share, [share * float(self.idf[p].sum()) - 1e-9 for p in self.place]
+        self.wide = [len(p) + len(p) // 4 + 4 for p in self.place]
+        self.member = [np.isin(np.arange(len(self.vocabulary)), p) for p in self.place]
         self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
-        for t, w in enumerate(self.place):
-            for q, v in enumerate(w.tolist()):
-                self.postings[v].append((t, q))
-        self.total = [float(self.idf[p].sum()) for p in self.place]
-        # weight of each distinct word at all its places in the template
-        self.distinct = [np.unique(p) for p in self.place]
-        self.weight = [self.idf[d] * np.unique(p, return_counts=True)[1] for d, p in zip(self.distinct, self.place)]
-        self.rare, self.share = rare, share
+        self.rare = np.zeros(len(self.vocabulary), bool)
+        for t, p in enumerate(self.place):
+            order = np.lexsort((p, -self.idf[p]))
+            left = self.idf[p].sum() - np.cumsum(self.idf[p][order])
+            enough = int(np.argmax(left < self.needed[t])) + 1
+            # a word is rare at all its places
+            for q in np.flatnonzero(np.isin(p, p[order[:enough]])).tolist():
+                self.postings[p[q]].append((t, q))
+                self.rare[p[q]] = True
 
     def scan(self, h: np.ndarray, at: np.ndarray, v: np.ndarray) -> tuple[set[str], float]:
         """Labels and score of a text of word hashes ``h``, whose words ``at`` are the vocabulary's ``v``."""
-        present = np.unique(v)
+        begins: dict[int, list[int]] = {}
+        found: dict[int, list[int]] = {}
+        look = self.rare[v]
+        for p, x in zip(at[look].tolist(), v[look].tolist()):
+            for t, q in self.postings[x]:
+                begins.setdefault(t, []).append(p - q)
+                found.setdefault(t, []).append(p)
         labels, best = set(), 0.0
-        for t, template in enumerate(self.words):
-            mine = present[np.isin(present, self.place[t])]
-            if not len(mine):
+        for t in sorted(begins):
+            keys = [(k, len(key)) for key in self.keys[t] for k in _places(h, key).tolist()]
+            if not keys:
                 continue
-            mine = mine[np.lexsort((mine, -self.idf[mine]))]
-            # rarest words first, until those left out can't reach the share alone
-            weight = self.weight[t][np.searchsorted(self.distinct[t], mine)]
-            left = weight.sum() - np.cumsum(weight)
-            needed = self.share * self.total[t] - 1e-9
-            k = max(self.rare, int(np.argmax(left < needed)) + 1)
-            mine, left = mine[:k], float(left[min(k, len(left)) - 1])
-            begins, votes = [], []
-            for x in mine.tolist():
-                p = at[v == x]
-                for u, q in self.postings[x]:
-                    if u == t:
-                        begins.append(p - q)
-                        votes.append(np.full(len(p), self.idf[x]))
-            begin, which = np.unique(np.concatenate(begins), return_inverse=True)
-            vote = np.bincount(which, np.concatenate(votes))
-            # a place has its votes and at most the weight of the words left out
-            for k in np.flatnonzero(vote >= min(vote.max(), needed - left, self.share * self.idf[mine].sum())).tolist():
-                a = int(begin[k])
-                lo, hi = max(a, 0), min(a + len(template), len(h))
-                same = h[lo:hi] == template[lo - a : hi - a]
-                share = float(self.idf[self.place[t][lo - a : hi - a]][same].sum()) / self.total[t]
-                if share < self.share:
-                    best = max(best, share / 2)
-                elif any(_stands(h[lo:hi], key) for key in self.keys[t]):
-                    labels.add(self.label[t])
-                    best = max(best, share)
+            mine = self.member[t][v]
+            share = self._best(t, h, at[mine], v[mine], np.unique(found[t]), np.array(begins[t]), np.array(keys))
+            if share:
+                labels.add(self.label[t])
+                best = max(best, share)
         return labels, min(best, 1.0)
 
+    def _best(self, t: int, h, at, v, rare, begins, keys) -> float:
+        """The share found in the first window that reaches it, those with most votes first; 0 if none does."""
+        wide = self.wide[t]
+        # windows that begin at one of the template's words and hold a rare word and a key phrase
+        near = np.searchsorted(rare, at + wide) > np.searchsorted(rare, at)
+        first = np.searchsorted(keys[:, 0], at) if (keys[1:, 0] >= keys[:-1, 0]).all() else None
+        if first is None:
+            keys = keys[np.argsort(keys[:, 0], kind="stable")]
+            first = np.searchsorted(keys[:, 0], at)
+        size = int(keys[:, 1].min())
+        near &= keys[np.minimum(first, len(keys) - 1), 0] + size <= at + wide
+        near &= first < len(keys)
+        # the words of a window, in any order, bound those in order
+        weight = np.concatenate([[0.0], np.cumsum(self.idf[v])])
+        last = np.searchsorted(at, at + wide)
+        near &= weight[last] - weight[:-1] >= self.needed[t]
+        begins = np.sort(begins)
+        votes = np.searchsorted(begins, at + 3, "right") - np.searchsorted(begins, at - 3)
+        for k in np.flatnonzero(near)[np.argsort(-votes[near], kind="stable")].tolist():
+            a = int(at[k])
+            inside = (keys[:, 0] >= a) & (keys[:, 0] + keys[:, 1] <= a + wide)
+            if not inside.any():
+                continue
+            got = ordered_weight(self.place[t], v[k : last[k]], self.idf)
+            if got >= self.needed[t]:
+                return got / (self.needed[t] + 1e-9) * self.share
+        return 0.0
+
 
-def _stands(h: np.ndarray, phrase: np.ndarray) -> bool:
-    return bool(len(_places(h, phrase)))
+def ordered_weight(template: np.ndarray, words: np.ndarray, weight: np.ndarray) -> float:
+    """The largest weight of words that both sequences have in the same order."""
+    row = np.zeros(len(words) + 1)
+    for x in template.tolist():
+        row[1:] = np.maximum(row[1:], np.where(words == x, row[:-1] + weight[x], 0.0))
+        row = np.maximum.accumulate(row)
+    return float(row[-1])
 
 
 def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -113,10 +156,10 @@ def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     n = len(h) - len(phrase) + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    ok = h[:n] == phrase[0]
+    at = np.flatnonzero(h[:n] == phrase[0])
     for k in range(1, len(phrase)):
-        ok &= h[k : k + n] == phrase[k]
-    return np.flatnonzero(ok)
+        at = at[h[at + k] == phrase[k]]
+    return at
 
 
 def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[dict[int, int], int]:
@@ -144,9 +187,10 @@ NEW = "n_words long, n_base long, first_word long, last_word long, base_labels s
 def license_scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     """The rows and columns of ``docs`` with the columns of ``NEW``, which replace columns of those names.
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case. ``score`` is the largest share of
-    a verified template found in place (by weight), half the share of one not verified, and at least 0.5 with a base
-    label. Null and empty texts have no words, empty labels and score 0.
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case. A template's label is given where a
+    window of a quarter more words than it has (and 4) holds one of its key phrases and, in its order, words of half of its
+    weight. ``score`` is the largest share found so, and at least 0.5 with a base label. Null and empty texts have no words,
+    empty labels and score 0. Equal rows get equal values; nothing depends on the order of rows.
     """
     ship(docs.sparkSession)
     more = T._parse_datatype_string(NEW).fields
@@ -163,18 +207,21 @@ def license_scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFra
             v = np.minimum(np.searchsorted(index.vocabulary, w.hash), len(index.vocabulary) - 1)
             hit = np.flatnonzero(index.vocabulary[v] == w.hash)
             edges = np.searchsorted(hit, w.first)
-            rows = []
-            for k, n in enumerate(w.count.tolist()):
-                a = int(w.first[k])
-                h, mine = w.hash[a : a + n], hit[edges[k] : edges[k + 1]]
-                if not len(mine):
-                    rows.append((n, 0, None, None, "", "", 0.0))
-                    continue
-                found = [(p, label) for phrase, label in phrases for p in _places(h, phrase).tolist()]
-                base = {label for _, label in found}
-                labels, score = index.scan(h, mine - a, v[mine])
-                start = [p for p, _ in found]
-                rows.append((n, len(found), min(start, default=None), max(start, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), max(score, 0.5) if base else score))
+            owner = w.owner()
+            base: dict[int, list] = {}
+            for phrase, label in phrases:
+                at = _places(w.hash, phrase)
+                at = at[owner[at] == owner[at + len(phrase) - 1]] if len(at) else at
+                for p, d in zip(at.tolist(), owner[at].tolist() if len(at) else []):
+                    base.setdefault(d, []).append((p - int(w.first[d]), label))
+            rows = [(n, 0, None, None, "", "", 0.0) for n in w.count.tolist()]
+            for k in np.unique(np.concatenate([owner[hit[index.rare[v[hit]]]], np.array(list(base), np.int64)])).tolist():
+                a, b = int(w.first[k]), int(w.first[k + 1])
+                mine = hit[edges[k] : edges[k + 1]]
+                labels, score = index.scan(w.hash[a:b], mine - a, v[mine])
+                found = base.get(k, [])
+                own, start = {x for _, x in found}, [p for p, _ in found]
+                rows[k] = (b - a, len(found), min(start, default=None), max(start, default=None), ",".join(sorted(own)), ",".join(sorted(own | labels)), max(score, 0.5) if own else score)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=[*names, *new])
 
