@@ -158,15 +158,28 @@ def _all_tokens(width: int, n_parts: int, most: int):
     return run
 
 
-def _shared_tokens(batches):
-    """Shared tokens of each document, packed."""
-    for rows in by_part(batches, [np.uint64, np.uint64, np.int8]):
-        token, doc = _met(*rows)
-        order = np.argsort(doc, kind="stable")
+def _shared_tokens(n_parts: int):
+    """Shared tokens, packed by document."""
+
+    def run(batches):
+        for rows in by_part(batches, [np.uint64, np.uint64, np.int8]):
+            token, doc = _met(*rows)
+            order = np.argsort(doc, kind="stable")
+            yield packed([token[order], doc[order]], (mix(doc[order]) % U(n_parts)).astype(np.int32))
+
+    return run
+
+
+def _document_sets(batches):
+    """The sorted set of each document, and its size."""
+    for token, doc in by_part(batches, [np.uint64, np.uint64]):
+        order = np.lexsort((token, doc))
         token, doc = token[order], doc[order].view(np.int64)
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+        new = np.append(True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))[: len(token)]
+        token, doc = token[new], doc[new]
+        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
         ends = np.append(at[1:], len(doc))
-        yield pa.record_batch([pa.array(doc[at]), pa.array([token[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], names=["rep", "tokens"])
+        yield pa.record_batch([pa.array(doc[at]), pa.array([token[x:y].tobytes() for x, y in zip(at, ends)], pa.binary()), pa.array(ends[: len(at)] - at)], names=["rep", "tokens", "m"])
 
 
 def _joined(batches):
@@ -270,8 +283,8 @@ def shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int, e
     passed = cut(reps.join(found, "tag").where(f"m >= {needed}").select("rep", "n", "s1"))
     texts = docs.select("doc_id", "text").join(passed.select(F.col("rep").alias("doc_id"), "s1"), "doc_id")
     packs = texts.mapInArrow(_all_tokens(width, n_parts, pack_rows), "part int, pack binary")
-    tokens = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_tokens, "rep long, tokens binary")
-    sets = tokens.groupBy("rep").agg(F.collect_list("tokens").alias("tokens")).mapInArrow(_joined, "rep long, tokens binary, m long")
+    packs = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared_tokens(n_parts), "part int, pack binary")
+    sets = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_document_sets, "rep long, tokens binary, m long")
     return cut(sets.join(passed, "rep").where(f"100 * m >= {percent} * n").select("rep", "n", "m", "tokens"))
 
 
