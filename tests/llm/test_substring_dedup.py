@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from watchgrid.llm.substring_dedup import representatives, substring_dedup
+from watchgrid.llm.substring_dedup import all_windows, representatives, spellings, substring_dedup
 from watchgrid.llm.words import Words
 
 
@@ -31,7 +31,7 @@ def texts(seed):
 @pytest.mark.parametrize("rounds", [0, 1, 2, 3])
 def test_equal_windows_have_equal_representatives(rounds):
     w = Words([(t or "").encode() for _, t in texts(5)])
-    name, start, n = representatives(w, 20, rounds)
+    name, start, n = representatives(w, all_windows(w, 20), 20, rounds)
     of = {}
     for x, a, k in zip(name, start, n):
         for p in range(a, a + k):
@@ -39,6 +39,29 @@ def test_equal_windows_have_equal_representatives(rounds):
     assert n.sum() == np.maximum(w.count - 19, 0).sum()
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 3, 6])
+def test_equal_windows_are_spelt_alike(rounds):
+    w = Words([(t or "").encode() for _, t in texts(6)])
+    starts = all_windows(w, 20)
+    h, g = spellings(w, starts, 20, rounds)
+    of = {}
+    for p, x, y in zip(starts.tolist(), h.tolist(), g.tolist()):
+        assert of.setdefault(tuple(w.hash[p : p + 20].tolist()), (x, y)) == (x, y)
+    assert len(set(of.values())) == len(of)
+
+
+def test_one_id_with_different_texts_and_very_long_ones(spark):
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(25))
+    long = " ".join(r.choice("abcdef") + str(r.randrange(40)) for _ in range(30000))
+    docs = [(1, f"x {passage} y"), (1, passage), (1, passage), (2, f"{passage} {long}"), (3, "short"), (3, f"{long} {passage}"), (3, None)]
+    rows = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(rows) == len(docs)
+    of = {(x.doc_id, x.n_words): x for x in rows}
+    assert sorted(x.n_removed for x in rows if x.doc_id == 1) in ([0, 0, 25], [0, 25, 25])
+    assert of[2, 30025].n_removed == 25 and of[3, 30025].n_removed == 30025 and of[3, 1].text == "short"
+
+
 def test_against_brute_force(spark):
     for seed in (1, 2):
         docs = texts(seed)

@@ -1,24 +1,25 @@
 """Substring dedup by recompression.
 
-Rounds of recompression give every text a sequence of symbols: a round names each maximal run of one
-symbol, then each neighbouring pair whose first symbol falls in the left half and whose second falls in the
-right half of the alphabet. A name is a hash of the parts, and so is the half, so all tasks agree on both
-without a dictionary, and equal substrings get equal symbols but for a few at their ends. Each symbol keeps
-the words on which its making depended (its span and the neighbours looked at). A window of ``width`` words is
-represented by the smallest symbol that depends on nothing outside of it, widened by half of the window's
-other words on one side (by the window's own hash if there is no such symbol), so equal windows have equal
-representatives and few others share one. Spark then does two shuffles of packed arrays:
-
-1. representatives, to find those that occur more than once (all others stand for unrepeated windows);
-2. hashes of the windows behind shared ones, to find the first occurrence of each.
-
-Both combine in the map tasks: of what a task holds twice, one row leaves it. So no frequent passage gathers
-in one place.
+A round of recompression names each maximal run of one symbol, then each neighbouring pair whose first symbol falls in the
+left half and whose second falls in the right half of the alphabet. A name is a hash of the parts, and so is the half, so
+all tasks name alike over the whole corpus, and equal substrings get equal symbols but for a few at their ends. Each symbol
+keeps the words on which its making depended: its span and the neighbours looked at. A symbol is interior to a
+window of ``width`` words when it depends on nothing outside.
+
+Each Spark round names the symbols of higher levels and lets only repeats go on. A window is represented by its longest interior symbol
+of these levels; a window whose symbol occurs nowhere else can't be repeated and is dropped.
+What the last round leaves is verified through the symbols: a window's interior symbols of the highest level, with those of
+each lower level to their left and right that no higher one covers, down to words, spell it, and two windows are equal
+just when they are spelt alike. The first occurrence of each spelling stays.
+
+Shuffled rows are packed arrays, combined in the map tasks: of what a task holds twice, one row leaves it for the
+key's part, so no frequent passage gathers in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from watchgrid.llm.packs import by_part, packed, shared_packs, shared_rows, unpa
 from watchgrid.llm.words import U, Words, mix, parts, ranges_hash
 from watchgrid.session import ship
 
-_RUN, _PAIR, _SIDE, _ALONE, _SECOND = (U(int(hashlib.sha256(x).hexdigest()[:16], 16) | 1) for x in (b"run", b"pair", b"side", b"alone", b"second"))
+_RUN, _PAIR, _SIDE, _ORDER, _SECOND, _LEFT, _RIGHT = (U(int(hashlib.sha256(x).hexdigest()[:16], 16) | 1) for x in (b"run", b"pair", b"side", b"order", b"second", b"left", b"right"))
+#: The levels up to which the Spark rounds name.
+ROUNDS = (2, 4)
 
 
-def _name_runs(s, lo, hi, edge):
+def _name_runs(s, at, lo, hi, edge):
     """Name maximal runs. edge[i]: symbol i is the first of its text."""
     same = np.zeros(len(s), bool)
     same[1:] = (s[1:] == s[:-1]) & ~edge[1:]
@@ -47,111 +50,168 @@ def _name_runs(s, lo, hi, edge):
     ends_text = np.append(edge[1:], True)
     left = np.where(edge[head], -1, lo[np.maximum(head - 1, 0)])
     right = np.where(ends_text[last], np.iinfo(np.int64).max, hi[np.minimum(last + 1, len(s) - 1)])
-    return name, np.minimum(left, lo[head]), np.maximum(right, hi[last]), edge[head]
+    return name, at[head], np.minimum(left, lo[head]), np.maximum(right, hi[last]), edge[head]
 
 
-def _name_pairs(s, lo, hi, edge, round_: int):
+def _name_pairs(s, at, lo, hi, edge, round_: int):
     """Name pairs of a left-half symbol and the right-half symbol after it."""
     right_half = (mix(s * _SIDE + U(round_)) & U(1)).astype(bool)
-    n = len(s)
-    after = np.zeros(n, bool)
+    after = np.zeros(len(s), bool)
     after[:-1] = ~right_half[:-1] & right_half[1:] & ~edge[1:]
-    second = np.zeros(n, bool)
-    second[1:] = after[:-1]
+    second = np.append(False, after[:-1])[: len(s)]
     ends_text = np.append(edge[1:], True)
     # a left-half symbol looks to the right, a right-half one to the left
     new_lo = np.where(right_half & ~after, np.where(edge, -1, np.append(lo[:1], lo[:-1])), lo)
     new_hi = np.where(~right_half, np.where(ends_text, np.iinfo(np.int64).max, np.append(hi[1:], hi[-1:])), hi)
     name = s.copy()
-    at = np.flatnonzero(after)
-    name[at] = mix(mix(s[at] * _PAIR) + s[at + 1])
+    two = np.flatnonzero(after)
+    name[two] = mix(mix(s[two] * _PAIR) + s[two + 1])
     keep = ~second
-    return name[keep], np.minimum(new_lo, lo)[keep], np.maximum(new_hi, hi)[keep], edge[keep]
+    return name[keep], at[keep], np.minimum(new_lo, lo)[keep], np.maximum(new_hi, hi)[keep], edge[keep]
 
 
-def symbols(words: Words, rounds: int):
-    """Symbols after the rounds: name, and the words [lo, hi) that decided it."""
+class Level:
+    """Symbols of a level: names, first words, and of those that can be interior to a window, number, words [lo, hi) and span."""
+
+    def __init__(self, name, at, lo, hi, n_words: int, width: int):
+        self.name, self.at = name, at
+        self.which = np.flatnonzero((lo >= 0) & (hi <= n_words) & (hi - lo <= width))
+        self.lo, self.hi = lo[self.which], hi[self.which]
+        # the next symbol of an interior one is of its text
+        self.span = np.append(at, n_words)[self.which + 1] - at[self.which]
+
+    def interior(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places [a, b) in ``which`` of the interior symbols of each window; they rise from symbol to symbol, so are neighbours."""
+        return np.searchsorted(self.lo, starts), np.searchsorted(self.hi, starts + width, "right")
+
+
+def levels(words: Words, width: int, top: int) -> list[Level]:
+    """Words, and the symbols after each of ``top`` rounds of naming."""
     at = np.arange(len(words))
     edge = np.zeros(len(words), bool)
     edge[words.first[:-1][words.count > 0]] = True
-    level = words.hash.copy(), at.copy(), at + 1, edge
-    for k in range(rounds):
-        level = _name_pairs(*_name_runs(*level), k)
-    return level[0], level[1], level[2]
+    now = words.hash.copy(), at, at.copy(), at + 1, edge
+    out = [Level(*now[:4], len(words), width)]
+    for k in range(top):
+        now = _name_pairs(*_name_runs(*now), k)
+        out.append(Level(*now[:4], len(words), width))
+    return out
+
+
+def _leftmost_least(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of the leftmost minimum of order[a:b], from minima over 2**k places."""
+    best, table, size, k = np.empty(len(a), np.int64), np.arange(len(order)), b - a, 0
+    while True:
+        mine = (size >> k) == 1
+        if mine.any():
+            x, y = table[a[mine]], table[b[mine] - (1 << k)]
+            best[mine] = np.where(order[y] < order[x], y, x)
+        if not (size >> (k + 1)).any():
+            return best
+        far = np.minimum(np.arange(len(table)) + (1 << k), len(table) - 1)
+        table = np.where(order[table[far]] < order[table], table[far], table)
+        k += 1
+
+
+def all_windows(words: Words, width: int) -> np.ndarray:
+    """First words of all windows of the batch."""
+    n = np.maximum(words.count - width + 1, 0)
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.first[:-1], n)
 
 
-def representatives(words: Words, width: int, rounds: int):
-    """Runs of windows with one representative: (name, first window, number of windows); windows count over the batch."""
-    n = np.maximum(words.count - width + 1, 0)
-    starts = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(words.first[:-1], n)
+def representatives(words: Words, starts: np.ndarray, width: int, top: int):
+    """Runs of windows with one representative: (name, first window, number of windows)."""
     if not len(starts):
         return np.empty(0, np.uint64), starts, starts
-    name, lo, hi = symbols(words, rounds)
-    inside = (lo >= 0) & (hi <= len(words)) & (hi - lo <= width)
-    name, lo, hi = name[inside], lo[inside], hi[inside]
-    # lo and hi rise from symbol to symbol, so the symbols of a window are neighbours
-    a, b = np.searchsorted(lo, starts), np.searchsorted(hi, starts + width, "right")
-    some = b > a
-    best = np.full(len(starts), -1, np.int64)
-    order = mix(name + _ALONE)
-    if some.any():
-        # leftmost minimum of order[a:b], from minima over 2**k symbols
-        table, size, k = np.arange(len(name)), (b - a)[some], 0
-        at, first, last = np.flatnonzero(some), a[some], b[some]
-        while True:
-            mine = (size >> k) == 1
-            if mine.any():
-                x, y = table[first[mine]], table[last[mine] - (1 << k)]
-                best[at[mine]] = np.where(order[y] < order[x], y, x)
-            if (size >> (k + 1)).max() == 0:
-                break
-            far = np.minimum(np.arange(len(table)) + (1 << k), len(table) - 1)
-            table = np.where(order[table[far]] < order[table], table[far], table)
-            k += 1
-    # the symbol is widened by half of the window's other words, on the side that has them
-    one = np.flatnonzero(best >= 0)
-    a, b = lo[best[one]], hi[best[one]]
-    half = (width - (b - a) + 1) // 2
-    left = a - starts[one] >= half
-    side = np.zeros(len(starts), bool)
-    side[one] = left
-    # neighbours of one text with the same symbol and side are one run; a window without a symbol stands alone
-    joined = np.zeros(len(starts), bool)
-    joined[1:] = (best[1:] == best[:-1]) & (side[1:] == side[:-1]) & (best[1:] >= 0) & (starts[1:] == starts[:-1] + 1)
+    symbol, rank, name = np.full(len(starts), -1), np.full(len(starts), U(2**64 - 1)), np.zeros(len(starts), np.uint64)
+    for x in levels(words, width, top):
+        a, b = x.interior(starts, width)
+        at = np.flatnonzero(b > a)
+        if not len(at):
+            continue
+        # the longest symbol first; equal ones by a hash of the name
+        order = (U(width) - x.span.astype(np.uint64) << U(48)) | (mix(x.name[x.which] + _ORDER) >> U(16))
+        place = _leftmost_least(order, a[at], b[at])
+        better = order[place] < rank[at]
+        at, place = at[better], place[better]
+        symbol[at], rank[at], name[at] = x.at[x.which[place]], order[place], x.name[x.which[place]]
+    # neighbours of one text with the same symbol are one run; every word is a symbol, so each window has one
+    joined = np.append(False, (symbol[1:] == symbol[:-1]) & (name[1:] == name[:-1]) & (starts[1:] == starts[:-1] + 1))
     head = np.flatnonzero(~joined)
-    length = np.diff(np.append(head, len(starts)))
-    got = np.zeros(len(head), np.uint64)
-    with_symbol = best[head] >= 0
-    at = np.searchsorted(one, head[with_symbol])
-    wide = ranges_hash(words.hash, (a - half * left)[at], (b + half * ~left)[at])
-    got[with_symbol] = mix(name[best[head[with_symbol]]] + wide)
-    alone = starts[head[~with_symbol]]
-    if len(alone):
-        got[~with_symbol] = ranges_hash(words.hash * _ALONE, alone, alone + width)
-    return got, starts[head], length
-
-
-_FIRST = [np.uint64, np.int64, np.int32, np.int16]
-_SECOND_KINDS = [np.uint64, np.uint32, np.int64, np.int32]
-_RUNS = "doc_id long, runs binary"
+    return name[head], starts[head], np.diff(np.append(head, len(starts)))
+
+
+def spellings(words: Words, starts: np.ndarray, width: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each window's symbols, level by level: those that no symbol of a higher level inside the window covers."""
+    out = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
+    first, last = starts, starts + width  # symbols of the level below, inside the window
+    below = levels(words, width, 0)[0]
+    open_ = np.arange(len(starts))
+    for k, x in enumerate(levels(words, width, top)[1:] + [None]):
+        if x is None:
+            some = np.zeros(len(open_), bool)
+        else:
+            a, b = x.interior(starts[open_], width)
+            some = b > a
+        done, on = open_[~some], open_[some]
+        for j, salt in enumerate((U(0), _SECOND)):
+            names = mix(below.name + salt) if j else below.name
+            out[j][done] = mix(out[j][done] * _RUN + ranges_hash(names, first[~some], last[~some]) + U(k))
+            if len(on):
+                i, e = x.which[a[some]], x.which[b[some] - 1] + 1
+                begin = np.searchsorted(below.at, x.at[i])
+                end = np.where(e < len(x.at), np.searchsorted(below.at, x.at[np.minimum(e, len(x.at) - 1)]), len(below.at))
+                out[j][on] = mix(out[j][on] * _RUN + ranges_hash(names, first[some], begin) * _LEFT + ranges_hash(names, end, last[some]) * _RIGHT + U(k))
+        if not len(on):
+            break
+        first, last, below, open_ = i, e, x, on
+    return out[0], out[1].astype(np.uint32)
+
+
+_FIRST = [np.uint64, np.int64, np.uint32, np.int32, np.int16]
+_SPELT = [np.uint64, np.uint32, np.int64, np.uint32, np.int32]
+_RUNS = "doc_id long, runs struct<version:long,pack:binary>"
+
+
+def _versions(texts: list[bytes], twice) -> list[int]:
+    """0, but where rows of different texts share a doc_id: 32 bits of the text."""
+    return [zlib.crc32(t) if d else 0 for t, d in zip(texts, twice.to_pylist())]
+
+
+def _own(runs, version: int) -> list[bytes]:
+    return [r["pack"] for r in runs or [] if r["version"] == version]
+
+
+def _rows(batches, width: int):
+    """(words, texts' ids and versions, windows still looked at) of slices of a batch."""
+    for batch in batches:
+        live = "_runs" in batch.schema.names
+        for texts, ids, twice, *runs in parts([batch], ["doc_id", "_twice", *["_runs"] * live]):
+            w = Words(texts)
+            version = _versions(texts, twice)
+            if live:
+                each = [_windows_of(_own(r, v)) for r, v in zip(runs[0].to_pylist(), version)]
+                starts = np.concatenate(each) + np.repeat(w.first[:-1], np.fromiter(map(len, each), np.int64, len(each)))
+            else:
+                starts = all_windows(w, width)
+            yield w, ids.to_numpy(zero_copy_only=False), np.array(version, np.uint32), starts
 
 
-def _emit_representatives(width: int, rounds: int, n_parts: int, most: int):
-    """Packs of (name, doc, window, windows)."""
+def _emit_representatives(width: int, top: int, n_parts: int, most: int):
+    """Packs of (name, doc, version, window, windows)."""
 
     def flush(rows):
-        name, doc, at, n = (np.concatenate(x) for x in zip(*rows))
-        return shared_packs(name, [doc, at.astype(np.int32), n.astype(np.int16)], n_parts)
+        name, doc, version, at, n = (np.concatenate(x) for x in zip(*rows))
+        return shared_packs(name, [doc, version, at.astype(np.int32), n.astype(np.int16)], n_parts)
 
     def run(batches):
         rows, held = [], 0
-        for texts, ids in parts(batches, ["doc_id"]):
-            w = Words(texts)
-            name, start, n = representatives(w, width, rounds)
+        for w, ids, version, starts in _rows(batches, width):
+            name, start, n = representatives(w, starts, width, top)
             if not len(name):
                 continue
             own = np.searchsorted(w.first, start, "right") - 1
-            rows.append((name, ids.to_numpy(zero_copy_only=False)[own], start - w.first[own], n))
+            rows.append((name, ids[own], version[own], start - w.first[own], n))
             held += len(name)
             if held >= most:
                 yield flush(rows)
@@ -162,20 +222,21 @@ def _emit_representatives(width: int, rounds: int, n_parts: int, most: int):
     return run
 
 
-def _by_document(doc, columns):
-    """One row a document: its id and the packed columns."""
-    order = np.argsort(doc, kind="stable")
-    doc, columns = doc[order], [c[order] for c in columns]
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+def _by_document(doc, version, columns):
+    """One row a document: its id, version and the packed columns."""
+    order = np.lexsort((version, doc))
+    doc, version, columns = doc[order], version[order], [c[order] for c in columns]
+    heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))) if len(doc) else np.empty(0, np.int64)
     ends = np.append(heads[1:], len(doc))
     packs = [b"".join(np.ascontiguousarray(c[x:y]).tobytes() for c in columns) for x, y in zip(heads, ends)]
-    return pa.record_batch([pa.array(doc[heads], pa.int64()), pa.array(packs, pa.binary())], names=["doc_id", "runs"])
+    runs = pa.StructArray.from_arrays([pa.array(version[heads].astype(np.int64)), pa.array(packs, pa.binary())], names=["version", "pack"])
+    return pa.record_batch([pa.array(doc[heads], pa.int64()), runs], names=["doc_id", "runs"])
 
 
 def _shared(batches):
     """Runs of windows whose representative occurs more than once."""
-    for _, doc, at, n in shared_rows(batches, _FIRST):
-        yield _by_document(doc, [at, n])
+    for _, doc, version, at, n in shared_rows(batches, _FIRST):
+        yield _by_document(doc, version, [at, n])
 
 
 def _windows_of(runs: list[bytes]) -> np.ndarray:
@@ -185,32 +246,24 @@ def _windows_of(runs: list[bytes]) -> np.ndarray:
         return np.empty(0, np.int64)
     order = np.argsort(at, kind="stable")
     at, n = at[order].astype(np.int64), n[order].astype(np.int64)
-    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    # rows of equal text and id are one document, and say the same twice
+    return np.unique(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n))
 
 
-def _emit_windows(width: int, n_parts: int, most: int):
-    """(hash, more of the hash, doc, window): of windows that a task holds twice, only the first leaves it."""
+def _emit_spellings(width: int, top: int, n_parts: int, most: int):
+    """(spelling, more of it, doc, version, window): of windows that a task holds twice, only the first leaves it."""
 
     def flush(rows):
-        h, g, doc, at = (np.concatenate(x) for x in zip(*rows))
-        order = np.lexsort((at, doc, g, h))
-        h, g, doc, at = h[order], g[order], doc[order], at[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-        h, g, doc, at = h[new], g[new], doc[new], at[new]
+        h, g, doc, version, at = _first_of(*(np.concatenate(x) for x in zip(*rows)))
         order = np.argsort(doc, kind="stable")  # ids in order compress well
-        return packed([h[order], g[order], doc[order], at[order].astype(np.int32)], (h[order] % U(n_parts)).astype(np.int32))
+        return packed([c[order] for c in (h, g, doc, version, at.astype(np.int32))], (h[order] % U(n_parts)).astype(np.int32))
 
     def run(batches):
         rows, held = [], 0
-        for texts, ids, runs in parts(batches, ["doc_id", "_runs"]):
-            w = Words(texts)
-            each = [_windows_of(r) for r in runs.to_pylist()]
-            n = np.fromiter(map(len, each), np.int64, len(each))
-            local = np.concatenate(each)
-            start = local + np.repeat(w.first[:-1], n)
-            h = ranges_hash(w.hash, start, start + width)
-            g = ranges_hash(mix(w.hash + _SECOND), start, start + width).astype(np.uint32)
-            rows.append((h, g, np.repeat(ids.to_numpy(zero_copy_only=False), n), local))
+        for w, ids, version, starts in _rows(batches, width):
+            h, g = spellings(w, starts, width, top)
+            own = np.searchsorted(w.first, starts, "right") - 1
+            rows.append((h, g, ids[own], version[own], starts - w.first[own]))
             held += len(h)
             if held >= most:
                 yield flush(rows)
@@ -221,40 +274,51 @@ def _emit_windows(width: int, n_parts: int, most: int):
     return run
 
 
+def _first_of(h, g, doc, version, at):
+    order = np.lexsort((at, version, doc, g, h))
+    columns = [c[order] for c in (h, g, doc, version, at)]
+    h, g = columns[:2]
+    new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))[: len(h)]
+    return [c[new] for c in columns]
+
+
 def _firsts(batches):
     """The first occurrence of each window."""
-    for h, g, doc, at in by_part(batches, _SECOND_KINDS):
-        order = np.lexsort((at, doc, g, h))
-        h, g, doc, at = h[order], g[order], doc[order], at[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-        yield _by_document(doc[new], [at[new]])
+    for rows in by_part(batches, _SPELT):
+        _, _, doc, version, at = _first_of(*rows)
+        yield _by_document(doc, version, [at])
 
 
-def _cover(n: int, runs: list[bytes] | None, firsts: list[bytes] | None, width: int) -> np.ndarray:
+def _cover(n: int, runs: list[bytes], firsts: list[bytes], width: int) -> np.ndarray:
     """The words covered by windows that aren't first occurrences."""
-    later = np.setdiff1d(_windows_of(runs or []), unpacked(firsts or [], [np.int32])[0].astype(np.int64), assume_unique=True)
+    later = np.setdiff1d(_windows_of(runs), unpacked(firsts, [np.int32])[0].astype(np.int64), assume_unique=True)
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, later, 1)
     np.add.at(step, later + width, -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, rounds: int = 2, pack_rows: int = 1 << 20) -> DataFrame:
-    """doc_id, _runs and _firsts: windows that may be repeated and, of these, the first occurrences, packed."""
+def repeated_windows(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] = ROUNDS, pack_rows: int = 1 << 20) -> DataFrame:
+    """doc_id, _runs and _firsts: windows that may be repeated and, of these, the first occurrences, packed.
+
+    ``docs`` has doc_id, text and _twice (its doc_id is that of several rows), none of the first two null.
+    """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.where("doc_id is not null and text is not null")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    first = docs.select("doc_id", "text").mapInArrow(_emit_representatives(width, rounds, n_parts, pack_rows), "part int, pack binary")
-    shared = first.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, _RUNS)
-    # no checkpoint here: both joins below read the one shuffle by doc_id of these rows, and that of the documents
-    runs = shared.groupBy("doc_id").agg(F.collect_list("runs").alias("_runs"))
-    second = docs.join(runs, "doc_id").mapInArrow(_emit_windows(width, n_parts, pack_rows), "part int, pack binary")
-    firsts = second.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, _RUNS)
+    # no checkpoint between: all joins below read the one shuffle of the documents by doc_id
+    runs, live = None, docs
+    for top in rounds:
+        packs = live.mapInArrow(_emit_representatives(width, top, n_parts, pack_rows), "part int, pack binary")
+        shared = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, _RUNS)
+        runs = shared.groupBy("doc_id").agg(F.collect_list("runs").alias("_runs"))
+        live = docs.join(runs, "doc_id")
+    packs = live.mapInArrow(_emit_spellings(width, rounds[-1], n_parts, pack_rows), "part int, pack binary")
+    firsts = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, _RUNS)
     return runs.join(firsts.groupBy("doc_id").agg(F.collect_list("runs").alias("_firsts")), "doc_id", "left")
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """Remove the words of ``text`` covered by a run of ``width`` words that also starts earlier.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Earlier is a smaller ``doc_id`` or an earlier start in the same
@@ -262,25 +326,31 @@ def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFr
 
     Returns the rows and columns of ``docs`` with ``text`` changed, and ``n_words``, ``n_removed`` (long) and
     ``kept_sha256`` (of the kept words joined by one space), which replace columns of those names. Null text
-    stays null with 0 words. Rows with a null ``doc_id`` come back unchanged. Rows that repeat a ``doc_id``
-    are one document. A text of fewer than ``width`` words is left alone. Windows are compared by 96 bits of hash.
+    stays null with 0 words. Rows with a null ``doc_id`` come back unchanged. Rows of equal ``doc_id`` and text
+    are one document; different texts of one ``doc_id`` are documents of their own, ordered by their crc32. A text of fewer than
+    ``width`` words is left alone. ``rounds`` are the levels up to which each Spark round names symbols, and change the work,
+    not the result. Windows are compared by 96 bits of hash.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_runs", "_firsts")
-    found = repeated_windows(docs, width, rounds)
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_runs", "_firsts", "_twice")
     names = docs.columns
+    whole = docs.where("doc_id is not null and text is not null")
+    often = whole.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_twice"))
+    whole = whole.join(often, "doc_id", "left")
+    found = repeated_windows(whole, width, rounds)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string").fields])
 
     def clean(batches):
         for batch in batches:
-            column = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("text", "_runs", "_firsts")]
+            column = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("text", "_twice", "_runs", "_firsts")]
             text, n_words, n_removed, digest = [], [], [], []
-            for x, runs, firsts in zip(*column):
+            for x, twice, runs, firsts in zip(*column):
                 raw = (x or "").encode()
                 words = raw.split()
                 gone = 0
-                if runs:
-                    covered = _cover(len(words), runs, firsts, width)
+                version = zlib.crc32(raw) if twice else 0
+                if mine := _own(runs, version):
+                    covered = _cover(len(words), mine, _own(firsts, version), width)
                     gone = int(covered.sum())
                 if gone:
                     w = Words([raw])
@@ -299,9 +369,8 @@ def substring_dedup(docs: DataFrame, width: int = 20, rounds: int = 2) -> DataFr
             out += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "n_words", "n_removed", "kept_sha256"])
 
-    whole = "doc_id is not null and text is not null"
-    bare = docs.where(f"not ({whole})").withColumns({"_runs": F.lit(None).cast("array<binary>"), "_firsts": F.lit(None).cast("array<binary>")})
-    return docs.where(whole).join(found, "doc_id", "left").unionByName(bare).mapInArrow(clean, schema)
+    bare = docs.where("doc_id is null or text is null").withColumns({k: F.lit(None).cast("array<struct<version:bigint,pack:binary>>") for k in ("_runs", "_firsts")})
+    return whole.join(found, "doc_id", "left").unionByName(bare, allowMissingColumns=True).mapInArrow(clean, schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
