@@ -45,6 +45,22 @@ FROM nation""",
     "fx_log": """
 SELECT event_id + 1 AS seq, user_id AS entity, CASE WHEN event_id % 10 = 0 THEN 'delete' ELSE 'upsert' END AS kind, value
 FROM events WHERE (event_id + 1) % 97 <> 0""",
+    "fx_posts": """
+SELECT event_id AS post_id, user_id % 20 AS channel_no, ts AS posted_at, event_id % 5 AS parser_version,
+  CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsed' WHEN 2 THEN 'unparsed' ELSE 'pending' END AS parse_state,
+  CASE WHEN event_id % 29 = 0 THEN '' ELSE
+  CASE event_id % 9 WHEN 1 THEN 'Сумщина:' || chr(10) WHEN 2 THEN 'Підписатись на канал' || chr(10) WHEN 3 THEN '@channel' || chr(10) || chr(10) || chr(10) || chr(10)
+    WHEN 4 THEN 'Увага! ' WHEN 5 THEN 'наш бот' || chr(10) || chr(10) ELSE '' END
+  || CASE user_id % 6 WHEN 1 THEN '3 ' WHEN 2 THEN '2х ' WHEN 3 THEN 'Два ' WHEN 4 THEN '250 ' WHEN 5 THEN 'П’ять ' ELSE '' END
+  || CASE event_id % 14 WHEN 0 THEN 'БпЛА ' WHEN 1 THEN 'шахеди ' WHEN 2 THEN 'ракета ' WHEN 3 THEN 'Балістика ' WHEN 4 THEN 'КАБ ' WHEN 5 THEN 'Реактивний БпЛА '
+    WHEN 6 THEN 'розвідувальний БпЛА ' WHEN 7 THEN 'літак Ту-95 ' WHEN 8 THEN 'швидкісна ціль ' WHEN 9 THEN 'авіаційна бомба ' WHEN 10 THEN 'уламки ' WHEN 11 THEN 'працює ППО ' ELSE '' END
+  || CASE user_id % 11 WHEN 0 THEN 'курсом на ' WHEN 1 THEN 'повз ' WHEN 2 THEN 'через ' WHEN 3 THEN 'над ' WHEN 4 THEN 'в напрямку ' WHEN 5 THEN 'з півночі на ' WHEN 6 THEN 'на '
+    WHEN 7 THEN 'курс північно-східний, ' WHEN 8 THEN 'з південного заходу на ' WHEN 9 THEN 'рухається на захід, ' ELSE 'у східному напрямку, ' END
+  || CASE event_id % 8 WHEN 0 THEN 'Охтирку' WHEN 1 THEN 'Конотоп' WHEN 2 THEN 'Суми' WHEN 3 THEN 'Кам’янське' WHEN 4 THEN 'Новий  Буг' WHEN 5 THEN 'Ізюм' WHEN 6 THEN 'північ' ELSE 'Миргород' END
+  || CASE user_id % 13 WHEN 1 THEN ' о 11:40' WHEN 2 THEN ' (орієнтовно о 23:50)' WHEN 3 THEN chr(10) || 'мінус' WHEN 4 THEN chr(10) || 'Відбій тривоги' WHEN 5 THEN ' [15.01.2024 09:15]' WHEN 6 THEN ', збито'
+    WHEN 7 THEN chr(10) || 'Картка 4441 1111 2222 3333' WHEN 8 THEN ' до о 10:00, об 0.30' WHEN 9 THEN chr(10) || 'ще один не фіксується' WHEN 10 THEN ' о 25:10' ELSE '' END
+  END AS text
+FROM events""",
     "fx_captures": """
 SELECT source AS channel, doc_id AS message_id, 1 AS capture, text FROM documents WHERE doc_id % 50 <> 0
 UNION ALL
@@ -54,7 +70,7 @@ SELECT source, doc_id, 2, CASE WHEN doc_id % 10 = 5 THEN text || ' (edit)' ELSE
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of ``sf_dir``."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part", "documents", "nation") if f"FROM {t}" in VIEWS[name]}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part", "documents", "nation", "supplier", "orders") if f"FROM {t}" in VIEWS[name]}
     text = VIEWS[name]
     for t in tables:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
