@@ -274,7 +274,7 @@ def shared_sets(docs: DataFrame, classes: DataFrame, width: int, percent: int, e
 
     Only documents that pass the sieve take part; those that link with something do.
     """
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     packs = docs.select("text").mapInArrow(_sieve_packs(width, percent, extra, n_parts, pack_rows), "part int, pack binary")
     found = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_sieve, "tag long, m long").groupBy("tag").agg(F.sum("m").alias("m"))
     reps = classes.where("doc_id = rep and n > 0").select("rep", "n", "s1", F.col("s1").bitwiseAND(F.lit(int(_TAG))).alias("tag"))
