@@ -1,37 +1,79 @@
-"""Origins and destinations of reports near subscribers, against brute force."""
+"""Reports near subscribers against brute force, for all three reasons."""
 
 import math
 import random
+from datetime import datetime, timedelta
 
 from watchgrid.operators import proximity
 
-REPORTS = "report_id long, observed_at timestamp, type string, n long, relation string, to_lat double, to_lon double, from_lat double, from_lon double, course_deg double, confidence double, to_area boolean"
+REPORTS = "report_id long, observed_at timestamp_ntz, type string, n long, relation string, to_lat double, to_lon double, from_lat double, from_lon double, course_deg double, confidence double, to_area boolean"
+READERS = "subscriber_id long, is_active boolean, lat double, lon double, radius_km double"
+NOW = datetime(2024, 1, 15, 12, 0)
 
 
 def km(a, b, c, d):
     a, b, c, d = map(math.radians, (a, b, c, d))
-    return 2 * 6371.0 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+    return 2 * 6371.0 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
 
 
-def test_in_radius_of_origin_or_destination(spark):
-    from datetime import datetime
+def brute(report, reader):
+    _, at, kind, _, relation, *ends, course, confidence, area = report
+    to, origin = tuple(ends[:2]), tuple(ends[2:])
+    _, active, lat, lon, radius = reader
+    age = (NOW - at).total_seconds() / 60
+    if not active or lat is None or confidence < 0.6 or not 0 <= age <= 30 or area or (to[0] is None and origin[0] is None):
+        return None
+    position = origin if origin[0] is not None else to
+    target = km(*position, lat, lon)
+    named = km(*to, lat, lon) if to[0] is not None else target
+    if min(target, named) <= radius:
+        return "in_radius", named, target, None
+    speed = proximity.SPEEDS.get(kind)
+    if relation in ("over", "past", "through") and course is not None and speed and to[0] is not None and age <= 25:
+        h = math.radians(course)
+        x, y = (lon - to[1]) * 111.32 * math.cos(math.radians(lat)), (lat - to[0]) * 110.57
+        along, side = x * math.sin(h) + y * math.cos(h), abs(x * math.cos(h) - y * math.sin(h))
+        eta = along / speed * 60 - age
+        if 0 <= eta <= 30 and side <= radius:
+            return "approaching", named, target, eta
+    if course is None or origin[0] is None:
+        return None
+    p, q, d = math.radians(origin[0]), math.radians(lat), math.radians(lon - origin[1])
+    bearing = math.degrees(math.atan2(math.sin(d) * math.cos(q), math.cos(p) * math.sin(q) - math.sin(p) * math.cos(q) * math.cos(d))) % 360
+    turn = abs(bearing - course) % 360
+    if min(turn, 360 - turn) > 30 or target > proximity.TYPICAL[kind] * 25 / 60 + radius:
+        return None
+    return "heading_towards", named, target, target / proximity.TYPICAL[kind] * 60
 
+
+def test_three_reasons(spark):
     r = random.Random(11)
-    point = lambda wide: (48 + r.uniform(-wide, wide), 31 + r.uniform(-wide, wide))
-    ends = [((48.0, 31.0), (None, None)), ((None, None), (48.0, 31.0)), ((40.0, 31.0), (48.0, 31.0)), ((None, None), (None, None)), ((20.0, 0.0), (48.0, 31.0))]
-    ends += [(r.choice([(None, None), point(1), point(25)]), r.choice([(None, None), point(1), point(25)])) for _ in range(60)]
-    at = datetime(2024, 1, 15, 11, 50)
-    reports = [(i, at, "uav", 1, "towards", *to, *origin, None, 0.9, False) for i, (to, origin) in enumerate(ends)]
-    users = [(0, True, 48.05, 31.05, 20.0), *[(k, True, *point(2), float(r.randint(5, 200))) for k in range(1, 30)]]
-    want = {}
-    for i, (to, origin) in enumerate(ends):
-        for k, _, lat, lon, radius in users:
-            far = [km(*e, lat, lon) if e[0] is not None else None for e in (to, origin)]
-            if any(x is not None and x <= radius for x in far):
-                want[k, i] = far[0] if far[0] is not None else far[1]
-    found = proximity.proximity(
-        spark.createDataFrame(reports, REPORTS), spark.createDataFrame(users, "subscriber_id long, is_active boolean, lat double, lon double, radius_km double"), "2024-01-15 12:00:00"
-    ).collect()
-    assert len(found) == len(want) and {x.reason for x in found} == {"in_radius"}
-    assert {(0, 0), (0, 1), (0, 2), (0, 4)} <= set(want) and (0, 3) not in want
-    assert all(abs(want[x.subscriber_id, x.report_id] - x.distance_km) < 1e-6 for x in found)
+    spot = lambda wide, at=(48, 31): (at[0] + r.uniform(-wide, wide), at[1] + r.uniform(-wide, wide))
+    reports = []
+    for i in range(250):
+        at = (48, 31) if i % 5 else (48, 179.5)
+        to = r.choice([(None, None), spot(1, at), spot(5, at)])
+        origin = r.choice([(None, None), spot(1, at), spot(5, at)])
+        if at[1] > 100:
+            to, origin = (tuple(x if x is None or x <= 180 else x - 360 for x in e) for e in (to, origin))
+        reports.append((i, NOW - timedelta(minutes=r.uniform(-2, 33)), r.choice(list(proximity.TYPICAL)), 1 + i % 3, r.choice(["over", "past", "through", "towards", "from", "launch"]), *to, *origin, r.choice([None, float(r.randrange(360))]), r.choice([0.5, 0.6, 0.9]), i % 17 == 0))
+    readers = [(k, k % 9 > 0, *(spot(3) if k % 4 else spot(1, (48, -179))), float(r.randint(5, 120))) for k in range(80)] + [(900, True, None, None, 50.0)]
+    want = {(u[0], x[0]): brute(x, u) for x in reports for u in readers}
+    want = {k: v for k, v in want.items() if v}
+    # a flat path across the date line is no path for the rule either
+    rows = proximity.proximity(spark.createDataFrame(reports, REPORTS), spark.createDataFrame(readers, READERS), "2024-01-15 12:00:00").collect()
+    got = {(x.subscriber_id, x.report_id): (x.reason, x.distance_km, x.target_km, x.eta_min) for x in rows}
+    assert len(rows) == len(got) and set(got) == set(want)
+    for k, (reason, *numbers) in got.items():
+        assert reason == want[k][0] and all((a is None) == (b is None) and abs((a or 0) - (b or 0)) < 1e-6 for a, b in zip(numbers, want[k][1:])), k
+    reasons = [v[0] for v in want.values()]
+    assert min(reasons.count(x) for x in ("in_radius", "approaching", "heading_towards")) > 20
+    lines = proximity.dedupe_lines(spark.createDataFrame(rows)).collect()
+    assert len(lines) == len({(x.subscriber_id, x.type, x.reason) for x in rows})
+
+
+def test_no_reports_or_readers(spark):
+    none, nobody = spark.createDataFrame([], REPORTS), spark.createDataFrame([], READERS)
+    assert proximity.proximity(none, spark.createDataFrame([(1, True, 48.0, 31.0, 9.0)], READERS), "2024-01-15 12:00:00").count() == 0
+    one = spark.createDataFrame([(1, NOW, "uav", 1, "over", 48.0, 31.0, None, None, None, 0.9, False)], REPORTS)
+    assert proximity.proximity(one, nobody, "2024-01-15 12:00:00").count() == 0

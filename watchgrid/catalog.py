@@ -17,25 +17,16 @@ def _km(lat1, lon1, lat2, lon2):
     return _DISTANCE.format(a=lat1, b=lat2, c=lon1, d=lon2)
 
 
-def _matches(spark, sf, origins):
-    return proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW, origins=origins)
+def _matches(spark, sf):
+    return proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
 
 
 def q_proximity(spark, sf):
-    # the SQL of this name states the rule for destinations only
-    return proximity.dedupe_lines(_matches(spark, sf, False))
+    return proximity.dedupe_lines(_matches(spark, sf))
 
 
 def q_matches(spark, sf):
-    return _matches(spark, sf, False).withColumn("distance_km", F.round("distance_km", 6))
-
-
-def q_proximity_both(spark, sf):
-    return proximity.dedupe_lines(_matches(spark, sf, True))
-
-
-def q_matches_both(spark, sf):
-    return _matches(spark, sf, True).withColumn("distance_km", F.round("distance_km", 6))
+    return _matches(spark, sf).select("subscriber_id", "report_id", "type", "n", "reason", *[F.round(c, 6).alias(c) for c in ("distance_km", "target_km", "eta_min", "closest_km")])
 
 
 def q_actionable(spark, sf):
@@ -50,8 +41,10 @@ def q_geo(spark, sf):
 
 
 def q_forecast(spark, sf):
+    """10, 20 and 30 minutes after the report; none for stale reports, areas and what is no position."""
     speed = proximity.speed_kmh(F.col("type"))
-    r = view(spark, sf, "fx_reports").where(F.col("course_deg").isNotNull() & speed.isNotNull()).withColumn("minutes", F.explode(F.array(*map(F.lit, (10, 20, 30)))))
+    r = view(spark, sf, "fx_reports").where(proximity.recent(NOW, 25) & F.col("relation").isin("over", "past", "through") & ~F.col("to_area") & F.col("course_deg").isNotNull() & (speed > 0))
+    r = r.withColumn("minutes", F.explode(F.array(*map(F.lit, (10, 20, 30)))))
     lat, lon = geo.destination(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), speed * F.col("minutes") / 60)
     return r.select("report_id", "minutes", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
@@ -78,12 +71,6 @@ def _mentions(places):
     return places.select(F.col("place_id").alias("mention_id"), mention.alias("mention"), "region")
 
 
-def q_fuzzy(spark, sf):
-    # the SQL of this name takes the region before the distance
-    places = view(spark, sf, "fx_places")
-    return records.place_fuzzy_in_region(_mentions(places), places)
-
-
 def q_fuzzy_lexicon(spark, sf):
     places = view(spark, sf, "fx_places")
     return records.place_fuzzy(_mentions(places), places)
@@ -121,8 +108,8 @@ def queries() -> dict:
     return {
         "proximity": q_proximity,
         "proximity_matches": q_matches,
-        "proximity_both_ends": q_proximity_both,
-        "proximity_both_ends_matches": q_matches_both,
+        "proximity_both_ends": q_proximity,
+        "proximity_both_ends_matches": q_matches,
         "report_actionable": q_actionable,
         "geo_columns": q_geo,
         "forecast": q_forecast,
@@ -130,7 +117,7 @@ def queries() -> dict:
         "alert_intervals": q_intervals,
         "alerts_at": q_alerts_at,
         "candidate_rank": q_rank,
-        "place_fuzzy": q_fuzzy,
+        "place_fuzzy": q_fuzzy_lexicon,
         "place_fuzzy_lexicon": q_fuzzy_lexicon,
         "ingest_upsert": q_ingest,
         "seq_gaps": q_gaps,
@@ -144,33 +131,28 @@ def queries() -> dict:
 _SPEED = "CASE type WHEN 'uav' THEN 180.0e0 WHEN 'jet_uav' THEN 600.0e0 WHEN 'cruise' THEN 800.0e0 WHEN 'recon' THEN 150.0e0 END"
 _ACTIONABLE = f"""
 a AS (SELECT *, epoch_us(TIMESTAMP '{NOW}') / 6e7 - epoch_us(observed_at) / 6e7 AS age, {_SPEED} AS speed FROM fx_reports
-  WHERE confidence >= 0.6e0 AND NOT to_area AND observed_at <= TIMESTAMP '{NOW}' AND observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE)"""
+  WHERE confidence >= 0.6e0 AND NOT to_area AND (to_lat IS NOT NULL OR from_lat IS NOT NULL) AND observed_at <= TIMESTAMP '{NOW}' AND observed_at >= TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE)"""
+_TYPICAL = "CASE type WHEN 'uav' THEN 180.0e0 WHEN 'jet_uav' THEN 600.0e0 WHEN 'cruise' THEN 800.0e0 WHEN 'recon' THEN 150.0e0 WHEN 'ballistic' THEN 3000.0e0 WHEN 'kab' THEN 700.0e0 WHEN 'aviation' THEN 800.0e0 ELSE 200.0e0 END"
 _MATCHES = f""", {_ACTIONABLE},
-p AS (
-  SELECT *, {_km('to_lat', 'to_lon', 'lat', 'lon')} AS distance_km,
-    (lon - to_lon) * 111.32e0 * cos(radians(to_lat)) AS dx, (lat - to_lat) * 110.57e0 AS dy
-  FROM a, fx_subscribers WHERE is_active AND lat IS NOT NULL),
-q AS (SELECT *, dx * sin(radians(course_deg)) + dy * cos(radians(course_deg)) AS ahead,
-    abs(dx * cos(radians(course_deg)) - dy * sin(radians(course_deg))) AS side FROM p),
-m AS (
-  SELECT subscriber_id, report_id, type, n, distance_km,
-    CASE WHEN distance_km <= radius_km THEN 'in_radius'
-      WHEN relation = 'over' AND ahead >= 0 AND speed > 0 AND side <= radius_km AND greatest(ahead / speed * 60 - age, 0.0e0) <= 30 THEN 'approaching' END AS reason
-  FROM q)
-"""
-_BOTH_ENDS = f""", {_ACTIONABLE},
 d AS (
-  SELECT *, {_km('to_lat', 'to_lon', 'lat', 'lon')} AS to_km, {_km('from_lat', 'from_lon', 'lat', 'lon')} AS from_km,
-    (lon - to_lon) * 111.32e0 * cos(radians(to_lat)) AS dx, (lat - to_lat) * 110.57e0 AS dy
-  FROM a, fx_subscribers WHERE is_active AND lat IS NOT NULL),
-q AS (SELECT *, dx * sin(radians(course_deg)) + dy * cos(radians(course_deg)) AS ahead,
-    abs(dx * cos(radians(course_deg)) - dy * sin(radians(course_deg))) AS side FROM d),
+  SELECT *, {_TYPICAL} AS typical, CASE WHEN to_lat IS NOT NULL THEN {_km('to_lat', 'to_lon', 'lat', 'lon')} END AS to_km,
+    CASE WHEN from_lat IS NOT NULL THEN {_km('from_lat', 'from_lon', 'lat', 'lon')} END AS from_km,
+    (to_lon - lon) * 111.32e0 * cos(radians(lat)) AS px, (to_lat - lat) * 110.57e0 AS py, radians(course_deg) AS h,
+    fmod(degrees(atan2(sin(radians(lon - from_lon)) * cos(radians(lat)), cos(radians(from_lat)) * sin(radians(lat)) - sin(radians(from_lat)) * cos(radians(lat)) * cos(radians(lon - from_lon)))) + 360, 360) AS br
+  FROM a, fx_subscribers WHERE is_active AND lat IS NOT NULL AND lon IS NOT NULL),
+e AS (SELECT *, coalesce(to_km, from_km) AS distance_km, coalesce(from_km, to_km) AS target_km, abs(px * cos(h) - py * sin(h)) AS side,
+    -(px * sin(h) + py * cos(h)) / speed * 60 - age AS eta FROM d),
 m AS (
-  SELECT subscriber_id, report_id, type, n, CASE WHEN to_lat IS NULL THEN from_km ELSE to_km END AS distance_km,
-    CASE WHEN to_lat IS NOT NULL AND to_km <= radius_km OR from_lat IS NOT NULL AND from_km <= radius_km THEN 'in_radius'
-      WHEN relation = 'over' AND ahead >= 0 AND speed > 0 AND side <= radius_km AND greatest(ahead / speed * 60 - age, 0.0e0) <= 30 THEN 'approaching' END AS reason
-  FROM q)
+  SELECT *, CASE WHEN least(distance_km, target_km) <= radius_km THEN 'in_radius'
+      WHEN relation IN ('over', 'past', 'through') AND to_lat IS NOT NULL AND age <= 25 AND eta >= 0 AND eta <= 30 AND side <= radius_km THEN 'approaching'
+      WHEN from_lat IS NOT NULL AND least(abs(br - course_deg), 360 - abs(br - course_deg)) <= 30 AND target_km <= typical * 25 / 60 + radius_km THEN 'heading_towards' END AS reason
+  FROM e)
 """
+_LINES = """SELECT subscriber_id, type, reason, max(n) AS n, arg_min(report_id, (distance_km, report_id)) AS report_id, round(min(distance_km), 6) AS distance_km
+FROM m WHERE reason IS NOT NULL GROUP BY subscriber_id, type, reason"""
+_PAIRS = """SELECT subscriber_id, report_id, type, n, reason, round(distance_km, 6) AS distance_km, round(target_km, 6) AS target_km,
+  round(CASE reason WHEN 'approaching' THEN eta WHEN 'heading_towards' THEN target_km / typical * 60 END, 6) AS eta_min, round(CASE WHEN reason = 'approaching' THEN side END, 6) AS closest_km
+FROM m WHERE reason IS NOT NULL"""
 _FILLED = """, g AS (
   SELECT poll_at, region, coalesce(level, 0) AS level
   FROM (SELECT DISTINCT poll_at FROM fx_alert_polls) CROSS JOIN (SELECT DISTINCT region FROM fx_alert_polls) LEFT JOIN fx_alert_polls USING (poll_at, region)),
@@ -183,22 +165,10 @@ _BEARING_X = "cos(radians(from_lat)) * sin(radians(to_lat)) - sin(radians(from_l
 
 def oracle_sql() -> dict:
     return {
-        "proximity": with_views(
-            _MATCHES
-            + """SELECT subscriber_id, type, reason, max(n) AS n, arg_min(report_id, (distance_km, report_id)) AS report_id, round(min(distance_km), 6) AS distance_km
-FROM m WHERE reason IS NOT NULL GROUP BY subscriber_id, type, reason""",
-            "fx_reports",
-            "fx_subscribers",
-        ),
-        "proximity_matches": with_views(_MATCHES + "SELECT subscriber_id, report_id, type, n, reason, round(distance_km, 6) AS distance_km FROM m WHERE reason IS NOT NULL", "fx_reports", "fx_subscribers"),
-        "proximity_both_ends": with_views(
-            _BOTH_ENDS
-            + """SELECT subscriber_id, type, reason, max(n) AS n, arg_min(report_id, (distance_km, report_id)) AS report_id, round(min(distance_km), 6) AS distance_km
-FROM m WHERE reason IS NOT NULL GROUP BY subscriber_id, type, reason""",
-            "fx_reports",
-            "fx_subscribers",
-        ),
-        "proximity_both_ends_matches": with_views(_BOTH_ENDS + "SELECT subscriber_id, report_id, type, n, reason, round(distance_km, 6) AS distance_km FROM m WHERE reason IS NOT NULL", "fx_reports", "fx_subscribers"),
+        "proximity": with_views(_MATCHES + _LINES, "fx_reports", "fx_subscribers"),
+        "proximity_both_ends": with_views(_MATCHES + _LINES, "fx_reports", "fx_subscribers"),
+        "proximity_matches": with_views(_MATCHES + _PAIRS, "fx_reports", "fx_subscribers"),
+        "proximity_both_ends_matches": with_views(_MATCHES + _PAIRS, "fx_reports", "fx_subscribers"),
         "report_actionable": with_views(f", {_ACTIONABLE} SELECT report_id, type, n, relation FROM a", "fx_reports"),
         "geo_columns": with_views(
             f""", x AS (SELECT *, {_km('from_lat', 'from_lon', 'to_lat', 'to_lon')} AS d, fmod(degrees(atan2({_BEARING_Y}, {_BEARING_X})) + 360, 360) AS br FROM fx_reports WHERE from_lat IS NOT NULL)
@@ -207,7 +177,8 @@ SELECT report_id, round(d, 6) AS distance_km, round(br, 6) AS bearing, round(lea
         ),
         "forecast": with_views(
             f""", x AS (SELECT report_id, minutes, {_SPEED} * minutes / 60 / 6371.0e0 AS d, radians(course_deg) AS b, radians(to_lat) AS p, to_lon
-  FROM fx_reports, (VALUES (10), (20), (30)) AS v(minutes) WHERE course_deg IS NOT NULL AND {_SPEED} IS NOT NULL),
+  FROM fx_reports, (VALUES (10), (20), (30)) AS v(minutes)
+  WHERE course_deg IS NOT NULL AND {_SPEED} IS NOT NULL AND relation IN ('over', 'past', 'through') AND NOT to_area AND observed_at <= TIMESTAMP '{NOW}' AND observed_at >= TIMESTAMP '{NOW}' - INTERVAL 25 MINUTE),
 y AS (SELECT *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(b)) AS t FROM x)
 SELECT report_id, minutes, round(degrees(t), 6) AS lat,
   round(fmod(to_lon + degrees(atan2(sin(b) * sin(d) * cos(p), cos(d) - sin(p) * sin(t))) + 540, 360) - 180, 6) AS lon FROM y""",
@@ -224,9 +195,12 @@ SELECT name, region, place_id, rank, CASE WHEN k = 1 THEN 1.0e0 WHEN k <= 3 THEN
         ),
         "place_fuzzy": with_views(
             """, m AS (SELECT place_id AS mention_id, CASE WHEN place_id % 5 = 0 THEN substr(name, 1, 3) || substr(name, 5) ELSE name END AS mention, region FROM fx_places),
-j AS (SELECT mention_id, levenshtein(mention, name) AS d, place_id, CASE WHEN length(mention) >= 8 THEN 2 ELSE 1 END AS most
-  FROM m JOIN fx_places p USING (region) WHERE length(mention) >= 5 AND mention[1] = name[1])
-SELECT mention_id, min(d)::INT AS d, arg_min(place_id, (d, place_id)) AS place_id FROM j WHERE d <= most GROUP BY mention_id""",
+s AS (SELECT mention, name, levenshtein(mention, name) AS d FROM (SELECT DISTINCT mention FROM m WHERE length(mention) >= 5), (SELECT DISTINCT name FROM fx_places) WHERE mention[1] = name[1]),
+b AS (SELECT mention, min(d) AS d FROM s GROUP BY mention HAVING min(d) = 1),
+c AS (SELECT mention_id, d, p.place_id, count(*) OVER (PARTITION BY mention_id) AS k, row_number() OVER (PARTITION BY mention_id ORDER BY
+    CASE place WHEN 'city' THEN 4 WHEN 'town' THEN 3 WHEN 'village' THEN 2 ELSE 1 END * 10000000 + population DESC, p.place_id) AS pick
+  FROM m JOIN b USING (mention) JOIN s USING (mention, d) JOIN fx_places p ON p.name = s.name AND p.region = m.region)
+SELECT mention_id, d::INT AS d, place_id, round(CASE WHEN k = 1 THEN 1.0e0 WHEN k <= 3 THEN 0.8e0 ELSE 0.6e0 END * 0.7e0, 6) AS confidence FROM c WHERE pick = 1""",
             "fx_places",
         ),
         "place_fuzzy_lexicon": with_views(

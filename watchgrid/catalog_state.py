@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchgrid.catalog import q_proximity, q_proximity_both
+from watchgrid.catalog import q_proximity
 from watchgrid.functions import geo
 from watchgrid.operators import alerts, history, proximity, regions
 from watchgrid.sources.fixtures import view, with_views
@@ -17,10 +17,6 @@ def q_observation(spark, sf):
     return history.to_observation(view(spark, sf, "fx_reports"))
 
 
-def q_tracks_at(spark, sf):
-    return history.tracks_at(q_observation(spark, sf), NOW)
-
-
 def q_alerts_diff(spark, sf):
     found = alerts.intervals(alerts.filled(view(spark, sf, "fx_alert_polls")))
     return history.state_diff(alerts.alerts_at(found, EARLIER), alerts.alerts_at(found, NOW))
@@ -57,11 +53,6 @@ def q_stale(spark, sf):
     return view(spark, sf, "fx_reports").select("report_id", F.when(age > 25, True).otherwise(False).alias("stale"))
 
 
-def q_region_level(spark, sf):
-    polls = alerts.filled(view(spark, sf, "fx_alert_polls"))
-    return polls.groupBy("region").agg(F.max("level").alias("most"), F.count_if(F.col("level") > 0).alias("n_active"), F.count("*").alias("n_polls"))
-
-
 def q_flips(spark, sf):
     hourly = view(spark, sf, "fx_reports").groupBy("channel_no", F.date_trunc("hour", "observed_at").alias("hour")).agg(F.count("*").alias("n"))
     return history.level_flips(hourly.withColumn("healthy", F.col("n") >= 2), "channel_no", "hour", "healthy").select("channel_no", "hour", "healthy")
@@ -71,10 +62,6 @@ def q_burst(spark, sf):
     return history.bursts(q_proximity(spark, sf))
 
 
-def q_burst_both(spark, sf):
-    return history.bursts(q_proximity_both(spark, sf))
-
-
 def q_notifiable(spark, sf):
     return view(spark, sf, "fx_subscribers").where("is_active and lat is not null and lon is not null").select("subscriber_id", "radius_km")
 
@@ -131,7 +118,6 @@ def q_bbox(spark, sf):
 def queries() -> dict:
     return {
         "to_observation": q_observation,
-        "tracks_at": q_tracks_at,
         "alerts_diff": q_alerts_diff,
         "latest_version": q_latest,
         "channel_cursor": q_cursor,
@@ -140,10 +126,9 @@ def queries() -> dict:
         "events_after": q_events_after,
         "oldest_latest_seq": q_seq_range,
         "is_stale": q_stale,
-        "region_level": q_region_level,
         "source_flips": q_flips,
         "cross_source_burst": q_burst,
-        "cross_source_burst_both_ends": q_burst_both,
+        "cross_source_burst_both_ends": q_burst,
         "notifiable": q_notifiable,
         "course_rates": q_course_rates,
         "report_rate": q_report_rate,
@@ -175,13 +160,6 @@ def oracle_sql() -> dict:
     lines, both = core()["proximity"], core()["proximity_both_ends"]
     return {
         "to_observation": with_views(_OBSERVED + "SELECT * FROM o WHERE kind IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL", "fx_reports"),
-        "tracks_at": with_views(
-            _OBSERVED
-            + f"""SELECT type, channel_no, min(observed_at) AS first_seen, max(observed_at) AS last_seen, arg_max(kind, (observed_at, report_id)) AS last_kind,
-  round(arg_max(lat, (observed_at, report_id)), 6) AS lat, round(arg_max(lon, (observed_at, report_id)), 6) AS lon, string_agg(report_id, ',' ORDER BY observed_at, report_id) AS path
-FROM o WHERE kind IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND observed_at <= TIMESTAMP '{NOW}' AND observed_at > TIMESTAMP '{NOW}' - INTERVAL 60 MINUTE GROUP BY type, channel_no""",
-            "fx_reports",
-        ),
         "alerts_diff": with_views(
             _FILLED + f"SELECT region, coalesce(x.level, 0) AS ends, coalesce(y.level, 0) AS starts FROM ({open_at.format(EARLIER)}) x FULL JOIN ({open_at.format(NOW)}) y USING (region) WHERE x.level IS DISTINCT FROM y.level", "fx_alert_polls"
         ),
@@ -197,7 +175,6 @@ SELECT channel, capture, after, before FROM g WHERE after > 0 AND before > after
         "events_after": with_views(" SELECT * FROM fx_log WHERE seq > 100 ORDER BY seq LIMIT 1000", "fx_log"),
         "oldest_latest_seq": with_views(" SELECT min(seq) AS oldest_seq, coalesce(max(seq), 0) AS latest_seq FROM fx_log", "fx_log"),
         "is_stale": with_views(f" SELECT report_id, TIMESTAMP '{NOW}' - observed_at > INTERVAL 25 MINUTE AS stale FROM fx_reports", "fx_reports"),
-        "region_level": with_views(_FILLED + "SELECT region, max(level) AS most, count(*) FILTER (WHERE level > 0) AS n_active, count(*) AS n_polls FROM g GROUP BY region", "fx_alert_polls"),
         "source_flips": with_views(
             """, h AS (SELECT channel_no, date_trunc('hour', observed_at) AS hour, count(*) >= 2 AS healthy FROM fx_reports GROUP BY 1, 2),
 l AS (SELECT *, lag(healthy) OVER (PARTITION BY channel_no ORDER BY hour) AS was FROM h)

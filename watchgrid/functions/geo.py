@@ -37,10 +37,12 @@ def destination(lat: Column, lon: Column, degrees: Column, km: Column) -> tuple[
 
 
 def approach(lat: Column, lon: Column, course: Column, speed_kmh: Column, minutes_ago: Column, to_lat: Column, to_lon: Column) -> tuple[Column, Column]:
-    """(closest km, minutes from now to the closest point) on a flat projection; null where the point lies behind."""
-    dx = (to_lon - lon) * 111.32 * F.cos(F.radians(lat))
+    """(closest km, minutes from now to the closest point) of a path that began some minutes ago, seen from a reader, on a flat
+    projection at the reader's latitude; null where that point has been passed."""
+    dx = (to_lon - lon) * 111.32 * F.cos(F.radians(to_lat))
     dy = (to_lat - lat) * 110.57
     ahead = dx * F.sin(F.radians(course)) + dy * F.cos(F.radians(course))
     side = F.abs(dx * F.cos(F.radians(course)) - dy * F.sin(F.radians(course)))
-    going = (ahead >= 0) & (speed_kmh > 0)
-    return F.when(going, side), F.when(going, F.greatest(ahead / speed_kmh * 60 - minutes_ago, F.lit(0.0)))
+    eta = ahead / speed_kmh * 60 - minutes_ago
+    coming = (speed_kmh > 0) & (eta >= 0)
+    return F.when(coming, side), F.when(coming, eta)

@@ -25,17 +25,17 @@ def to_observation(reports: DataFrame) -> DataFrame:
 
 
 def tracks_at(points: DataFrame, when: str, tail_min: int = 60) -> DataFrame:
-    """One row a track (type and channel) seen in the ``tail_min`` minutes up to a time: first, last, latest point and path.
+    """One row a track seen in the ``tail_min`` minutes up to a time: first, last, latest point and path.
 
-    The path of a track is bounded by the tail, not by the table.
+    ``points``: track_id, report_id, observed_at, kind, lat, lon. The path of a track is bounded by the tail, not by the table.
     """
     t = at(when)
     seen = points.where((F.col("observed_at") <= t) & (F.col("observed_at") > t - F.expr(f"interval {tail_min} minutes")))
     path = F.array_sort(F.collect_list(F.struct("observed_at", "report_id")))
     last = F.max_by(F.struct("kind", "lat", "lon"), F.struct("observed_at", "report_id"))
-    found = seen.groupBy("type", "channel_no").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), last.alias("x"), path.alias("p"))
+    found = seen.groupBy("track_id").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), last.alias("x"), path.alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["report_id"].cast("string")), ",")
-    return found.select("type", "channel_no", "first_seen", "last_seen", F.col("x.kind").alias("last_kind"), F.round("x.lat", 6).alias("lat"), F.round("x.lon", 6).alias("lon"), text.alias("path"))
+    return found.select("track_id", "first_seen", "last_seen", F.col("x.kind").alias("last_kind"), F.round("x.lat", 6).alias("lat"), F.round("x.lon", 6).alias("lon"), text.alias("path"))
 
 
 def state_diff(open_: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reports near subscribers: a grid join, reasons, and one line per subject."""
+"""Reports near subscribers: a grid join, three reasons, and one line per subject."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchgrid.functions.geo import approach, distance_km
+from watchgrid.functions.geo import angle_diff, approach, bearing, distance_km
 
-#: Typical speeds in km/h; other types aren't projected.
+# Speeds in km/h by which a position is projected (other types aren't), and by which a course is judged.
 SPEEDS = {"uav": 180.0, "jet_uav": 600.0, "cruise": 800.0, "recon": 150.0}
+TYPICAL = {"uav": 180.0, "jet_uav": 600.0, "cruise": 800.0, "ballistic": 3000.0, "kab": 700.0, "aviation": 800.0, "recon": 150.0, "unknown": 200.0}
 
 
 @dataclass(frozen=True)
@@ -18,10 +19,13 @@ class Rules:
     min_confidence: float = 0.6
     max_age_min: float = 30.0
     eta_max_min: float = 30.0
+    stale_min: float = 25.0
+    course_tolerance_deg: float = 30.0
+    lead_min: float = 25.0
 
 
-def speed_kmh(kind: Column) -> Column:
-    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in SPEEDS.items()])
+def speed_kmh(kind: Column, speeds: dict[str, float] = SPEEDS) -> Column:
+    return F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in speeds.items()])
 
 
 def age_min(now: str) -> Column:
@@ -32,58 +36,106 @@ def known(end: str) -> Column:
     return F.col(f"{end}_lat").isNotNull() & F.col(f"{end}_lon").isNotNull()
 
 
+def recent(now: str, minutes: float) -> Column:
+    """Not newer than now and at most so old: two literals against the column, so that a scan can use them."""
+    t = F.lit(now).cast("timestamp_ntz")
+    return (F.col("observed_at") <= t) & (F.col("observed_at") >= t - F.make_dt_interval(mins=F.lit(int(minutes)), secs=F.lit(minutes % 1 * 60)))
+
+
 def actionable(reports: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
     """Reports of enough confidence, at most 30 minutes old (not newer than now), with an origin or a destination, not an area."""
-    age = age_min(now)
-    return reports.where((F.col("confidence") >= rules.min_confidence) & (age <= rules.max_age_min) & (age >= 0) & ~F.col("to_area") & (known("to") | known("from")))
+    return reports.where(recent(now, rules.max_age_min) & (F.col("confidence") >= rules.min_confidence) & ~F.col("to_area") & (known("to") | known("from")))
 
 
-def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), origins: bool = True) -> DataFrame:
-    """(subscriber_id, report_id, type, n, reason, distance_km): reason in_radius, else approaching.
+def _cells(lat: Column, lon: Column, reach: Column, cell: float) -> tuple[Column, Column]:
+    """Cells that hold every point within ``reach`` km: rows and, wrapped at 180 degrees, columns."""
+    up = reach / 110.57 + 0.01
+    # the row nearest to a pole has the shortest degree; near a pole all columns are within reach
+    wide = F.least(reach / (111.32 * F.cos(F.radians(F.least(F.abs(lat) + up, F.lit(85.0))))) + 0.01, F.lit(180.0))
+    rows = F.sequence(F.floor((lat - up) / cell), F.floor((lat + up) / cell))
+    columns = F.array_distinct(F.transform(F.sequence(F.floor((lon - wide) / cell), F.floor((lon + wide) / cell)), lambda x: F.pmod(x, F.lit(int(360 / cell)))))
+    return rows, columns
 
-    in_radius takes the smaller distance to the report's origin and destination, as far as they are known; distance_km is
-    to the place that is named, the destination where known. Without ``origins`` only destinations count.
 
-    Reports and subscribers meet in cells of one degree: a report goes to the cell of its destination, a subscriber to all
-    cells that can hold a report within reach, so no pair of far ends is made, and a crowded cell is split by the join's
-    skew handling. Origins meet subscribers in the cells within the radius, where the destination's cell is out of reach.
-    """
-    fast = max(SPEEDS.values()) / 60 * (rules.max_age_min + rules.eta_max_min)
+def _grid(rows: Column, columns: Column) -> Column:
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
 
-    def span(reach: Column) -> dict[str, Column]:
-        up = reach / 110.57 + 0.01
-        # the nearest pole of the span has the shortest degree
-        wide = reach / (111.32 * F.cos(F.radians(F.least(F.abs(F.col("lat")) + up, F.lit(85.0))))) + 0.01
-        return {k: F.floor(x) for k, x in {"y0": F.col("lat") - up, "y1": F.col("lat") + up, "x0": F.col("lon") - wide, "x1": F.col("lon") + wide}.items()}
 
-    def meet(near: DataFrame, subscribers: DataFrame, end: str, reach: Column) -> DataFrame:
-        s = span(reach)
-        cells = subscribers.withColumn("cy", F.explode(F.sequence(s["y0"], s["y1"]))).withColumn("cx", F.explode(F.sequence(s["x0"], s["x1"])))
-        at = {"cy": F.floor(f"{end}_lat"), "cx": F.floor(f"{end}_lon")}
-        # a broadcast would be judged by the subscribers before they are dealt to cells
-        return near.where(known(end)).withColumns(at).join(cells.hint("merge"), ["cy", "cx"]).drop("cy", "cx")
+def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]], cell: float = 1.0) -> DataFrame:
+    """Rows of ``near`` joined with the readers (lat, lon) that may lie within reach of one of its points.
 
+    ``points``: the prefix of a point's columns and the reach in km. A row of ``near`` goes to every cell within reach, once;
+    a reader lies in one cell. So few reports meet many readers, and a crowded cell is split by the join's skew handling.
+    """
+    spots = []
+    for end, reach in points:
+        rows, columns = _cells(F.col(f"{end}lat"), F.col(f"{end}lon"), reach, cell)
+        spots.append(F.when(reach.isNotNull(), _grid(rows, columns)))
+    every = F.array_distinct(F.concat(*[F.coalesce(s, F.array().cast("array<struct<cy:bigint,cx:bigint>>")) for s in spots]))
+    dealt = near.withColumn("_at", F.explode(every)).withColumns({"cy": F.col("_at.cy"), "cx": F.col("_at.cx")}).drop("_at")
+    at = readers.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.pmod(F.floor(F.col("lon") / cell), F.lit(int(360 / cell)))})
+    return dealt.join(at.hint("merge"), ["cy", "cx"]).drop("cy", "cx")
+
+
+def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
+    """(subscriber_id, report_id, type, n, reason, distance_km, target_km, eta_min, closest_km).
+
+    The report's position is its origin where known, else its destination; the named place is the destination where known.
+    Reasons, the first that holds: in_radius, the nearer of both within the subscriber's radius; approaching, a position with
+    a course, not stale and of a type that is projected, whose path passes within the radius in time; heading_towards, a known
+    origin and a course that points at the subscriber, who is within what the type covers in ``lead_min`` minutes.
+    distance_km is to the named place, target_km to the position; eta_min is null for in_radius.
+    """
     located = subscribers.where("is_active and lat is not null and lon is not null").select("subscriber_id", "lat", "lon", "radius_km")
-    near = actionable(reports, now, rules).select(
-        "report_id", "type", "n", "relation", "to_lat", "to_lon", "from_lat", "from_lon", "course_deg", age_min(now).alias("age")
-    )
-    reach = F.col("radius_km") + fast
-    pairs = meet(near, located, "to", reach)
-    if origins:
-        s = span(reach)
-        met = known("to") & F.floor("to_lat").between(s["y0"], s["y1"]) & F.floor("to_lon").between(s["x0"], s["x1"])
-        pairs = pairs.unionByName(meet(near, located, "from", F.col("radius_km")).where(~met))
-    closest, eta = approach(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), speed_kmh(F.col("type")), F.col("age"), F.col("lat"), F.col("lon"))
+    radius = located.agg(F.max("radius_km").alias("widest"))  # one row
+    near = actionable(reports, now, rules).select("report_id", "type", "n", "relation", "to_lat", "to_lon", "from_lat", "from_lon", "course_deg", age_min(now).alias("age"))
+    near = near.withColumns({"typical": speed_kmh(F.col("type"), TYPICAL), "projected": speed_kmh(F.col("type"))}).crossJoin(F.broadcast(radius))
+    moving = F.col("relation").isin("over", "past", "through") & F.col("course_deg").isNotNull() & F.col("projected").isNotNull() & (F.col("age") <= rules.stale_min)
+    # a path is as long as the type flies since the report and until the last arrival that counts
+    ahead = F.when(moving, F.col("projected") / 60 * (F.col("age") + rules.eta_max_min)).otherwise(0.0)
+    towards = F.when(F.col("course_deg").isNotNull(), F.col("typical") * rules.lead_min / 60).otherwise(0.0)
+    wide = F.col("widest") * 1.01 + 1
+    pairs = meet(near, located, [("to_", F.when(known("to"), wide + ahead)), ("from_", F.when(known("from"), wide + towards))])
     to, origin = (distance_km(F.col(f"{end}_lat"), F.col(f"{end}_lon"), F.col("lat"), F.col("lon")) for end in ("to", "from"))
-    nearest = F.least(to, origin) if origins else to
-    pairs = pairs.withColumns({"distance_km": F.coalesce(to, origin), "nearest": nearest, "closest": closest, "eta": eta})
-    coming = (F.col("relation") == "over") & (F.col("closest") <= F.col("radius_km")) & (F.col("eta") <= rules.eta_max_min)
-    reason = F.when(F.col("nearest") <= F.col("radius_km"), "in_radius").when(coming, "approaching")
-    return pairs.withColumn("reason", reason).where("reason is not null").select("subscriber_id", "report_id", "type", "n", "reason", "distance_km")
+    pairs = pairs.withColumns({"target_km": F.coalesce(origin, to), "distance_km": F.coalesce(to, origin)})
+    closest, eta = approach(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), F.col("projected"), F.col("age"), F.col("lat"), F.col("lon"))
+    coming = moving & known("to") & (closest <= F.col("radius_km")) & (eta <= rules.eta_max_min)
+    aimed = angle_diff(bearing(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")), F.col("course_deg")) <= rules.course_tolerance_deg
+    heading = aimed & (F.col("target_km") <= F.col("typical") * rules.lead_min / 60 + F.col("radius_km"))
+    reason = F.when(F.least("distance_km", "target_km") <= F.col("radius_km"), "in_radius").when(coming, "approaching").when(heading, "heading_towards")
+    pairs = pairs.withColumns({"reason": reason, "closest": closest, "eta": eta}).where("reason is not null")
+    minutes = F.when(F.col("reason") == "approaching", F.col("eta")).when(F.col("reason") == "heading_towards", F.col("target_km") / F.col("typical") * 60)
+    return pairs.select("subscriber_id", "report_id", "type", "n", "reason", "distance_km", "target_km", minutes.alias("eta_min"), F.when(F.col("reason") == "approaching", F.col("closest")).alias("closest_km"))
+
+
+def dedupe_lines(matches: DataFrame, place: str | None = None) -> DataFrame:
+    """Per subscriber and subject (type, place where given, reason): the nearest report (of ties the smallest id) and the largest count."""
+    subject = ["type", *([place] if place else []), "reason"]
+    return matches.groupBy("subscriber_id", *subject).agg(
+        F.min(F.struct("distance_km", "report_id")).alias("near"), F.max("n").alias("n")
+    ).select("subscriber_id", *subject, "n", F.col("near.report_id").alias("report_id"), F.round("near.distance_km", 6).alias("distance_km"))
 
 
-def dedupe_lines(matches: DataFrame) -> DataFrame:
-    """Per subscriber, type and reason: the nearest report (of ties the smallest id) and the largest count."""
-    return matches.groupBy("subscriber_id", "type", "reason").agg(
-        F.min(F.struct("distance_km", "report_id")).alias("near"), F.max("n").alias("n")
-    ).select("subscriber_id", "type", "reason", "n", F.col("near.report_id").alias("report_id"), F.round("near.distance_km", 6).alias("distance_km"))
+def near_me(tracks: DataFrame, viewers: DataFrame, now: str, radius_km: float = 40.0, eta_max_min: float = 60.0, rules: Rules = Rules()) -> DataFrame:
+    """(viewer_id, track_id, kind, eta_min, closest_km, distance_km, place): tracks that approach a viewer, then destinations nearby.
+
+    ``tracks``: track_id, type, last_kind, lat, lon, heading_deg, observed_at, area. Areas and stale tracks have no row, nor do
+    positions of types that aren't projected. ``place`` counts each viewer's rows: approaches by time, then destinations by distance; ties by id.
+    """
+    age = age_min(now)
+    fresh = tracks.where(recent(now, rules.stale_min) & ~F.col("area")).withColumns({"age": age, "projected": speed_kmh(F.col("type"))})
+    reach = F.when(F.col("last_kind") == "destination", F.lit(radius_km)).when(
+        (F.col("last_kind") == "position") & F.col("heading_deg").isNotNull(), radius_km + F.col("projected") / 60 * (F.col("age") + eta_max_min)
+    )
+    fresh = fresh.withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"})
+    pairs = meet(fresh, viewers.where("lat is not null and lon is not null").select("viewer_id", "lat", "lon"), [("t_", reach * 1.01 + 1)])
+    closest, eta = approach(F.col("t_lat"), F.col("t_lon"), F.col("heading_deg"), F.col("projected"), F.col("age"), F.col("lat"), F.col("lon"))
+    away = distance_km(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("lon"))
+    kind = F.when((F.col("last_kind") == "position") & (closest <= radius_km) & (eta <= eta_max_min), "approach").when((F.col("last_kind") == "destination") & (away <= radius_km), "destination")
+    out = pairs.withColumns({"kind": kind, "eta_min": eta, "closest_km": closest, "distance_km": away}).where("kind is not null")
+    only = lambda c, k: F.when(F.col("kind") == k, F.round(c, 6)).alias(c)
+    out = out.select("viewer_id", "track_id", "kind", only("eta_min", "approach"), only("closest_km", "approach"), only("distance_km", "destination"))
+    # a viewer's rows are bounded by the tracks of the last minutes
+    order = F.array_sort(F.collect_list(F.struct("kind", F.coalesce("eta_min", "distance_km").alias("by"), "track_id", "eta_min", "closest_km", "distance_km")))
+    rows = out.groupBy("viewer_id").agg(order.alias("rows")).select("viewer_id", F.posexplode("rows").alias("place", "x"))
+    return rows.select("viewer_id", F.col("x.track_id").alias("track_id"), F.col("x.kind").alias("kind"), "x.eta_min", "x.closest_km", "x.distance_km", (F.col("place") + 1).cast("long").alias("place"))

@@ -32,19 +32,6 @@ def candidate_rank(places: DataFrame) -> DataFrame:
     return rank.withColumns({"pick": F.row_number().over(by), "confidence": confidence})
 
 
-def place_fuzzy_in_region(mentions: DataFrame, places: DataFrame, least: int = 5) -> DataFrame:
-    """Nearest spelling in the mention's region: same first letter, edit distance at most 1 (2 from 8 letters on).
-
-    Names meet by region, first letter and length, so distances are taken of few; ties go to the smaller id.
-    """
-    most = F.when(F.length("mention") >= 8, 2).otherwise(1)
-    m = mentions.where(F.length("mention") >= least).withColumn("len", F.explode(F.sequence(F.length("mention") - most, F.length("mention") + most)))
-    m = m.withColumns({"first": F.substring("mention", 1, 1), "most": most})
-    p = places.select("place_id", "name", "region", F.length("name").alias("len"), F.substring("name", 1, 1).alias("first"))
-    found = m.join(p, ["region", "first", "len"]).withColumn("d", F.levenshtein("mention", "name", 2)).where("d >= 0 and d <= most")
-    return found.groupBy("mention_id").agg(F.min(F.struct("d", "place_id")).alias("b")).select("mention_id", F.col("b.d").alias("d"), F.col("b.place_id").alias("place_id"))
-
-
 def place_fuzzy(mentions: DataFrame, places: DataFrame, least: int = 5, most: int = 1, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """(mention_id, d, place_id, confidence): the nearest spelling of the whole lexicon, if its place is in the mention's region.
 

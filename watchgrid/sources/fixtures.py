@@ -4,8 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FLAGS = " || ".join(f"CASE (event_id * {k + 3} + user_id) % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'P' ELSE 'N' END" for k in range(27))
+_STATE_NAMES = "Вінницька Волинська Дніпропетровська Донецька Житомирська Закарпатська Запорізька Київська Кіровоградська Луганська Львівська Миколаївська Одеська Полтавська Рівненська Сумська Тернопільська Харківська Херсонська Черкаська".split()
+
+
+def _states(names: list[str]) -> str:
+    alert = "CASE (event_id + {0} * user_id) % 3 WHEN 0 THEN 'true' ELSE 'false' END"
+    return " || ',' || ".join("'{\"name\":\"" + n + " область\",\"alert\":' || " + alert.format(k) + " || '}'" for k, n in enumerate(names))
+
+
 #: One text valid in Spark and in DuckDB for each view.
 VIEWS = {
+    "fx_feed_fixed": f"""
+SELECT event_id AS poll_id, substr({_FLAGS}, 1, CASE WHEN event_id % 9 = 0 THEN 20 ELSE 27 END) AS raw FROM events""",
+    "fx_feed_states": f"""
+SELECT event_id AS poll_id, CASE WHEN event_id % 7 = 0 THEN '[' || {_states(_STATE_NAMES[:9])} || ']' WHEN event_id % 31 = 0 THEN 'busy'
+  ELSE '[' || {_states(_STATE_NAMES)} || ',{{"name":" м. Київ ","alert":null}},{{"name":"Нова область","alert":true}}]' END AS raw FROM events""",
+    "fx_feed_sitrep": """
+SELECT event_id AS poll_id, '# Report' || chr(10)
+  || CASE WHEN event_id % 8 = 0 THEN '## 3. STATUS' ELSE '## 3. CURRENT WARNING STATUS' END || chr(10)
+  || '**Nominal alerts (Луганська область)** — air raid alert' || chr(10)
+  || CASE WHEN event_id % 3 = 0 THEN '**Sumy (Сумська область)** — air raid alert. 2 areas affected: Sumskyi (Сумський район), Okhtyrskyi (Охтирський), Bilopilska [hromada] (Білопільська громада)' || chr(10) ELSE '' END
+  || CASE WHEN user_id % 2 = 0 THEN ' **Ternopil (Тернопільська область)** — air raid alert. 3 areas affected: (Тернопільський), (Кременецький), (Чортківський), m. Ternopil (м. Тернопіль)' || chr(10) ELSE '' END
+  || CASE WHEN user_id % 5 = 1 THEN '**Kharkiv (Харківська область)** — artillery threat. 1 area affected: (Липецька)' || chr(10) ELSE '' END
+  || CASE WHEN user_id % 7 = 2 THEN '**Odesa (Одеська область)** — Air Raid Alert' || chr(10) || '**Odesa (Одеська область)** — air raid alert. Areas affected: (Одеський), (Одеський)' || chr(10) ELSE '' END
+  || CASE WHEN user_id % 7 = 3 THEN '**Kyiv (м. Київ)** — air raid alert' || chr(10) || '**Nowhere (Нова область)** — air raid alert' || chr(10) ELSE '' END
+  || chr(10) || '## 4. THREAT ACTIVITY' || chr(10)
+  || CASE WHEN event_id % 2 = 0 THEN '- **12:0' || CAST(user_id % 10 AS VARCHAR(2)) || ' — UAV group (БпЛА)** over Sumy — heading west' || chr(10) || '- no time' || chr(10) || '- **13:45 — Missile** over the sea' || chr(10) ELSE '' END
+  || '## 5. END' || chr(10) AS raw
+FROM events""",
+    "fx_districts": """
+SELECT * FROM (VALUES ('sumska', 'сумський'), ('sumska', 'охтирський'), ('sumska', 'конотопський'), ('ternopilska', 'тернопільський'), ('ternopilska', 'кременецький'),
+  ('ternopilska', 'чортківський'), ('odeska', 'одеський'), ('odeska', 'ізмаїльський'), ('kharkivska', 'ізюмський')) AS v(region, district)""",
+    "fx_tracked": """
+SELECT event_id AS report_id, user_id AS track_id, CAST(event_id % 75 AS INT) AS ago,
+  CASE event_id % 6 WHEN 0 THEN 'destination' WHEN 1 THEN 'launch' ELSE 'position' END AS kind,
+  CASE event_type WHEN 'click' THEN 'uav' WHEN 'view' THEN 'jet_uav' WHEN 'purchase' THEN 'cruise' WHEN 'signup' THEN 'ballistic' ELSE 'kab' END AS type,
+  45.0e0 + (event_id * 37 % 700) * 0.01e0 AS lat, 23.0e0 + (event_id * 53 % 1500) * 0.01e0 AS lon,
+  CASE WHEN event_id % 4 <> 0 THEN CAST(event_id * 11 % 360 AS DOUBLE) END AS heading_deg, event_id % 13 = 0 AS area
+FROM events""",
+
     "fx_reports": """
 SELECT event_id AS report_id, ts AS observed_at, user_id % 20 AS channel_no,
   CASE event_type WHEN 'click' THEN 'uav' WHEN 'view' THEN 'jet_uav' WHEN 'purchase' THEN 'cruise'
@@ -71,7 +109,7 @@ SELECT source, doc_id, 2, CASE WHEN doc_id % 10 = 5 THEN text || ' (edit)' ELSE
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the tables of ``sf_dir``."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "part", "documents", "nation", "supplier", "orders") if f"FROM {t}" in VIEWS[name]}
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")
     for t in tables:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
     return spark.sql(text, **tables)
