@@ -220,8 +220,8 @@ def test_ids_of_the_ranks_are_those_of_the_tokenizer():
 
 
 def test_media(spark):
-    rows = media.media_columns(frame(spark)).collect()
-    assert len(rows) == len(documents())
+    rows = media.media_columns(frame(spark).selectExpr("*", "'p' as packets", "1 as media_bytes", "'e' as extra")).collect()
+    assert len(rows) == len(documents()) and all(x.extra == "e" for x in rows)
     for x in rows:
         payload = media.padded((x.text or "").encode())
         assert media.read(bytes(x.media)) == payload and b"".join(bytes(x.media)[p.start : p.end] for p in x.packets) == payload
@@ -229,6 +229,51 @@ def test_media(spark):
         assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.media_sha256 == hashlib.sha256(x.media).hexdigest()
 
 
+def _unknown(name, body):
+    return name.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+
+
+def _wide(name, body):
+    return name.to_bytes((name.bit_length() + 7) // 8, "big") + media.size_code(len(body), 8) + body
+
+
+def test_unknown_and_wide_sizes_groups_and_cues():
+    m = media
+    block = lambda t, data: m.size_code(1) + t.to_bytes(2, "big") + b"\x00" + data
+    one = m.number(m.TIME, 5) + m.element(m.SIMPLE, block(1, b"aa")) + m.element(m.GROUP, m.element(m.BLOCK, block(2, b"bb")) + m.number(0x9B, 3))
+    two = m.number(m.TIME, 50) + _wide(m.SIMPLE, block(0, b"cc"))
+    info = m.element(m.INFO, m.number(m.SCALE, 1000))
+    for wrap in (m.element, _unknown, _wide):
+        for last in (m.element, _unknown, _wide):
+            body = info + wrap(m.CLUSTER, one)
+            place = len(body)
+            body += last(m.CLUSTER, two) + m.element(m.CUES, m.element(m.POINT, m.number(m.CUE_TIME, 5) + m.element(m.POSITIONS, m.number(m.CUE_TRACK, 1) + m.number(m.CUE_PLACE, len(info)))) + m.element(m.POINT, m.number(m.CUE_TIME, 50) + m.element(m.POSITIONS, m.number(m.CUE_TRACK, 1) + m.number(m.CUE_PLACE, place))))
+            for whole in (m.element, _unknown, _wide):
+                data = whole(m.SEGMENT, body)
+                found, cues, _ = m.packets(data)
+                assert [(t, at, data[a:b]) for t, at, a, b in found] == [(1, 6000, b"aa"), (1, 7000, b"bb"), (1, 50000, b"cc")]
+                assert [(c[0], c[1]) for c in cues] == [(5000, 1), (50000, 1)] and all(data[c[2] : c[2] + 4] == m.CLUSTER.to_bytes(4, "big") for c in cues)
+                for at in (0, 6500, 7000, 8000, 50000, 50001):
+                    assert m.packets_from(data, at) == [p for p in found if p[1] >= at]
+
+
+def test_times_of_laced_frames_and_seeking():
+    payload = bytes(range(256)) * 300
+    data = media.write(payload)
+    found, cues, tracks = media.packets(data)
+    assert [t for _, t, _, _ in found] == [k * 100_000_000 for k in range(len(found))] and len(cues) > 2 and tracks[0][media.RATE] == 8000
+    for at in (0, 1, 3_250_000_000, found[-1][1], found[-1][1] + 1):
+        assert media.packets_from(data, at) == [p for p in found if p[1] >= at]
+
+
+def test_broken_files():
+    good = media.write(b"x" * 5000)
+    assert media.read(good) == b"x" * 5000
+    for bad in (good[:-9], good[: len(good) // 2]):
+        with pytest.raises((ValueError, IndexError)):
+            media.packets(bad)
+
+
 @pytest.mark.parametrize("lacing", [0, 1, 2, 3])
 def test_all_lacings(lacing):
     parts = [b"a" * 300, b"b" * 300, b"c" * 300]

@@ -1,8 +1,8 @@
 """Matroska as columns: write, parse into packets, read back.
 
 An EBML element is an identifier, a size of variable length and a body. The parser walks segment, tracks, clusters,
-block groups and cues; it takes unknown sizes, all kinds of lacing (none, Xiph, fixed, EBML), and yields one packet a
-frame with track, timestamp and byte range.
+block groups and cues; it takes unknown sizes of segments and clusters, all kinds of lacing (none, Xiph, fixed, EBML), and
+yields one packet a frame with track, timestamp and byte range. Cues lead to the cluster of a time without reading those before.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from watchgrid.session import ship
 # Element identifiers of the public format.
 EBML, SEGMENT, INFO, SCALE, TRACKS, ENTRY = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
 NUMBER, UID, KIND, CODEC, LACING, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK, DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, EACH = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x23E383
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_PLACE = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _MASTERS = {SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS}
-_TOP = {INFO, TRACKS, CLUSTER, CUES}
+#: Elements of a segment, any of which ends a cluster of unknown size.
+_TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
 RATE_HZ = 8000
 FRAME = 800
 LACED = 8
@@ -93,21 +94,33 @@ def _size(data: bytes, at: int) -> tuple[int | None, int]:
     return (None if value == (1 << 7 * width) - 1 else value), at + width
 
 
-def elements(data: bytes, at: int, end: int):
-    """(name, body's start, body's end) of the elements from ``at`` to ``end``; an unknown size lasts to the next of its level."""
+def _head(data: bytes, at: int) -> tuple[int, int | None, int]:
+    """(name, size or None for unknown, body's start) of the element at a byte."""
+    if not data[at] >> 4:
+        raise ValueError(f"no element at byte {at}")
+    width = 9 - data[at].bit_length()
+    n, start = _size(data, at + width)
+    return int.from_bytes(data[at : at + width], "big"), n, start
+
+
+def _cluster_end(data: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size, whose children begin at ``at``, ends: at the next element of a segment."""
     while at < end:
-        width = 9 - data[at].bit_length()
-        name = int.from_bytes(data[at : at + width], "big")
-        n, start = _size(data, at + width)
+        name, n, start = _head(data, at)
+        if name in _TOP:
+            return at
         if n is None:
-            stop = end
-            if name == CLUSTER:
-                for x, a, b in elements(data, start, end):
-                    if x in _TOP:
-                        stop = a - len(size_code(b - a)) - (x.bit_length() + 7) // 8
-                        break
-        else:
-            stop = start + n
+            raise ValueError(f"element {name:X} of unknown size in a cluster at byte {at}")
+        at = start + n
+    return end
+
+
+def elements(data: bytes, at: int, end: int):
+    """(name, body's start, body's end) of the elements from ``at`` to ``end``. An unknown size lasts to the parent's end, a
+    cluster's to the next element of its level."""
+    while at < end:
+        name, n, start = _head(data, at)
+        stop = start + n if n is not None else _cluster_end(data, start, end) if name == CLUSTER else end
         if stop > end:
             raise ValueError(f"element {name:X} passes its parent's end at byte {at}")
         yield name, start, stop
@@ -152,41 +165,91 @@ def frames(data: bytes, at: int, end: int):
         at += s
 
 
-def packets(data: bytes) -> tuple[list[tuple], list[tuple], list[dict]]:
-    """(packets, cues, tracks): (track, timestamp in ns, start, end) a frame; (time, track, byte of the cluster); tracks as dicts."""
-    out, cues, tracks, scale, base = [], [], [], 1_000_000, 0
-    whole = lambda a, b: int.from_bytes(data[a:b], "big")
-
-    def walk(at, end, time, into, origin):
-        nonlocal scale
-        for name, a, b in elements(data, at, end):
-            if name == TIME:
-                time = whole(a, b)
-            elif name == SCALE:
-                scale = whole(a, b)
-            elif name in (SIMPLE, BLOCK):
-                out.extend((t, (time + r) * scale, x, y) for t, r, x, y in frames(data, a, b))
-            elif name in (NUMBER, CHANNELS, DEPTH, CUE_TIME, CUE_TRACK, CUE_PLACE):
-                into[name] = whole(a, b)
+def _durations(track: dict, sizes: list[int]) -> list[int]:
+    """Nanoseconds of each frame of a laced block: the track's default, else of plain samples their time, else 0."""
+    if EACH in track:
+        return [track[EACH]] * len(sizes)
+    second = track.get(RATE, 0) * track.get(CHANNELS, 1) * track.get(DEPTH, 0) / 8
+    if track.get(CODEC, "").startswith("A_PCM") and second > 0:
+        return [round(n * 1_000_000_000 / second) for n in sizes]
+    return [0] * len(sizes)
+
+
+class Parser:
+    """Reads a file: ``packets`` (track, timestamp in ns, start, end), ``cues`` (ns, track, byte of the cluster), ``tracks`` (dicts)."""
+
+    def __init__(self, data: bytes, clusters: bool = True):
+        self.data, self.clusters = data, clusters
+        self.packets: list[tuple] = []
+        self.cues: list[tuple] = []
+        self.tracks: list[dict] = []
+        self.scale, self.origin = 1_000_000, 0
+        self._walk(0, len(data), {})
+
+    def _whole(self, a: int, b: int) -> int:
+        return int.from_bytes(self.data[a:b], "big")
+
+    def _walk(self, at: int, end: int, into: dict) -> None:
+        for name, a, b in elements(self.data, at, end):
+            if name == SCALE:
+                self.scale = self._whole(a, b)
+            elif name in (NUMBER, CHANNELS, DEPTH, CUE_TIME, CUE_TRACK, CUE_PLACE, EACH):
+                into[name] = self._whole(a, b)
             elif name == CODEC:
-                into[name] = data[a:b].decode("ascii", "replace")
+                into[name] = self.data[a:b].decode("ascii", "replace")
             elif name == RATE:
-                into[name] = struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
+                into[name] = struct.unpack(">d" if b - a == 8 else ">f", self.data[a:b])[0]
+            elif name == CLUSTER:
+                if self.clusters:
+                    self.cluster(a, b)
             elif name in _MASTERS:
+                if name == SEGMENT:
+                    self.origin = a
                 mine = {} if name in (ENTRY, POINT) else into
-                walk(a, b, time, mine, a if name == SEGMENT else origin)
+                self._walk(a, b, mine)
                 if name == ENTRY:
-                    tracks.append(mine)
+                    self.tracks.append(mine)
                 elif name == POINT:
-                    cues.append((mine.get(CUE_TIME, 0) * scale, mine.get(CUE_TRACK, 0), origin + mine.get(CUE_PLACE, 0)))
+                    self.cues.append((mine.get(CUE_TIME, 0) * self.scale, mine.get(CUE_TRACK, 0), self.origin + mine.get(CUE_PLACE, 0)))
+
+    def cluster(self, at: int, end: int) -> None:
+        time = 0
+        of = {t.get(NUMBER): t for t in self.tracks}
+        for name, a, b in elements(self.data, at, end):
+            if name == TIME:
+                time = self._whole(a, b)
+            blocks = [(a, b)] if name == SIMPLE else [(x, y) for n, x, y in elements(self.data, a, b) if n == BLOCK] if name == GROUP else []
+            for x, y in blocks:
+                found = list(frames(self.data, x, y))
+                t = (time + found[0][1]) * self.scale
+                for (track, _, start, stop), step in zip(found, _durations(of.get(found[0][0], {}), [f[3] - f[2] for f in found])):
+                    self.packets.append((track, t, start, stop))
+                    t += step
+
 
-    walk(0, len(data), 0, {}, base)
-    return out, cues, tracks
+def packets(data: bytes) -> tuple[list[tuple], list[tuple], list[dict]]:
+    """(packets, cues, tracks); see ``Parser``."""
+    found = Parser(data)
+    return found.packets, found.cues, found.tracks
+
+
+def packets_from(data: bytes, at_ns: int) -> list[tuple]:
+    """Packets of ``at_ns`` or later, from the cluster of the last cue that is no later; without cues, from the start."""
+    found = Parser(data, clusters=False)
+    before = [c for c in found.cues if c[0] <= at_ns]
+    if not found.cues or not before:
+        found = Parser(data)
+    else:
+        # a segment's children from that cluster on
+        for name, a, b in elements(data, max(before)[2], len(data)):
+            if name == CLUSTER:
+                found.cluster(a, b)
+    return [p for p in found.packets if p[1] >= at_ns]
 
 
 def read(data: bytes, track: int = 1) -> bytes:
     """The samples of a track, frame after frame."""
-    return b"".join([data[a:b] for t, _, a, b in packets(data)[0] if t == track])
+    return b"".join([data[a:b] for t, _, a, b in Parser(data).packets if t == track])
 
 
 def padded(text: bytes) -> bytes:
@@ -206,7 +269,8 @@ _PACKETS = "packets array<struct<track:int,timestamp_ns:long,start:long,end:long
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """The rows and columns of ``docs`` with the columns of ``NEW`` and, with ``keep_media``, ``media`` (binary) and its
-    ``packets``; these replace columns of those names. A null text is stored as an empty one: 64 bytes 0.
+    ``packets``; these replace columns of those names. A null text is stored as an empty one: 64 bytes 0. Equal texts give equal
+    values; nothing depends on the order of rows, and repeated rows stay.
     """
     ship(docs.sparkSession)
     more = T._parse_datatype_string(NEW + (f", media binary, {_PACKETS}" if keep_media else "")).fields
