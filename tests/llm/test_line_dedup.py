@@ -47,3 +47,11 @@ def test_empty_and_repeated_rows(spark):
     assert line_dedup(df).count() == 0
     df = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in line_dedup(df).collect()) == [("1", "a\nb\nc"), ("1", "a\nb\nc"), ("2", ""), ("None", "a\nb\nc")]
+
+
+def test_one_id_with_different_texts(spark):
+    docs = [(1, "a\nb\nc\nd\ne"), (2, "a\nb\nc\nd\ne"), (2, "x"), (2, "y\nz\nq"), (3, "y\nz\nq"), (3, "y\nz\nq"), (3, None)]
+    rows = line_dedup(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as covered", "2 as _version").repartition(3)).collect()
+    got = sorted((x.doc_id, str(x.text), x.n_lines, x.n_removed) for x in rows)
+    assert rows[0].covered == 1
+    assert got == [(1, "a\nb\nc\nd\ne", 5, 0), (2, "", 5, 5), (2, "x", 1, 0), (2, "y\nz\nq", 3, 0), (3, "", 3, 3), (3, "", 3, 3), (3, "None", 0, 0)]

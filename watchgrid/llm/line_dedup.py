@@ -23,12 +23,14 @@ def line_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Returns the rows and columns of ``docs`` with ``text`` changed, and two more: ``n_lines`` and
     ``n_removed`` (long). Null text stays null with 0 lines; an empty text has one line; fewer than ``width``
-    lines with words are left alone. Rows that repeat a ``doc_id`` are one document and share their removals;
-    rows with a null ``doc_id`` come back unchanged. Columns named like the two new ones are replaced.
+    lines with words are left alone. Rows of equal ``doc_id`` and text are one document; different texts of one ``doc_id``
+    are documents of their own, ordered by a hash of the text. Rows with a null ``doc_id`` come back unchanged. Columns named like the
+    two new ones are replaced; ``_lines``, ``_version`` and ``_covered`` are taken for the work and left out.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    hashes = docs.where("doc_id is not null and text is not null").select("doc_id", _line_hashes(F.col("text")).alias("h"))
-    lines = hashes.select("doc_id", F.filter(F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s.x.isNotNull()).alias("l"))
+    docs = docs.drop("n_lines", "n_removed", "_lines", "_version", "_covered")
+    version = F.xxhash64("text").alias("_version")
+    hashes = docs.where("doc_id is not null and text is not null").select("doc_id", version, _line_hashes(F.col("text")).alias("h"))
+    lines = hashes.select("doc_id", "_version", F.filter(F.transform("h", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s.x.isNotNull()).alias("l"))
     # column references of a lambda's outer array are evaluated once, so each window is built from shifted copies
     window = F.transform("l", lambda s: F.struct(s.i.alias("i0"), s.x.alias("x0"), s.i.alias("i1"), F.lit(0).cast("long").alias("b")))
     for k in range(1, width):
@@ -38,21 +40,21 @@ def line_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
             shifted,
             lambda w, s: F.struct(w.i0.alias("i0"), F.xxhash64(w.x0, s.x).alias("x0"), s.i.alias("i1"), F.xxhash64(s.x, w.b, w.x0).alias("b")),
         )
-    windows = lines.select("doc_id", F.explode(window).alias("w")).select("doc_id", "w.*")
-    keys = windows.groupBy("x0", "b").agg(F.min(F.struct("doc_id", "i0")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    windows = lines.select("doc_id", "_version", F.explode(window).alias("w")).select("doc_id", "_version", "w.*")
+    keys = windows.groupBy("x0", "b").agg(F.min(F.struct("doc_id", "_version", "i0")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = (
         windows.join(keys.select("x0", "b", "first"), ["x0", "b"])
-        .where("doc_id > first.doc_id or i0 > first.i0")
-        .groupBy("doc_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i0", "i1")))).alias("covered"))
+        .where("struct(doc_id, _version, i0) <> first")
+        .groupBy("doc_id", "_version")
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i0", "i1")))).alias("_covered"))
     )
     # only the lines travel to the join; the text is put together again after it
-    whole = docs.withColumn("_lines", F.split("text", "\n")).drop("text").join(later, "doc_id", "left")
+    whole = docs.withColumns({"_lines": F.split("text", "\n"), "_version": F.xxhash64("text")}).drop("text").join(later, ["doc_id", "_version"], "left")
     n = F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0))
     # blank lines inside a removed window go with it; array_except keeps the order of the kept places
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("covered"))
-    stays = F.when(F.col("covered").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda i: F.element_at(F.col("_lines"), i + 1)))
-    removed = F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size("covered"))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_covered"))
+    stays = F.when(F.col("_covered").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda i: F.element_at(F.col("_lines"), i + 1)))
+    removed = F.when(F.col("_covered").isNull(), F.lit(0)).otherwise(F.size("_covered"))
     out = whole.withColumns({"text": F.array_join(stays, "\n"), "n_lines": n.cast("long"), "n_removed": removed.cast("long")})
     return out.select(*docs.columns, "n_lines", "n_removed")
 
