@@ -2,7 +2,7 @@
 
 Each line has a hidden state, good or bad. Its features and its neighbours' give the state's weight, a table the weight
 of two states in a row. Training lines take their document's label; a gradient climbs the conditional likelihood of a
-bounded sample. Forward-backward marginals, weighted by the lines' lengths, are averaged into a document's quality,
+bounded sample of whole documents. Forward-backward marginals, weighted by the lines' lengths, are averaged into a document's quality,
 and a logistic fit makes that a probability.
 """
 
@@ -151,39 +151,45 @@ def _means(model: Model, features, length, lines) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, chain: int = 40, ridge: float = 1e-3, steps: int = 250) -> Model:
-    """Learn from at most ``most`` labelled rows of the folds that may be learnt from.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lines: int = 300_000, chain: int = 40, ridge: float = 1e-3, steps: int = 250) -> Model:
+    """Learn from at most ``most`` labelled rows of the folds that may be learnt from, with at most ``most_lines`` lines together.
 
-    Of a training document's lines, up to five stretches of ``chain`` lines, evenly spread, are chains of the
-    likelihood. This bounds what the driver holds. The calibration uses the same stretches.
+    The sample is bounded by whole rows, in the order of a hash of the id: every line of a row in it is learnt from. Lines are cut
+    into stretches of up to ``chain`` for the likelihood; the calibration runs over whole documents.
     """
     ship(docs.sparkSession)
     sample = training_sample(labels, "quality", fold(3) != 1, most)
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def stretches(batches):
+    def count(batches):
+        for texts, doc in parts(batches, ["doc_id"]):
+            yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), pa.array(line_features(texts)[2].astype(np.int64))], names=["doc_id", "lines"])
+
+    def features(batches):
         for texts, doc, y in parts(batches, ["doc_id", "y"]):
             f, n, lines = line_features(texts)
-            at, out = 0, []
-            for d, k, label in zip(doc.to_pylist(), lines.tolist(), y.to_pylist()):
-                count = min(-(-k // chain), 5)
-                for c in range(count):
-                    a = 0 if count == 1 else (k - chain) * c // (count - 1)
-                    part = slice(at + a, at + min(a + chain, k))
-                    out.append((d, c, label, f[part].astype(np.float32).tobytes(), n[part].tobytes()))
-                at += k
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "c", "y", "f", "n"])
-
-    got = rows.mapInArrow(stretches, "doc_id long, c int, y int, f binary, n binary").toPandas()
-    if not len(got):
+            ends = np.cumsum(lines)
+            spans = [slice(e - k, e) for e, k in zip(ends.tolist(), lines.tolist())]
+            columns = [doc.cast(pa.int64()), y.cast(pa.int32()), pa.array([f[x].astype(np.float32).tobytes() for x in spans], pa.binary()), pa.array([n[x].tobytes() for x in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "y", "f", "n"])
+
+    # at most ``most`` numbers, to choose the rows before their features travel
+    sizes = rows.mapInArrow(count, "doc_id long, lines long").groupBy("doc_id").agg(F.sum("lines").alias("lines")).withColumn("h", F.xxhash64("doc_id")).toPandas()
+    sizes = sizes.sort_values(["h", "doc_id"], kind="stable")
+    taken = sizes.doc_id[(sizes.lines.cumsum() <= most_lines)].tolist()
+    if not taken:
         return Model(np.zeros(WIDTH + 1), np.zeros((2, 2)), np.zeros(WIDTH), np.ones(WIDTH))
-    got = got.sort_values(["doc_id", "c", "f"], kind="stable")
+    chosen = docs.sparkSession.createDataFrame([(x,) for x in taken], "doc_id long")
+    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, f binary, n binary").toPandas()
+    got = got.sort_values(["doc_id", "f"], kind="stable")
     f = np.concatenate([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got.f]).astype(float)
     length = np.concatenate([np.frombuffer(b, float) for b in got.n])
     lines = got.n.map(len).to_numpy() // 8
     y = got.y.to_numpy()
-    model = _climb(f, lines, y, ridge, steps)
+    pieces = -(-lines // chain)
+    stretch = np.full(int(pieces.sum()), chain)
+    stretch[np.cumsum(pieces) - 1] = lines - (pieces - 1) * chain
+    model = _climb(f, stretch, np.repeat(y, pieces), ridge, steps)
     model.scale = tuple(logistic(_means(model, f, length, lines)[:, None], y.astype(float), ridge=0.1))
     return model
 
