@@ -23,8 +23,8 @@ from watchgrid.llm.fitting import chance, fold, logistic, training_sample
 from watchgrid.llm.words import MARKS, U, Words, parts
 from watchgrid.session import cut, ship
 
-#: Fewest contexts behind a token's log-odds.
-_LEAST = 3
+#: Numbers of characters of a word's beginnings that are tokens too.
+_BEGINNINGS = range(4, 10)
 
 
 @dataclass
@@ -69,14 +69,11 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int,
 
 
 def _tokens(w: Words) -> list[np.ndarray]:
-    """A word's tokens: the word, then its first 4 to 9 bytes where it is longer (0 where not)."""
-    raw = np.frombuffer(w.blob, np.uint8)
-    size = w.end - w.start
+    """A word's tokens: the word, then its first 4 to 9 characters where it is longer (0 where not)."""
     out = [w.hash]
-    for k in range(4, 10):
-        longer = np.flatnonzero(size > k)
+    for which, found in w.beginnings(_BEGINNINGS):
         h = np.zeros(len(w), np.uint64)
-        h[longer] = w.prefix(raw, longer, k)
+        h[which] = found
         out.append(h)
     return out
 
@@ -124,15 +121,19 @@ def _contexts(batches):
 
 
 def _occurrences(tokens: np.ndarray):
+    """(token, occurrences, words, tokens): the last two only in the row of token 0."""
+
     def run(batches):
-        n, total = np.zeros(len(tokens), np.int64), 0
+        n, words, every = np.zeros(len(tokens), np.int64), 0, 0
         for (texts,) in parts(batches, []):
             w = Words([t.lower() for t in texts], MARKS)
-            total += len(w)
+            words += len(w)
             for h in _tokens(w):
+                every += int(np.count_nonzero(h))
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
                 n += np.bincount(at[tokens[at] == h], minlength=len(tokens))
-        yield pa.record_batch([pa.array(np.append(tokens.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(tokens), np.int64), total))], names=["token", "n", "total"])
+        none = np.zeros(len(tokens), np.int64)
+        yield pa.record_batch([pa.array(np.append(tokens.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array(np.append(none, words)), pa.array(np.append(none, every))], names=["token", "n", "words", "every"])
 
     return run
 
@@ -149,10 +150,12 @@ def _root(p: np.ndarray, s: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 20000, prior: float = 500.0, z_least: float = 3.5, drift: float = 0.5) -> Model:
-    """Learn from at most ``most`` labelled rows (of the folds that may be learnt from) and ``terms`` tokens.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, least: int = 3, prior: float = 500.0, z_least: float = 3.5, drift: float = 0.5) -> Model:
+    """Learn from at most ``most`` labelled rows of the folds that may be learnt from.
 
-    Corpus counts, the prior and the token distribution behind ``lambda``, are of all documents.
+    Every token with ``least`` toxic contexts in them, and relatively more of these than clean ones, is weighed; how many reach the driver
+    is bounded by the sample. The Dirichlet prior has a mass of ``prior`` spread as the tokens of all documents and half a
+    context for each token of the sample. Corpus counts and the token distribution behind ``lambda`` are of all documents.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -162,29 +165,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, terms: int = 2000
     # a token counts once in each context, so copies of a document don't speak for its rare words
     contexts = rows.mapInArrow(_contexts, "token long, before long, t long, c long").groupBy("token", "before").agg(F.max("t").alias("t"), F.max("c").alias("c"))
     counts = cut(contexts.groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    n_t, n_c = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.where(F.col("t") >= _LEAST).orderBy(F.desc(F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) * F.sqrt("t")), "token").limit(terms).toPandas()
+    n_t, n_c, kinds = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = counts.where((F.col("t") >= least) & (F.col("t") * F.lit(n_c) > F.col("c") * F.lit(n_t))).toPandas()
     token = top.token.to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     token, t, c = token[order], top.t.to_numpy(float)[order], top.c.to_numpy(float)[order]
     if not len(token):
         return Model(token, np.empty(0), drift)
-    seen = docs.select("text").mapInArrow(_occurrences(token), "token long, n long, total long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()
-    total = max(float(seen.total.max()), 1.0)
+    seen = docs.select("text").mapInArrow(_occurrences(token), "token long, n long, words long, every long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "words", "every")]).toPandas()
+    words, every = (max(float(seen[c].max()), 1.0) for c in ("words", "every"))
     of = dict(zip(seen.token.tolist(), seen.n.tolist()))
-    p = np.array([of.get(x, 0) for x in token.view(np.int64).tolist()], float) / total
-    a = np.maximum(prior * p, 0.5)
-    odds = np.log((t + a) / (n_t + prior - t - a)) - np.log((c + a) / (n_c + prior - c - a))
+    n = np.array([of.get(x, 0) for x in token.view(np.int64).tolist()], float)
+    a, mass = prior * n / every + 0.5, prior + 0.5 * kinds
+    odds = np.log((t + a) / (n_t + mass - t - a)) - np.log((c + a) / (n_c + mass - c - a))
     strong = odds / np.sqrt(1 / (t + a) + 1 / (c + a)) >= z_least
-    token, score, p = token[strong], odds[strong] - drift, p[strong]
+    token, score, p = token[strong], odds[strong] - drift, n[strong] / words
     model = Model(token, score, drift)
     if not (score > 0).any():
         return model
     model.lam = _root(np.append(p, max(1 - p.sum(), 0.0)), np.append(score, -drift))
     # clean texts have K n exp(-lambda s) segments of score s or more; taken at the smallest score that is strong
-    least = float(score[score > 0].min())
-    n, above = rows.where("y = 0").mapInArrow(_above(model, least), "n long, above long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("above"), F.lit(0))).first()
-    model.log_k = math.log((above + 0.5) / (n + 1)) + model.lam * least
+    weakest = float(score[score > 0].min())
+    n, above = rows.where("y = 0").mapInArrow(_above(model, weakest), "n long, above long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("above"), F.lit(0))).first()
+    model.log_k = math.log((above + 0.5) / (n + 1)) + model.lam * weakest
     x = rows.mapInArrow(_evidences(model), "y int, best double, together double").toPandas()
     model.weights = tuple(logistic(_inputs(x.best.to_numpy(), x.together.to_numpy()), x.y.to_numpy(float), ridge=0.1))
     return model
@@ -219,7 +222,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     and last token and evidence), which replace columns of those names.
 
     Tokens are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case; a word's score is the largest of
-    its own and its beginnings' (4 to 9 bytes), as invectives are inflected and compounded. Null and empty
+    its own and its beginnings' (4 to 9 characters), as invectives are inflected and compounded. Null and empty
     texts have no passage and the score of no evidence. Equal texts get equal scores.
     """
     ship(docs.sparkSession)

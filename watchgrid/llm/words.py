@@ -71,13 +71,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def prefix(self, raw: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of the first ``size`` bytes of some words, as those bytes have as a word."""
-        h = np.zeros(len(which), np.uint64)
-        power, _ = powers(size)
-        for k in range(size):
-            h += _BYTE[raw[self.start[which] + k]] * power[k]
-        return mix(h + np.full(len(h), size, np.uint64) * U(0x9E3779B97F4A7C15))
+    def beginnings(self, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words of more characters, hashes of their first ones as words of their own) for each number of characters."""
+        raw = np.frombuffer(self.blob, np.uint8)
+        letters = np.flatnonzero((raw & 0xC0) != 0x80)
+        first, last = np.searchsorted(letters, self.start), np.searchsorted(letters, self.end)
+        power, inverse = powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE[raw] * power[:-1], out=sums[1:])
+        for k in sizes:
+            which = np.flatnonzero(last - first > k)
+            a, b = self.start[which], letters[first[which] + k]
+            yield which, mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
     def owner(self) -> np.ndarray:
         """The number of each word's text."""
