@@ -1,36 +1,5 @@
-"""Connected components by alternating stars, as joins and grouped minima."""
+"""Connected components, as the core library finds them."""
 
-from __future__ import annotations
+from watchgrid.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from watchgrid.session import cut
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of an edge.
-
-    Large and small stars alternate until nothing changes; each round is a grouped minimum and a join,
-    so a node with very many edges is one row on one side of a join that Spark can split. Loops, repeated
-    edges and null ends are ignored. No edges give no rows.
-    """
-    stars = cut(_distinct(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")))
-    seen = None
-    while True:
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        stars = cut(_distinct(small))
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            break
-        seen = now
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _distinct(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger to the smaller node."""
-    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+__all__ = ["components"]
