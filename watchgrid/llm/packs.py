@@ -51,25 +51,31 @@ def by_part(batches, kinds):
 
 
 def shared_packs(key: np.ndarray, columns: list[np.ndarray], n_parts: int) -> pa.RecordBatch:
-    """Packs of a task's rows, by key. Kind 0: single here, 1: stands for a key known to be shared, 2: another of such."""
+    """Packs of a task's rows, by 48 bits of their key. Kind 0: single here, 1: stands for a key known to be shared, 2: another of such.
+
+    Rows of a part go by their columns, the first one (a document) first, which compresses well.
+    """
+    key = key >> U(16)
     order = np.argsort(key, kind="stable")
     key, columns = key[order], [c[order] for c in columns]
     new = np.append(True, key[1:] != key[:-1])
     size = np.diff(np.append(np.flatnonzero(new), len(key)))
     kind = np.where(new, np.repeat(size > 1, size).astype(np.int8), np.int8(2))
     any_part = mix(mix(key) + np.arange(len(key), dtype=np.uint64))
-    part = (np.where(kind == 2, any_part, key) % U(n_parts)).astype(np.int32)
-    return packed([key, *columns, kind], part)
+    part = (np.where(kind == 2, any_part, mix(key)) % U(n_parts)).astype(np.int32)
+    order = np.lexsort((*columns[::-1], part))
+    key = key[order]
+    return packed([(key >> U(16)).astype(np.uint32), key.astype(np.uint16), *[c[order] for c in columns], kind[order]], part[order])
 
 
 def shared_rows(batches, kinds: list):
-    """The rows of shared_packs whose key occurs more than once, part by part."""
-    for *columns, kind in by_part(batches, [*kinds, np.int8]):
+    """The columns of shared_packs, of rows whose key occurs more than once, part by part."""
+    for high, low, *columns, kind in by_part(batches, [np.uint32, np.uint16, *kinds, np.int8]):
         known = kind == 2
-        order = np.argsort(columns[0][~known], kind="stable")
-        meet = [c[~known][order] for c in columns]
-        kind = kind[~known][order]
-        heads = np.flatnonzero(np.append(True, meet[0][1:] != meet[0][:-1])) if len(kind) else np.empty(0, np.int64)
-        size = np.diff(np.append(heads, len(kind)))
+        key = (high.astype(np.uint64) << U(16) | low)[~known]
+        order = np.argsort(key, kind="stable")
+        key, meet, kind = key[order], [c[~known][order] for c in columns], kind[~known][order]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.append(heads, len(key)))
         many = np.repeat((size > 1) | (np.maximum.reduceat(kind, heads) > 0), size) if len(heads) else np.empty(0, bool)
         yield [np.concatenate([c[known], m[many]]) for c, m in zip(columns, meet)]

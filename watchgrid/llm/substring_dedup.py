@@ -36,58 +36,79 @@ _RUN, _PAIR, _SIDE, _ORDER, _SECOND, _LEFT, _RIGHT = (U(int(hashlib.sha256(x).he
 ROUNDS = (2, 4)
 
 
+_FAR = np.iinfo(np.int32).max
+
+
 def _name_runs(s, at, lo, hi, edge):
     """Name maximal runs. edge[i]: symbol i is the first of its text."""
     same = np.zeros(len(s), bool)
     same[1:] = (s[1:] == s[:-1]) & ~edge[1:]
-    head = np.flatnonzero(~same)
-    k = np.diff(np.append(head, len(s)))
-    last = head + k - 1
-    name = s[head]
-    long = k > 1
-    name[long] = mix(name[long] * _RUN + k[long].astype(np.uint64))
-    # that a run ends depends on the neighbours; a text's edge is beyond every window
-    ends_text = np.append(edge[1:], True)
-    left = np.where(edge[head], -1, lo[np.maximum(head - 1, 0)])
-    right = np.where(ends_text[last], np.iinfo(np.int64).max, hi[np.minimum(last + 1, len(s) - 1)])
-    return name, at[head], np.minimum(left, lo[head]), np.maximum(right, hi[last]), edge[head]
+    if same.any():
+        head = np.flatnonzero(~same)
+        k = np.diff(np.append(head, len(s)))
+        name = s[head]
+        long = k > 1
+        name[long] = mix(name[long] * _RUN + k[long].astype(np.uint64))
+        edge, at = edge[head], at[head]
+        previous, following = lo[head[1:] - 1], hi[head[1:]]
+    else:
+        name, previous, following = s, lo[:-1], hi[1:]
+    # that a run ends depends on the symbols beside it; a text's edge is beyond every window
+    before, after = np.append(np.int32(-1), previous), np.append(following, _FAR)
+    if len(s):
+        before[edge] = -1
+        after[:-1][edge[1:]] = _FAR
+    return name, at, before, after, edge
 
 
 def _name_pairs(s, at, lo, hi, edge, round_: int):
     """Name pairs of a left-half symbol and the right-half symbol after it."""
-    right_half = (mix(s * _SIDE + U(round_)) & U(1)).astype(bool)
-    after = np.zeros(len(s), bool)
-    after[:-1] = ~right_half[:-1] & right_half[1:] & ~edge[1:]
-    second = np.append(False, after[:-1])[: len(s)]
-    ends_text = np.append(edge[1:], True)
+    right = (mix(s * _SIDE + U(round_)) & U(1)).astype(bool)
+    pair = np.zeros(len(s), bool)
+    pair[:-1] = ~right[:-1] & right[1:] & ~edge[1:]
+    second = np.append(False, pair[:-1])[: len(s)]
     # a left-half symbol looks to the right, a right-half one to the left
-    new_lo = np.where(right_half & ~after, np.where(edge, -1, np.append(lo[:1], lo[:-1])), lo)
-    new_hi = np.where(~right_half, np.where(ends_text, np.iinfo(np.int64).max, np.append(hi[1:], hi[-1:])), hi)
+    looks_left, looks_right = right.copy(), ~right
+    new_lo, new_hi = lo.copy(), hi.copy()
+    new_lo[1:][looks_left[1:]] = lo[:-1][looks_left[1:]]
+    new_hi[:-1][looks_right[:-1]] = hi[1:][looks_right[:-1]]
+    if len(s):
+        new_lo[edge & looks_left] = -1
+        ends = np.append(edge[1:], True)
+        new_hi[ends & looks_right] = _FAR
     name = s.copy()
-    two = np.flatnonzero(after)
+    two = np.flatnonzero(pair)
     name[two] = mix(mix(s[two] * _PAIR) + s[two + 1])
     keep = ~second
-    return name[keep], at[keep], np.minimum(new_lo, lo)[keep], np.maximum(new_hi, hi)[keep], edge[keep]
+    return name[keep], at[keep], new_lo[keep], new_hi[keep], edge[keep]
 
 
 class Level:
-    """Symbols of a level: names, first words, and of those that can be interior to a window, number, words [lo, hi) and span."""
+    """Symbols of a level: names, first words, and of those that can be interior to a window, number and span."""
 
     def __init__(self, name, at, lo, hi, n_words: int, width: int):
         self.name, self.at = name, at
         self.which = np.flatnonzero((lo >= 0) & (hi <= n_words) & (hi - lo <= width))
-        self.lo, self.hi = lo[self.which], hi[self.which]
         # the next symbol of an interior one is of its text
         self.span = np.append(at, n_words)[self.which + 1] - at[self.which]
+        # how many of these begin before a word, and how many end up to it: both rise from symbol to symbol
+        self.begun = _below(lo[self.which], n_words)
+        self.ended = np.append(_below(hi[self.which], n_words)[1:], len(self.which))
+        self.place = _below(at, n_words)
 
     def interior(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places [a, b) in ``which`` of the interior symbols of each window; they rise from symbol to symbol, so are neighbours."""
-        return np.searchsorted(self.lo, starts), np.searchsorted(self.hi, starts + width, "right")
+        """Places [a, b) in ``which`` of the interior symbols of each window; they are neighbours."""
+        return self.begun[starts], self.ended[starts + width]
+
+
+def _below(values: np.ndarray, n: int) -> np.ndarray:
+    """For each k from 0 to n, how many of the values (0 to n) are smaller."""
+    return np.cumsum(np.bincount(values + 1, minlength=n + 2)[: n + 1], dtype=np.int32)
 
 
 def levels(words: Words, width: int, top: int) -> list[Level]:
     """Words, and the symbols after each of ``top`` rounds of naming."""
-    at = np.arange(len(words))
+    at = np.arange(len(words), dtype=np.int32)
     edge = np.zeros(len(words), bool)
     edge[words.first[:-1][words.count > 0]] = True
     now = words.hash.copy(), at, at.copy(), at + 1, edge
@@ -124,9 +145,10 @@ def representatives(words: Words, starts: np.ndarray, width: int, top: int):
     if not len(starts):
         return np.empty(0, np.uint64), starts, starts
     symbol, rank, name = np.full(len(starts), -1), np.full(len(starts), U(2**64 - 1)), np.zeros(len(starts), np.uint64)
-    for x in levels(words, width, top):
+    for k, x in reversed(list(enumerate(levels(words, width, top)))):
         a, b = x.interior(starts, width)
-        at = np.flatnonzero(b > a)
+        # a word is shorter than what a higher level names
+        at = np.flatnonzero((b > a) & (symbol < 0) if k == 0 else b > a)
         if not len(at):
             continue
         # the longest symbol first; equal ones by a hash of the name
@@ -144,10 +166,12 @@ def representatives(words: Words, starts: np.ndarray, width: int, top: int):
 def spellings(words: Words, starts: np.ndarray, width: int, top: int) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of each window's symbols, level by level: those that no symbol of a higher level inside the window covers."""
     out = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
+    if not len(starts):
+        return out[0], out[1].astype(np.uint32)
     first, last = starts, starts + width  # symbols of the level below, inside the window
-    below = levels(words, width, 0)[0]
+    below, *rest = levels(words, width, top)
     open_ = np.arange(len(starts))
-    for k, x in enumerate(levels(words, width, top)[1:] + [None]):
+    for k, x in enumerate([*rest, None]):
         if x is None:
             some = np.zeros(len(open_), bool)
         else:
@@ -159,8 +183,8 @@ def spellings(words: Words, starts: np.ndarray, width: int, top: int) -> tuple[n
             out[j][done] = mix(out[j][done] * _RUN + ranges_hash(names, first[~some], last[~some]) + U(k))
             if len(on):
                 i, e = x.which[a[some]], x.which[b[some] - 1] + 1
-                begin = np.searchsorted(below.at, x.at[i])
-                end = np.where(e < len(x.at), np.searchsorted(below.at, x.at[np.minimum(e, len(x.at) - 1)]), len(below.at))
+                begin = below.place[x.at[i]]
+                end = np.where(e < len(x.at), below.place[x.at[np.minimum(e, len(x.at) - 1)]], len(below.at))
                 out[j][on] = mix(out[j][on] * _RUN + ranges_hash(names, first[some], begin) * _LEFT + ranges_hash(names, end, last[some]) * _RIGHT + U(k))
         if not len(on):
             break
@@ -168,7 +192,7 @@ def spellings(words: Words, starts: np.ndarray, width: int, top: int) -> tuple[n
     return out[0], out[1].astype(np.uint32)
 
 
-_FIRST = [np.uint64, np.int64, np.uint32, np.int32, np.int16]
+_FIRST = [np.int64, np.uint32, np.int32, np.int16]
 _SPELT = [np.uint64, np.uint32, np.int64, np.uint32, np.int32]
 _RUNS = "doc_id long, runs struct<version:long,pack:binary>"
 
@@ -186,7 +210,7 @@ def _rows(batches, width: int):
     """(words, texts' ids and versions, windows still looked at) of slices of a batch."""
     for batch in batches:
         live = "_runs" in batch.schema.names
-        for texts, ids, twice, *runs in parts([batch], ["doc_id", "_twice", *["_runs"] * live]):
+        for texts, ids, twice, *runs in parts([batch], ["doc_id", "_twice", *["_runs"] * live], most=1 << 20):
             w = Words(texts)
             version = _versions(texts, twice)
             if live:
@@ -235,7 +259,7 @@ def _by_document(doc, version, columns):
 
 def _shared(batches):
     """Runs of windows whose representative occurs more than once."""
-    for _, doc, version, at, n in shared_rows(batches, _FIRST):
+    for doc, version, at, n in shared_rows(batches, _FIRST):
         yield _by_document(doc, version, [at, n])
 
 
@@ -246,8 +270,9 @@ def _windows_of(runs: list[bytes]) -> np.ndarray:
         return np.empty(0, np.int64)
     order = np.argsort(at, kind="stable")
     at, n = at[order].astype(np.int64), n[order].astype(np.int64)
+    out = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
     # rows of equal text and id are one document, and say the same twice
-    return np.unique(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n))
+    return out if (out[1:] > out[:-1]).all() else np.unique(out)
 
 
 def _emit_spellings(width: int, top: int, n_parts: int, most: int):
@@ -255,7 +280,7 @@ def _emit_spellings(width: int, top: int, n_parts: int, most: int):
 
     def flush(rows):
         h, g, doc, version, at = _first_of(*(np.concatenate(x) for x in zip(*rows)))
-        order = np.argsort(doc, kind="stable")  # ids in order compress well
+        order = np.lexsort((at, version, doc))  # ids in order compress well
         return packed([c[order] for c in (h, g, doc, version, at.astype(np.int32))], (h[order] % U(n_parts)).astype(np.int32))
 
     def run(batches):
@@ -298,7 +323,7 @@ def _cover(n: int, runs: list[bytes], firsts: list[bytes], width: int) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] = ROUNDS, pack_rows: int = 1 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] = ROUNDS, pack_rows: int = 1 << 19) -> DataFrame:
     """doc_id, _runs and _firsts: windows that may be repeated and, of these, the first occurrences, packed.
 
     ``docs`` has doc_id, text and _twice (its doc_id is that of several rows), none of the first two null.
