@@ -194,7 +194,7 @@ def spellings(words: Words, starts: np.ndarray, width: int, top: int) -> tuple[n
 
 _FIRST = [np.int64, np.uint32, np.int32, np.int16]
 _SPELT = [np.uint64, np.uint32, np.int64, np.uint32, np.int32]
-_RUNS = "doc_id long, runs struct<version:long,pack:binary>"
+_RUNS = "doc_id long, runs array<struct<version:long,pack:binary>>"
 
 
 def _versions(texts: list[bytes], twice) -> list[int]:
@@ -246,21 +246,39 @@ def _emit_representatives(width: int, top: int, n_parts: int, most: int):
     return run
 
 
-def _by_document(doc, version, columns):
-    """One row a document: its id, version and the packed columns."""
-    order = np.lexsort((version, doc))
-    doc, version, columns = doc[order], version[order], [c[order] for c in columns]
-    heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]))) if len(doc) else np.empty(0, np.int64)
-    ends = np.append(heads[1:], len(doc))
-    packs = [b"".join(np.ascontiguousarray(c[x:y]).tobytes() for c in columns) for x, y in zip(heads, ends)]
-    runs = pa.StructArray.from_arrays([pa.array(version[heads].astype(np.int64)), pa.array(packs, pa.binary())], names=["version", "pack"])
-    return pa.record_batch([pa.array(doc[heads], pa.int64()), runs], names=["doc_id", "runs"])
+def _to_documents(doc, columns, n_parts: int):
+    """Packs by document."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    return packed([doc, *[c[order] for c in columns]], (mix(doc.view(np.uint64)) % U(n_parts)).astype(np.int32))
 
 
-def _shared(batches):
+def _by_document(kinds: list):
+    """One row a document: its id and, for each version, the columns of ``kinds`` in the order of the first, packed."""
+
+    def run(batches):
+        for doc, version, *columns in by_part(batches, [np.int64, np.uint32, *kinds]):
+            order = np.lexsort((columns[0], version, doc))
+            doc, version, columns = doc[order], version[order], [c[order] for c in columns]
+            other = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+            heads = np.flatnonzero(other | np.append(True, version[1:] != version[:-1])[: len(doc)])
+            ends = np.append(heads[1:], len(doc))
+            packs = [b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(heads.tolist(), ends.tolist())]
+            runs = pa.StructArray.from_arrays([pa.array(version[heads].astype(np.int64)), pa.array(packs, pa.binary())], names=["version", "pack"])
+            first = np.flatnonzero(other[heads])
+            yield pa.record_batch([pa.array(doc[heads[first]], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(first, len(heads)), pa.int32()), runs)], names=["doc_id", "runs"])
+
+    return run
+
+
+def _shared(n_parts: int):
     """Runs of windows whose representative occurs more than once."""
-    for doc, version, at, n in shared_rows(batches, _FIRST):
-        yield _by_document(doc, version, [at, n])
+
+    def run(batches):
+        for doc, *columns in shared_rows(batches, _FIRST):
+            yield _to_documents(doc, columns, n_parts)
+
+    return run
 
 
 def _windows_of(runs: list[bytes]) -> np.ndarray:
@@ -307,11 +325,20 @@ def _first_of(h, g, doc, version, at):
     return [c[new] for c in columns]
 
 
-def _firsts(batches):
+def _firsts(n_parts: int):
     """The first occurrence of each window."""
-    for rows in by_part(batches, _SPELT):
-        _, _, doc, version, at = _first_of(*rows)
-        yield _by_document(doc, version, [at])
+
+    def run(batches):
+        for rows in by_part(batches, _SPELT):
+            _, _, doc, version, at = _first_of(*rows)
+            yield _to_documents(doc, [version, at], n_parts)
+
+    return run
+
+
+def _dealt(packs: DataFrame) -> DataFrame:
+    """Each part's packs together."""
+    return packs.repartition("part").sortWithinPartitions("part")
 
 
 def _cover(n: int, runs: list[bytes], firsts: list[bytes], width: int) -> np.ndarray:
@@ -330,17 +357,16 @@ def repeated_windows(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] =
     """
     spark = docs.sparkSession
     ship(spark)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    pack = "part int, pack binary"
     # no checkpoint between: all joins below read the one shuffle of the documents by doc_id
     runs, live = None, docs
     for top in rounds:
-        packs = live.mapInArrow(_emit_representatives(width, top, n_parts, pack_rows), "part int, pack binary")
-        shared = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, _RUNS)
-        runs = shared.groupBy("doc_id").agg(F.collect_list("runs").alias("_runs"))
+        packs = _dealt(live.mapInArrow(_emit_representatives(width, top, n_parts, pack_rows), pack)).mapInArrow(_shared(n_parts), pack)
+        runs = _dealt(packs).mapInArrow(_by_document(_FIRST[2:]), _RUNS).withColumnRenamed("runs", "_runs")
         live = docs.join(runs, "doc_id")
-    packs = live.mapInArrow(_emit_spellings(width, rounds[-1], n_parts, pack_rows), "part int, pack binary")
-    firsts = packs.repartition("part").sortWithinPartitions("part").mapInArrow(_firsts, _RUNS)
-    return runs.join(firsts.groupBy("doc_id").agg(F.collect_list("runs").alias("_firsts")), "doc_id", "left")
+    packs = _dealt(live.mapInArrow(_emit_spellings(width, rounds[-1], n_parts, pack_rows), pack)).mapInArrow(_firsts(n_parts), pack)
+    return runs.join(_dealt(packs).mapInArrow(_by_document([np.int32]), _RUNS).withColumnRenamed("runs", "_firsts"), "doc_id", "left")
 
 
 def substring_dedup(docs: DataFrame, width: int = 20, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
