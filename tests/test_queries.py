@@ -3,6 +3,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("null" if x is None or x != x else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in frame.itertuples(index=False, name=None))
+    return sorted(tuple("null" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in frame.itertuples(index=False, name=None))
 
 
 def names():

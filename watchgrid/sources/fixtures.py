@@ -98,6 +98,20 @@ SELECT event_id AS post_id, user_id % 20 AS channel_no, ts AS posted_at, event_i
   || CASE user_id % 13 WHEN 1 THEN ' о 11:40' WHEN 2 THEN ' (орієнтовно о 23:50)' WHEN 3 THEN chr(10) || 'мінус' WHEN 4 THEN chr(10) || 'Відбій тривоги' WHEN 5 THEN ' [15.01.2024 09:15]' WHEN 6 THEN ', збито'
     WHEN 7 THEN chr(10) || 'Картка 4441 1111 2222 3333' WHEN 8 THEN ' до о 10:00, об 0.30' WHEN 9 THEN chr(10) || 'ще один не фіксується' WHEN 10 THEN ' о 25:10' ELSE '' END
   END AS text
+FROM events""",
+    "fx_lexicon": """
+SELECT p_partkey AS place_id, CASE p_partkey % 17 WHEN 0 THEN 'Охтирка' WHEN 1 THEN 'Конотоп' WHEN 2 THEN 'Суми' WHEN 3 THEN 'Кам''янське' WHEN 4 THEN 'Новий Буг' WHEN 5 THEN 'Ізюм'
+    WHEN 6 THEN 'Миргород' WHEN 7 THEN 'Липова Долина' WHEN 8 THEN 'Липова' WHEN 9 THEN 'Київ' WHEN 10 THEN 'Кривий Ріг' WHEN 11 THEN 'Тернопіль' WHEN 12 THEN 'Чернівці'
+    WHEN 13 THEN 'Кролевець' WHEN 14 THEN 'Ріпки' WHEN 15 THEN 'Наталія' ELSE 'Джанкой' END AS name,
+  CASE p_size % 5 WHEN 0 THEN 'sumska' WHEN 1 THEN 'poltavska' WHEN 2 THEN 'odeska' WHEN 3 THEN 'kyivska' END AS region,
+  CASE p_partkey % 4 WHEN 0 THEN 'city' WHEN 1 THEN 'town' WHEN 2 THEN 'village' ELSE 'hamlet' END AS place,
+  CAST(floor(p_retailprice) AS BIGINT) AS population, 44.5e0 + (p_partkey % 71) * 0.1e0 AS lat, 22.5e0 + (p_partkey % 173) * 0.1e0 AS lon
+FROM part""",
+    "fx_phrases": """
+SELECT event_id AS mention_id, CASE event_id % 19 WHEN 0 THEN 'Охтирку' WHEN 1 THEN 'Липову Долину' WHEN 2 THEN 'Липової, далі' WHEN 3 THEN 'Сумщині' WHEN 4 THEN 'Києва' WHEN 5 THEN 'Конотпу'
+    WHEN 6 THEN 'Кривого Рогу!' WHEN 7 THEN 'Чорного моря.' WHEN 8 THEN '«Тернополя»' WHEN 9 THEN 'Одещину та далі' WHEN 10 THEN 'Нового Бугу' WHEN 11 THEN 'Кам’янського' WHEN 12 THEN 'Мирагород'
+    WHEN 13 THEN 'Нікуди' WHEN 14 THEN 'акваторія Чорного моря' WHEN 15 THEN 'Київського водосховища, північ' WHEN 16 THEN '(' WHEN 17 THEN 'Мирагорода Новий' ELSE 'Ріпок' END AS phrase,
+  CASE user_id % 4 WHEN 0 THEN 'sumska' WHEN 1 THEN 'poltavska' WHEN 2 THEN 'odeska' END AS region
 FROM events""",
     "fx_captures": """
 SELECT source AS channel, doc_id AS message_id, 1 AS capture, text FROM documents WHERE doc_id % 50 <> 0
