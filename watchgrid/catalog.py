@@ -99,9 +99,10 @@ def q_source_health(spark, sf):
 
 
 def q_coverage(spark, sf):
+    """Reports of each type and of all (type null), and how many have what."""
     r = view(spark, sf, "fx_reports")
     low = F.sum((F.col("confidence") < 0.6).cast("long")).alias("n_low")
-    return r.groupBy("type").agg(F.count("*").alias("n_reports"), low, F.count("course_deg").alias("n_course"), F.count("from_lat").alias("n_origin"))
+    return r.rollup("type").agg(F.count("*").alias("n_reports"), low, F.count("course_deg").alias("n_course"), F.count("from_lat").alias("n_origin"))
 
 
 def queries() -> dict:
@@ -228,5 +229,5 @@ SELECT type, channel_no, CAST(session AS BIGINT) AS session, min(observed_at) AS
             "fx_reports",
         ),
         "source_health": with_views(" SELECT channel_no, max(observed_at) AS last_seen, count(*) AS n_reports, max(observed_at) >= TIMESTAMP '2024-01-29 12:00:00' AS healthy FROM fx_reports GROUP BY channel_no", "fx_reports"),
-        "parse_coverage": with_views(" SELECT type, count(*) AS n_reports, CAST(sum(CASE WHEN confidence < 0.6e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_low, count(course_deg) AS n_course, count(from_lat) AS n_origin FROM fx_reports GROUP BY type", "fx_reports"),
+        "parse_coverage": with_views(" SELECT type, count(*) AS n_reports, CAST(sum(CASE WHEN confidence < 0.6e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_low, count(course_deg) AS n_course, count(from_lat) AS n_origin FROM fx_reports GROUP BY GROUPING SETS ((type), ())", "fx_reports"),
     }

@@ -110,8 +110,7 @@ def q_link(spark, sf):
 
 def q_track_update(spark, sf):
     points = _sightings(spark, sf)
-    more = view(spark, sf, "fx_reports").select("report_id", "n", "confidence")
-    out = tracks.track_state(points.drop("course_deg").join(more, "report_id"), tracks.track_link(points))
+    out = tracks.track_state(points.drop("course_deg"), tracks.track_link(points))
     return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon", "heading_deg", "confidence")})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.catalog import q_proximity
 from watchgrid.functions import geo
+from watchgrid.functions.text import course_approach, course_stated
 from watchgrid.operators import alerts, history, proximity, regions
 from watchgrid.sources.fixtures import view, with_views
 
@@ -14,7 +15,7 @@ EARLIER = "2024-01-15 06:00:00"
 
 
 def q_observation(spark, sf):
-    return history.to_observation(view(spark, sf, "fx_reports"))
+    return history.to_observation(view(spark, sf, "fx_reports")).withColumn("confidence", F.round("confidence", 6))
 
 
 def q_alerts_diff(spark, sf):
@@ -26,10 +27,6 @@ def q_latest(spark, sf):
     return history.latest_version(view(spark, sf, "fx_captures"))
 
 
-def q_cursor(spark, sf):
-    return history.channel_cursor(view(spark, sf, "fx_captures"))
-
-
 def q_page_gap(spark, sf):
     # an hour's reports stand for a capture of the channel
     r = view(spark, sf, "fx_reports")
@@ -41,7 +38,7 @@ def q_hash(spark, sf):
 
 
 def q_events_after(spark, sf):
-    return history.events_after(view(spark, sf, "fx_log"), 100)
+    return history.events_after(view(spark, sf, "fx_log"), 100, 1000)
 
 
 def q_seq_range(spark, sf):
@@ -87,15 +84,13 @@ def q_audience(spark, sf):
     return view(spark, sf, "fx_subscribers").join(writers, "subscriber_id", "left_semi").select("subscriber_id")
 
 
-def q_retention(spark, sf):
-    r = view(spark, sf, "fx_reports")
-    return r.where(F.col("observed_at") >= history.at("2024-01-30 00:00:00") - F.expr("interval 7 days")).select("report_id", "observed_at")
-
-
 def q_origin_course(spark, sf):
-    """The course of each report: from its origin to its place, else as stated."""
+    """The course of each report: from its origin to its place, else as stated, else away from where it comes from, else from the centre of
+    the context's region to the place."""
     a = [F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")]
-    course = F.coalesce(geo.bearing(*a), F.col("course_deg"))
+    line = F.expr("CASE report_id % 5 WHEN 0 THEN 'з півночі на Суми' WHEN 1 THEN 'курсом на захід' ELSE 'повз Суми' END")
+    centre = geo.bearing(F.when(F.col("report_id") % 2 == 0, 50.9077), F.lit(34.7981), F.col("to_lat"), F.col("to_lon"))
+    course = F.coalesce(geo.bearing(*a), course_stated(line), course_approach(line), centre)
     return view(spark, sf, "fx_reports").select("report_id", F.round(course, 6).alias("course"))
 
 
@@ -120,7 +115,6 @@ def queries() -> dict:
         "to_observation": q_observation,
         "alerts_diff": q_alerts_diff,
         "latest_version": q_latest,
-        "channel_cursor": q_cursor,
         "page_gap": q_page_gap,
         "content_hash": q_hash,
         "events_after": q_events_after,
@@ -134,7 +128,6 @@ def queries() -> dict:
         "report_rate": q_report_rate,
         "removed_audience": q_removed,
         "audience": q_audience,
-        "retention": q_retention,
         "resolve_course": q_origin_course,
         "point_in_region": q_in_region,
         "bbox": q_bbox,
@@ -142,7 +135,8 @@ def queries() -> dict:
 
 
 _OBSERVED = """, o AS (
-  SELECT report_id, observed_at, channel_no, type, course_deg,
+  SELECT report_id, observed_at, channel_no, type, n, course_deg, round(confidence, 6) AS confidence, relation <> 'launch' AND to_area AS area,
+    CASE WHEN relation = 'over' AND NOT to_area THEN CASE type WHEN 'uav' THEN 180.0e0 WHEN 'jet_uav' THEN 600.0e0 WHEN 'cruise' THEN 800.0e0 WHEN 'recon' THEN 150.0e0 END END AS speed_kmh,
     CASE relation WHEN 'over' THEN 'position' WHEN 'towards' THEN 'destination' WHEN 'launch' THEN 'launch' END AS kind,
     CASE WHEN relation = 'launch' THEN from_lat ELSE to_lat END AS lat, CASE WHEN relation = 'launch' THEN from_lon ELSE to_lon END AS lon
   FROM fx_reports)
@@ -164,7 +158,6 @@ def oracle_sql() -> dict:
             _FILLED + f"SELECT region, coalesce(x.level, 0) AS ends, coalesce(y.level, 0) AS starts FROM ({open_at.format(EARLIER)}) x FULL JOIN ({open_at.format(NOW)}) y USING (region) WHERE x.level IS DISTINCT FROM y.level", "fx_alert_polls"
         ),
         "latest_version": with_views(" SELECT channel, message_id, max(capture) AS capture, sha1(arg_max(text, capture)) AS content_hash FROM fx_captures GROUP BY channel, message_id", "fx_captures"),
-        "channel_cursor": with_views(" SELECT channel, max(message_id) AS last_id, min(message_id) AS oldest_id, count(DISTINCT message_id) AS n_messages FROM fx_captures GROUP BY channel", "fx_captures"),
         "page_gap": with_views(
             """, p AS (SELECT channel_no AS channel, date_trunc('hour', observed_at) AS capture, min(report_id) AS before, max(report_id) AS last FROM fx_reports GROUP BY 1, 2),
 g AS (SELECT *, lag(last) OVER (PARTITION BY channel ORDER BY capture) AS after FROM p)
@@ -190,8 +183,11 @@ SELECT channel_no, hour, healthy FROM l WHERE was <> healthy""",
         "report_rate": with_views(" SELECT type, time_bucket(INTERVAL 10 MINUTE, observed_at, TIMESTAMP '2024-01-01') AS from_at, count(*) AS n_reports FROM fx_reports GROUP BY 1, 2", "fx_reports"),
         "removed_audience": with_views(" SELECT subscriber_id FROM fx_subscribers WHERE subscriber_id NOT IN (SELECT entity FROM fx_log)", "fx_subscribers", "fx_log"),
         "audience": with_views(" SELECT subscriber_id FROM fx_subscribers WHERE subscriber_id IN (SELECT entity FROM fx_log)", "fx_subscribers", "fx_log"),
-        "retention": with_views(" SELECT report_id, observed_at FROM fx_reports WHERE observed_at >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY", "fx_reports"),
-        "resolve_course": with_views(f" SELECT report_id, round(coalesce(fmod(degrees(atan2({_BEARING_Y}, {_BEARING_X})) + 360, 360), course_deg), 6) AS course FROM fx_reports", "fx_reports"),
+        "resolve_course": with_views(
+            f""" SELECT report_id, round(coalesce(fmod(degrees(atan2({_BEARING_Y}, {_BEARING_X})) + 360, 360), CASE report_id % 5 WHEN 0 THEN 180.0e0 WHEN 1 THEN 270.0e0 END,
+  CASE WHEN report_id % 2 = 0 THEN fmod(degrees(atan2(sin(radians(to_lon - 34.7981e0)) * cos(radians(to_lat)), cos(radians(50.9077e0)) * sin(radians(to_lat)) - sin(radians(50.9077e0)) * cos(radians(to_lat)) * cos(radians(to_lon - 34.7981e0)))) + 360, 360) END), 6) AS course FROM fx_reports""",
+            "fx_reports",
+        ),
         "point_in_region": with_views(
             _CORNERS
             + """, k AS (SELECT place_id AS point_id, region, sum(CASE WHEN (lat1 > lat) <> (lat2 > lat) AND lon < (lon2 - lon1) * (lat - lat1) / nullif(lat2 - lat1, 0) + lon1 THEN 1 ELSE 0 END) AS n

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchgrid.operators.proximity import speed_kmh
+
 
 def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+# What a relation's place means.
 def point_kind(relation: Column) -> Column:
     """What a report's coordinate means; null where it drops out."""
     return F.when(relation.isin("over", "past", "through"), "position").when(relation == "towards", "destination").when(relation == "launch", "launch")
 
 
 def to_observation(reports: DataFrame) -> DataFrame:
-    """Reports as points: a launch is where it came from, all else where it is or goes; without a point a report drops out."""
+    """Reports as points: a launch is where it came from, all else where it is or goes; without a point a report drops out. A speed is
+    given only to positions that aren't areas, of types that are projected."""
     kind = point_kind(F.col("relation"))
     launch = kind == "launch"
     lat, lon = (F.when(launch, F.col(f"from_{x}")).otherwise(F.col(f"to_{x}")) for x in ("lat", "lon"))
-    found = reports.select("report_id", "observed_at", "channel_no", "type", kind.alias("kind"), lat.alias("lat"), lon.alias("lon"), "course_deg")
-    return found.where("kind is not null and lat is not null and lon is not null")
+    area = ~launch & F.col("to_area")
+    found = reports.select("report_id", "observed_at", "channel_no", "type", "n", kind.alias("kind"), area.alias("area"), lat.alias("lat"), lon.alias("lon"), "course_deg", "confidence")
+    speed = F.when((F.col("kind") == "position") & ~F.col("area"), speed_kmh(F.col("type")))
+    return found.where("kind is not null and lat is not null and lon is not null").withColumn("speed_kmh", speed)
 
 
 def tracks_at(points: DataFrame, when: str, tail_min: int = 60) -> DataFrame:
@@ -62,7 +68,7 @@ def page_gaps(captures: DataFrame) -> DataFrame:
     return pages.withColumn("after", after).where("after > 0 and before > after + 1").select("channel", "capture", "after", "before")
 
 
-def events_after(log: DataFrame, seq: int, limit: int = 1000) -> DataFrame:
+def events_after(log: DataFrame, seq: int, limit: int) -> DataFrame:
     """The next ``limit`` changes after ``seq``; the limit is the page a consumer asks for."""
     return log.where(F.col("seq") > seq).orderBy("seq").limit(limit)
 

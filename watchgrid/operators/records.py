@@ -68,15 +68,18 @@ def ingest(stored: DataFrame, captured: DataFrame) -> DataFrame:
 def seq_gaps(log: DataFrame, width: int = 10_000) -> DataFrame:
     """(after, before) of each gap in the sequence.
 
-    Blocks of ``width`` numbers are looked through on their own; only their ends, a row a block, meet in one window.
+    Blocks of ``width`` numbers are looked through on their own, then blocks of blocks; only the ends of the latter, a row for
+    ``width`` squared numbers, meet in one window.
     """
-    block = F.floor(F.col("seq") / width)
-    inner = log.select("seq").distinct().withColumn("block", block)
-    by = Window.partitionBy("block").orderBy("seq")
-    inside = inner.select(F.lag("seq").over(by).alias("after"), F.col("seq").alias("before"))
-    ends = inner.groupBy("block").agg(F.min("seq").alias("before"), F.max("seq").alias("last"))
-    between = ends.select(F.lag("last").over(Window.orderBy("block")).alias("after"), "before")
-    return inside.union(between).where("before > after + 1")
+    rows = log.select(F.col("seq").alias("first"), F.col("seq").alias("last")).distinct()
+    found = None
+    for level in (1, 2, 3):
+        block = F.floor(F.col("first") / width**level) if level < 3 else F.lit(0)
+        rows = rows.withColumn("block", block)
+        inside = rows.select(F.lag("last").over(Window.partitionBy("block").orderBy("first")).alias("after"), F.col("first").alias("before"))
+        found = inside if found is None else found.union(inside)
+        rows = rows.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("block")
+    return found.where("before > after + 1")
 
 
 def live_state(log: DataFrame) -> DataFrame:
@@ -86,9 +89,19 @@ def live_state(log: DataFrame) -> DataFrame:
 
 
 def sessions(reports: DataFrame, gap_min: int = 25) -> DataFrame:
-    """Runs of reports of a type and channel without a gap of over ``gap_min`` minutes: first, last, number."""
-    by = Window.partitionBy("type", "channel_no").orderBy("observed_at", "report_id")
-    lag = F.lag("observed_at").over(by)
-    fresh = (lag.isNull() | (F.unix_micros(F.col("observed_at").cast("timestamp")) - F.unix_micros(lag.cast("timestamp")) > gap_min * 60_000_000)).cast("int")
-    runs = reports.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(by))
-    return runs.groupBy("type", "channel_no", "session").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count("*").alias("n_reports"))
+    """Runs of reports of a type and channel without a gap of over ``gap_min`` minutes: number, first, last, reports.
+
+    Breaks are found day by day; a channel's days, a row each, then say where a session goes on over midnight.
+    """
+    key, gap = ["type", "channel_no"], gap_min * 60_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = reports.withColumn("day", F.date_trunc("day", "observed_at").cast("timestamp_ntz"))
+    by = Window.partitionBy(*key, "day").orderBy("observed_at", "report_id")
+    rows = rows.withColumn("fresh", F.coalesce((micros("observed_at") - F.lag(micros("observed_at")).over(by) > gap).cast("int"), F.lit(0)))
+    days = rows.groupBy(*key, "day").agg(F.min("observed_at").alias("first"), F.max("observed_at").alias("last"), F.sum("fresh").alias("breaks"))
+    order = Window.partitionBy(*key).orderBy("day")
+    opens = F.coalesce((micros("first") - F.lag(micros("last")).over(order) > gap).cast("int"), F.lit(1))
+    days = days.withColumn("opens", opens).withColumn("before", F.sum(F.col("opens") + F.col("breaks")).over(order) - F.col("breaks")).select(*key, "day", "before")
+    runs = rows.withColumn("nth", F.sum("fresh").over(by)).groupBy(*key, "day", "nth").agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count("*").alias("n_reports"))
+    runs = runs.join(days, [*key, "day"]).withColumn("session", F.col("before") + F.col("nth"))
+    return runs.groupBy(*key, "session").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n_reports").alias("n_reports"))
