@@ -15,24 +15,34 @@ from watchgrid.llm.words import U, mix
 PACK = pa.schema([("part", pa.int32()), ("pack", pa.binary())])
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """A column's bytes, all first ones, then all second ones and so on: high bytes of small or sorted numbers compress to little."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
+
+
 def packed(columns: list[np.ndarray], part: np.ndarray):
-    """One row for each part, with its columns one after another."""
+    """One row for each part, with its columns one after another, by planes of bytes."""
     order = np.argsort(part, kind="stable")
     columns, part = [c[order] for c in columns], part[order]
     heads = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(heads[1:], len(part))
-    packs = [b"".join(np.ascontiguousarray(c[x:y]).tobytes() for c in columns) for x, y in zip(heads, ends)]
+    packs = [b"".join(_planes(c[x:y]) for c in columns) for x, y in zip(heads, ends)]
     return pa.record_batch([pa.array(part[heads].astype(np.int32)), pa.array(packs, pa.binary())], schema=PACK)
 
 
-def unpacked(packs: list[bytes], kinds: list) -> list[np.ndarray]:
+def unpacked(packs: list[bytes], kinds: list, planes: bool = False) -> list[np.ndarray]:
+    """The columns of packs; ``planes``: as ``packed`` writes them, else each column as it is."""
     size = sum(np.dtype(k).itemsize for k in kinds)
     columns = [[] for _ in kinds]
     for pack in packs:
         n, at = len(pack) // size, 0
         for column, kind in zip(columns, kinds):
-            column.append(np.frombuffer(pack, kind, n, at))
-            at += n * np.dtype(kind).itemsize
+            wide = np.dtype(kind).itemsize
+            if planes and wide > 1:
+                column.append(np.ascontiguousarray(np.frombuffer(pack, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel())
+            else:
+                column.append(np.frombuffer(pack, kind, n, at))
+            at += n * wide
     return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(columns, kinds)]
 
 
@@ -42,12 +52,12 @@ def by_part(batches, kinds):
     for batch in batches:
         for p, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if p != part and packs:
-                yield unpacked(packs, kinds)
+                yield unpacked(packs, kinds, True)
                 packs = []
             part = p
             packs.append(pack)
     if packs:
-        yield unpacked(packs, kinds)
+        yield unpacked(packs, kinds, True)
 
 
 def shared_packs(key: np.ndarray, columns: list[np.ndarray], n_parts: int) -> pa.RecordBatch:
