@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,7 +88,11 @@ def fold(sightings: list[dict], speeds: dict[str, float], rules: LinkRules = Lin
     than the track's last one extends its path but doesn't move it."""
     tracks: list[dict] = []
     out = []
-    for s in sightings:
+    # no later sighting is older than this, so a track much older is closed for good
+    oldest = list(accumulate((s["at"] for s in reversed(sightings)), min))[::-1]
+    for i, s in enumerate(sightings):
+        if i % 32 == 0:
+            tracks = [t for t in tracks if t["at"] >= oldest[i] - rules.max_gap_min]
         t = link(tracks, s, speeds, rules)
         if t is None:
             tracks.append({**s, "id": s["report_id"]})
