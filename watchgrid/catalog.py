@@ -94,8 +94,11 @@ def q_sessions(spark, sf):
 
 
 def q_source_health(spark, sf):
-    last = view(spark, sf, "fx_reports").groupBy("channel_no").agg(F.max("observed_at").alias("last_seen"), F.count("*").alias("n_reports"))
-    return last.withColumn("healthy", F.col("last_seen") >= F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))
+    """Enabled channels and whether their last success is at most two hours old."""
+    e = spark.read.parquet(f"{sf}/events.parquet").where("user_id % 5 <> 0")
+    at = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    last = e.groupBy((F.col("user_id") % 20).alias("channel")).agg(F.max(F.when((F.col("event_type") != "error") & (F.col("ts") <= at), F.col("ts"))).alias("last_success"))
+    return last.withColumn("healthy", F.coalesce(F.col("last_success") >= at - F.expr("interval 2 hours"), F.lit(False)))
 
 
 def q_coverage(spark, sf):
@@ -228,6 +231,7 @@ s AS (SELECT *, sum(CASE WHEN before IS NULL OR observed_at - before > INTERVAL
 SELECT type, channel_no, CAST(session AS BIGINT) AS session, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) AS n_reports FROM s GROUP BY type, channel_no, session""",
             "fx_reports",
         ),
-        "source_health": with_views(" SELECT channel_no, max(observed_at) AS last_seen, count(*) AS n_reports, max(observed_at) >= TIMESTAMP '2024-01-29 12:00:00' AS healthy FROM fx_reports GROUP BY channel_no", "fx_reports"),
+        "source_health": """WITH l AS (SELECT user_id % 20 AS channel, max(ts) FILTER (WHERE event_type <> 'error' AND ts <= TIMESTAMP '2024-01-30') AS last_success FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
+SELECT *, coalesce(last_success >= TIMESTAMP '2024-01-29 22:00:00', false) AS healthy FROM l""",
         "parse_coverage": with_views(" SELECT type, count(*) AS n_reports, CAST(sum(CASE WHEN confidence < 0.6e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_low, count(course_deg) AS n_course, count(from_lat) AS n_origin FROM fx_reports GROUP BY GROUPING SETS ((type), ())", "fx_reports"),
     }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchgrid.catalog import q_proximity
 from watchgrid.functions import geo
 from watchgrid.functions.text import course_approach, course_stated
-from watchgrid.operators import alerts, history, proximity, regions
+from watchgrid.operators import alerts, audience, history, proximity, regions
 from watchgrid.sources.fixtures import view, with_views
 
 NOW = "2024-01-15 12:00:00"
@@ -73,15 +73,21 @@ def q_report_rate(spark, sf):
     return view(spark, sf, "fx_reports").groupBy("type", ten.alias("w")).agg(F.count("*").alias("n_reports")).select("type", F.col("w.start").cast("timestamp_ntz").alias("from_at"), "n_reports")
 
 
+def _people(spark, sf):
+    return view(spark, sf, "fx_subscribers").select("subscriber_id", F.concat(F.lit("User"), F.col("subscriber_id").cast("string")).alias("name"))
+
+
+def _allowed(spark, sf):
+    entry = F.expr("CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 400 AS VARCHAR(20)) WHEN 1 THEN '@USER' || (o_orderkey % 700) WHEN 2 THEN ' user' || (o_orderkey % 90) || ' ' ELSE '@' END")
+    return spark.read.parquet(f"{sf}/orders.parquet").select(entry.alias("entry"))
+
+
 def q_removed(spark, sf):
-    """Subscribers who wrote nothing that is on record: no longer in the audience."""
-    writers = view(spark, sf, "fx_log").select(F.col("entity").alias("subscriber_id"))
-    return view(spark, sf, "fx_subscribers").join(writers, "subscriber_id", "left_anti").select("subscriber_id")
+    return audience.removed(_people(spark, sf), _allowed(spark, sf)).select("subscriber_id")
 
 
 def q_audience(spark, sf):
-    writers = view(spark, sf, "fx_log").select(F.col("entity").alias("subscriber_id"))
-    return view(spark, sf, "fx_subscribers").join(writers, "subscriber_id", "left_semi").select("subscriber_id")
+    return audience.audience(_people(spark, sf), _allowed(spark, sf)).select("subscriber_id")
 
 
 def q_origin_course(spark, sf):
@@ -141,6 +147,8 @@ _OBSERVED = """, o AS (
     CASE WHEN relation = 'launch' THEN from_lat ELSE to_lat END AS lat, CASE WHEN relation = 'launch' THEN from_lon ELSE to_lon END AS lon
   FROM fx_reports)
 """
+_ALLOWED = """, al AS (SELECT DISTINCT lower(regexp_replace(trim(CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 400 AS VARCHAR) WHEN 1 THEN '@USER' || (o_orderkey % 700) WHEN 2 THEN ' user' || (o_orderkey % 90) || ' ' ELSE '@' END), '^@', '')) AS k FROM orders),
+i AS (SELECT subscriber_id FROM fx_subscribers WHERE CAST(subscriber_id AS VARCHAR) IN (SELECT k FROM al) OR 'user' || subscriber_id IN (SELECT k FROM al))"""
 _CORNERS = """, s AS (
   SELECT region, lat0 + a AS lat1, lon0 + b AS lon1, lat0 + c AS lat2, lon0 + d AS lon2 FROM fx_polygons, (VALUES
     (0.0e0, 0.0e0, 0.1e0, 3.4e0), (0.1e0, 3.4e0, 1.45e0, 3.5e0), (1.45e0, 3.5e0, 1.3e0, 0.2e0), (1.3e0, 0.2e0, 0.0e0, 0.0e0)) AS v(a, b, c, d))
@@ -181,8 +189,8 @@ SELECT channel_no, hour, healthy FROM l WHERE was <> healthy""",
         "notifiable": with_views(" SELECT subscriber_id, radius_km FROM fx_subscribers WHERE is_active AND lat IS NOT NULL AND lon IS NOT NULL", "fx_subscribers"),
         "course_rates": with_views(" SELECT type, round(count(course_deg) / count(*), 6) AS with_course, round(count(from_lat) / count(*), 6) AS with_origin FROM fx_reports GROUP BY type", "fx_reports"),
         "report_rate": with_views(" SELECT type, time_bucket(INTERVAL 10 MINUTE, observed_at, TIMESTAMP '2024-01-01') AS from_at, count(*) AS n_reports FROM fx_reports GROUP BY 1, 2", "fx_reports"),
-        "removed_audience": with_views(" SELECT subscriber_id FROM fx_subscribers WHERE subscriber_id NOT IN (SELECT entity FROM fx_log)", "fx_subscribers", "fx_log"),
-        "audience": with_views(" SELECT subscriber_id FROM fx_subscribers WHERE subscriber_id IN (SELECT entity FROM fx_log)", "fx_subscribers", "fx_log"),
+        "removed_audience": with_views(_ALLOWED + " SELECT subscriber_id FROM fx_subscribers WHERE subscriber_id NOT IN (SELECT subscriber_id FROM i)", "fx_subscribers"),
+        "audience": with_views(_ALLOWED + " SELECT subscriber_id FROM i", "fx_subscribers"),
         "resolve_course": with_views(
             f""" SELECT report_id, round(coalesce(fmod(degrees(atan2({_BEARING_Y}, {_BEARING_X})) + 360, 360), CASE report_id % 5 WHEN 0 THEN 180.0e0 WHEN 1 THEN 270.0e0 END,
   CASE WHEN report_id % 2 = 0 THEN fmod(degrees(atan2(sin(radians(to_lon - 34.7981e0)) * cos(radians(to_lat)), cos(radians(50.9077e0)) * sin(radians(to_lat)) - sin(radians(50.9077e0)) * cos(radians(to_lat)) * cos(radians(to_lon - 34.7981e0)))) + 360, 360) END), 6) AS course FROM fx_reports""",
