@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from watchgrid.llm import jaccard_join, licenses, line_dedup, media, packing, quality_chain, quality_rules, sentencepieces, substring_dedup, toxicity
+from watchgrid.llm import alignment, collocations, jaccard_join, licenses, line_dedup, media, orc_ids, packing, quality_chain, quality_rules, sentencepieces, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_orc_ids": orc_ids.op12_orc_ids,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict:
         "op1_substring_dedup": substring_dedup.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
+        "op13_collocations": collocations.ORACLE,
     }
