@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from watchgrid.llm import licenses, media, packing, quality_chain, quality_rules, sentencepieces, toxicity
+from watchgrid.llm import byte_bpe, licenses, media, packing, quality_chain, quality_rules, sentencepieces, toxicity
 
 SCHEMA = "doc_id long, text string"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -211,12 +211,12 @@ def test_ids_of_the_ranks_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ours = packing._tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ours = byte_bpe.loaded(True)
     points = [chr(x) for x in range(0x30000) if not 0xD800 <= x < 0xE000]
     texts = ["".join(points[k : k + 97]) for k in range(0, len(points), 97)] + [f"a{x}1 {x}{x} b" for x in points[::53]]
     texts += ["<|endoftext|>", "a <|endoftext|> b", "don't I'LL  x\r\n\n  \t y", " " * 50]
     for text, e in zip(texts, bpe.encode_batch(texts, add_special_tokens=False)):
-        assert ours.encode(text, allowed_special="all") == e.ids, text
+        assert ours.encode(text).tolist() == e.ids, text
 
 
 def test_media(spark):
@@ -374,6 +374,55 @@ def test_licenses(spark):
     assert (got[200], got[201], got[202]) == ("Apache-2.0,apache", "", "MIT,mit")
 
 
+def test_repetitive_texts_take_little_time():
+    import time
+
+    templates = [(label, text, keys) for label, text, keys in licenses.TEMPLATES]
+    index = licenses.Index(templates, {}, 1000)
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    near = [f"{notice} as published by someone else, either edition 3 of it" for _ in range(2000)]
+    shuffled = notice.split() + "as published by the Free Software Foundation, either version 3 of the License".split()
+    r = random.Random(4)
+    mixed = [" ".join(r.sample(shuffled, len(shuffled))) for _ in range(2000)]
+    for text, most in ((" ".join(near), 1.0), (" ".join([notice] * 2000), 1.0), (" ".join(mixed), 5.0)):
+        h = licenses._hashes(text)
+        v = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
+        hit = np.flatnonzero(index.vocabulary[v] == h)
+        start = time.process_time()
+        index.scan(h, hit, v[hit])
+        assert time.process_time() - start < 2 * most
+
+
+def test_a_mention_is_no_notice(spark):
+    docs = [(1, "we compared the MIT License and the GNU General Public License version 3 here"), (2, "This work is licensed under the GNU General Public License version 3."), (3, "SPDX-License-Identifier: MPL-2.0")]
+    docs += [(k, f"other words of text {k}") for k in range(10, 60)]
+    got = {x.doc_id: x.labels for x in licenses.license_scan(frame(spark, docs)).collect()}
+    assert (got[1], got[2], got[3]) == ("gpl,mit", "GPL-3.0,gpl", "MPL-2.0")
+
+
+def test_packing_of_long_white_space(spark):
+    docs = [(k, f"a{c * 1_000_000}b") for k, c in enumerate(" \n\t")] + [(9, "<|endoftext|> x")]
+    rows = packing.pack_documents(frame(spark, docs)).collect()
+    for d, text in docs:
+        ids = byte_bpe.loaded(True).other().encode(text, add_special_tokens=False).ids + [0]
+        assert sum(x.length for x in rows if x.doc_id == d) == len(ids)
+        for x in rows:
+            if x.doc_id == d:
+                assert x.ids_crc32 == zlib.crc32(np.array(ids[x.start : x.start + x.length], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("most_lines", [300, 3])
+def test_quality_learns_beside_a_giant_row(spark, most_lines):
+    good, bad = "A sentence of ordinary words, as one would write it.\n" * 4, "BUY $$$ !!! ### 111\n" * 4
+    docs = [(i, (good if i % 2 else bad) + f"line {i}") for i in range(60)] + [(1000, "x\n" * 400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int")
+    model = quality_chain.fit(frame(spark, docs), labels, most_lines=most_lines)
+    assert np.abs(model.weights).max() > 0
+    if most_lines == 300:
+        rows = quality_chain.quality(frame(spark, docs), model).where("doc_id < 60").collect()
+        assert all((x.score >= 0.5) == (x.doc_id % 2 == 1) for x in rows)
+
+
 def test_marginals_against_enumeration():
     r = np.random.default_rng(0)
     lines, table = np.array([3, 1, 4]), r.normal(size=(2, 2))

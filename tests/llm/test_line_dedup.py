@@ -55,3 +55,13 @@ def test_one_id_with_different_texts(spark):
     got = sorted((x.doc_id, str(x.text), x.n_lines, x.n_removed) for x in rows)
     assert rows[0].covered == 1
     assert got == [(1, "a\nb\nc\nd\ne", 5, 0), (2, "", 5, 5), (2, "x", 1, 0), (2, "y\nz\nq", 3, 0), (3, "", 3, 3), (3, "", 3, 3), (3, "None", 0, 0)]
+
+
+def test_a_window_of_a_third_of_all_rows_is_split(spark):
+    """Spark may deal the rows of one window to several tasks: no aggregate stands between the exchange of the windows' names and their join."""
+    docs = [(i, f"own line {i}\nfoot one\nfoot two\nfoot three") for i in range(300)]
+    out = line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan
+    rows = {x.doc_id: x for x in out.collect()}
+    assert rows[0].n_removed == 0 and all(rows[i].text == f"own line {i}" for i in range(1, 300))

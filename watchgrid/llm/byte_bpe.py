@@ -16,18 +16,20 @@ _LOADED: dict = {}
 
 
 class ByteIds:
-    """Encoder of texts; ``special`` says whether strings of special ids inside texts are these ids or plain text."""
+    """Encoder of texts; ``special`` says whether strings of special ids inside texts are these ids or plain text.
 
-    def __init__(self, special: bool):
-        import public_tokenizers
+    ``path`` and ``form`` are the places of the vocabulary as ranks and in JSON.
+    """
+
+    def __init__(self, special: bool, path: str, form: str, pattern: str):
         import tiktoken
 
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranks = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-        self.special = special
+        self.ranks = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        self.special, self.form = special, form
         #: The bytes of each id.
-        self.token = [b""] * 50256
+        self.token = [b""] * len(ranks)
         for b, i in ranks.items():
             self.token[i] = b
         self._other = None
@@ -36,10 +38,9 @@ class ByteIds:
         """The vocabulary by the library that reads its JSON form."""
         if self._other is None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            import public_tokenizers
             from tokenizers import Tokenizer
 
-            self._other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            self._other = Tokenizer.from_file(self.form)
             self._other.encode_special_tokens = not self.special
         return self._other
 
@@ -51,8 +52,11 @@ class ByteIds:
         return self.ranks.encode_to_numpy(text, disallowed_special=())
 
 
-def loaded(special: bool) -> ByteIds:
-    """The vocabulary, kept by a worker from task to task."""
-    if special not in _LOADED:
-        _LOADED[special] = ByteIds(special)
-    return _LOADED[special]
+def loaded(special: bool, path: str | None = None, form: str | None = None, pattern: str | None = None) -> ByteIds:
+    """The vocabulary, by default the public one, kept by a worker from task to task."""
+    import public_tokenizers
+
+    files = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), form or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
+    if (special, *files) not in _LOADED:
+        _LOADED[special, *files] = ByteIds(special, *files)
+    return _LOADED[special, *files]

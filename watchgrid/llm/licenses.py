@@ -4,7 +4,8 @@ The index holds, for each template, its words of the highest inverse document fr
 that what is left weighs less than the share that a match needs. A file's words that the index holds are looked up once,
 and their postings name templates and places; a template that no such word names costs nothing. Around a place, the
 windows that begin at a template word and hold a mandatory key phrase are tried, those with the most votes by relative position first:
-a window matches when the words that stand in it in the template's order carry the share of its weight. So words may
+a window matches when the words that stand in it in the template's order carry the share of its weight, or more where a key phrase
+alone carries it. So words may
 be inserted, left out or changed, and no match is missed (see ``Index``).
 """
 
@@ -78,7 +79,10 @@ class Index:
         n = np.array([frequency.get(int(x), 0) for x in self.vocabulary.view(np.int64)], float)
         self.idf = np.log((n_docs + 1) / (n + 1)) + 0.01
         self.place = [np.searchsorted(self.vocabulary, w) for w in self.words]
-        self.share, self.needed = share, [share * float(self.idf[p].sum()) - 1e-9 for p in self.place]
+        self.total = [float(self.idf[p].sum()) for p in self.place]
+        # a key phrase that carries the share alone is a mention; half of the other words' weight makes it a notice
+        key = [max((float(self.idf[np.searchsorted(self.vocabulary, k)].sum()) for k in keys), default=0.0) for keys in self.keys]
+        self.needed = [(share * t if k < share * t else (k + t) / 2) - 1e-9 for t, k in zip(self.total, key)]
         self.wide = [len(p) + len(p) // 4 + 4 for p in self.place]
         self.member = [np.isin(np.arange(len(self.vocabulary)), p) for p in self.place]
         self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
@@ -118,37 +122,44 @@ class Index:
         wide = self.wide[t]
         # windows that begin at one of the template's words and hold a rare word and a key phrase
         near = np.searchsorted(rare, at + wide) > np.searchsorted(rare, at)
-        first = np.searchsorted(keys[:, 0], at) if (keys[1:, 0] >= keys[:-1, 0]).all() else None
-        if first is None:
-            keys = keys[np.argsort(keys[:, 0], kind="stable")]
-            first = np.searchsorted(keys[:, 0], at)
-        size = int(keys[:, 1].min())
-        near &= keys[np.minimum(first, len(keys) - 1), 0] + size <= at + wide
-        near &= first < len(keys)
+        keys = keys[np.argsort(keys[:, 0], kind="stable")]
+        first = np.searchsorted(keys[:, 0], at)
+        # the first end of the key phrases that begin at or after each
+        ends = np.minimum.accumulate(keys.sum(1)[::-1])[::-1]
+        near &= (first < len(keys)) & (ends[np.minimum(first, len(keys) - 1)] <= at + wide)
         # the words of a window, in any order, bound those in order
         weight = np.concatenate([[0.0], np.cumsum(self.idf[v])])
         last = np.searchsorted(at, at + wide)
         near &= weight[last] - weight[:-1] >= self.needed[t]
         begins = np.sort(begins)
         votes = np.searchsorted(begins, at + 3, "right") - np.searchsorted(begins, at - 3)
-        for k in np.flatnonzero(near)[np.argsort(-votes[near], kind="stable")].tolist():
-            a = int(at[k])
-            inside = (keys[:, 0] >= a) & (keys[:, 0] + keys[:, 1] <= a + wide)
-            if not inside.any():
-                continue
-            got = ordered_weight(self.place[t], v[k : last[k]], self.idf)
-            if got >= self.needed[t]:
-                return got / (self.needed[t] + 1e-9) * self.share
+        # the windows in this order, in growing blocks; one that holds the same words as a failed one fails too
+        order, failed, done, step = np.flatnonzero(near)[np.argsort(-votes[near], kind="stable")], set(), 0, 1
+        while done < len(order):
+            k = order[done : done + step]
+            done, step = done + step, min(4 * step, 1024)
+            size = last[k] - k
+            m = int(size.max())
+            inside = np.arange(m) < size[:, None]
+            words = np.where(inside, v[np.minimum(k[:, None] + np.arange(m), len(v) - 1)], -1).astype(np.int32)
+            names = [x.tobytes().rstrip(b"\xff") for x in words]
+            fresh = {name: i for i, name in reversed(list(enumerate(names))) if name not in failed}
+            pick = np.array(sorted(fresh.values()), np.int64)
+            got = ordered_weights(self.place[t], words[pick], self.idf)
+            enough = np.flatnonzero(got >= self.needed[t])
+            if len(enough):
+                return float(got[enough[0]]) / self.total[t]
+            failed.update(fresh)
         return 0.0
 
 
-def ordered_weight(template: np.ndarray, words: np.ndarray, weight: np.ndarray) -> float:
-    """The largest weight of words that both sequences have in the same order."""
-    row = np.zeros(len(words) + 1)
+def ordered_weights(template: np.ndarray, windows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each window (a row of words, -1 where it is shorter) the largest weight of words that it and the template have in the same order."""
+    best = np.zeros((len(windows), windows.shape[1] + 1))
     for x in template.tolist():
-        row[1:] = np.maximum(row[1:], np.where(words == x, row[:-1] + weight[x], 0.0))
-        row = np.maximum.accumulate(row)
-    return float(row[-1])
+        np.maximum(best[:, 1:], np.where(windows == x, best[:, :-1] + weight[x], 0.0), out=best[:, 1:])
+        np.maximum.accumulate(best, axis=1, out=best)
+    return best[:, -1]
 
 
 def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -189,7 +200,7 @@ def license_scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFra
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case. A template's label is given where a
     window of a quarter more words than it has (and 4) holds one of its key phrases and, in its order, words of half of its
-    weight. ``score`` is the largest share found so, and at least 0.5 with a base label. Null and empty texts have no words,
+    weight; where a key phrase alone weighs half, also half of the other words' weight, so that a mention is no notice. ``score`` is the largest share found so, and at least 0.5 with a base label. Null and empty texts have no words,
     empty labels and score 0. Equal rows get equal values; nothing depends on the order of rows.
     """
     ship(docs.sparkSession)

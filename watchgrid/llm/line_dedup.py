@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid.session import cut
+
 _BLANK = r"[\x09-\x0D\x20]*"
 
 
@@ -41,9 +43,10 @@ def line_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
             lambda w, s: F.struct(w.i0.alias("i0"), F.xxhash64(w.x0, s.x).alias("x0"), s.i.alias("i1"), F.xxhash64(s.x, w.b, w.x0).alias("b")),
         )
     windows = lines.select("doc_id", "_version", F.explode(window).alias("w")).select("doc_id", "_version", "w.*")
-    keys = windows.groupBy("x0", "b").agg(F.min(F.struct("doc_id", "_version", "i0")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written first: an aggregate right below the join would keep Spark from splitting a window that many files share
+    keys = cut(windows.groupBy("x0", "b").agg(F.min(F.struct("doc_id", "_version", "i0")).alias("first"), F.count("*").alias("n")).where("n > 1").select("x0", "b", "first"))
     later = (
-        windows.join(keys.select("x0", "b", "first"), ["x0", "b"])
+        windows.join(keys, ["x0", "b"])
         .where("struct(doc_id, _version, i0) <> first")
         .groupBy("doc_id", "_version")
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("i0", "i1")))).alias("_covered"))

@@ -8,6 +8,7 @@ skips files, stripes and row groups by their metadata.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -22,8 +23,8 @@ from watchgrid.llm.words import parts
 from watchgrid.session import shared_folder, ship
 
 SCHEMA = "doc_id long, shard int, start long, n_tokens long, ids array<int>"
-#: A letter-only chunk and one of these marks are two words of the vocabulary.
-_MARKS = frozenset(".,;:!?")
+#: Letters and one of these marks after them are two words of the vocabulary.
+_MARKS = ".,;:!?"
 #: Bytes of chunks and ids that a worker remembers before it starts anew, at a slice's start; longer chunks are not remembered.
 _REMEMBERED, _LONG = 96 << 20, 64
 
@@ -32,8 +33,8 @@ class WordIds:
     """Ids of texts by the library, chunk by chunk; a chunk is what ASCII white space separates.
 
     The vocabulary drops white space and none of its words, special ones included, holds any, so chunks are encoded on their own, once while
-    a worker remembers them. Chunks of letters alone, with a mark after them or not, go to the library together: each of their words
-    ends with one id of a word's end. If these are not as many as expected, each chunk goes alone.
+    a worker remembers them. A mark after letters is a word of its own, and A-Z count as lower case. Letters go to the library together: each
+    word of letters ends with one id of a word's end; if there are more or fewer of these than words, each goes alone.
     """
 
     def __init__(self, path: str):
@@ -41,42 +42,51 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # the same words without the steps that leave letters of ASCII in lower case as they are
+        plain = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = dict(zip([m.encode() for m in _MARKS], self._alone(list(_MARKS))))
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def _alone(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _together(self, chunks: list[str], n_words: list[int]) -> list[bytes]:
-        ids = np.array(self.library.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+    def _together(self, library, words: list[str]) -> list[bytes]:
+        ids = np.array(library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != sum(n_words):
-            return self._alone(chunks)
-        edges = [0, *ends[np.cumsum(n_words) - 1].tolist()]
-        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-
-    def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Encode chunks and remember the short ones."""
-        plain, n_words, other = [], [], []
-        for raw in chunks:
-            s = raw.decode()
-            if s.isalpha():
-                plain.append(s)
-                n_words.append(1)
-            elif s[-1] in _MARKS and s[:-1].isalpha():
-                plain.append(s)
-                n_words.append(2)
-            else:
-                other.append(s)
-        ids = (self._together(plain, n_words) if plain else []) + self._alone(other)
-        new = dict(zip([s.encode() for s in plain + other], ids))
-        for k, v in new.items():
-            if len(k) <= _LONG:
-                self.known[k] = v
-                self.held += len(k) + len(v) + 150
+        if len(ends) != len(words):
+            return self._alone(words)
+        raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks, of which the short ones are remembered."""
+        known, marks = self.known, self.marks
+        made, words, ends, other = [], [], [], []  # flat lists: nothing here for the collector of cycles to walk through
+        for c in chunks:
+            end = marks.get(c[-1:], b"")
+            word = c[:-1] if end else c
+            if word.isalpha():
+                word = word.lower()
+            elif not word.decode().isalpha():
+                other.append(c)
+                continue
+            made.append(c)
+            words.append(word)
+            ends.append(end)
+        ids: dict[bytes, bytes] = {}
+        for ascii, library in ((True, self.plain), (False, self.library)):
+            unknown = [w for w in set(words).difference(known) if w.isascii() == ascii]
+            ids.update(zip(unknown, self._together(library, [w.decode() for w in unknown])))
+        new = {c: (ids[w] if w in ids else known[w]) + end for c, w, end in zip(made, words, ends)}
+        new.update(zip(other, self._alone([c.decode() for c in other])))
+        short = {k: v for k, v in new.items() if len(k) <= _LONG}
+        known.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + 150 * len(short)
         return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -84,11 +94,9 @@ class WordIds:
         if self.held > _REMEMBERED:
             self.known, self.held = {}, 0
         split = [t.split() for t in texts]
-        known = self.known
-        new = self.learn(list({c for chunks in split for c in chunks if c not in known}))
-        if any(len(c) > _LONG for c in new):
-            known = known | new
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        new = self.learn(set().union(*split).difference(self.known))
+        known = self.known | new if max(map(len, new), default=0) > _LONG else self.known
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
 _LOADED: dict[str, WordIds] = {}

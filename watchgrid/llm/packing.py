@@ -7,7 +7,6 @@ where the sum of the squares of these numbers becomes smallest.
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -16,37 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchgrid.llm import byte_bpe
 from watchgrid.llm.words import parts
 from watchgrid.session import cut, ship
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_LOADED: dict = {}
 
-
-def _tokenizer(path: str, pattern: str):
-    """The ranks of a byte-level vocabulary, kept by a worker from task to task."""
-    if path not in _LOADED:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path] = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return _LOADED[path]
-
-
-def pieces(docs: DataFrame, path: str, pattern: str, size: int = 2048) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, pattern: str | None = None, size: int = 2048) -> DataFrame:
     """Pieces of at most ``size`` ids: a document's ids, then id 0; of a longer one the first piece may be shorter.
 
-    Null texts are empty (one piece: id 0). Each row of ``docs`` is a document, so a repeated ``doc_id`` gives repeated pieces.
+    ``path`` and ``pattern`` are the vocabulary's ranks and pattern (by default the public ones). Null texts are empty (one piece: id 0). Each row of ``docs`` is a document, so a repeated ``doc_id`` gives repeated pieces.
     """
     ship(docs.sparkSession)
 
     def run(batches):
-        bpe = _tokenizer(path, pattern)
+        bpe = byte_bpe.loaded(True, path, pattern=pattern)
         for texts, doc in parts(batches, ["doc_id"]):
             rows = []
             for d, text in zip(doc.to_pylist(), texts):
-                ids = np.array(bpe.encode(text.decode(), allowed_special="all") + [0], "<u4")
+                ids = np.append(bpe.encode(text.decode()), 0).astype("<u4")
                 first = len(ids) % size or size
                 edges = [0, *range(min(first, len(ids)), len(ids) + 1, size)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -105,7 +92,7 @@ def _shard(size: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, pattern: str, size: int = 2048, shard: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, pattern: str | None = None, size: int = 2048, shard: int = 20_000) -> DataFrame:
     """Each piece (see ``pieces``) with ``sequence_id`` and ``offset``: gapless sequences of at most ``size`` ids.
 
     A piece of ``size`` ids is a sequence of its own. Null and empty texts are one piece (id 0). Each row is a document, so a
@@ -129,9 +116,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
     The ids are those of ``byte_bpe_50k.json`` by tokenizers, which takes four times as long as the same vocabulary as ranks.
     """
-    import public_tokenizers
-
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs)
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:

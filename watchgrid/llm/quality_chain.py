@@ -154,7 +154,8 @@ def _means(model: Model, features, length, lines) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lines: int = 300_000, chain: int = 40, ridge: float = 1e-3, steps: int = 250) -> Model:
     """Learn from at most ``most`` labelled rows of the folds that may be learnt from, with at most ``most_lines`` lines together.
 
-    The sample is bounded by whole rows, in the order of a hash of the id: every line of a row in it is learnt from. Lines are cut
+    The sample is bounded by whole rows, in the order of a hash of the id: a row whose lines don't fit into what is left of
+    ``most_lines`` is passed over, and every line of a row in the sample is learnt from. If no row fits, the one of the fewest lines is the sample. Lines are cut
     into stretches of up to ``chain`` for the likelihood; the calibration runs over whole documents.
     """
     ship(docs.sparkSession)
@@ -176,7 +177,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lines: int =
     # at most ``most`` numbers, to choose the rows before their features travel
     sizes = rows.mapInArrow(count, "doc_id long, lines long").groupBy("doc_id").agg(F.sum("lines").alias("lines")).withColumn("h", F.xxhash64("doc_id")).toPandas()
     sizes = sizes.sort_values(["h", "doc_id"], kind="stable")
-    taken = sizes.doc_id[(sizes.lines.cumsum() <= most_lines)].tolist()
+    taken, left = [], most_lines
+    for doc, n in zip(sizes.doc_id.tolist(), sizes.lines.tolist()):
+        if n <= left:
+            taken.append(doc)
+            left -= n
+    if not taken and len(sizes):
+        taken = sizes.sort_values(["lines", "h", "doc_id"], kind="stable").doc_id.tolist()[:1]
     if not taken:
         return Model(np.zeros(WIDTH + 1), np.zeros((2, 2)), np.zeros(WIDTH), np.ones(WIDTH))
     chosen = docs.sparkSession.createDataFrame([(x,) for x in taken], "doc_id long")

@@ -19,8 +19,8 @@ from watchgrid.llm.words import parts
 from watchgrid.session import ship
 
 _MARK = "▁"
-#: Words that a worker remembers before it starts anew, at a slice's start.
-_REMEMBERED = 1_000_000
+#: Bytes of words and ids that a worker remembers before it starts anew, at a slice's start; longer words are not remembered.
+_REMEMBERED, _LONG = 128 << 20, 128
 
 
 class Pieces:
@@ -46,6 +46,7 @@ class Pieces:
         if inside:
             raise ValueError(f"pieces with a space after another character: {inside[:3]}")
         self.words: dict[str, str] = {}
+        self.held = 0
         self.split = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+").findall
 
     def merge(self, word: str) -> list[int]:
@@ -89,24 +90,31 @@ class Pieces:
                     out.append(x)
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Encode and remember words, compared with the library in one call."""
+    def learn(self, words: list[str]) -> dict[str, str]:
+        """The ids of words, compared with the library in one call; those of short words are remembered."""
         ids = [self.merge(w) for w in words]
         # the library adds the first space itself
         led = [(w, x) for w, x in zip(words, ids) if w[0] == _MARK and len(w) > 1]
         for (w, own), its in zip(led, self.library.encode([w[1:] for w, _ in led], num_threads=1)):
             if own != its:
                 raise ValueError(f"other ids than the library's for {w[:40]!r}")
-        for w, x in zip(words, ids):
-            self.words[w] = ",".join(map(str, x))
+        new = {w: ",".join(map(str, x)) for w, x in zip(words, ids)}
+        for w, x in new.items():
+            if len(w) <= _LONG:
+                self.words[w] = x
+                # a word's characters take up to four bytes each
+                self.held += 4 * len(w) + len(x) + 150
+        return new
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, joined by commas. An empty text has none."""
-        if len(self.words) >= _REMEMBERED:
-            self.words.clear()
+        if self.held >= _REMEMBERED:
+            self.words, self.held = {}, 0
         split = [self.split(_MARK + t.replace(" ", _MARK)) if t else [] for t in texts]
         known = self.words
-        self.learn(list({w for words in split for w in words if w not in known}))
+        new = self.learn(list({w for words in split for w in words if w not in known}))
+        if any(len(w) > _LONG for w in new):
+            known = known | new
         return [",".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: list[int]) -> str:
