@@ -5,7 +5,7 @@ that what is left weighs less than the share that a match needs. A file's words
 and their postings name templates and places; a template that no such word names costs nothing. Around a place, the
 windows that begin at a template word and hold a mandatory key phrase are tried, those with the most votes by relative position first:
 a window matches when the words that stand in it in the template's order carry the share of its weight, or more where a key phrase
-alone carries it. So words may
+is a third of the template. So words may
 be inserted, left out or changed, and no match is missed (see ``Index``).
 """
 
@@ -80,9 +80,9 @@ class Index:
         self.idf = np.log((n_docs + 1) / (n + 1)) + 0.01
         self.place = [np.searchsorted(self.vocabulary, w) for w in self.words]
         self.total = [float(self.idf[p].sum()) for p in self.place]
-        # a key phrase that carries the share alone is a mention; half of the other words' weight makes it a notice
+        # in a template of little more than its key phrase that phrase is a mention; half of the other words' weight makes it a notice
         key = [max((float(self.idf[np.searchsorted(self.vocabulary, k)].sum()) for k in keys), default=0.0) for keys in self.keys]
-        self.needed = [(share * t if k < share * t else (k + t) / 2) - 1e-9 for t, k in zip(self.total, key)]
+        self.needed = [(share * t if 3 * k < t else max(share * t, (k + t) / 2)) - 1e-9 for t, k in zip(self.total, key)]
         self.wide = [len(p) + len(p) // 4 + 4 for p in self.place]
         self.member = [np.isin(np.arange(len(self.vocabulary)), p) for p in self.place]
         self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
@@ -200,7 +200,7 @@ def license_scan(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFra
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the whole text with A-Z in lower case. A template's label is given where a
     window of a quarter more words than it has (and 4) holds one of its key phrases and, in its order, words of half of its
-    weight; where a key phrase alone weighs half, also half of the other words' weight, so that a mention is no notice. ``score`` is the largest share found so, and at least 0.5 with a base label. Null and empty texts have no words,
+    weight; where a key phrase alone weighs a third, it and half of the other words' weight, so that a mention is no notice. ``score`` is the largest share found so, and at least 0.5 with a base label. Null and empty texts have no words,
     empty labels and score 0. Equal rows get equal values; nothing depends on the order of rows.
     """
     ship(docs.sparkSession)
