@@ -98,6 +98,14 @@ SELECT event_id AS post_id, user_id % 20 AS channel_no, ts AS posted_at, event_i
   || CASE user_id % 13 WHEN 1 THEN ' о 11:40' WHEN 2 THEN ' (орієнтовно о 23:50)' WHEN 3 THEN chr(10) || 'мінус' WHEN 4 THEN chr(10) || 'Відбій тривоги' WHEN 5 THEN ' [15.01.2024 09:15]' WHEN 6 THEN ', збито'
     WHEN 7 THEN chr(10) || 'Картка 4441 1111 2222 3333' WHEN 8 THEN ' до о 10:00, об 0.30' WHEN 9 THEN chr(10) || 'ще один не фіксується' WHEN 10 THEN ' о 25:10' ELSE '' END
   END AS text
+FROM events""",
+    "fx_raids": """
+SELECT CAST(event_id AS VARCHAR(20)) AS message_id,
+  CASE event_id % 7 WHEN 0 THEN 'Сумщина: ' WHEN 1 THEN 'Полтавщина' || chr(10) WHEN 2 THEN '⚠ Суми' || chr(10) WHEN 3 THEN 'Одещина ' ELSE '' END
+  || CASE user_id % 5 WHEN 0 THEN 'БпЛА ' WHEN 1 THEN '3 шахеди ' WHEN 2 THEN 'реактивний ' WHEN 3 THEN 'бандероль ' ELSE '2 ' END
+  || CASE event_id % 11 WHEN 0 THEN 'повз Конотоп курсом на Охтирку' WHEN 1 THEN 'над містом' WHEN 2 THEN 'на Миргород з півночі' WHEN 3 THEN 'біля Ріпок, 1 на Кролевець' WHEN 4 THEN 'з Одещини на Новий Буг'
+    WHEN 5 THEN 'на Липову Долину' WHEN 6 THEN 'Ізюм уважно' WHEN 7 THEN 'у напрямку Чорного моря' WHEN 8 THEN 'курс західний' WHEN 9 THEN 'на Охтиркку' ELSE 'через Тернопіль на Чернівці' END
+  || CASE user_id % 13 WHEN 0 THEN chr(10) || 'пуски: 3 з Смоленська, 10 з Курська (Орловщина)' WHEN 1 THEN chr(10) || 'мінус на Суми' WHEN 2 THEN chr(10) || '1 на Київ' WHEN 3 THEN chr(10) || 'уламки' ELSE '' END AS text
 FROM events""",
     "fx_lexicon": """
 SELECT p_partkey AS place_id, CASE p_partkey % 17 WHEN 0 THEN 'Охтирка' WHEN 1 THEN 'Конотоп' WHEN 2 THEN 'Суми' WHEN 3 THEN 'Кам''янське' WHEN 4 THEN 'Новий Буг' WHEN 5 THEN 'Ізюм'
