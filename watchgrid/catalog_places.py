@@ -137,7 +137,7 @@ def oracle_sql() -> dict:
     l = lambda q, text="text": with_views(f", l0 AS (SELECT post_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INT AS line FROM fx_posts), l AS (SELECT post_id, line, {text} AS text FROM l0) {q}", "fx_posts")  # noqa: E731, E741
     squeezed = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')"
     split = r"regexp_split_to_array(t, '\s*[,;]\s+')"
-    cues = "|".join(f"(?:{p})" for _, p in cl.CUES).replace("(", "(?:").replace("(?:?:", "(?:")
+    cues = "|".join(p for _, p in cl.CUES)
     # the edge before a cue is taken along, so a space is doubled for cues that follow each other
     every = f"regexp_extract_all(replace(text, ' ', '  '), '(?i)(?:^|[^\\p{{L}}\\p{{N}}])((?:{cues})\\s)', 1)"
     kind = _case([(f"regexp_matches(c, '(?i)^({p})$')", f"'{n}'") for n, p in cl.CUES], "'towards'")

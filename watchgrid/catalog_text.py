@@ -167,7 +167,7 @@ def oracle_sql() -> dict:
     number = r"TRY_CAST(regexp_extract(t, '(?i)^(\d{1,3})\s*(?:х|x|шт\.?)?\s*\p{L}', 1) AS INT)"
     count = _case([(f"{word} = '{w.replace(chr(39), chr(39) * 2)}'", n) for w, n in tx.NUMBERS.items()], f"CASE WHEN {number} BETWEEN 1 AND 200 THEN {number} ELSE 1 END")
     stated = _case([(_has("text", [c.format(x) for c in tx.COURSES]), d) for d, x in tx.POINTS])
-    phrase = f"regexp_extract(text, {re2(tx.FROM)}, 3)"
+    phrase = f"regexp_extract(text, {re2(tx.FROM)}, 1)"
     approach = _case([(_has("phrase", [x]), (d + 180) % 360) for d, x in tx.FROM_POINTS])
     time = r"""nullif(regexp_extract(regexp_extract(regexp_replace(text,
   '(?i)(орієнтовн\p{L}*|приблизн\p{L}*|\+-|±|~|(^|[^\p{L}])до)\s*((о|об)\s+\d{1,2}[:.]\d{2}|\[\d{2}\.\d{2}\.\d{4}\s+\d{1,2}:\d{2}\])', ' ', 'g'),

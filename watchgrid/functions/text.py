@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 # Lines that are advertising.
 BOILERPLATE = [
-    r"підпис(атися|уйтесь|атись|ка)",
+    r"підпис(?:атися|уйтесь|атись|ка)",
     r"^\s*@\w+\s*$",
     r"t\.me/",
-    r"наш(і)?\s+(бот|канал|чат)",
+    r"наш(?:і)?\s+(?:бот|канал|чат)",
     r"надіслати\s+новину",
     r"повідомити\s+про",
     r"^\s*реклама[A-Za-z0-9_]",
@@ -22,45 +22,45 @@ BOILERPLATE = [
 ]
 # Messages that ask for money.
 FUNDRAISING = [
-    r"(^|\D)\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}(\D|$)",
+    r"(?:^|\D)\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}(?:\D|$)",
     r"privat\s?bank|приватбанк",
     r"pay\s?pal",
-    r"монобанк|карт(а|ка|ки|ку)\s+моно",
+    r"монобанк|карт(?:а|ка|ки|ку)\s+моно",
     r"patreon|патреон",
     r"send\.monobank|jar/|банк[аи]?\s+для\s+збор",
 ]
 # Stems and phrases about results and air defence.
 SENSITIVE = [
-    "<(збит|збива|збили|подавл|влучан|приліт|прильот|прилет|уламк|наслідк|пошкодж|загинул|постражда|поранен|детонац)",
-    r"<(ППО\s+прац|робот[уаи]\s+ППО|сил[иа]\s+ППО|працює\s+ППО|відпрацюв)",
+    "<(?:збит|збива|збили|подавл|влучан|приліт|прильот|прилет|уламк|наслідк|пошкодж|загинул|постражда|поранен|детонац)",
+    r"<(?:ППО\s+прац|робот[уаи]\s+ППО|сил[иа]\s+ППО|працює\s+ППО|відпрацюв)",
 ]
 # A line that ends a sighting, or a threat.
-LOST = r"<(мінус|зник|зникла|зникли|зникло|не\s+фіксу[єю]ться)>"
-STAND_DOWN = r"<(відбій|чисто|без\s+фіксац|без\s+загроз)"
+LOST = r"<(?:мінус|зник|зникла|зникли|зникло|не\s+фіксу[єю]ться)>"
+STAND_DOWN = r"<(?:відбій|чисто|без\s+фіксац|без\s+загроз)"
 # What a report speaks of.
-REPORT = "<(бпла|шахед|герань|ракет|балістик|каб|авіаці|реактивн|курс|напрямку|повз|через)"
+REPORT = "<(?:бпла|шахед|герань|ракет|балістик|каб|авіаці|реактивн|курс|напрямку|повз|через)"
 NAME = "<[А-ЯІЇЄҐ][а-яіїєґ'’]{2,}"
 _A = "[а-яіїєґ]*"
 # Types in order; the first that matches counts.
 TYPES = [
-    ("ballistic", "<(балістик|балістичн|іскандер-м|кн-23)"),
-    ("cruise", "<(крилат|калібр|х-101|х-555|х-59|х-31|іскандер-к|бандерол|дань-т|швидкісн|ракет)"),
-    ("kab", rf"<(каб{_A}|кабів|(керован{_A}\s+)?авіаційн{_A}\s+бомб{_A}|керован{_A}\s+авіабомб{_A}|авіабомб{_A}|фаб-?\d+|умпб[-\d]*|umpb[-\d]*|umpk)>"),
-    ("recon", "<(розвід)"),
-    ("jet_uav", "<(реактив|рбпла)"),
-    ("uav", "<(бпла|безпілотник|шахед|герань|гербер|ланцет|молні|shahed|geran|мопед)"),
-    ("aviation", rf"<(тактичн{_A}\s+авіаці|авіаці|літак|борт{_A}|міг-\d+|ту-\d+|су-\d+)"),
+    ("ballistic", "<(?:балістик|балістичн|іскандер-м|кн-23)"),
+    ("cruise", "<(?:крилат|калібр|х-101|х-555|х-59|х-31|іскандер-к|бандерол|дань-т|швидкісн|ракет)"),
+    ("kab", rf"<(?:каб{_A}|кабів|(?:керован{_A}\s+)?авіаційн{_A}\s+бомб{_A}|керован{_A}\s+авіабомб{_A}|авіабомб{_A}|фаб-?\d+|умпб[-\d]*|umpb[-\d]*|umpk)>"),
+    ("recon", "<(?:розвід)"),
+    ("jet_uav", "<(?:реактив|рбпла)"),
+    ("uav", "<(?:бпла|безпілотник|шахед|герань|гербер|ланцет|молні|shahed|geran|мопед)"),
+    ("aviation", rf"<(?:тактичн{_A}\s+авіаці|авіаці|літак|борт{_A}|міг-\d+|ту-\d+|су-\d+)"),
 ]
 # Fixed value: a count and a preposition, with no type.
-BARE = r"^\s*\d{1,3}\s*(х|x|шт\.?)?\s*(на|через|повз|курсом|курс)>"
+BARE = r"^\s*\d{1,3}\s*(?:х|x|шт\.?)?\s*(?:на|через|повз|курсом|курс)>"
 # Number words.
 NUMBERS = {"один": 1, "одна": 1, "два": 2, "дві": 2, "три": 3, "чотири": 4, "п'ять": 5, "шість": 6, "сім": 7, "вісім": 8, "дев'ять": 9, "десять": 10}
 # Directions, compounds first.
 POINTS = [
-    (45, rf"північн{_A}[- ]?с(хід|ход){_A}"),
-    (135, rf"південн{_A}[- ]?с(хід|ход){_A}"),
-    (225, rf"південн{_A}[- ]?з(ахід|аход){_A}"),
-    (315, rf"північн{_A}[- ]?з(ахід|аход){_A}"),
+    (45, rf"північн{_A}[- ]?с(?:хід|ход){_A}"),
+    (135, rf"південн{_A}[- ]?с(?:хід|ход){_A}"),
+    (225, rf"південн{_A}[- ]?з(?:ахід|аход){_A}"),
+    (315, rf"північн{_A}[- ]?з(?:ахід|аход){_A}"),
     (0, rf"північн{_A}|північ"),
     (90, rf"східн{_A}|схід"),
     (180, rf"південн{_A}|південь"),
@@ -68,18 +68,18 @@ POINTS = [
 ]
 # Ways to tie a direction to a course.
 COURSES = [
-    r"курс(ом)?\s*[-–—:]?\s*(на\s+)?({0})",
-    rf"({{0}}){_A}\s+курс(ом)?",
-    rf"(рух|прямує|іде|йде|заходят|летят|летить|напрям){_A}\s+([ву]\s+|на\s+)?({{0}})",
-    rf"[ву]\s+({{0}}){_A}\s+напрям",
+    r"курс(?:ом)?\s*[-–—:]?\s*(?:на\s+)?(?:{0})",
+    rf"(?:{{0}}){_A}\s+курс(?:ом)?",
+    rf"(?:рух|прямує|іде|йде|заходят|летят|летить|напрям){_A}\s+(?:[ву]\s+|на\s+)?(?:{{0}})",
+    rf"[ву]\s+(?:{{0}}){_A}\s+напрям",
 ]
 # Where something comes from, and its bearing.
-FROM = rf"(^|[^\p{{L}}])(з|із|зі)\s+(північн{_A}[- ]?сход|південн{_A}[- ]?сход|південн{_A}[- ]?заход|північн{_A}[- ]?заход|північно[- ]?схід|південно[- ]?схід|південно[- ]?захід|північно[- ]?захід|північн|південн|східн|західн|півноч|півдн|сход|заход)"
+FROM = rf"(?:^|[^\p{{L}}])(?:з|із|зі)\s+(північн{_A}[- ]?сход|південн{_A}[- ]?сход|південн{_A}[- ]?заход|північн{_A}[- ]?заход|північно[- ]?схід|південно[- ]?схід|південно[- ]?захід|північно[- ]?захід|північн|південн|східн|західн|півноч|півдн|сход|заход)"
 FROM_POINTS = [
-    (45, rf"північн{_A}[- ]?с(хід|ход)"),
-    (135, rf"південн{_A}[- ]?с(хід|ход)"),
-    (225, rf"південн{_A}[- ]?з(ахід|аход)"),
-    (315, rf"північн{_A}[- ]?з(ахід|аход)"),
+    (45, rf"північн{_A}[- ]?с(?:хід|ход)"),
+    (135, rf"південн{_A}[- ]?с(?:хід|ход)"),
+    (225, rf"південн{_A}[- ]?з(?:ахід|аход)"),
+    (315, rf"північн{_A}[- ]?з(?:ахід|аход)"),
     (0, "північн|півноч"),
     (90, "східн|сход"),
     (180, "південн|півдн"),
@@ -158,15 +158,19 @@ def course_stated(line: Column) -> Column:
 
 def course_approach(line: Column) -> Column:
     """The course of what comes from a direction: the opposite one."""
-    phrase = F.regexp_extract(line, java(FROM), 3)
+    phrase = F.regexp_extract(line, java(FROM), 1)
     return F.coalesce(*[F.when(_any(phrase, [p]), F.lit((d + 180.0) % 360)) for d, p in FROM_POINTS])
 
 
 def stated_time(text: Column) -> Column:
-    """The first time that a message states and doesn't call an estimate, as written."""
-    start = rf"(?<!{ESTIMATE})"
-    first = F.regexp_extract(text, rf"(?iu)(?:{start}(?<![\p{{L}}\p{{N}}]){AT_TIME}|{start}{DATED})", 0)
-    found = F.regexp_extract(first, r"(\d{1,2}[:.]\d{2})\]?$", 1)
+    """The first time that a message states and doesn't call an estimate, as written.
+
+    Times are found first; the end of what stands before each then tells whether it is an estimate.
+    """
+    time = rf"(?iu)(?:(?<![\p{{L}}\p{{N}}]){AT_TIME}|{DATED})"
+    hits, before = F.regexp_extract_all(text, F.lit(time), 0), F.split(text, time)
+    plain = F.filter(F.arrays_zip(hits.alias("hit"), before.alias("before")), lambda x: x["hit"].isNotNull() & ~F.right(x["before"], F.lit(32)).rlike(f"(?iu){ESTIMATE}$"))
+    found = F.regexp_extract(F.get(plain, F.lit(0))["hit"], r"(\d{1,2}[:.]\d{2})\]?$", 1)
     return F.when(found != "", found)
 
 

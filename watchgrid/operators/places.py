@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchgrid.functions.text import normalise
 from watchgrid.operators.records import STOPWORDS, place_rank
+from watchgrid.session import cut
 
 # Key, name, spoken names and centre of each region; the last is a city too.
 REGIONS = [
@@ -48,23 +49,28 @@ WATERS = [
 ]
 # Endings that take the place of the last letter.
 ENDINGS = {
-    "а": "и і у ою ам ах ої ій ою",
-    "я": "ї і ю ею єю ям",
-    "о": "а у ом і",
-    "е": "я ого ому им",
-    "і": "ів ям ями ях их им ими",
+    "а": ("и", "і", "у", "ою", "ам", "ах", "ої", "ій"),
+    "я": ("ї", "і", "ю", "ею", "єю", "ям"),
+    "о": ("а", "у", "ом", "і"),
+    "е": ("я", "ого", "ому", "им"),
+    "і": ("ів", "ям", "ями", "ях", "их", "им", "ими"),
 }
 # Endings after a hard consonant, of adjectives, and of special ends of nouns (the first that fits counts).
-CONSONANT = "а у ом і е ів"
-ADJECTIVE = "ого ому им ім ий ій"
-SOFT = "ю я єм ї єві"
-SPECIAL = [("їв", "єва єву євом єві"), ("ів", "ова ову овом ові"), ("ець", "ця цю цем ці"), ("ь", "я ю ем і еві")]
+CONSONANT = ("а", "у", "ом", "і", "е", "ів")
+ADJECTIVE = ("ого", "ому", "им", "ім", "ий", "ій")
+SOFT = ("ю", "я", "єм", "ї", "єві")
+SPECIAL = [
+    ("їв", ("єва", "єву", "євом", "єві")),
+    ("ів", ("ова", "ову", "овом", "ові")),
+    ("ець", ("ця", "цю", "цем", "ці")),
+    ("ь", ("я", "ю", "ем", "і", "еві")),
+]
 _HARD = "бвгджзклмнпрстфхцчш"
 MOST_FORMS = 400
 
 
-def _with(stem: Column, endings: str) -> Column:
-    return F.transform(F.array(*map(F.lit, endings.split())), lambda e: F.concat(stem, e))
+def _with(stem: Column, endings: tuple[str, ...]) -> Column:
+    return F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(stem, e))
 
 
 def _cut(word: Column, n: int) -> Column:
@@ -79,14 +85,14 @@ def word_forms(word: Column) -> Column:
     mutated = F.translate(F.regexp_extract(stem, "[кгх]$", 0), "кгх", "цзс")
     soft_a = F.when(mutated != "", F.array(F.concat(_cut(word, 2), mutated, F.lit("і")))).otherwise(none)
     fleeting = F.when(stem.rlike(f"[{_HARD}]{{2}}$"), F.array(*[F.concat(_cut(word, 2), F.lit(v), F.substring(stem, -1, 1)) for v in "ое"])).otherwise(none)
-    plural = F.concat(F.array(stem), _with(stem, "ів ам ами ах"), fleeting)
+    plural = F.concat(F.array(stem), _with(stem, ("ів", "ам", "ами", "ах")), fleeting)
     adjective = F.concat(_with(_cut(word, 2), ADJECTIVE), _with(stem, SOFT))
     opened = F.regexp_replace(word, f"і([{_HARD}]+)$", "о$1")
-    il = F.when(ends("іль"), _with(F.concat(_cut(word, 3), F.lit("ол")), "я ю ем і")).otherwise(none)
+    il = F.when(ends("іль"), _with(F.concat(_cut(word, 3), F.lit("ол")), ("я", "ю", "ем", "і"))).otherwise(none)
     special = F.when(F.lit(False), none)
     for end, new in SPECIAL:
         special = special.when(ends(end), F.concat(_with(_cut(word, len(end)), new), il) if end == "ь" else _with(_cut(word, len(end)), new))
-    special = special.when(word.rlike(f"і[{_HARD}]+$"), _with(opened, "а у ом і")).when(ends("й"), _with(stem, "я ю єм ї єві")).when(ends("ок"), _with(_cut(word, 2), "ка ку ком ці")).otherwise(none)
+    special = special.when(word.rlike(f"і[{_HARD}]+$"), _with(opened, ("а", "у", "ом", "і"))).when(ends("й"), _with(stem, ("я", "ю", "єм", "ї", "єві"))).when(ends("ок"), _with(_cut(word, 2), ("ка", "ку", "ком", "ці"))).otherwise(none)
     rest = F.concat(_with(word, CONSONANT), special)
     found = F.when(ends("а"), F.concat(_with(stem, ENDINGS["а"]), soft_a))
     for end in "яое":
@@ -201,7 +207,7 @@ def _fuzzy(left: DataFrame, by_form: DataFrame, most: int) -> DataFrame:
     return found.select("mention_id", F.lit("settlement").alias("kind"), "p.name", "p.region", "p.lat", "p.lon", F.round(confidence, 6).alias("confidence"), F.lit("fuzzy").alias("match_kind"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, rings: int = 2) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.25, rings: int = 2) -> DataFrame:
     """(point_id, place_id, region): the place with a region of least (Δlat² + 0.41 Δlon²); ties by id.
 
     Points meet places in the cells around them. A hit is sure when it is no farther than the nearest side of what was looked at;
@@ -219,9 +225,12 @@ def nearest_place(points: DataFrame, places: DataFrame, cell: float = 0.5, rings
         best = near.join(known.withColumns({"cy": at("p_lat"), "cx": at("p_lon")}), ["cy", "cx"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "place_id", "region")).alias("x"))
         # beyond the cells looked at a place is at least this far, in the measure's shorter direction
         sure = F.col("x.d") <= 0.41 * (cell * rings) ** 2
-        hit = best.where(sure | F.lit(last)).select("point_id", "x.place_id", "x.region")
+        hit = cut(best.where(sure | F.lit(last)).select("point_id", "x.place_id", "x.region"))
         out = hit if out is None else out.union(hit)
         if last:
             return out
-        left = left.join(hit.select("point_id"), "point_id", "left_anti")
+        # written, so that a round reads what is left once and the next begins from there; most points are found in the first
+        left = cut(left.join(hit.select("point_id"), "point_id", "left_anti"))
+        if left.isEmpty():
+            return out
         cell *= 4
