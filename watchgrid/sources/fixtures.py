@@ -99,6 +99,16 @@ SELECT event_id AS post_id, user_id % 20 AS channel_no, ts AS posted_at, event_i
     WHEN 7 THEN chr(10) || 'Картка 4441 1111 2222 3333' WHEN 8 THEN ' до о 10:00, об 0.30' WHEN 9 THEN chr(10) || 'ще один не фіксується' WHEN 10 THEN ' о 25:10' ELSE '' END
   END AS text
 FROM events""",
+    "fx_archive": """
+SELECT m.channel, CASE WHEN m.page = 0 THEN NULL WHEN m.channel = 'src3' AND m.page = 4 THEN e.low ELSE q.low END AS before, m.message_id
+FROM (SELECT source AS channel, doc_id AS message_id, ntile(12) OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS page FROM documents) m
+LEFT JOIN (SELECT channel, page, min(message_id) AS low FROM
+  (SELECT source AS channel, doc_id AS message_id, ntile(12) OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS page FROM documents) a GROUP BY channel, page) q
+  ON q.channel = m.channel AND q.page = m.page - 1
+LEFT JOIN (SELECT channel, page, min(message_id) AS low FROM
+  (SELECT source AS channel, doc_id AS message_id, ntile(12) OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS page FROM documents) b GROUP BY channel, page) e
+  ON e.channel = m.channel AND e.page = m.page
+WHERE NOT (m.channel = 'src1' AND m.page = 6)""",
     "fx_raids": """
 SELECT CAST(event_id AS VARCHAR(20)) AS message_id,
   CASE event_id % 7 WHEN 0 THEN 'Сумщина: ' WHEN 1 THEN 'Полтавщина' || chr(10) WHEN 2 THEN '⚠ Суми' || chr(10) WHEN 3 THEN 'Одещина ' ELSE '' END
