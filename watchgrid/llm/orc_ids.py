@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 
@@ -26,14 +27,16 @@ SCHEMA = "doc_id long, shard int, start long, n_tokens long, ids array<int>"
 #: Letters and one of these marks after them are two words of the vocabulary.
 _MARKS = ".,;:!?"
 #: Bytes of chunks and ids that a worker remembers before it starts anew, at a slice's start; longer chunks are not remembered.
-_REMEMBERED, _LONG = 96 << 20, 64
+_REMEMBERED, _LONG = 160 << 20, 64
+#: Letters in lower case that are composed, and that no step before the merges changes.
+_LATIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class WordIds:
     """Ids of texts by the library, chunk by chunk; a chunk is what ASCII white space separates.
 
     The vocabulary drops white space and none of its words, special ones included, holds any, so chunks are encoded on their own, once while
-    a worker remembers them. A mark after letters is a word of its own, and A-Z count as lower case. Letters go to the library together: each
+    a worker remembers them. A mark after letters is a word of its own, and Latin letters count as lower case. Letters go to the library together: each
     word of letters ends with one id of a word's end; if there are more or fewer of these than words, each goes alone.
     """
 
@@ -42,8 +45,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # the same words without the steps that leave letters of ASCII in lower case as they are
-        plain = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        # the same words without the steps that leave Latin letters in lower case as they are
+        steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        plain = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,23 +69,29 @@ class WordIds:
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks, of which the short ones are remembered."""
-        known, marks = self.known, self.marks
+        known, marks, latin = self.known, self.marks, _LATIN
         made, words, ends, other = [], [], [], []  # flat lists: nothing here for the collector of cycles to walk through
         for c in chunks:
             end = marks.get(c[-1:], b"")
             word = c[:-1] if end else c
             if word.isalpha():
                 word = word.lower()
-            elif not word.decode().isalpha():
-                other.append(c)
-                continue
+            else:
+                letters = word.decode()
+                if not letters.isalpha():
+                    other.append(c)
+                    continue
+                low = letters.lower()
+                if latin(low):
+                    word = low.encode()
             made.append(c)
             words.append(word)
             ends.append(end)
         ids: dict[bytes, bytes] = {}
-        for ascii, library in ((True, self.plain), (False, self.library)):
-            unknown = [w for w in set(words).difference(known) if w.isascii() == ascii]
-            ids.update(zip(unknown, self._together(library, [w.decode() for w in unknown])))
+        unknown = [w.decode() for w in set(words).difference(known)]
+        for wanted, library in ((True, self.plain), (False, self.library)):
+            some = [w for w in unknown if bool(latin(w)) == wanted]
+            ids.update(zip([w.encode() for w in some], self._together(library, some)))
         new = {c: (ids[w] if w in ids else known[w]) + end for c, w, end in zip(made, words, ends)}
         new.update(zip(other, self._alone([c.decode() for c in other])))
         short = {k: v for k, v in new.items() if len(k) <= _LONG}
