@@ -22,7 +22,7 @@ def odd_texts():
     r = random.Random(3)
     pool = ["a", "It's", "don't", "é", "é", "H̱", "the.", "漢字かな", "🙂", "x#y", "...", "Hello,", "ΟΔΟΣ", "İstanbul", "<|endoftext|>", "<|startoftext|>", "</s>", "<s>", "<0x41>", "▁", " ", " ", "\x00", "\x1c", "\x85", "ﬁ", "한", "한", "123", "4.5", "?!", "\r\n"]
     texts = ["".join(r.choice(pool) + r.choice([" ", "  ", "\n", "\t", "", " "]) for _ in range(r.randint(0, 60))) for _ in range(80)]
-    return texts + [None, "", " ", "\n\n", "w " * 20000, "q" * 5000, "word" * 40, "same text", "same text", "<|endoftext|>", "a\x0bb\x0cc", ".", " lead", "trail "]
+    return texts + [None, "", " ", "\n\n", "w " * 20000, "q" * 5000, "word" * 40, "same text", "same text", "<|endoftext|>", "a\x0bb\x0cc", ".", " lead", "trail ", "baİ. Çİ, क़. क़ aİ", "ǅ. ẞ, ﬀ. ΣΑΣ, ŉ."]
 
 
 def frame(spark, texts):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 
@@ -78,12 +79,13 @@ class WordIds:
                 word = word.lower()
             else:
                 letters = word.decode()
-                if not letters.isalpha():
-                    other.append(c)
-                    continue
                 low = letters.lower()
                 if latin(low):
                     word = low.encode()
+                # composing and lower case may turn a letter into one and a mark, which a mark after it would join
+                elif not (letters.isalpha() and unicodedata.normalize("NFC", letters).lower().isalpha()):
+                    other.append(c)
+                    continue
             made.append(c)
             words.append(word)
             ends.append(end)
