@@ -20,7 +20,7 @@ from watchgrid.session import ship
 
 _MARK = "▁"
 #: Bytes of words and ids that a worker remembers before it starts anew, at a slice's start; longer words are not remembered.
-_REMEMBERED, _LONG = 128 << 20, 128
+_REMEMBERED, _LONG = 256 << 20, 128
 
 
 class Pieces:
@@ -99,11 +99,10 @@ class Pieces:
             if own != its:
                 raise ValueError(f"other ids than the library's for {w[:40]!r}")
         new = {w: ",".join(map(str, x)) for w, x in zip(words, ids)}
-        for w, x in new.items():
-            if len(w) <= _LONG:
-                self.words[w] = x
-                # a word's characters take up to four bytes each
-                self.held += 4 * len(w) + len(x) + 150
+        short = {w: x for w, x in new.items() if len(w) <= _LONG}
+        self.words.update(short)
+        # a word's characters take up to four bytes each
+        self.held += 4 * sum(map(len, short)) + sum(map(len, short.values())) + 150 * len(short)
         return new
 
     def encode(self, texts: list[str]) -> list[str]:
@@ -113,7 +112,7 @@ class Pieces:
         split = [self.split(_MARK + t.replace(" ", _MARK)) if t else [] for t in texts]
         known = self.words
         new = self.learn(list({w for words in split for w in words if w not in known}))
-        if any(len(w) > _LONG for w in new):
+        if max(map(len, new), default=0) > _LONG:
             known = known | new
         return [",".join([known[w] for w in words]) for words in split]
 
