@@ -4,6 +4,11 @@ Which track a sighting joins depends on all that came before it nearby, so the f
 folds is divided first: two sightings can only meet in a track when type and launch-ness agree and they are within the
 longest gap and the widest hop of each other, hence in one cell of that size or in two that touch. Components of occupied
 cells, found by joins, therefore fold on their own, wherever they are.
+
+A large component is parted once more, in the order of arrival. A part doesn't wait for the one before it: it folds the end
+of that one from nothing, and takes what is open then as its start. A join compares each start with what the part before
+really left open; only parts that began wrongly are folded again, from the right start. Tracks are forgotten soon, so starts
+nearly always agree at once; where they don't, more rounds follow, and the result is that of one fold in every case.
 """
 
 from __future__ import annotations
@@ -12,14 +17,14 @@ import math
 from dataclasses import dataclass
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid.functions.geo import bearing
 from watchgrid.operators.graph import components
 from watchgrid.operators.proximity import TYPICAL, age_min
-from watchgrid.session import ship
+from watchgrid.session import cut, ship
 
 
 @dataclass(frozen=True)
@@ -49,28 +54,33 @@ def _turn(a, b) -> float:
     return 360 - d if d > 180 else d
 
 
+def fit(t: dict, s: dict, speeds: dict[str, float], rules: LinkRules = LinkRules()) -> float | None:
+    """How far a sighting is from continuing an open track (less is better), None where it can't."""
+    minutes = s["at"] - t["at"]
+    if t["type"] != s["type"] or (t["kind"] == "launch") != (s["kind"] == "launch") or not -rules.reorder_min <= minutes <= rules.max_gap_min:
+        return None
+    km = _km(t["lat"], t["lon"], s["lat"], s["lon"])
+    if s["kind"] == "launch":
+        if km > rules.launch_km:
+            return None
+    else:
+        if km > speeds[s["type"]] * max(minutes, 0) / 60 * rules.speed_factor + rules.slack_km:
+            return None
+        if t["heading"] is not None:
+            if km >= rules.aim_min_km and _turn(_bearing(t["lat"], t["lon"], s["lat"], s["lon"]), t["heading"]) > rules.max_turn_deg:
+                return None
+            if s["heading"] is not None and _turn(t["heading"], s["heading"]) > rules.max_turn_deg:
+                return None
+    return km + abs(minutes)
+
+
 def link(tracks: list[dict], s: dict, speeds: dict[str, float], rules: LinkRules = LinkRules()) -> dict | None:
     """The open track that a sighting continues, or None. Of equal scores the smallest track wins."""
     best, least = None, None
     for t in tracks:
-        minutes = s["at"] - t["at"]
-        if t["type"] != s["type"] or (t["kind"] == "launch") != (s["kind"] == "launch") or not -rules.reorder_min <= minutes <= rules.max_gap_min:
-            continue
-        km = _km(t["lat"], t["lon"], s["lat"], s["lon"])
-        if s["kind"] == "launch":
-            if km > rules.launch_km:
-                continue
-        else:
-            if km > speeds[s["type"]] * max(minutes, 0) / 60 * rules.speed_factor + rules.slack_km:
-                continue
-            if t["heading"] is not None:
-                if km >= rules.aim_min_km and _turn(_bearing(t["lat"], t["lon"], s["lat"], s["lon"]), t["heading"]) > rules.max_turn_deg:
-                    continue
-                if s["heading"] is not None and _turn(t["heading"], s["heading"]) > rules.max_turn_deg:
-                    continue
-        score = (km + abs(minutes), t["id"])
-        if least is None or score < least:
-            best, least = t, score
+        score = fit(t, s, speeds, rules)
+        if score is not None and (least is None or (score, t["id"]) < least):
+            best, least = t, (score, t["id"])
     return best
 
 
@@ -129,35 +139,137 @@ def cells(points: DataFrame, speeds: dict[str, float] = TYPICAL, rules: LinkRule
 
 
 def track_components(points: DataFrame, speeds: dict[str, float] = TYPICAL, rules: LinkRules = LinkRules()) -> DataFrame:
-    """``points`` (of known types) with ``component``: what may share a track is in one."""
+    """``points`` (of known types) with ``component``: what may share a track is in one; and ``until``: the last report of the cells
+    around, after which a track that stands here is closed for good."""
     name = F.xxhash64("type", "launched", "ct", "cy", "cx")
     at = cells(points, speeds, rules)
-    used = at.select("type", "launched", "ct", "cy", "cx", "around").distinct().withColumn("a", name)
-    near = used
+    used = at.groupBy("type", "launched", "ct", "cy", "cx", "around").agg(F.max("report_id").alias("until")).withColumn("a", name)
+    near = used.drop("until")
     for c in ("ct", "cy", "cx"):
         near = near.withColumn("d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(c, F.col(c) + F.col("d")).drop("d")
     near = near.withColumn("cx", F.pmod("cx", "around")).select("a", name.alias("b"))
-    known = components(near.join(used.select(F.col("a").alias("b")), "b"))
-    at = at.withColumn("a", name).join(known.select(F.col("node").alias("a"), "component"), "a", "left")
-    return at.select(*points.columns, F.coalesce("component", "a").alias("component"))
+    near = cut(near.join(used.select(F.col("a").alias("b"), "until"), "b"))
+    known = components(near.select("a", "b")).select(F.col("node").alias("a"), "component")
+    known = cut(near.groupBy("a").agg(F.max("until").alias("until")).join(known, "a", "left"))
+    at = at.withColumn("a", name).join(known, "a", "left")
+    return at.select(*points.columns, F.coalesce("component", "a").alias("component"), "until")
+
+
+_TRACK = "struct<type:string,kind:string,at:double,lat:double,lon:double,heading:double,until:long,id:long>"
+_PART = f"component long, part long, opened array<{_TRACK}>, left array<{_TRACK}>, tied boolean, links array<struct<report_id:long,track_id:long,moves:boolean,heading_deg:double>>"
+_FIELDS = ("type", "kind", "at", "lat", "lon", "heading", "until")
 
 
-def track_link(points: DataFrame, speeds: dict[str, float] = TYPICAL, rules: LinkRules = LinkRules()) -> DataFrame:
+def resume(opened: list[dict], sightings: list[dict], speeds: dict[str, float], rules: LinkRules = LinkRules()) -> tuple[list[dict], list[tuple], bool]:
+    """What ``fold`` gives for ``sightings`` after the tracks in ``opened``: the tracks left open, the links, and whether the order
+    of names in ``opened`` settled anything. A sighting's ``until`` is the last report that can meet a track left where it stands."""
+    tracks, links, tied = [dict(t) for t in opened], [], False
+    old = {t["id"] for t in opened}
+    for i, s in enumerate(sightings):
+        if i % 32 == 0:
+            tracks = [t for t in tracks if t["until"] >= s["report_id"]]
+        scores = [(score, t["id"], t) for t in tracks if (score := fit(t, s, speeds, rules)) is not None]
+        if not scores:
+            tracks.append({**{c: s[c] for c in _FIELDS}, "id": s["report_id"]})
+            links.append((s["report_id"], s["report_id"], True, s["heading"]))
+            continue
+        least, _, t = min(scores, key=lambda x: x[:2])
+        tied = tied or sum(x[0] == least and x[1] in old for x in scores) > 1
+        moves = s["at"] >= t["at"]
+        if moves:
+            t.update({**{c: s[c] for c in _FIELDS}, "heading": next_heading(t, s, rules)})
+        links.append((s["report_id"], t["id"], moves, t["heading"]))
+    last = sightings[-1]["report_id"] if sightings else None
+    return [t for t in tracks if last is None or t["until"] > last], links, tied
+
+
+def _parted(points: DataFrame, size: int) -> DataFrame:
+    """``points`` with ``part`` and ``warm``, each row in its part and, near the end of it, once more as a warm row of the next.
+
+    Parts are runs of ids of some ``size`` rows: a component's ids fall into sixteen blocks a part, and blocks are counted.
+    """
+    ends = points.groupBy("component").agg(F.count("*").alias("n"), F.min("report_id").cast("double").alias("lo"), F.max("report_id").cast("double").alias("hi"))
+    wide = cut(ends.select("component", "lo", F.greatest((F.col("hi") - F.col("lo")) / (F.ceil(F.col("n") / size) * 16), F.lit(1.0)).alias("width")))
+    rows = points.join(wide, "component").withColumn("block", F.floor((F.col("report_id").cast("double") - F.col("lo")) / F.col("width"))).drop("lo", "width")
+    by = Window.partitionBy("component")
+    blocks = rows.groupBy("component", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(by.orderBy("block")) - F.col("n"))
+    blocks = blocks.withColumn("part", (F.dense_rank().over(by.orderBy(F.floor(F.col("before") / size))) - 1).cast("long"))
+    late = F.row_number().over(Window.partitionBy("component", "part").orderBy(F.desc("block"))) <= 8
+    blocks = blocks.withColumn("next", late & (F.col("part") < F.max("part").over(by)))
+    rows = rows.join(cut(blocks.select("component", "block", "part", "next")), ["component", "block"]).drop("block")
+    return rows.withColumn("warm", F.explode(F.when(F.col("next"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("part", F.col("part") + F.col("warm").cast("int")).drop("next")
+
+
+def _met(done: DataFrame) -> DataFrame:
+    """Parts with what the part before left open (``came``)."""
+    return done.where("part > 0").join(done.select("component", (F.col("part") + 1).alias("part"), F.col("left").alias("came")), ["component", "part"])
+
+
+def _names(done: DataFrame) -> DataFrame:
+    """(component, part, id, name): what the tracks that a part began with are called by their first report, however many parts ago.
+
+    Each points to its like in the part before; pointers are doubled until none leads to another.
+    """
+    pairs = _met(done).select("component", "part", F.explode(F.arrays_zip(F.sort_array("opened").alias("o"), F.sort_array("came").alias("c"))).alias("x"))
+    at = cut(pairs.select("component", "part", F.col("x.o.id").alias("id"), (F.col("part") - 1).alias("to_part"), F.col("x.c.id").alias("name")))
+    while True:
+        on = at.select("component", F.col("part").alias("to_part"), F.col("id").alias("name"), F.col("to_part").alias("p"), F.col("name").alias("m"))
+        far = at.join(on, ["component", "to_part", "name"], "left")
+        at = cut(far.select("component", "part", "id", F.coalesce("p", "to_part").alias("to_part"), F.coalesce("m", "name").alias("name"), F.col("p").isNotNull().alias("led")))
+        if at.where("led").isEmpty():
+            return at.select("component", "part", "id", "name")
+        at = at.drop("led")
+
+
+def track_link(points: DataFrame, speeds: dict[str, float] = TYPICAL, rules: LinkRules = LinkRules(), size: int = 1000) -> DataFrame:
     """(report_id, track_id, moves, heading_deg): the track of each sighting, in the order of report_id.
 
-    ``points``: report_id, observed_at, type, kind, lat, lon, course_deg. Rows with a null in the first six or of an unknown type are left out.
+    ``points``: report_id (distinct), observed_at, type, kind, lat, lon, course_deg. Rows with a null in the first six or of an unknown
+    type are left out. ``size``, the rows of a part, changes the work, not the result. A report that comes very late keeps the
+    tracks that it could meet open until then; each part in between is then folded again, one a round.
     """
     ship(points.sparkSession)
     known = points.where("report_id is not null and observed_at is not null and kind is not null and lat is not null and lon is not null").where(F.col("type").isin(*speeds))
-    parted = track_components(known.select("report_id", "observed_at", "type", "kind", "lat", "lon", "course_deg"), speeds, rules)
+    cells_ = track_components(known.select("report_id", "observed_at", "type", "kind", "lat", "lon", "course_deg"), speeds, rules)
     minutes = (F.unix_micros(F.col("observed_at").cast("timestamp")) / 6e7).alias("at")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("report_id", kind="stable")
-        seen = [{**r, "heading": None if pd.isna(r["course_deg"]) else r["course_deg"]} for r in rows.to_dict("records")]
-        return pd.DataFrame(fold(seen, speeds, rules), columns=["report_id", "track_id", "moves", "heading_deg"]).astype({"heading_deg": "float64"})
-
-    return parted.select("component", "report_id", minutes, "type", "kind", "lat", "lon", "course_deg").groupBy("component").applyInPandas(run, "report_id long, track_id long, moves boolean, heading_deg double")
+    plain = cells_.select("component", "report_id", minutes, "type", "kind", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.nanvl(F.col("course_deg").cast("double"), F.lit(None)).alias("heading"), "until")
+    rows = cut(_parted(cut(plain), size))
+
+    def part(key, seen: pa.Table, opened: list[dict] | None) -> pa.Table:
+        seen = sorted(seen.to_pylist(), key=lambda s: s["report_id"])
+        if opened is None:
+            opened = resume([], [s for s in seen if s["warm"]], speeds, rules)[0]
+        left, links, tied = resume(opened, [s for s in seen if not s["warm"]], speeds, rules)
+        named = [dict(zip(("report_id", "track_id", "moves", "heading_deg"), x)) for x in links]
+        track = pa.struct([(c, pa.string()) for c in _FIELDS[:2]] + [(c, pa.float64()) for c in _FIELDS[2:6]] + [("until", pa.int64()), ("id", pa.int64())])
+        out = pa.schema([("component", pa.int64()), ("part", pa.int64()), ("opened", pa.list_(track)), ("left", pa.list_(track)), ("tied", pa.bool_()), ("links", pa.list_(pa.struct([("report_id", pa.int64()), ("track_id", pa.int64()), ("moves", pa.bool_()), ("heading_deg", pa.float64())])))])
+        return pa.Table.from_pylist([{"component": key[0].as_py(), "part": key[1].as_py(), "opened": opened, "left": left, "tied": tied, "links": named}], schema=out)
+
+    def first(key: tuple, seen: pa.Table) -> pa.Table:
+        return part(key, seen, None)
+
+    def again(key: tuple, seen: pa.Table, start: pa.Table) -> pa.Table:
+        return part(key, seen, start.column("opened")[0].as_py())
+
+    done = cut(rows.groupBy("component", "part").applyInArrow(first, _PART))
+    bare = lambda c: F.sort_array(F.transform(c, lambda t: F.struct(*[t[f].alias(f) for f in _FIELDS])))
+    while True:
+        starts = cut(_met(done).where(~bare("opened").eqNullSafe(bare("came"))).select("component", "part", F.col("came").alias("opened")))
+        if starts.isEmpty():
+            names = _names(done)
+            # where equal scores were settled by names, the true ones must stand in the same order
+            tied = done.where("tied and part > 0").select("component", "part", F.explode("opened").alias("t")).withColumn("id", F.col("t.id")).join(names, ["component", "part", "id"])
+            order = tied.groupBy("component", "part").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("x"), F.collect_list(F.struct(*[F.col(f"t.{f}").alias(f) for f in _FIELDS], F.col("name").alias("id"))).alias("opened"))
+            called = F.transform("x", lambda y: y["name"])
+            starts = cut(order.where(~called.eqNullSafe(F.array_sort(called))).select("component", "part", "opened"))
+            if starts.isEmpty():
+                break
+        mine = rows.where("not warm").join(starts.select("component", "part"), ["component", "part"], "left_semi")
+        redone = mine.groupBy("component", "part").cogroup(starts.groupBy("component", "part")).applyInArrow(again, _PART)
+        done = cut(done.join(starts, ["component", "part"], "left_anti").unionByName(redone))
+    links = done.select("component", "part", F.explode("links").alias("x")).select("component", "part", "x.*")
+    names = names.withColumnRenamed("id", "track_id")
+    return links.join(names, ["component", "part", "track_id"], "left").select("report_id", F.coalesce("name", "track_id").alias("track_id"), "moves", "heading_deg")
 
 
 def track_state(points: DataFrame, linked: DataFrame) -> DataFrame:
