@@ -251,7 +251,9 @@ def track_link(points: DataFrame, speeds: dict[str, float] = TYPICAL, rules: Lin
     def again(key: tuple, seen: pa.Table, start: pa.Table) -> pa.Table:
         return part(key, seen, start.column("opened")[0].as_py())
 
-    done = cut(rows.groupBy("component", "part").applyInArrow(first, _PART))
+    # few bytes but much work a row: as many tasks as the session has shuffle partitions, not merged by size
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = cut(rows.repartition(tasks, "component", "part").groupBy("component", "part").applyInArrow(first, _PART))
     bare = lambda c: F.sort_array(F.transform(c, lambda t: F.struct(*[t[f].alias(f) for f in _FIELDS])))
     while True:
         starts = cut(_met(done).where(~bare("opened").eqNullSafe(bare("came"))).select("component", "part", F.col("came").alias("opened")))
