@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.session import shared_folder
+from watchgrid.operators import live
+from watchgrid.sources.fixtures import view, with_views
 from watchgrid.streaming import ingest, state
+from watchgrid.streaming.live import CHANGES, live_changes
 
 
 def _source(spark, sf: str, name: str) -> DataFrame:
@@ -54,8 +57,54 @@ def q_intervals(spark, sf):
     return _plain(_result(state.alert_intervals(_polls(spark, sf))), "started_at", "ended_at")
 
 
+def q_edits(spark, sf):
+    """Captures in three runs of one stream: first sights, then edits and repeats, then texts from before that came late."""
+    d = view(spark, sf, "fx_first_captures")
+    at = _folder(spark)
+    later = F.when(F.col("message_id") % 5 == 0, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))
+    day = F.make_dt_interval(days=F.lit(1))
+    portions = [
+        d,
+        d.where("message_id % 5 = 0 or message_id % 3 = 1").withColumns({"text": later, "captured_at": F.col("captured_at") + day}),
+        d.where("message_id % 7 = 0").withColumns({"text": F.concat(F.lit("old "), "text"), "captured_at": F.col("captured_at") - day}),
+    ]
+    for k, rows in enumerate(portions):
+        rows.write.parquet(f"{at}/in/{k}")
+        source = spark.readStream.schema(d.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        ingest.ingest(source, f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    return ingest.version(spark, f"{at}/store").select("channel", "message_id", "content_hash", "parse_state")
+
+
+def _changes(spark, sf) -> DataFrame:
+    return view(spark, sf, "fx_changes").withColumns({c: F.col(c).cast("timestamp") for c in ("at", "seen")})
+
+
+def q_live(spark, sf):
+    """A snapshot at number 1,000 and all changes after it."""
+    log = _changes(spark, sf)
+    return _plain(live.live(live.live(None, log.where("seq <= 1000")), log, 1000), "at", "seen")
+
+
+def q_live_stream(spark, sf):
+    """The same state by streams of three runs: thirds of the log, each with changes of the third before, late or repeated; tracks
+    expire, alerts and sources don't. The last step is the view that readers get: what expires now isn't shown."""
+    log, at = _changes(spark, sf), _folder(spark)
+    third = F.floor(F.col("seq") * 3 / (F.lit(log.agg(F.max("seq")).first()[0] or 0) + 1))
+    for k in range(3):
+        late = F.col("seq") % 11 == 0
+        log.where(((third == k) & ~late) | ((third == k - 1) & (late | (F.col("seq") % 7 == 0))) | (F.lit(k == 2) & (third == 2))).write.parquet(f"{at}/in/{k}")
+        source = spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        for name, rows, minutes in (("tracks", source.where("kind = 'track'"), live.HISTORY_MIN), ("others", source.where("kind <> 'track'"), None)):
+            frame = live_changes(rows, minutes)
+            frame.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(CHANGES).parquet(f"{at}/tracks").union(spark.read.schema(CHANGES).parquet(f"{at}/others"))
+    now = F.broadcast(log.agg(F.max("at").alias("now")))
+    state_ = live.pruned(live.newest(out).where("not gone").crossJoin(now), F.col("now")).drop("gone", "now")
+    return _plain(state_, "at", "seen")
+
+
 def queries() -> dict:
-    return {"stream_ingest": q_ingest, "alert_transitions_stream": q_transitions, "alert_intervals_stream": q_intervals}
+    return {"stream_ingest_edits": q_edits, "live_snapshot": q_live, "live_state_stream": q_live_stream, "stream_ingest": q_ingest, "alert_transitions_stream": q_transitions, "alert_intervals_stream": q_intervals}
 
 
 _POLLS = """WITH p AS (SELECT user_id % 25 AS region, ts AS poll_at, CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS level FROM events),
@@ -65,7 +114,15 @@ c AS (SELECT *, lead(poll_at) OVER (PARTITION BY region ORDER BY poll_at) AS end
 
 
 def oracle_sql() -> dict:
+    state_ = with_views(
+        """, l AS (SELECT kind, id, max(seq) AS seq, arg_max("at", seq) AS "at", arg_max(seen, seq) AS seen, arg_max(gone, seq) AS gone, arg_max(value, seq) AS value FROM fx_changes GROUP BY kind, id)
+SELECT kind, id, seq, "at", seen, value FROM l WHERE NOT gone AND (kind <> 'track' OR seen >= (SELECT max("at") FROM fx_changes) - INTERVAL 180 MINUTE)""",
+        "fx_changes",
+    )
     return {
+        "stream_ingest_edits": with_views(" SELECT channel, message_id, sha1(CASE WHEN message_id % 5 = 0 THEN text || ' (edited)' ELSE text END) AS content_hash, 'pending' AS parse_state FROM fx_first_captures", "fx_first_captures"),
+        "live_snapshot": state_,
+        "live_state_stream": state_,
         "stream_ingest": "SELECT source AS channel, doc_id AS message_id, sha1(text) AS content_hash, 'pending' AS parse_state FROM documents WHERE doc_id IS NOT NULL",
         "alert_transitions_stream": _POLLS + "SELECT region, poll_at, before, level FROM b WHERE before <> level",
         "alert_intervals_stream": _POLLS + "SELECT region, level, poll_at AS started_at, ended_at FROM c WHERE level > 0 AND ended_at IS NOT NULL",

@@ -83,6 +83,13 @@ FROM nation""",
     "fx_log": """
 SELECT event_id + 1 AS seq, user_id AS entity, CASE WHEN event_id % 10 = 0 THEN 'delete' ELSE 'upsert' END AS kind, value
 FROM events WHERE (event_id + 1) % 97 <> 0""",
+    "fx_changes": """
+SELECT CASE event_type WHEN 'error' THEN 'alert' WHEN 'signup' THEN 'source' ELSE 'track' END AS kind, user_id AS id, event_id + 1 AS seq,
+  ts AS at, ts - (event_id % 240) * INTERVAL '1' MINUTE AS seen, event_id % 10 = 0 AS gone, value
+FROM events""",
+    "fx_first_captures": """
+SELECT source AS channel, doc_id AS message_id, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' SECOND AS captured_at, coalesce(text, '') AS text
+FROM documents WHERE doc_id IS NOT NULL""",
     "fx_posts": """
 SELECT event_id AS post_id, user_id % 20 AS channel_no, ts AS posted_at, event_id % 5 AS parser_version,
   CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'parsed' WHEN 2 THEN 'unparsed' ELSE 'pending' END AS parse_state,
