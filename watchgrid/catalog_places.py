@@ -111,8 +111,20 @@ def q_in_region(spark, sf, region: int = 12):
     return view(spark, sf, "fx_tracked").join(inside.select(F.col("point_id").alias("report_id")), "report_id", "left_semi").select("track_id").distinct()
 
 
+def q_by_region(spark, sf):
+    """Tracks of every region: its outer ring and, in the middle of it, a hole."""
+    outer = rings(spark, sf)
+    middle = view(spark, sf, "fx_polygons").selectExpr("region", "lat0 + 0.5e0 AS a", "lon0 + 1.0e0 AS b").selectExpr(
+        "region", "array(struct(a as lat, b as lon), struct(a as lat, b + 1.0e0 as lon), struct(a + 0.5e0 as lat, b + 1.0e0 as lon), struct(a + 0.5e0 as lat, b as lon)) AS ring"
+    )
+    t = view(spark, sf, "fx_tracked").select("report_id", "track_id", "lat", "lon")
+    found = regions.regions_of(t.select(F.col("report_id").alias("point_id"), "lat", "lon"), outer.select("region", "ring").union(middle))
+    return t.join(found.withColumnRenamed("point_id", "report_id"), "report_id").select("track_id", "region").distinct()
+
+
 def queries() -> dict:
     return {
+        "tracks_by_region": q_by_region,
         "raw_type": q_raw_type,
         "split_lines_clauses": q_clauses,
         "relation": q_relation,
@@ -188,6 +200,14 @@ SELECT u.subscriber_id, CAST(CASE WHEN u.subscriber_id % 4 = 0 THEN u.subscriber
             "fx_subscribers",
             "fx_polygons",
         ),
+        "tracks_by_region": with_views(
+            _CORNERS + f""", h AS (SELECT region, lat0 + 0.5e0 AS a, lon0 + 1.0e0 AS b FROM fx_polygons),
+s2 AS (SELECT region, lat1, lon1, lat2, lon2 FROM s UNION ALL SELECT region, a, b, a, b + 1.0e0 FROM h UNION ALL SELECT region, a, b + 1.0e0, a + 0.5e0, b + 1.0e0 FROM h
+  UNION ALL SELECT region, a + 0.5e0, b + 1.0e0, a + 0.5e0, b FROM h UNION ALL SELECT region, a + 0.5e0, b, a, b FROM h),
+k AS (SELECT report_id, track_id, region, {inside} AS inside FROM fx_tracked, s2 GROUP BY 1, 2, 3) SELECT DISTINCT track_id, region FROM k WHERE inside""",
+            "fx_tracked",
+            "fx_polygons",
+        ),
         "tracks_in_region": with_views(
             _CORNERS + f", k AS (SELECT report_id, track_id, {inside} AS inside FROM fx_tracked, s WHERE region = 12 GROUP BY 1, 2) SELECT DISTINCT track_id FROM k WHERE inside", "fx_tracked", "fx_polygons"
         ),
