@@ -13,6 +13,7 @@ from watchgrid.functions import clauses as cl
 from watchgrid.functions import geo
 from watchgrid.functions import text as tx
 from watchgrid.operators import feeds, inbox, proximity, regions
+from watchgrid.session import cut
 from watchgrid.sources import files
 from watchgrid.sources.fixtures import view, with_views
 
@@ -132,13 +133,14 @@ def q_time_travel(spark, sf):
 
 
 def q_snapshot(spark, sf):
-    """Alerts, tracks and sources at one time; the log's number was read before."""
+    """Alerts, tracks and sources at one time, with the log's number read before them, so that a reader who goes on from it misses nothing;
+    written as a whole, then read."""
     at = F.lit(NOW).cast("timestamp_ntz")
-    head = F.broadcast(view(spark, sf, "fx_log").agg(F.max("seq").alias("seq")))
+    head = view(spark, sf, "fx_log").agg(F.max("seq")).first()[0]
     i = q_intervals(spark, sf).where((F.col("started_at") <= at) & (F.col("ended_at").isNull() | (F.col("ended_at") > at))).select(F.lit("alert").alias("kind"), F.col("region").alias("key"), F.col("level").cast("long").alias("value"))
     t = recent(spark, sf).groupBy("track_id").agg(F.count("*").alias("value")).select(F.lit("track").alias("kind"), F.col("track_id").alias("key"), "value")
     s = view(spark, sf, "fx_reports").where(F.col("observed_at") <= at).groupBy("channel_no").agg(F.count("*").alias("value")).select(F.lit("source").alias("kind"), F.col("channel_no").alias("key"), "value")
-    return i.union(t).union(s).crossJoin(head)
+    return cut(i.union(t).union(s).withColumn("seq", F.lit(head).cast("long")))
 
 
 def q_cursor(spark, sf, cursor: int = 50):

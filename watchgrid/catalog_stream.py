@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.session import shared_folder
 from watchgrid.operators import live
 from watchgrid.sources.fixtures import view, with_views
-from watchgrid.streaming import ingest, state
+from watchgrid.streaming import ingest, outbox, sessions, state
 from watchgrid.streaming.live import CHANGES, live_changes
 
 
@@ -103,8 +104,71 @@ def q_live_stream(spark, sf):
     return _plain(state_, "at", "seen")
 
 
+def direct(rows: pd.DataFrame) -> pd.Series:
+    """A channel that refuses every fourth reader."""
+    return rows["subscriber_id"] % 4 != 0
+
+
+def browser(rows: pd.DataFrame) -> pd.Series:
+    """A channel that only every third reader has."""
+    return rows["subscriber_id"] % 3 == 0
+
+
+#: Passes of the outbox query, four minutes apart in its faster time.
+PASSES = 6
+
+
+def _outbox(spark, sf):
+    """Lines in six runs of one stream, by time; the table's time runs much faster, so that the repeat time matters."""
+    d, at = view(spark, sf, "fx_lines").withColumn("at", F.col("at").cast("timestamp")), _folder(spark)
+    for k in range(PASSES):
+        d.where(F.col("pass") == k).drop("pass").write.parquet(f"{at}/in/{k}")
+        source = spark.readStream.schema(d.drop("pass").schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        outbox.notify(source, {"direct": direct, "browser": browser}, f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    return f"{at}/store"
+
+
+def q_deliveries(spark, sf):
+    """What became of each line: suppressed, sent, or failed on all channels."""
+    return outbox.verdicts(spark, _outbox(spark, sf)).select("line_id", "subscriber_id", "batch", "verdict")
+
+
+def q_passes(spark, sf):
+    return outbox.passes(spark, _outbox(spark, sf))
+
+
+def q_late(spark, sf):
+    """Sessions by a stream of three runs: the earlier half of the time, but for some sightings just before its end, then these, the later half and repeats,
+    then sightings that are days late."""
+    r = view(spark, sf, "fx_reports").select("report_id", "type", "channel_no", F.col("observed_at").cast("timestamp").alias("observed_at"))
+    at, half = _folder(spark), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    early = F.col("observed_at") <= half
+    just = early & (F.col("observed_at") > half - F.expr("interval 25 minutes")) & (F.col("report_id") % 3 == 0)
+    old = (F.col("observed_at") < half - F.expr("interval 1 day")) & (F.col("report_id") % 11 == 0)
+    portions = [r.where(early & ~just & ~old), r.where(just | ~early).union(r.where(early & ~old & (F.col("observed_at") > half - F.expr("interval 10 minutes")))), r.where(old)]
+    for k, rows in enumerate(portions):
+        rows.write.parquet(f"{at}/in/{k}")
+        source = spark.readStream.schema(r.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        frame = sessions.closed_sessions(source)
+        frame.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _plain(spark.read.schema(frame.schema).parquet(f"{at}/out"), "first_seen", "last_seen")
+
+
+def _passes_sql() -> str:
+    """Pass after pass: what the ledger says before it, what is said already, what is taken, what the ledger says then."""
+    out = ", g0 AS MATERIALIZED (SELECT 0::BIGINT AS subscriber_id, '' AS subject, TIMESTAMP '1970-01-01' AS said_at, 0.0e0 AS km WHERE false)"
+    for k in range(PASSES):
+        out += f""", n{k} AS MATERIALIZED (SELECT max("at") AS now FROM fx_lines WHERE pass = {k}),
+v{k} AS MATERIALIZED (SELECT l.*, now, CASE WHEN coalesce(epoch_us(now) - epoch_us(said_at) < 300000000 OR (epoch_us(now) - epoch_us(said_at) < 1200000000 AND NOT CASE WHEN g.km <= 0 THEN l.distance_km > 0 ELSE abs(l.distance_km - g.km) / g.km >= 0.25e0 END), false) THEN 'suppressed'
+  WHEN l.subscriber_id % 4 <> 0 OR l.subscriber_id % 3 = 0 THEN 'sent' ELSE 'failed' END AS verdict FROM fx_lines l, n{k} LEFT JOIN g{k} g ON g.subscriber_id = l.subscriber_id AND g.subject = l.subject WHERE pass = {k}),
+t{k} AS MATERIALIZED (SELECT subscriber_id, subject, max(now) AS said_at, arg_max(distance_km, (distance_km, line_id)) AS km FROM v{k} WHERE verdict = 'sent' GROUP BY 1, 2),
+g{k + 1} AS MATERIALIZED (SELECT * FROM t{k} UNION ALL SELECT * FROM g{k} g WHERE NOT EXISTS (SELECT 1 FROM t{k} t WHERE t.subscriber_id = g.subscriber_id AND t.subject = g.subject))"""
+    every = " UNION ALL ".join(f"SELECT line_id, subscriber_id, pass AS batch, verdict FROM v{k}" for k in range(PASSES))
+    return f"{out}, every AS ({every})"
+
+
 def queries() -> dict:
-    return {"stream_ingest_edits": q_edits, "live_snapshot": q_live, "live_state_stream": q_live_stream, "stream_ingest": q_ingest, "alert_transitions_stream": q_transitions, "alert_intervals_stream": q_intervals}
+    return {"sink_deliveries": q_deliveries, "notify_passes": q_passes, "late_data": q_late, "stream_ingest_edits": q_edits, "live_snapshot": q_live, "live_state_stream": q_live_stream, "stream_ingest": q_ingest, "alert_transitions_stream": q_transitions, "alert_intervals_stream": q_intervals}
 
 
 _POLLS = """WITH p AS (SELECT user_id % 25 AS region, ts AS poll_at, CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS level FROM events),
@@ -121,6 +185,16 @@ SELECT kind, id, seq, "at", seen, value FROM l WHERE NOT gone AND (kind <> 'trac
     )
     return {
         "stream_ingest_edits": with_views(" SELECT channel, message_id, sha1(CASE WHEN message_id % 5 = 0 THEN text || ' (edited)' ELSE text END) AS content_hash, 'pending' AS parse_state FROM fx_first_captures", "fx_first_captures"),
+        "sink_deliveries": with_views(_passes_sql() + " SELECT * FROM every", "fx_lines"),
+        "notify_passes": with_views(_passes_sql() + " SELECT batch, count(*) AS scanned, count(*) FILTER (WHERE verdict = 'sent') AS sent, count(DISTINCT subscriber_id) FILTER (WHERE verdict <> 'suppressed') AS recipients FROM every GROUP BY batch", "fx_lines"),
+        "late_data": with_views(
+            """, r AS (SELECT report_id, type, channel_no, observed_at FROM fx_reports WHERE NOT (observed_at < TIMESTAMP '2024-01-15' AND report_id % 11 = 0)),
+l AS (SELECT *, lag(observed_at) OVER w AS before FROM r WINDOW w AS (PARTITION BY type, channel_no ORDER BY observed_at, report_id)),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR observed_at - before > INTERVAL 25 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY type, channel_no ORDER BY observed_at, report_id) AS session FROM l)
+SELECT type, channel_no, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) AS n_reports FROM s GROUP BY type, channel_no, session
+HAVING max(observed_at) + INTERVAL 25 MINUTE < (SELECT max(observed_at) FROM r) - INTERVAL 30 MINUTE""",
+            "fx_reports",
+        ),
         "live_snapshot": state_,
         "live_state_stream": state_,
         "stream_ingest": "SELECT source AS channel, doc_id AS message_id, sha1(text) AS content_hash, 'pending' AS parse_state FROM documents WHERE doc_id IS NOT NULL",

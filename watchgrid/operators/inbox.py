@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What a fallback's answer may hold.
 TYPES = ("uav", "jet_uav", "cruise", "ballistic", "kab", "aviation", "recon", "unknown")
-RELATIONS = ("towards", "from", "past", "through", "over", "launch")
+RELATIONS = ("towards", "past", "through", "over", "from")
 ANSWER = "targets array<struct<type:string,count:double,from:string,to:string,relation:string,oblast:string,time:string,confidence:double>>"
 # Fixed value: a word that names an object.
 TARGET = "(?iu)бпла|шахед|герань|каб|ракет|реактивн|балістик|авіаці"

@@ -79,7 +79,8 @@ def ledger(rows: DataFrame, rules: LedgerRules = LedgerRules()) -> DataFrame:
 
     Within the cooldown of the last one sent a line is suppressed; after the repeat time it is sent; between, it is sent if
     its distance moved by the material share (of a distance of 0: if it isn't 0). Lines go by (at, line_id). A pause of the repeat time
-    always releases the next line, so what stands between two pauses is folded on its own.
+    always releases the next line, so what stands between two pauses is folded on its own. The fold keeps the places of the lines
+    sent, which are a cooldown apart, so its answer grows with a run's time, not with its lines.
     """
     by = Window.partitionBy("subscriber_id", "subject").orderBy("at", "line_id")
     micros = F.unix_micros(F.col("at").cast("timestamp"))
@@ -87,15 +88,17 @@ def ledger(rows: DataFrame, rules: LedgerRules = LedgerRules()) -> DataFrame:
     run = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(by))
     item = F.struct(micros.alias("at"), "line_id", "distance_km")
     runs = run.groupBy("subscriber_id", "subject", "_run").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("km"), F.array().cast("array<boolean>").alias("sent"))
+    runs = runs.withColumn("x", F.transform("x", lambda x, i: x.withField("i", i)))
+    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("km"), F.array().cast("array<int>").alias("sent"))
 
     def step(s, x):
         since = x["at"] - s["at"]
         moved = F.when(s["km"] <= 0, x["distance_km"] > 0).otherwise(F.abs(x["distance_km"] - s["km"]) / s["km"] >= rules.material_change)
         send = s["at"].isNull() | (since >= int(rules.repeat_min * 6e7)) | ((since >= int(rules.cooldown_min * 6e7)) & moved)
         sent = F.coalesce(send, F.lit(False))
-        return F.struct(F.when(sent, x["at"]).otherwise(s["at"]).alias("at"), F.when(sent, x["distance_km"]).otherwise(s["km"]).alias("km"), F.concat(s["sent"], F.array(sent)).alias("sent"))
+        return F.struct(F.when(sent, x["at"]).otherwise(s["at"]).alias("at"), F.when(sent, x["distance_km"]).otherwise(s["km"]).alias("km"), F.when(sent, F.concat(s["sent"], F.array(x["i"]))).otherwise(s["sent"]).alias("sent"))
 
     out = runs.withColumn("sent", F.aggregate("x", start, step, lambda s: s["sent"]))
-    found = out.select("subscriber_id", "subject", F.explode(F.arrays_zip("x", "sent")).alias("z"))
-    return found.select("subscriber_id", "subject", F.col("z.x.line_id").alias("line_id"), F.col("z.x.distance_km").alias("distance_km"), F.when(F.col("z.sent"), "sent").otherwise("suppressed").alias("verdict"))
+    found = out.select("subscriber_id", "subject", "sent", F.explode("x").alias("x"))
+    verdict = F.when(F.array_contains("sent", F.col("x.i")), "sent").otherwise("suppressed")
+    return found.select("subscriber_id", "subject", "x.line_id", "x.distance_km", verdict.alias("verdict"))

@@ -16,6 +16,7 @@ from watchgrid.functions import clauses as cl
 from watchgrid.functions import geo
 from watchgrid.functions import text as tx
 from watchgrid.operators import places as pl
+from watchgrid.operators.inbox import TARGET
 from watchgrid.session import cut, ship
 
 # Launch sites with their place and the forms of their names.
@@ -310,7 +311,7 @@ def parsed_reports(messages: DataFrame, lexicon: DataFrame, made: DataFrame) ->
 
 
 def message_states(messages: DataFrame, found: DataFrame, low: float = 0.5) -> DataFrame:
-    """message_id, state (parsed or unparsed), n_reports, needs_fallback: what the reports ``found`` (message_id, confidence) make of each message.
+    """message_id, state (parsed or unparsed), n_reports, needs_fallback, names_object: what the reports ``found`` (message_id, confidence) make of each message.
 
     A message needs the fallback if it has no report though its live lines look like one, or if a report's confidence is under ``low``. Null and empty texts,
     requests for money and sensitive messages never do. Repeated ids are one message each time they occur.
@@ -318,19 +319,22 @@ def message_states(messages: DataFrame, found: DataFrame, low: float = 0.5) -> D
     per = found.groupBy("message_id").agg(F.count("*").alias("n"), F.min("confidence").alias("least"))
     cleaned = tx.strip_boilerplate(F.coalesce("text", F.lit("")))
     refused = (cleaned == "") | tx.is_fundraising(cleaned) | tx.is_sensitive(cleaned)
-    rows = messages.select("message_id", refused.alias("refused"), tx.looks_like_report(tx.live_lines(cleaned)).alias("like")).join(per, "message_id", "left")
+    named = (cleaned != "") & ~tx.is_sensitive(cleaned) & F.coalesce("text", F.lit("")).rlike(TARGET)
+    rows = messages.select("message_id", refused.alias("refused"), named.alias("named"), tx.looks_like_report(tx.live_lines(cleaned)).alias("like")).join(per, "message_id", "left")
     none = F.col("n").isNull()
     needs = ~F.col("refused") & ((none & F.col("like")) | F.coalesce(F.col("least") < low, F.lit(False)))
-    return rows.select("message_id", F.when(none, "unparsed").otherwise("parsed").alias("state"), F.coalesce("n", F.lit(0)).alias("n_reports"), needs.alias("needs_fallback"))
+    return rows.select("message_id", F.when(none, "unparsed").otherwise("parsed").alias("state"), F.coalesce("n", F.lit(0)).alias("n_reports"), needs.alias("needs_fallback"), F.col("named").alias("names_object"))
 
 
 def coverage(messages: DataFrame, found: DataFrame) -> DataFrame:
     """One row a type and one of all (null): messages with a report, reports, those of low confidence, with a course, with an origin; in the row of
-    all also the messages, the unparsed ones, and those for the fallback."""
+    all also the messages, the unparsed ones, those of them that name an object (missed), and those for the fallback."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     per = found.rollup("type").agg(
         F.count_distinct("message_id").alias("parsed"), F.count("*").alias("n_reports"), n(F.col("confidence") < 0.6).alias("n_low"), F.count("course_deg").alias("n_course"), F.count("from_lat").alias("n_origin"), F.grouping("type").alias("whole")
     )
-    state = message_states(messages, found.select("message_id", "confidence")).agg(F.count("*").alias("messages"), n(F.col("state") == "unparsed").alias("unparsed"), n(F.col("needs_fallback")).alias("fallback"))
+    state = message_states(messages, found.select("message_id", "confidence"))
+    out = F.col("state") == "unparsed"
+    state = state.agg(F.count("*").alias("messages"), n(out).alias("unparsed"), n(out & F.col("names_object")).alias("missed"), n(F.col("needs_fallback")).alias("fallback"))
     # one row of sums beside a row a type
     return per.join(F.broadcast(state.withColumn("whole", F.lit(1).cast("tinyint"))), "whole", "left").drop("whole")

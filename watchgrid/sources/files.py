@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchgrid.functions.text import html_text
@@ -16,13 +16,29 @@ CODES = {
 _MEDIA = "tgme_widget_message_(photo_wrap|video_player|document|voice|roundvideo_player|sticker)\\b"
 
 
+def _inner(rest: Column) -> Column:
+    """What stands before the end of a block that was open when ``rest`` began, blocks within it included; without an end, all of it."""
+    parts = F.split(rest, r"(?i)(?=</?div\b)")
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def step(s, part):
+        depth = s["depth"] + F.when(part.rlike(r"(?i)^</div\b"), -1).when(part.rlike(r"(?i)^<div\b"), 1).otherwise(0)
+        inside = (s["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(s["depth"] > 0, depth).otherwise(0).alias("depth"), (s["n"] + inside.cast("int")).alias("n"))
+
+    n = F.aggregate(parts, start, step, lambda s: s["n"])
+    return F.array_join(F.slice(parts, F.lit(1), n), "")
+
+
 def page_messages(pages: DataFrame) -> DataFrame:
     """(channel, message_id, posted_at, text, has_media) of pages (channel, html), whose messages stand in blocks of their own.
 
     A block of another channel, without a positive number or a readable time gives no row; a message without text (a reply's
-    preview is none) has ''. The markup is that of the public channel pages: one wrapper a message, no nested ones.
+    preview is none) has ''. The markup is that of the public channel pages: one wrapper a message, no nested ones; a text may hold
+    blocks of its own.
     """
-    blocks = F.slice(F.split("html", r'(?=<div class="tgme_widget_message_wrap)'), 2, 1_000_000)
+    parts = F.split("html", r'(?=<div class="tgme_widget_message_wrap)')
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = pages.select(F.lower("channel").alias("channel"), F.explode(blocks).alias("b"))
     post = r'data-post="([^"/]+(?:/[^"/]+)*)/(\d+)[^"]*"'
     found = rows.select(
@@ -30,7 +46,7 @@ def page_messages(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract("b", post, 1)).alias("of"),
         F.regexp_extract("b", post, 2).try_cast("long").alias("message_id"),
         F.try_to_timestamp(F.regexp_extract("b", r'(?s)tgme_widget_message_date.*?<time[^>]*datetime="([^"]*)"', 1)).alias("posted_at"),
-        F.regexp_extract("b", r'(?s)<div class="[^"]*js-message_text[^"]*"[^>]*>(.*?)</div>', 1).alias("inner"),
+        _inner(F.regexp_extract("b", r'(?s)<div class="[^"]*js-message_text[^"]*"[^>]*>(.*)', 1)).alias("inner"),
         F.col("b").rlike(_MEDIA).alias("has_media"),
     )
     found = found.where("of = channel and message_id > 0 and posted_at is not null")

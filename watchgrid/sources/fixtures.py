@@ -87,6 +87,12 @@ FROM events WHERE (event_id + 1) % 97 <> 0""",
 SELECT CASE event_type WHEN 'error' THEN 'alert' WHEN 'signup' THEN 'source' ELSE 'track' END AS kind, user_id AS id, event_id + 1 AS seq,
   ts AS at, ts - (event_id % 240) * INTERVAL '1' MINUTE AS seen, event_id % 10 = 0 AS gone, value
 FROM events""",
+    "fx_lines": """
+SELECT event_id AS line_id, user_id AS subscriber_id, event_type || '|' || CAST(event_id % 2 AS VARCHAR(9)) AS subject,
+  TIMESTAMP '2024-01-01 00:00:00' + CAST(floor(minutes / 30) AS BIGINT) * INTERVAL '1' SECOND AS at,
+  CAST(event_id * 7 % 9 AS DOUBLE) AS distance_km, 'line ' || CAST(event_id AS VARCHAR(20)) AS line,
+  CAST(floor(minutes / 7200) AS BIGINT) AS pass
+FROM (SELECT *, (day(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts) AS minutes FROM events) e""",
     "fx_first_captures": """
 SELECT source AS channel, doc_id AS message_id, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' SECOND AS captured_at, coalesce(text, '') AS text
 FROM documents WHERE doc_id IS NOT NULL""",
