@@ -70,3 +70,13 @@ def test_answers(spark):
 
     got = {x.i: x.t for x in df.select("i", inbox.extraction(F.col("raw")).alias("t")).collect()}
     assert all(got[i][0]["count"] == 2 and got[i][0]["relation"] == "towards" for i in range(3)) and all(got[i] is None for i in range(3, 9))
+
+
+def test_a_report_is_read_in_its_own_row(spark):
+    df = spark.createDataFrame([(1, SITREP)], "poll_id long, raw string")
+    districts = spark.createDataFrame([("sumska", "сумський")], "region string, district string")
+    levels = feeds.sitrep(df)
+    shuffled = [levels._jdf.queryExecution().optimizedPlan().toString().count(x) for x in ("Join", "Aggregate")]
+    # districts are the one table that is sent, whatever is made of the reports
+    states = feeds.district_states(levels, districts)._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled == [0, 0] and states.count("Join") == 1 and states.count("Aggregate") == 1
