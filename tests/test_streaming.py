@@ -168,3 +168,14 @@ def test_store_rewrites_only_what_changes(spark, tmp_path):
     except ValueError:
         pass
     assert ingest.version(spark, f"{tmp_path}/none").count() == 0 and ingest.compact(spark, f"{tmp_path}/none") == 0
+
+
+def test_polls_of_one_time_are_one_poll(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    polls = [(1, at(0), 0), (1, at(1), 2), (1, at(1), 0), (1, at(2), 0), (1, at(2), 1), (1, at(2), 0), (1, at(3), 0)]
+    schema = "region long, poll_at timestamp, level int"
+    for k, rows in enumerate((polls, polls[::-1])):
+        got = run(state.alert_transitions(stream(spark, f"{tmp_path}/a{k}", [rows], schema)), f"{tmp_path}/a{k}")
+        assert sorted((x.poll_at, x.before, x.level) for x in got) == [(at(1), 0, 2), (at(2), 2, 1), (at(3), 1, 0)]
+        got = run(state.alert_intervals(stream(spark, f"{tmp_path}/b{k}", [rows], schema)), f"{tmp_path}/b{k}")
+        assert sorted((x.level, x.started_at, x.ended_at) for x in got) == [(1, at(2), at(3)), (2, at(1), at(2))]

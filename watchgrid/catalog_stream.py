@@ -171,7 +171,7 @@ def queries() -> dict:
     return {"sink_deliveries": q_deliveries, "notify_passes": q_passes, "late_data": q_late, "stream_ingest_edits": q_edits, "live_snapshot": q_live, "live_state_stream": q_live_stream, "stream_ingest": q_ingest, "alert_transitions_stream": q_transitions, "alert_intervals_stream": q_intervals}
 
 
-_POLLS = """WITH p AS (SELECT user_id % 25 AS region, ts AS poll_at, CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS level FROM events),
+_POLLS = """WITH p AS (SELECT user_id % 25 AS region, ts AS poll_at, max(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS level FROM events GROUP BY user_id % 25, ts),
 b AS (SELECT *, lag(level) OVER (PARTITION BY region ORDER BY poll_at) AS before FROM p),
 c AS (SELECT *, lead(poll_at) OVER (PARTITION BY region ORDER BY poll_at) AS ended_at FROM b WHERE before IS NULL OR before <> level)
 """

@@ -20,14 +20,20 @@ def _ordered(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(rows).sort_values(by, kind="stable") if rows else pd.DataFrame()
 
 
+def _polled(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """One row a time, in order: polls of the same time are one poll, of which the highest level counts."""
+    rows = list(parts)
+    return pd.concat(rows).groupby("poll_at", as_index=False)["level"].max().sort_values("poll_at") if rows else pd.DataFrame()
+
+
 def alert_transitions(polls: DataFrame) -> DataFrame:
     """Changes of a region's level between accepted polls (region, poll_at, level); the first sight is silent. Polls of a region come in
-    the order of time from batch to batch; an older one is passed over."""
+    the order of time from batch to batch; one that is not newer than the batches before is passed over. Of polls of one time the highest level counts."""
 
     def step(key, parts, state: GroupState):
         before, at = state.get if state.exists else (None, None)
         out = []
-        for row in _ordered(parts, ["poll_at"]).itertuples(index=False):
+        for row in _polled(parts).itertuples(index=False):
             if at is not None and row.poll_at <= at:
                 continue
             if before is not None and row.level != before:
@@ -41,12 +47,13 @@ def alert_transitions(polls: DataFrame) -> DataFrame:
 
 
 def alert_intervals(polls: DataFrame) -> DataFrame:
-    """Intervals of one level above 0, when they end; a region keeps what is open. An empty poll has no rows here, so it ends nothing."""
+    """Intervals of one level above 0, when they end; a region keeps what is open. An empty poll has no rows here, so it ends nothing.
+    Order and polls of one time as in ``alert_transitions``."""
 
     def step(key, parts, state: GroupState):
         level, since, at = state.get if state.exists else (0, None, None)
         out = []
-        for row in _ordered(parts, ["poll_at"]).itertuples(index=False):
+        for row in _polled(parts).itertuples(index=False):
             if at is not None and row.poll_at <= at:
                 continue
             if row.level != level:
