@@ -4,6 +4,8 @@ import math
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from watchgrid.operators import proximity
 
 REPORTS = "report_id long, observed_at timestamp_ntz, type string, n long, relation string, to_lat double, to_lon double, from_lat double, from_lon double, course_deg double, confidence double, to_area boolean"
@@ -77,3 +79,30 @@ def test_no_reports_or_readers(spark):
     assert proximity.proximity(none, spark.createDataFrame([(1, True, 48.0, 31.0, 9.0)], READERS), "2024-01-15 12:00:00").count() == 0
     one = spark.createDataFrame([(1, NOW, "uav", 1, "over", 48.0, 31.0, None, None, None, 0.9, False)], REPORTS)
     assert proximity.proximity(one, nobody, "2024-01-15 12:00:00").count() == 0
+
+
+def test_readers_of_one_place_are_looked_at_once(spark, monkeypatch):
+    now = datetime(2024, 1, 15, 12)
+    schema = "report_id long, observed_at timestamp_ntz, type string, n int, relation string, to_lat double, to_lon double, from_lat double, from_lon double, course_deg double, confidence double, to_area boolean"
+    reports = spark.createDataFrame([(i, now - timedelta(minutes=i), "uav", i, "over", 50.0, 30.0 + i % 2 / 10, None, None, 90.0, 0.9, False) for i in range(1, 9)], schema)
+    readers = spark.createDataFrame([(i, True, 50.0, 30.01, 1.0 + i % 20) for i in range(300)] + [(300, True, 50.0, 31.0, 5.0)], "subscriber_id long, is_active boolean, lat double, lon double, radius_km double")
+    sizes, meet = [], proximity.meet
+    monkeypatch.setattr(proximity, "meet", lambda near, at, *more, **kw: sizes.append(at.count()) or meet(near, at, *more, **kw))
+    tell = lambda d: sorted(tuple(x) for x in d.select("subscriber_id", "type", "reason", "n", "report_id", "distance_km").collect())
+    every = proximity.proximity(reports, readers, "2024-01-15 12:00:00", group=100).cache()
+    lines = tell(proximity.proximity_lines(reports, readers, "2024-01-15 12:00:00"))
+    assert tell(proximity.dedupe_lines(every)) == lines and len({x[0] for x in lines}) > 250
+    assert {x.report_id for x in every.where("subscriber_id = 19 and reason = 'in_radius'").collect()} == set(range(1, 9))
+    tracks = reports.selectExpr("report_id as track_id", "type", "'position' as last_kind", "to_lat as lat", "to_lon as lon", "course_deg as heading_deg", "observed_at", "false as area")
+    ahead = readers.select(F.col("subscriber_id").alias("viewer_id"), "lat", (F.col("lon") + 0.4).alias("lon"))
+    near = proximity.near_me(tracks, ahead, "2024-01-15 12:00:00").groupBy("viewer_id").count().collect()
+    assert len({x["count"] for x in near if x.viewer_id < 300}) == 1 and len(near) == 301
+    assert sizes == [4, 2, 2]
+
+
+def test_a_crowded_cell_is_dealt_over_parts(spark):
+    reports = spark.createDataFrame([(1, 50.0, 30.0, 40.0), (2, 20.0, 30.0, 40.0)], "report_id long, x_lat double, x_lon double, km double")
+    readers = spark.createDataFrame([(i, 50.0 + i % 50 / 1000, 30.0) for i in range(200)], "subscriber_id long, lat double, lon double")
+    for crowd in (1, 7, 1000):
+        got = proximity.meet(reports, readers, [("x_", F.col("km"))], crowd=crowd).select("report_id", "subscriber_id").collect()
+        assert sorted(map(tuple, got)) == [(1, i) for i in range(200)]

@@ -22,7 +22,7 @@ def _matches(spark, sf):
 
 
 def q_proximity(spark, sf):
-    return proximity.dedupe_lines(_matches(spark, sf))
+    return proximity.proximity_lines(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
 
 
 def q_matches(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid.functions.geo import angle_diff, approach, bearing, distance_km
@@ -61,11 +61,12 @@ def _grid(rows: Column, columns: Column) -> Column:
     return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
 
 
-def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]], cell: float = 1.0) -> DataFrame:
+def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]], cell: float = 1.0, crowd: int = 128) -> DataFrame:
     """Rows of ``near`` joined with the readers (lat, lon) that may lie within reach of one of its points.
 
     ``points``: the prefix of a point's columns and the reach in km. A row of ``near`` goes to every cell within reach, once;
-    a reader lies in one cell. So few reports meet many readers, and a crowded cell is split by the join's skew handling.
+    a reader lies in one cell. A cell of more than ``crowd`` readers is dealt over parts by their places, so that no task reads it whole,
+    and a row of ``near`` goes to all of its parts; cells without readers are left out before that.
     """
     spots = []
     for end, reach in points:
@@ -74,40 +75,73 @@ def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]],
     every = F.array_distinct(F.concat(*[F.coalesce(s, F.array().cast("array<struct<cy:bigint,cx:bigint>>")) for s in spots]))
     dealt = near.withColumn("_at", F.explode(every)).withColumns({"cy": F.col("_at.cy"), "cx": F.col("_at.cx")}).drop("_at")
     at = readers.withColumns({"cy": F.floor(F.col("lat") / cell), "cx": F.pmod(F.floor(F.col("lon") / cell), F.lit(int(360 / cell)))})
-    return dealt.join(at.hint("merge"), ["cy", "cx"]).drop("cy", "cx")
+    parts = at.groupBy("cy", "cx").agg(F.ceil(F.count("*") / crowd).alias("_parts"))
+    at = at.join(parts, ["cy", "cx"]).withColumn("_part", F.pmod(F.xxhash64("lat", "lon"), F.col("_parts"))).drop("_parts")
+    dealt = dealt.join(parts, ["cy", "cx"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(at.hint("merge"), ["cy", "cx", "_part"]).drop("cy", "cx", "_part")
 
 
-def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
-    """(subscriber_id, report_id, type, n, reason, distance_km, target_km, eta_min, closest_km).
+def _located(subscribers: DataFrame) -> DataFrame:
+    return subscribers.where("is_active and lat is not null and lon is not null").select("subscriber_id", "lat", "lon", "radius_km")
 
-    The report's position is its origin where known, else its destination; the named place is the destination where known.
-    Reasons, the first that holds: in_radius, the nearer of both within the subscriber's radius; approaching, a position with
-    a course, not stale and of a type that is projected, whose path passes within the radius in time; heading_towards, a known
-    origin and a course that points at the subscriber, who is within what the type covers in ``lead_min`` minutes.
-    distance_km is to the named place, target_km to the position; eta_min is null for in_radius.
-    """
-    located = subscribers.where("is_active and lat is not null and lon is not null").select("subscriber_id", "lat", "lon", "radius_km")
-    radius = located.agg(F.max("radius_km").alias("widest"))  # one row
+
+def _near_spots(reports: DataFrame, spots: DataFrame, now: str, rules: Rules) -> DataFrame:
+    """Reports that give a reason to some reader of a spot (lat, lon, widest: its readers' largest radius), with all of a reason but the radius."""
+    radius = spots.agg(F.max("widest").alias("reach"))  # one row
     near = actionable(reports, now, rules).select("report_id", "type", "n", "relation", "to_lat", "to_lon", "from_lat", "from_lon", "course_deg", age_min(now).alias("age"))
     near = near.withColumns({"typical": speed_kmh(F.col("type"), TYPICAL), "projected": speed_kmh(F.col("type"))}).crossJoin(F.broadcast(radius))
     moving = F.col("relation").isin("over", "past", "through") & F.col("course_deg").isNotNull() & F.col("projected").isNotNull() & (F.col("age") <= rules.stale_min)
     # a path is as long as the type flies since the report and until the last arrival that counts
     ahead = F.when(moving, F.col("projected") / 60 * (F.col("age") + rules.eta_max_min)).otherwise(0.0)
     towards = F.when(F.col("course_deg").isNotNull(), F.col("typical") * rules.lead_min / 60).otherwise(0.0)
-    wide = F.col("widest") * 1.01 + 1
-    pairs = meet(near, located, [("to_", F.when(known("to"), wide + ahead)), ("from_", F.when(known("from"), wide + towards))])
+    wide = F.col("reach") * 1.01 + 1
+    pairs = meet(near, spots, [("to_", F.when(known("to"), wide + ahead)), ("from_", F.when(known("from"), wide + towards))])
     to, origin = (distance_km(F.col(f"{end}_lat"), F.col(f"{end}_lon"), F.col("lat"), F.col("lon")) for end in ("to", "from"))
     pairs = pairs.withColumns({"target_km": F.coalesce(origin, to), "distance_km": F.coalesce(to, origin)})
     closest, eta = approach(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), F.col("projected"), F.col("age"), F.col("lat"), F.col("lon"))
-    coming = moving & known("to") & (closest <= F.col("radius_km")) & (eta <= rules.eta_max_min)
     aimed = angle_diff(bearing(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")), F.col("course_deg")) <= rules.course_tolerance_deg
-    heading = aimed & (F.col("target_km") <= F.col("typical") * rules.lead_min / 60 + F.col("radius_km"))
-    reason = F.when(F.least("distance_km", "target_km") <= F.col("radius_km"), "in_radius").when(coming, "approaching").when(heading, "heading_towards")
-    pairs = pairs.withColumns({"reason": reason, "closest": closest, "eta": eta}).where("reason is not null")
+    pairs = pairs.withColumns({"closest": closest, "eta": eta, "aimed": aimed})
+    pairs = pairs.withColumn("coming", F.coalesce(moving & known("to") & (F.col("eta") <= rules.eta_max_min), F.lit(False)))
+    spot = [c for c in spots.columns if c not in ("lat", "lon", "widest")]
+    pairs = pairs.withColumn("lead_km", F.col("typical") * rules.lead_min / 60).where(_reason(F.col("widest")).isNotNull())
+    return pairs.select("lat", "lon", *spot, "report_id", "type", "n", "distance_km", "target_km", "closest", "eta", "aimed", "coming", "typical", "lead_km")
+
+
+def _reason(radius: Column) -> Column:
+    heading = F.col("aimed") & (F.col("target_km") <= F.col("lead_km") + radius)
+    return F.when(F.least("distance_km", "target_km") <= radius, "in_radius").when(F.col("coming") & (F.col("closest") <= radius), "approaching").when(heading, "heading_towards")
+
+
+def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), group: int = 1000) -> DataFrame:
+    """(subscriber_id, report_id, type, n, reason, distance_km, target_km, eta_min, closest_km).
+
+    The report's position is its origin where known, else its destination; the named place is the destination where known.
+    Reasons, the first that holds: in_radius, the nearer of both within the subscriber's radius; approaching, a position with
+    a course, not stale and of a type that is projected, whose path passes within the radius in time; heading_towards, a known
+    origin and a course that points at the subscriber, who is within what the type covers in ``lead_min`` minutes.
+    distance_km is to the named place, target_km to the position; eta_min is null for in_radius.
+    Subscribers of one place are looked at once, at most ``group`` of them together; only radii are compared one by one.
+    """
+    nth = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("subscriber_id"))
+    spots = _located(subscribers).withColumn("group", F.floor((nth - 1) / group)).groupBy("lat", "lon", "group")
+    spots = spots.agg(F.max("radius_km").alias("widest"), F.collect_list(F.struct("subscriber_id", "radius_km")).alias("readers")).drop("group")
+    pairs = _near_spots(reports, spots, now, rules).withColumn("reader", F.explode("readers")).drop("readers")
+    pairs = pairs.select("*", "reader.subscriber_id", _reason(F.col("reader.radius_km")).alias("reason")).where("reason is not null")
     minutes = F.when(F.col("reason") == "approaching", F.col("eta")).when(F.col("reason") == "heading_towards", F.col("target_km") / F.col("typical") * 60)
     return pairs.select("subscriber_id", "report_id", "type", "n", "reason", "distance_km", "target_km", minutes.alias("eta_min"), F.when(F.col("reason") == "approaching", F.col("closest")).alias("closest_km"))
 
 
+def proximity_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
+    """``dedupe_lines`` of ``proximity``, with a place's reports in order of distance and id once for all its readers: sums of plain numbers, which
+    are kept in memory where a pair a row would have to be sorted."""
+    located = _located(subscribers)
+    spots = located.groupBy("lat", "lon").agg(F.max("radius_km").alias("widest"))
+    ranked = _near_spots(reports, spots, now, rules).withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("distance_km", "report_id")))
+    pairs = ranked.join(located.hint("merge"), ["lat", "lon"]).withColumn("reason", _reason(F.col("radius_km"))).where("reason is not null")
+    found = pairs.groupBy("subscriber_id", "type", "reason").agg(F.max("n").alias("n"), F.min_by("report_id", "nth").alias("report_id"), F.min("distance_km").alias("distance_km"))
+    return found.withColumn("distance_km", F.round("distance_km", 6))
+
+
 def dedupe_lines(matches: DataFrame, place: str | None = None) -> DataFrame:
     """Per subscriber and subject (type, place where given, reason): the nearest report (of ties the smallest id) and the largest count."""
     subject = ["type", *([place] if place else []), "reason"]
@@ -128,14 +162,16 @@ def near_me(tracks: DataFrame, viewers: DataFrame, now: str, radius_km: float =
         (F.col("last_kind") == "position") & F.col("heading_deg").isNotNull(), radius_km + F.col("projected") / 60 * (F.col("age") + eta_max_min)
     )
     fresh = fresh.withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"})
-    pairs = meet(fresh, viewers.where("lat is not null and lon is not null").select("viewer_id", "lat", "lon"), [("t_", reach * 1.01 + 1)])
+    located = viewers.where("lat is not null and lon is not null").select("viewer_id", "lat", "lon")
+    # what viewers of one place see is found and put in order once
+    pairs = meet(fresh, located.select("lat", "lon").distinct(), [("t_", reach * 1.01 + 1)])
     closest, eta = approach(F.col("t_lat"), F.col("t_lon"), F.col("heading_deg"), F.col("projected"), F.col("age"), F.col("lat"), F.col("lon"))
     away = distance_km(F.col("t_lat"), F.col("t_lon"), F.col("lat"), F.col("lon"))
     kind = F.when((F.col("last_kind") == "position") & (closest <= radius_km) & (eta <= eta_max_min), "approach").when((F.col("last_kind") == "destination") & (away <= radius_km), "destination")
     out = pairs.withColumns({"kind": kind, "eta_min": eta, "closest_km": closest, "distance_km": away}).where("kind is not null")
     only = lambda c, k: F.when(F.col("kind") == k, F.round(c, 6)).alias(c)
-    out = out.select("viewer_id", "track_id", "kind", only("eta_min", "approach"), only("closest_km", "approach"), only("distance_km", "destination"))
-    # a viewer's rows are bounded by the tracks of the last minutes
+    out = out.select("lat", "lon", "track_id", "kind", only("eta_min", "approach"), only("closest_km", "approach"), only("distance_km", "destination"))
+    # a place's rows are bounded by the tracks of the last minutes
     order = F.array_sort(F.collect_list(F.struct("kind", F.coalesce("eta_min", "distance_km").alias("by"), "track_id", "eta_min", "closest_km", "distance_km")))
-    rows = out.groupBy("viewer_id").agg(order.alias("rows")).select("viewer_id", F.posexplode("rows").alias("place", "x"))
+    rows = out.groupBy("lat", "lon").agg(order.alias("rows")).join(located, ["lat", "lon"]).select("viewer_id", F.posexplode("rows").alias("place", "x"))
     return rows.select("viewer_id", F.col("x.track_id").alias("track_id"), F.col("x.kind").alias("kind"), "x.eta_min", "x.closest_km", "x.distance_km", (F.col("place") + 1).cast("long").alias("place"))
