@@ -40,6 +40,15 @@ def test_ground(spark):
     assert fallback.ground(answers(spark, rows[:0]), lexicon, places.place_forms(lexicon)).count() == 0
 
 
+def test_equal_answers_are_grounded_once(spark, monkeypatch):
+    sizes, cut = [], fallback.cut
+    monkeypatch.setattr(fallback, "cut", lambda d: sizes.append(d.count()) or cut(d))
+    lexicon = spark.createDataFrame(PLACES, LEXICON)
+    rows = [(str(k), T0.replace(hour=9 + k % 2), '{"targets":[{"type":"uav","to":"Суми","time":"11:40"}]}') for k in range(40)]
+    got = fallback.ground(answers(spark, rows), lexicon, places.place_forms(lexicon)).collect()
+    assert {x.message_id for x in got} == {str(k) for k in range(40)} and len(got) == 40 and max(sizes) == 1
+
+
 def test_extract_and_recovery(spark):
     seen = spark.createDataFrame([(str(k), t) for k, t in enumerate(["на Суми", "на Суми", "на Ніде", "?", "crash", None, ""])], "message_id string, text string").withColumn("content_hash", F.sha1("text"))
 

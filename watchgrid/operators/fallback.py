@@ -47,13 +47,14 @@ def ground(answers: DataFrame, lexicon: DataFrame, made: DataFrame) -> DataFrame
     from_name, from_lat, from_lon, course_deg, confidence, observed_at.
 
     ``answers``: message_id, posted_at, targets (as ``inbox.extraction`` gives them; null gives nothing); ``lexicon`` and ``made`` as for
-    ``places.place_resolve``. Coordinates never come from an answer: names are looked up in the region that it states, distinct ones once. A
-    target without a destination that resolves is dropped, an origin that doesn't is left out. The answer's confidence is multiplied by that of
+    ``places.place_resolve``. Coordinates never come from an answer: names are looked up in the region that it states, distinct ones once; equal
+    answers are grounded once, and only times differ by message. A target without a destination that resolves is dropped, an origin that doesn't is left out. The answer's confidence is multiplied by that of
     the place. A stated time counts within 6 hours of the post.
     """
     t = F.col("t")
-    rows = answers.select("message_id", "posted_at", F.posexplode("targets").alias("nth", "t"))
-    rows = rows.select("message_id", "posted_at", "nth", t["type"].alias("type"), t["count"].alias("count"), t["relation"].alias("relation"), t["to"].alias("to"), t["from"].alias("from"), t["oblast"].alias("token"), t["time"].alias("time"), t["confidence"].alias("sure"))
+    said = answers.where("size(targets) > 0").select("message_id", "posted_at", F.sha1(F.to_json("targets")).alias("said"), "targets")
+    rows = said.groupBy("said").agg(F.first("targets").alias("targets")).select("said", F.posexplode("targets").alias("nth", "t"))
+    rows = rows.select("said", "nth", t["type"].alias("type"), t["count"].alias("count"), t["relation"].alias("relation"), t["to"].alias("to"), t["from"].alias("from"), t["oblast"].alias("token"), t["time"].alias("time"), t["confidence"].alias("sure"))
     rows = cut(pl.region_match(rows.where(F.col("to") != "")))
     asked = lambda c: F.concat(F.coalesce("region", F.lit("")), F.lit("\x01"), F.col(c))
     names = rows.select(F.col("to").alias("phrase"), "region", asked("to").alias("mention_id")).union(rows.where(F.col("from") != "").select("from", "region", asked("from"))).distinct()
@@ -61,13 +62,14 @@ def ground(answers: DataFrame, lexicon: DataFrame, made: DataFrame) -> DataFrame
     side = lambda c: known.select(F.col("mention_id").alias(f"_{c}"), F.struct("kind", "name", "region", "lat", "lon", "confidence").alias(f"at_{c}"))
     found = rows.withColumns({"_to": asked("to"), "_from": F.when(F.col("from") != "", asked("from"))}).join(side("to"), "_to").join(side("from"), "_from", "left")
     to, since = F.col("at_to"), F.col("at_from")
-    return found.select(
-        "message_id", "nth", "type", "count", F.coalesce(to["region"], F.col("region")).alias("oblast"), "relation",
+    once = cut(found.select(
+        "said", "nth", "type", "count", F.coalesce(to["region"], F.col("region")).alias("oblast"), "relation",
         to["name"].alias("to_name"), to["lat"].alias("to_lat"), to["lon"].alias("to_lon"), (to["kind"] == "oblast").alias("to_area"),
         since["name"].alias("from_name"), since["lat"].alias("from_lat"), since["lon"].alias("from_lon"),
-        geo.bearing(since["lat"], since["lon"], to["lat"], to["lon"]).alias("course_deg"), F.round(F.col("sure") * to["confidence"], 6).alias("confidence"),
-        tx.observed_at(F.col("time"), F.col("posted_at")).alias("observed_at"),
-    )
+        geo.bearing(since["lat"], since["lon"], to["lat"], to["lon"]).alias("course_deg"), F.round(F.col("sure") * to["confidence"], 6).alias("confidence"), "time",
+    ))
+    rows = said.drop("targets").join(once, "said")
+    return rows.select("message_id", *once.columns[1:-1], tx.observed_at(F.col("time"), F.col("posted_at")).alias("observed_at"))
 
 
 def recovery(waiting: DataFrame, answers: DataFrame, grounded: DataFrame) -> DataFrame:
