@@ -78,6 +78,14 @@ def test_long_messages_and_partitions(spark):
         assert same(got, want), text
 
 
+def test_a_text_is_read_once(spark, monkeypatch):
+    sizes, rows = [], reports.clause_rows
+    monkeypatch.setattr(reports, "clause_rows", lambda m: sizes.append(m.count()) or rows(m))
+    text, want = CASES[1]
+    got = read(spark, [text] * 50 + ["", None, CASES[12][0]])
+    assert sizes == [2] and all(same(x, want) for x in got[:50]) and got[50:52] == [[], []] and same(got[52], CASES[12][1])
+
+
 def test_states_of_messages(spark):
     rows = [("a", "БпЛА на Суми"), ("b", "БпЛА курсом на Нікуди"), ("c", "тихо"), ("d", None), ("e", "Карта 4441 1111 2222 3333, БпЛА на Суми"), ("f", "БпЛА на Нову")]
     messages = spark.createDataFrame(rows, "message_id string, text string")

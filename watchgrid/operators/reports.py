@@ -261,8 +261,16 @@ def parsed_reports(messages: DataFrame, lexicon: DataFrame, made: DataFrame) ->
     destination, the next different one the origin; a region named beside it, or the context's, gives a course at most. What only comes from somewhere, and each
     site of a launch, has an origin alone. A clause without cues but with a type is over the first settlement it names. A line that
     is a settlement's name alone is the city that later lines mean by "the city". Null and empty texts, advertising, requests for money and sensitive
-    messages give nothing. Ties of cues go by order. A message's clauses are read by one task, in order; messages share nothing.
+    messages give nothing. Ties of cues go by order. A message's clauses are read by one task, in order; messages share nothing, so a
+    text is read once, however many messages have it.
     """
+    asked = messages.where("text <> ''").select(F.col("message_id").alias("_id"), F.sha1("text").alias("message_id"), "text")
+    found = cut(_parsed(asked.groupBy("message_id").agg(F.first("text").alias("text")), lexicon, made))
+    return asked.drop("text").join(found, "message_id").drop("message_id").select(F.col("_id").alias("message_id"), *found.columns[1:])
+
+
+def _parsed(messages: DataFrame, lexicon: DataFrame, made: DataFrame) -> DataFrame:
+    """``parsed_reports`` of messages of distinct texts."""
     ship(messages.sparkSession)
     key = ["message_id", "line", "clause"]
     clauses = cut(clause_rows(messages))
@@ -314,13 +322,15 @@ def message_states(messages: DataFrame, found: DataFrame, low: float = 0.5) -> D
     """message_id, state (parsed or unparsed), n_reports, needs_fallback, names_object: what the reports ``found`` (message_id, confidence) make of each message.
 
     A message needs the fallback if it has no report though its live lines look like one, or if a report's confidence is under ``low``. Null and empty texts,
-    requests for money and sensitive messages never do. Repeated ids are one message each time they occur.
+    requests for money and sensitive messages never do. Repeated ids are one message each time they occur. A text is judged once.
     """
     per = found.groupBy("message_id").agg(F.count("*").alias("n"), F.min("confidence").alias("least"))
-    cleaned = tx.strip_boilerplate(F.coalesce("text", F.lit("")))
+    asked = messages.select("message_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_text", F.sha1("text"))
+    cleaned = tx.strip_boilerplate(F.col("text"))
     refused = (cleaned == "") | tx.is_fundraising(cleaned) | tx.is_sensitive(cleaned)
-    named = (cleaned != "") & ~tx.is_sensitive(cleaned) & F.coalesce("text", F.lit("")).rlike(TARGET)
-    rows = messages.select("message_id", refused.alias("refused"), named.alias("named"), tx.looks_like_report(tx.live_lines(cleaned)).alias("like")).join(per, "message_id", "left")
+    named = (cleaned != "") & ~tx.is_sensitive(cleaned) & F.col("text").rlike(TARGET)
+    judged = asked.groupBy("_text").agg(F.first("text").alias("text")).select("_text", refused.alias("refused"), named.alias("named"), tx.looks_like_report(tx.live_lines(cleaned)).alias("like"))
+    rows = asked.drop("text").join(cut(judged), "_text").join(per, "message_id", "left")
     none = F.col("n").isNull()
     needs = ~F.col("refused") & ((none & F.col("like")) | F.coalesce(F.col("least") < low, F.lit(False)))
     return rows.select("message_id", F.when(none, "unparsed").otherwise("parsed").alias("state"), F.coalesce("n", F.lit(0)).alias("n_reports"), needs.alias("needs_fallback"), F.col("named").alias("names_object"))
