@@ -143,6 +143,21 @@ def test_live_stream_with_late_repeated_and_expired(spark, tmp_path):
             assert any(x.gone and (x.id, x.seq) not in stated for x in got)  # some went by their timer
 
 
+def test_entities_share_a_bucket(spark, tmp_path):
+    """One call holds entities of all sorts: some change, some are late or repeated, some only expire, null ids too."""
+    rows = [(k, i, q, t, s, g, v) for k, i, q, t, s, g, v in changes(3, 160) if k == "track"]
+    rows += [("track", None, 500, T0, T0, False, 7.0), ("track", 2**60 + 1, 501, T0, T0, False, 8.0)]
+    late = [x for x in rows if x[2] % 9 == 0]
+    first = [x for x in rows[:20] if x not in late] + rows[-2:]
+    results = []
+    for buckets in (1, 64):
+        folder = f"{tmp_path}/{buckets}"
+        source = stream(spark, folder, [first, rows[20:40] + late, first[:9] + rows[40:]], CHANGE)
+        got = run(live_changes(source, 180, buckets), folder)
+        results.append(sorted((str(x.id), x.seq, x.gone, x.at, x.seen, x.value is None or x.value != x.value) for x in got))
+    assert results[0] == results[1] and any(x[:3] == (str(2**60 + 1), 501, False) for x in results[0]) and any(x[:3] == ("None", 500, False) for x in results[0])
+
+
 def test_store_rewrites_only_what_changes(spark, tmp_path):
     schema = "channel string, message_id long, captured_at timestamp, text string"
     frame = lambda rows: spark.createDataFrame(rows, schema)
