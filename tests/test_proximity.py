@@ -106,3 +106,39 @@ def test_a_crowded_cell_is_dealt_over_parts(spark):
     for crowd in (1, 7, 1000):
         got = proximity.meet(reports, readers, [("x_", F.col("km"))], crowd=crowd).select("report_id", "subscriber_id").collect()
         assert sorted(map(tuple, got)) == [(1, i) for i in range(200)]
+
+
+def crowd_of_reports(spark):
+    r = random.Random(5)
+    end = lambda: r.choice([(None, None), (48 + r.randrange(5) / 4, 31 + r.randrange(5) / 4)])
+    kind = lambda: r.choice(["uav", "cruise", "ballistic"])
+    rows = [(i, NOW - timedelta(minutes=r.uniform(0, 30)), kind(), 1 + i % 4, r.choice(["over", "past", "towards"]), *end(), *end(), r.choice([None, float(r.randrange(360))]), 0.9, False) for i in range(400)]
+    return spark.createDataFrame(rows, REPORTS)
+
+
+def test_lines_and_counts_without_pairs(spark):
+    """Ties in distance, equal radii, readers in several groups, and an id of two places, whose orders by distance aren't each other's."""
+    r = random.Random(6)
+    readers = [(k, True, 48.5 + k % 2, 31.5, float(r.randint(1, 150))) for k in range(90)] + [(k, True, 50.0, 33.0 + k / 100, 120.0) for k in range(0, 90, 4)] + [(500, True, 48.5, 31.5, None)]
+    reports, readers = crowd_of_reports(spark), spark.createDataFrame(readers, READERS)
+    pairs = proximity.proximity(reports, readers, "2024-01-15 12:00:00").cache()
+    want = {(x.subscriber_id, x.type, x.reason): (x.n, x.report_id, x.distance_km) for x in proximity.dedupe_lines(pairs).collect()}
+    count = {(x.subscriber_id, x.type, x.reason): x["count"] for x in pairs.groupBy("subscriber_id", "type", "reason").count().collect()}
+    assert {k[2] for k in want} == {"in_radius", "approaching", "heading_towards"}
+    rows = proximity.proximity_lines(reports, readers, "2024-01-15 12:00:00").collect()
+    assert len(rows) == len(want) and {(x.subscriber_id, x.type, x.reason): (x.n, x.report_id, x.distance_km) for x in rows} == want
+    for group in (1, 7, 16, 1000):
+        rows = proximity.reader_lines(reports, readers, "2024-01-15 12:00:00", group=group).collect()
+        assert {(x.subscriber_id, x.type, x.reason): (x.n, x.report_id, round(x.distance_km, 6)) for x in rows} == want
+        assert len(rows) == len(count) and {(x.subscriber_id, x.type, x.reason): x.n_pairs for x in rows} == count
+
+
+def test_pairs_are_spread_and_their_distances_found_once(spark):
+    reports = crowd_of_reports(spark)
+    readers = spark.createDataFrame([(k, True, 48.0 + k % 40 / 20, 31.0 + k % 7 / 4, 50.0) for k in range(400)], READERS)
+    pairs = proximity.proximity(reports, readers, "2024-01-15 12:00:00", digits=6)
+    assert pairs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("ASIN(") == 2
+    whole = proximity.proximity(reports, readers, "2024-01-15 12:00:00")
+    names = [F.round(c, 6).alias(c) if c.endswith(("_km", "_min")) else F.col(c) for c in whole.columns]
+    assert sorted(map(repr, pairs.collect())) == sorted(map(repr, whole.select(names).collect()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,12 +62,17 @@ def _grid(rows: Column, columns: Column) -> Column:
     return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("cy"), x.alias("cx")))))
 
 
-def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]], cell: float = 1.0, crowd: int = 128) -> DataFrame:
+#: The part of a cell in which ``meet`` brings a pair together.
+AT = ["cy", "cx", "_part"]
+
+
+def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]], cell: float = 1.0, crowd: int = 32) -> DataFrame:
     """Rows of ``near`` joined with the readers (lat, lon) that may lie within reach of one of its points.
 
     ``points``: the prefix of a point's columns and the reach in km. A row of ``near`` goes to every cell within reach, once;
     a reader lies in one cell. A cell of more than ``crowd`` readers is dealt over parts by their places, so that no task reads it whole,
     and a row of ``near`` goes to all of its parts; cells without readers are left out before that.
+    The result is partitioned by ``AT``: groups within these columns and a reader's place need no shuffle.
     """
     spots = []
     for end, reach in points:
@@ -78,11 +84,23 @@ def meet(near: DataFrame, readers: DataFrame, points: list[tuple[str, Column]],
     parts = at.groupBy("cy", "cx").agg(F.ceil(F.count("*") / crowd).alias("_parts"))
     at = at.join(parts, ["cy", "cx"]).withColumn("_part", F.pmod(F.xxhash64("lat", "lon"), F.col("_parts"))).drop("_parts")
     dealt = dealt.join(parts, ["cy", "cx"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    return dealt.join(at.hint("merge"), ["cy", "cx", "_part"]).drop("cy", "cx", "_part")
+    # little is shuffled and much comes of it: without a number of its own, Spark would put the parts into one task
+    context = near.sparkSession.sparkContext
+    tasks = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * context.defaultParallelism)
+    return dealt.repartition(tasks, *AT).join(at.repartition(tasks, *AT).hint("merge"), AT)
 
 
 def _located(subscribers: DataFrame) -> DataFrame:
-    return subscribers.where("is_active and lat is not null and lon is not null").select("subscriber_id", "lat", "lon", "radius_km")
+    """Readers with a place, those of one place numbered by radius from 0."""
+    nth = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("radius_km", "subscriber_id")) - 1
+    located = subscribers.where("is_active and lat is not null and lon is not null and radius_km is not null")
+    return located.select("subscriber_id", "lat", "lon", "radius_km").withColumn("nth", nth)
+
+
+def _spots(located: DataFrame, group: int, *more: Column) -> DataFrame:
+    """A row for each ``group`` readers of a place, who follow one another in radius."""
+    spots = located.withColumn("group", F.floor(F.col("nth") / group)).groupBy("lat", "lon", "group")
+    return spots.agg(F.max("radius_km").alias("widest"), *more)
 
 
 def _near_spots(reports: DataFrame, spots: DataFrame, now: str, rules: Rules) -> DataFrame:
@@ -97,14 +115,17 @@ def _near_spots(reports: DataFrame, spots: DataFrame, now: str, rules: Rules) ->
     wide = F.col("reach") * 1.01 + 1
     pairs = meet(near, spots, [("to_", F.when(known("to"), wide + ahead)), ("from_", F.when(known("from"), wide + towards))])
     to, origin = (distance_km(F.col(f"{end}_lat"), F.col(f"{end}_lon"), F.col("lat"), F.col("lon")) for end in ("to", "from"))
-    pairs = pairs.withColumns({"target_km": F.coalesce(origin, to), "distance_km": F.coalesce(to, origin)})
+    pairs = pairs.withColumns({"to_km": to, "from_km": origin})
+    pairs = pairs.withColumns({"target_km": F.coalesce("from_km", "to_km"), "distance_km": F.coalesce("to_km", "from_km")})
     closest, eta = approach(F.col("to_lat"), F.col("to_lon"), F.col("course_deg"), F.col("projected"), F.col("age"), F.col("lat"), F.col("lon"))
     aimed = angle_diff(bearing(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")), F.col("course_deg")) <= rules.course_tolerance_deg
     pairs = pairs.withColumns({"closest": closest, "eta": eta, "aimed": aimed})
     pairs = pairs.withColumn("coming", F.coalesce(moving & known("to") & (F.col("eta") <= rules.eta_max_min), F.lit(False)))
     spot = [c for c in spots.columns if c not in ("lat", "lon", "widest")]
-    pairs = pairs.withColumn("lead_km", F.col("typical") * rules.lead_min / 60).where(_reason(F.col("widest")).isNotNull())
-    return pairs.select("lat", "lon", *spot, "report_id", "type", "n", "distance_km", "target_km", "closest", "eta", "aimed", "coming", "typical", "lead_km")
+    # a filter would be pushed below all that it is made of, and each part be computed wherever it is named
+    pairs = pairs.withColumn("lead_km", F.col("typical") * rules.lead_min / 60)
+    pairs = pairs.withColumn("kept", F.explode(F.when(_reason(F.col("widest")).isNotNull(), F.array(F.lit(True)))))
+    return pairs.select(*AT, "lat", "lon", *spot, "report_id", "type", "n", "distance_km", "target_km", "closest", "eta", "aimed", "coming", "typical", "lead_km")
 
 
 def _reason(radius: Column) -> Column:
@@ -112,7 +133,7 @@ def _reason(radius: Column) -> Column:
     return F.when(F.least("distance_km", "target_km") <= radius, "in_radius").when(F.col("coming") & (F.col("closest") <= radius), "approaching").when(heading, "heading_towards")
 
 
-def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), group: int = 1000) -> DataFrame:
+def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), group: int = 1000, digits: int | None = None) -> DataFrame:
     """(subscriber_id, report_id, type, n, reason, distance_km, target_km, eta_min, closest_km).
 
     The report's position is its origin where known, else its destination; the named place is the destination where known.
@@ -120,26 +141,65 @@ def proximity(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules
     a course, not stale and of a type that is projected, whose path passes within the radius in time; heading_towards, a known
     origin and a course that points at the subscriber, who is within what the type covers in ``lead_min`` minutes.
     distance_km is to the named place, target_km to the position; eta_min is null for in_radius.
-    Subscribers of one place are looked at once, at most ``group`` of them together; only radii are compared one by one.
+    Subscribers of one place are looked at once, at most ``group`` of them together; only radii are compared one by one, and
+    numbers are rounded to ``digits``, where given, once a place.
     """
-    nth = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("subscriber_id"))
-    spots = _located(subscribers).withColumn("group", F.floor((nth - 1) / group)).groupBy("lat", "lon", "group")
-    spots = spots.agg(F.max("radius_km").alias("widest"), F.collect_list(F.struct("subscriber_id", "radius_km")).alias("readers")).drop("group")
-    pairs = _near_spots(reports, spots, now, rules).withColumn("reader", F.explode("readers")).drop("readers")
+    spots = _spots(_located(subscribers), group, F.collect_list(F.struct("subscriber_id", "radius_km")).alias("readers"))
+    shown = lambda c: F.round(c, digits) if digits is not None else c
+    pairs = _near_spots(reports, spots, now, rules).withColumns({
+        "shown_distance": shown(F.col("distance_km")), "shown_target": shown(F.col("target_km")), "shown_closest": shown(F.col("closest")),
+        "shown_eta": shown(F.col("eta")), "shown_lead": shown(F.col("target_km") / F.col("typical") * 60),
+    })
+    pairs = pairs.withColumn("reader", F.explode("readers")).drop("readers")
     pairs = pairs.select("*", "reader.subscriber_id", _reason(F.col("reader.radius_km")).alias("reason")).where("reason is not null")
-    minutes = F.when(F.col("reason") == "approaching", F.col("eta")).when(F.col("reason") == "heading_towards", F.col("target_km") / F.col("typical") * 60)
-    return pairs.select("subscriber_id", "report_id", "type", "n", "reason", "distance_km", "target_km", minutes.alias("eta_min"), F.when(F.col("reason") == "approaching", F.col("closest")).alias("closest_km"))
+    minutes = F.when(F.col("reason") == "approaching", F.col("shown_eta")).when(F.col("reason") == "heading_towards", F.col("shown_lead"))
+    closest = F.when(F.col("reason") == "approaching", F.col("shown_closest"))
+    return pairs.select("subscriber_id", "report_id", "type", "n", "reason", F.col("shown_distance").alias("distance_km"), F.col("shown_target").alias("target_km"), minutes.alias("eta_min"), closest.alias("closest_km"))
 
 
-def proximity_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
-    """``dedupe_lines`` of ``proximity``, with a place's reports in order of distance and id once for all its readers: sums of plain numbers, which
-    are kept in memory where a pair a row would have to be sorted."""
+def _first(holds: Callable[[Column], Column]) -> Column:
+    """How many of the ascending ``radii`` come before the first for which ``holds``, which stays true from there: a binary search by ``steps``."""
+    return F.aggregate("steps", F.lit(0), lambda k, step: F.when((k + step <= F.size("radii")) & ~holds(F.get("radii", k + step - 1)), k + step).otherwise(k))
+
+
+def reader_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules(), group: int = 1000) -> DataFrame:
+    """(subscriber_id, type, reason, n, report_id, distance_km, n_pairs): ``dedupe_lines`` of ``proximity`` and of how many pairs, without its pairs.
+
+    By radius, the readers of a place to whom a report gives a reason follow one another. Reports of equal runs of readers become
+    one; a run is put together from blocks of 1, 2, 4, ... readers, and blocks hand on what they have to their readers. So a place costs its reports
+    and its readers, not their product. All of it happens where reports and places meet, up to the lines.
+    """
     located = _located(subscribers)
-    spots = located.groupBy("lat", "lon").agg(F.max("radius_km").alias("widest"))
-    ranked = _near_spots(reports, spots, now, rules).withColumn("nth", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("distance_km", "report_id")))
-    pairs = ranked.join(located.hint("merge"), ["lat", "lon"]).withColumn("reason", _reason(F.col("radius_km"))).where("reason is not null")
-    found = pairs.groupBy("subscriber_id", "type", "reason").agg(F.max("n").alias("n"), F.min_by("report_id", "nth").alias("report_id"), F.min("distance_km").alias("distance_km"))
-    return found.withColumn("distance_km", F.round("distance_km", 6))
+    spots = _spots(located, group, F.array_sort(F.collect_list("radius_km")).alias("radii"))
+    spots = spots.withColumn("steps", F.expr("transform(sequence(length(bin(size(radii))) - 1, 0, -1), k -> shiftleft(1, k))"))
+    inside = _first(lambda r: F.least("distance_km", "target_km") <= r)
+    passed = F.when(F.col("coming"), _first(lambda r: F.col("closest") <= r)).otherwise(F.size("radii"))
+    led = F.when(F.col("aimed"), _first(lambda r: F.col("target_km") <= F.col("lead_km") + r)).otherwise(F.size("radii"))
+    pairs = _near_spots(reports, spots, now, rules).withColumns({"inside": inside, "passed": passed, "led": led, "all": F.size("radii")})
+    place = [*AT, "lat", "lon", "group"]
+    pairs = pairs.select(*place, "report_id", "type", "n", "distance_km", "inside", "passed", "led", "all")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("distance_km", "report_id")))
+    best = [F.max("n").alias("n"), F.min_by("report_id", "rank").alias("report_id"), F.min("distance_km").alias("distance_km"), F.min("rank").alias("rank")]
+    subject, count = [*place, "type", "reason"], F.sum("n_pairs").alias("n_pairs")
+    run = lambda reason, since, until: F.struct(F.lit(reason).alias("reason"), since.alias("since"), until.alias("until"))
+    three = run("in_radius", F.col("inside"), F.col("all")), run("approaching", F.col("passed"), F.col("inside")), run("heading_towards", F.col("led"), F.least("inside", "passed"))
+    runs = pairs.select(*pairs.columns, F.inline(F.array(*three))).where("since < until").groupBy(*subject, "since", "until").agg(*best, F.count("*").alias("n_pairs"))
+    # the blocks of a run, each of which begins at a multiple of its size
+    low, high = "shiftright(since + shiftleft(1, k) - 1, k)", "shiftright(until, k)"
+    block = f"CASE WHEN {low} < {high} AND {{0}} % 2 = 1 THEN struct(shiftleft({{1}}, k) AS first, shiftleft(1, k) AS size) END"
+    blocks = F.expr(f"flatten(transform(sequence(0, length(bin(until - since)) - 1), k -> array({block.format(low, low)}, {block.format(high, high + ' - 1')})))")
+    blocks = runs.withColumn("block", F.explode(blocks)).where("block is not null").select("*", "block.*").groupBy(*subject, "first", "size").agg(*best, count)
+    each = blocks.withColumn("k", F.explode(F.expr("sequence(first, first + size - 1)"))).groupBy(*subject, "k").agg(*best, count)
+    lines = each.withColumn("nth", F.col("group") * group + F.col("k")).join(located, ["lat", "lon", "nth"])
+    # an id has more than one row where it has more than one place
+    near = F.min(F.struct("distance_km", "report_id")).alias("near")
+    lines = lines.groupBy("subscriber_id", "type", "reason").agg(F.max("n").alias("n"), near, count)
+    return lines.select("subscriber_id", "type", "reason", "n", F.col("near.report_id").alias("report_id"), F.col("near.distance_km").alias("distance_km"), "n_pairs")
+
+
+def proximity_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
+    """``dedupe_lines`` of ``proximity``."""
+    return reader_lines(reports, subscribers, now, rules).withColumn("distance_km", F.round("distance_km", 6)).drop("n_pairs")
 
 
 def dedupe_lines(matches: DataFrame, place: str | None = None) -> DataFrame:
