@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchgrid.catalog import NOW, _FILLED, _MATCHES, _matches, q_intervals
+from watchgrid.catalog import NOW, _FILLED, _MATCHES, q_intervals
 from watchgrid.catalog_live import recent
 from watchgrid.catalog_places import q_resolve
 from watchgrid.catalog_state import _CORNERS, rings
@@ -156,7 +156,8 @@ def q_batches(spark, sf):
 
 def q_dry_run(spark, sf):
     """What would be sent: pairs and readers for each reason and type."""
-    return _matches(spark, sf).groupBy("reason", "type").agg(F.count("*").alias("n"), F.count_distinct("subscriber_id").alias("n_readers"))
+    lines = proximity.reader_lines(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
+    return lines.groupBy("reason", "type").agg(F.sum("n_pairs").alias("n"), F.count("*").alias("n_readers"))
 
 
 def q_nearest_live(spark, sf):
