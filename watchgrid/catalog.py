@@ -17,16 +17,12 @@ def _km(lat1, lon1, lat2, lon2):
     return _DISTANCE.format(a=lat1, b=lat2, c=lon1, d=lon2)
 
 
-def _matches(spark, sf):
-    return proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
-
-
 def q_proximity(spark, sf):
     return proximity.proximity_lines(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW)
 
 
 def q_matches(spark, sf):
-    return _matches(spark, sf).select("subscriber_id", "report_id", "type", "n", "reason", *[F.round(c, 6).alias(c) for c in ("distance_km", "target_km", "eta_min", "closest_km")])
+    return proximity.proximity(view(spark, sf, "fx_reports"), view(spark, sf, "fx_subscribers"), NOW, digits=6)
 
 
 def q_actionable(spark, sf):
