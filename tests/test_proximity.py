@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from watchgrid.operators import proximity
+from watchgrid.operators import history, proximity
 
 REPORTS = "report_id long, observed_at timestamp_ntz, type string, n long, relation string, to_lat double, to_lon double, from_lat double, from_lon double, course_deg double, confidence double, to_area boolean"
 READERS = "subscriber_id long, is_active boolean, lat double, lon double, radius_km double"
@@ -142,3 +142,17 @@ def test_pairs_are_spread_and_their_distances_found_once(spark):
     whole = proximity.proximity(reports, readers, "2024-01-15 12:00:00")
     names = [F.round(c, 6).alias(c) if c.endswith(("_km", "_min")) else F.col(c) for c in whole.columns]
     assert sorted(map(repr, pairs.collect())) == sorted(map(repr, whole.select(names).collect()))
+
+
+def test_bursts_order_no_reports_and_shuffle_lines_once(spark):
+    r = random.Random(7)
+    reports = crowd_of_reports(spark)
+    readers = spark.createDataFrame([(k % 80, True, 48.5 + k % 3, 31.5, float(r.randint(1, 150))) for k in range(90)], READERS)
+    told = history.bursts(proximity.proximity_lines(reports, readers, "2024-01-15 12:00:00"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(cy" not in plan and plan.count("Exchange hashpartitioning(subscriber_id") == 1
+    want = {}
+    for x in proximity.dedupe_lines(proximity.proximity(reports, readers, "2024-01-15 12:00:00")).collect():
+        want.setdefault(x.subscriber_id, []).append((x.distance_km, x.type, x.reason, x.n))
+    want = {k: (len(v), ";".join("|".join(map(str, x[1:])) for x in sorted(v)), min(v)[0]) for k, v in want.items()}
+    assert len(want) > 60 and {x.subscriber_id: (x.n_lines, x.message, x.nearest_km) for x in told.collect()} == want

@@ -81,6 +81,7 @@ def level_flips(seen: DataFrame, by: str, order: str, flag: str) -> DataFrame:
 
 def bursts(matches: DataFrame) -> DataFrame:
     """One message a subscriber: its lines by distance. Lines were deduplicated, so they are bounded by types and reasons."""
-    line = F.array_sort(F.collect_list(F.struct("distance_km", "type", "reason", "n")))
-    text = F.array_join(F.transform("lines", lambda x: F.concat_ws("|", x["type"], x["reason"], x["n"].cast("string"))), ";")
-    return matches.groupBy("subscriber_id").agg(line.alias("lines"), F.min("distance_km").alias("nearest_km")).select("subscriber_id", F.size("lines").cast("long").alias("n_lines"), text.alias("message"), "nearest_km")
+    line = F.concat_ws("|", "type", "reason", F.col("n").cast("string"))
+    lines = F.sort_array(F.collect_list(F.struct("distance_km", "type", "reason", "n", line.alias("line"))))
+    by = matches.groupBy("subscriber_id").agg(lines.alias("lines"), F.min("distance_km").alias("nearest_km"))
+    return by.select("subscriber_id", F.size("lines").cast("long").alias("n_lines"), F.array_join("lines.line", ";").alias("message"), "nearest_km")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchgrid.functions.geo import angle_diff, approach, bearing, distance_km
+from watchgrid.session import cut
 
 # Speeds in km/h by which a position is projected (other types aren't), and by which a course is judged.
 SPEEDS = {"uav": 180.0, "jet_uav": 600.0, "cruise": 800.0, "recon": 150.0}
@@ -170,8 +171,9 @@ def reader_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Ru
     and its readers, not their product. All of it happens where reports and places meet, up to the lines.
     """
     located = _located(subscribers)
-    spots = _spots(located, group, F.array_sort(F.collect_list("radius_km")).alias("radii"))
+    spots = _spots(located, group, F.sort_array(F.collect_list("radius_km")).alias("radii"))
     spots = spots.withColumn("steps", F.expr("transform(sequence(length(bin(size(radii))) - 1, 0, -1), k -> shiftleft(1, k))"))
+    spots = cut(spots)  # read three times
     inside = _first(lambda r: F.least("distance_km", "target_km") <= r)
     passed = F.when(F.col("coming"), _first(lambda r: F.col("closest") <= r)).otherwise(F.size("radii"))
     led = F.when(F.col("aimed"), _first(lambda r: F.col("target_km") <= F.col("lead_km") + r)).otherwise(F.size("radii"))
@@ -191,10 +193,10 @@ def reader_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Ru
     blocks = runs.withColumn("block", F.explode(blocks)).where("block is not null").select("*", "block.*").groupBy(*subject, "first", "size").agg(*best, count)
     each = blocks.withColumn("k", F.explode(F.expr("sequence(first, first + size - 1)"))).groupBy(*subject, "k").agg(*best, count)
     lines = each.withColumn("nth", F.col("group") * group + F.col("k")).join(located, ["lat", "lon", "nth"])
-    # an id has more than one row where it has more than one place
-    near = F.min(F.struct("distance_km", "report_id")).alias("near")
-    lines = lines.groupBy("subscriber_id", "type", "reason").agg(F.max("n").alias("n"), near, count)
-    return lines.select("subscriber_id", "type", "reason", "n", F.col("near.report_id").alias("report_id"), F.col("near.distance_km").alias("distance_km"), "n_pairs")
+    # an id has more than one row where it has more than one place; its lines stay together, so groups of an id need no further shuffle
+    near = [F.min_by("report_id", F.struct("distance_km", "report_id")).alias("report_id"), F.min("distance_km").alias("distance_km")]
+    lines = lines.select("subscriber_id", "type", "reason", "n", "report_id", "distance_km", "n_pairs").repartition("subscriber_id")
+    return lines.groupBy("subscriber_id", "type", "reason").agg(F.max("n").alias("n"), *near, count)
 
 
 def proximity_lines(reports: DataFrame, subscribers: DataFrame, now: str, rules: Rules = Rules()) -> DataFrame:
