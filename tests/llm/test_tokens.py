@@ -185,6 +185,21 @@ def test_collocations_against_counting(spark, shards, most, partitions):
     assert sorted(map(tuple, got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == phrases_by_hand(docs, 12, most, 80)
 
 
+def test_phrases_are_counted_by_language_and_spelt_at_once():
+    texts = [b"The \t big  cat.The big cat", "é\tnaïve ſ,".encode(), b"", b"x"] * 50
+    part = collocations._Slice(texts, "en")
+    for k in (1, 2, 3, 4):
+        at = part.at(k)
+        want = [b" ".join(part.words.blob[part.words.start[i] : part.words.end[i]] for i in range(a, a + k)).decode() for a in at.tolist()]
+        assert part.spelt(at, k).to_pylist() == want and (k != 3 or "the big cat" in want)
+    batch = pyarrow.RecordBatch.from_pydict({"text": [t.decode() for t in texts], "lang": ["en", "de"] * 100, "shard": [i % 8 for i in range(200)]})
+    told = list(collocations._by_language([batch] * 30))
+    assert sorted(x for x, _ in told) == ["de", "en"] and sum(len(some) for _, some in told) == 6000
+    many = pyarrow.RecordBatch.from_pydict({"text": ["w " * 5000] * 2000, "lang": [f"l{i % 40}" for i in range(2000)]})
+    sizes = [sum(map(len, some)) for _, some in collocations._by_language([many])]
+    assert sum(sizes) == 20_000_000 and max(sizes) < 2.1e6 and len(sizes) < 200
+
+
 def test_collocations_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert collocations.collocations(empty).count() == 0

@@ -35,6 +35,10 @@ BITS = 1 << 26
 _PROBES = 3
 #: Names that a task holds before it counts them.
 _HELD = 1 << 22
+#: Bytes of text that a task holds of a language before it counts and spells its phrases; of all languages four times as many.
+_TEXT = 1 << 21
+#: Bytes of phrases that are spelt at once.
+_SPELT = 1 << 21
 
 
 def _language(lang: str) -> np.uint64:
@@ -42,15 +46,18 @@ def _language(lang: str) -> np.uint64:
     return U(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
-def _positions(names: np.ndarray) -> list[np.ndarray]:
-    return [mix(names + U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) >> U(64 - (BITS.bit_length() - 1)) for k in range(_PROBES)]
+def _position(names: np.ndarray, k: int) -> np.ndarray:
+    return mix(names + U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) >> U(64 - (BITS.bit_length() - 1))
 
 
 def _holds(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which names the filter may hold."""
-    found = np.ones(len(names), bool)
-    for at in _positions(names):
-        found &= (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
+    """Which names the filter may hold; what one probe rules out isn't probed again."""
+    left = np.arange(len(names))
+    for k in range(_PROBES):
+        at = _position(names[left], k)
+        left = left[(bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)]
+    found = np.zeros(len(names), bool)
+    found[left] = True
     return found
 
 
@@ -59,7 +66,7 @@ def name_filter(names: DataFrame) -> np.ndarray:
 
     def run(batches):
         for b in batches:
-            at = np.unique(np.concatenate(_positions(b.column(0).to_numpy().view(np.uint64))))
+            at = np.unique(np.concatenate([_position(b.column(0).to_numpy().view(np.uint64), k) for k in range(_PROBES)]))
             word = (at >> U(6)).astype(np.int64)
             first = np.flatnonzero(np.diff(word, prepend=-1))
             bit = np.bitwise_or.reduceat(U(1) << (at & U(63)), first) if len(first) else at
@@ -92,9 +99,46 @@ class _Slice:
         at = self.at(k)
         if bits is None or not len(at):
             return at
-        places = np.union1d(at, at + 1)
-        known = _holds(bits, self.names(places, k - 1))
-        return at[known[np.searchsorted(places, at)] & known[np.searchsorted(places, at + 1)]]
+        known = np.zeros(len(self.words), bool)
+        known[at] = known[at + 1] = True
+        places = np.flatnonzero(known)
+        known[places] = _holds(bits, self.names(places, k - 1))
+        return at[known[at] & known[at + 1]]
+
+    def spelt(self, at: np.ndarray, k: int) -> pa.Array:
+        """The phrases of ``k`` words at some places, their words joined by one space."""
+        word = (at[:, None] + np.arange(k)).ravel()
+        # a word and, but for a phrase's last, the byte after it
+        size = self.words.end[word] - self.words.start[word] + 1
+        size[k - 1 :: k] -= 1
+        end = np.cumsum(size)
+        raw = np.frombuffer(self.words.blob, np.uint8)[np.repeat(self.words.start[word] - end + size, size) + np.arange(size.sum())]
+        gap = end - 1
+        raw[np.delete(gap, np.s_[k - 1 :: k])] = 0x20
+        offsets = np.append(0, end[k - 1 :: k]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.string())
+
+
+def _told(lang: str, k: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(k, pa.int32()), len(n)), phrases, pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n"])
+
+
+def _by_language(batches):
+    """Texts of one language, about ``_TEXT`` bytes of them where there are as many: (language, texts)."""
+    held: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+    for texts, lang in parts(batches, ["lang"]):
+        for text, x in zip(texts, lang.to_pylist()):
+            held.setdefault(x, []).append(text)
+            size[x] = size.get(x, 0) + len(text) + 1
+            if size[x] >= _TEXT:
+                yield x, held.pop(x)
+                del size[x]
+        if sum(size.values()) >= 4 * _TEXT:
+            yield from held.items()
+            held, size = {}, {}
+    yield from held.items()
 
 
 def _slices(batches):
@@ -145,26 +189,26 @@ def _count(rows: DataFrame, bits: list[np.ndarray], longest: int) -> DataFrame:
     share = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        for _, lang, texts in _slices(batches):
+        for lang, texts in _by_language(batches):
             part = _Slice(texts, lang)
-            w, blob = part.words, part.words.blob
-            ks, phrases, ns = [0], [""], [len(w)]
+            yield _told(lang, 0, pa.array([""]), np.array([len(part.words)]))
+            # a second name, of other mixing, tells phrases of one name apart
+            other = mix(part.words.hash)
             for k in range(1, longest + 1):
                 at = part.at(k)
                 names = part.names(at, k)
                 keep = _holds(share.value[k - 1], names)
-                at, names = at[keep], names[keep]
-                # a second name, of other mixing, tells phrases of one name apart
-                second = ranges_hash(mix(w.hash), at, at + k)
-                order = np.lexsort((second, names))
-                edge = np.flatnonzero(np.append(True, (np.diff(names[order]) != 0) | (np.diff(second[order]) != 0))) if len(at) else np.empty(0, np.int64)
-                first = at[order][edge]
-                ns += np.diff(np.append(edge, len(at))).tolist()
-                ks += [k] * len(first)
-                for a in first.tolist():
-                    phrases.append(b" ".join([blob[w.start[i] : w.end[i]] for i in range(a, a + k)]).decode())
-            columns = [pa.array([lang] * len(ks)), pa.array(ks, pa.int32()), pa.array(phrases, pa.string()), pa.array(ns, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "n"])
+                order = np.argsort(names[keep])
+                at, names = at[keep][order], names[keep][order]
+                second = ranges_hash(other, at, at + k)
+                # two phrases of one name may take turns here: equal ones meet by their words
+                edge = np.flatnonzero((np.diff(names, prepend=U(0)) != 0) | (np.diff(second, prepend=U(0)) != 0) | (np.arange(len(at)) == 0))
+                n, first = np.diff(np.append(edge, len(at))), at[edge]
+                size = np.cumsum(part.words.end[first + k - 1] - part.words.start[first])
+                cuts = np.flatnonzero(np.diff(size // _SPELT)) + 1
+                for some, of in zip(np.split(first, cuts), np.split(n, cuts)):
+                    if len(some):
+                        yield _told(lang, k, part.spelt(some, k), of)
 
     counts = rows.mapInArrow(run, "lang string, k int, phrase string, n long")
     return counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
